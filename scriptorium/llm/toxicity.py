@@ -214,3 +214,22 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fo
     """`score_toxicity` with a lexicon learned from at most `max_rows` rows of `labels` outside the held-out fold."""
     train = _spark.crc32_remainder(F.col("doc_id"), fold_by) != 0
     return score_toxicity(docs, learn_lexicon(_spark.labelled_sample(docs, labels, "toxic", train, max_rows)))
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text scores below `threshold`; rows pass through one scan, unshuffled."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coef = np.array(lexicon.coef)
+        for batch in batches:
+            found = [matched(t.as_py() or "", lexicon) for t in batch.column("text")]
+            x = _features(np.array([f[0] for f in found], float), np.array([f[2] for f in found], float)) @ coef
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def learned_without_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fold_by: int = 5) -> DataFrame:
+    """`without_toxic` with a lexicon learned as in `fit_and_score`."""
+    train = _spark.crc32_remainder(F.col("doc_id"), fold_by) != 0
+    return without_toxic(docs, learn_lexicon(_spark.labelled_sample(docs, labels, "toxic", train, max_rows)))
