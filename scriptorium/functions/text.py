@@ -71,14 +71,24 @@ def expand_aliases(s: Column | str, aliases: Mapping[str, str] = rules.ALIASES)
     return F.when(F.size(extra) > 0, F.concat_ws(" ", folded, F.concat_ws(" ", extra))).otherwise(folded)
 
 
-def heading_matches(line: Column | str, title: Column | str, overrides: Mapping[str, str] = rules.TITLE_OVERRIDES) -> Column:
-    """Whether a line is the heading of a title, digits, marks and punctuation aside."""
-    one, two = fold(line, True), fold(title, True)
+def heading_key(title: Column | str, overrides: Mapping[str, str] = rules.TITLE_OVERRIDES) -> Column:
+    """The folded form under which a title is looked for in lines."""
+    out = key = fold(title, True)
     for old, new in overrides.items():
-        two = F.when(two == fold(F.lit(old), True), fold(F.lit(new), True)).otherwise(two)
-    words = F.split(two, " ")
-    near = (F.size(words) >= 3) & one.startswith(F.array_join(F.slice(words, 1, 3), " ")) & (F.abs(F.length(one) - F.length(two)) <= 12)
-    return (one != "") & (two != "") & (one.startswith(two) | two.startswith(one) | near)
+        out = F.when(key == fold(F.lit(old), True), fold(F.lit(new), True)).otherwise(out)
+    return out
+
+
+def heading_probe(title_key: Column) -> Column:
+    """The first three words of a folded title; null if it has fewer."""
+    words = F.split(title_key, " ")
+    return F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 3), " "))
+
+
+def heading_matches(line_key: Column, title_key: Column, probe: Column) -> Column:
+    """Whether a folded line is the heading of a folded title (`heading_key`, `heading_probe`)."""
+    near = F.coalesce(line_key.startswith(probe), F.lit(False)) & (F.abs(F.length(line_key) - F.length(title_key)) <= 12)
+    return (line_key != "") & (title_key != "") & (line_key.startswith(title_key) | title_key.startswith(line_key) | near)
 
 
 def classify_category(title: Column | str, categories: Sequence[tuple[str, str]] = rules.CATEGORIES, other: str = rules.NO_CATEGORY) -> Column:

@@ -64,7 +64,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES, alias
 def dense(embeddings: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
     """query_id, chunk_id, ordinal, score, rank: every vector (chunk_id, ordinal, vec) against a small batch (query_id, vec)."""
     unit = queries.select("query_id", vectors.l2_normalize(F.col("vec")).alias("q"))
-    scored = embeddings.crossJoin(F.broadcast(unit)).select("query_id", "chunk_id", "ordinal", F.round(vectors.dot(vectors.l2_normalize(F.col("vec")), F.col("q")), 6).alias("score"))
+    units = embeddings.select("chunk_id", "ordinal", vectors.l2_normalize(F.col("vec")).alias("v"))
+    scored = units.crossJoin(F.broadcast(unit)).select("query_id", "chunk_id", "ordinal", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("score"))
     return top(scored, k, F.desc("score"), F.desc("ordinal"))
 
 
