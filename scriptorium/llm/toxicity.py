@@ -119,11 +119,12 @@ def _candidates(folded: str) -> set[str]:
     return out
 
 
-def learn_lexicon(sample: DataFrame, min_support: int = 4, min_log_odds: float = 2.5, max_terms: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn_lexicon(sample: DataFrame, min_support: int = 4, min_log_odds: float = 2.5, min_evidence: float = 20.0, max_terms: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon from (doc_id, text, y): terms far likelier in y = 1, and the logistic coefficients.
 
     Documents are counted in tasks and summed by term; only terms that pass the
-    support and log-odds thresholds reach the driver, `max_terms` at most. Of a word
+    thresholds of support, log-odds and evidence (the log-likelihood ratio of the
+    term's share of y = 1 against the sample's) reach the driver, `max_terms` at most. Of a word
     beginning and a longer term with nearly the same documents the longer stays.
     Without both labels the lexicon has no terms and scores all texts alike.
     """
@@ -143,7 +144,10 @@ def learn_lexicon(sample: DataFrame, min_support: int = 4, min_log_odds: float =
     if not n_pos or not n_neg:
         return Lexicon((), exceptions, (math.log((n_pos + 0.5) / (n_neg + 0.5)), 0.0, 0.0))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
-    rows = sample.select("text", "y").mapInArrow(counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") >= min_support).withColumn("odds", odds).filter(F.col("odds") >= min_log_odds).orderBy(F.desc("pos"), F.desc("odds"), "term").limit(20 * max_terms).collect()
+    both, share = F.col("pos") + F.col("neg"), n_pos / (n_pos + n_neg)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(F.lit(0.0))
+    evidence = 2 * (part(F.col("pos"), share) + part(F.col("neg"), 1 - share))
+    rows = sample.select("text", "y").mapInArrow(counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") >= min_support).withColumn("odds", odds).filter((F.col("odds") >= min_log_odds) & (evidence >= min_evidence)).orderBy(F.desc("pos"), F.desc("odds"), "term").limit(20 * max_terms).collect()
     found = {r["term"]: (r["pos"], r["neg"], r["odds"]) for r in rows}
     closed = dict(found)
     for term, (pos, neg, _) in found.items():
