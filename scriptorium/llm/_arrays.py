@@ -30,7 +30,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts hold about `limit` bytes at most; one longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

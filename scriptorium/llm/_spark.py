@@ -62,6 +62,8 @@ def crc32_remainder(doc_id: Column, by: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Its rows hold whole texts, so Arrow batches get 2000 rows at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _links, _spark
-from ._arrays import SpanHash, bounded, mix, spans, text_buffer
+from ._arrays import SpanHash, bounded, list_column, mix, spans, text_buffer
 
 WIDTH, TIERS = 5, 4
 _SPACE = np.zeros(256, bool)
@@ -101,7 +101,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set; null if it is empty)."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 500_000):
             sets = shingle_sets(batch.column("text"))
             digest = [[int(mix(x, seed).sum(dtype=np.uint64).astype(np.int64)) if len(x) else None for x in sets] for seed in (11, 12)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(d, pa.int64()) for d in digest)], names=["doc_id", "n_shingles", "d1", "d2"])
@@ -117,7 +117,7 @@ def frequent_features(docs: DataFrame, sample_rows: int, share: float) -> np.nda
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 500_000):
             found, counts = np.unique(np.concatenate([*shingle_sets(batch.column("text")), np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["feature", "n"])
 
@@ -132,7 +132,7 @@ def _signature_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes a document of this task
-        for batch in bounded(batches, "text", 2_000_000):
+        for batch in bounded(batches, "text", 500_000):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             buckets, nodes = [], []
             for doc_id, features in zip(ids, shingle_sets(batch.column("text")), strict=True):
@@ -153,24 +153,17 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(batch.column("text"))], pa.binary())], names=["doc_id", "features"])
-
-    sets = _spark.written(_links.by_ids(docs, ids).select("doc_id", "text").mapInArrow(gathered, "doc_id long, features binary"))
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, common, union = [], [], [], []
-            for x, y, fx, fy in zip(*(batch.column(c) for c in ("a", "b", "fa", "fb")), strict=True):
-                one, two = np.frombuffer(fx.as_buffer(), np.uint64), np.frombuffer(fy.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if both and 100 * both >= 75 * (len(one) + len(two) - both):
-                    a.append(x.as_py()), b.append(y.as_py()), common.append(both), union.append(len(one) + len(two) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, common, union)], names=["a", "b", "common", "union_size"])
+        for batch in bounded(batches, "text", 500_000):
+            found = shingle_sets(batch.column("text"))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(np.concatenate(found).view(np.int64), offsets, pa.int64())], names=["doc_id", "features"])
 
+    sets = _spark.written(_links.by_ids(docs, ids).select("doc_id", "text").mapInArrow(gathered, "doc_id long, features array<long>"))
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-    return both.select("a", "b", "fa", "fb").mapInArrow(compared, "a long, b long, common long, union_size long")
+    common = F.size(F.array_intersect("fa", "fb")).cast("long")
+    counted = both.select("a", "b", common.alias("common"), (F.size("fa") + F.size("fb")).cast("long").alias("sizes"))
+    return counted.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("union_size")).filter("common > 0 AND 100 * common >= 75 * union_size")
 
 
 def near_duplicates(docs: DataFrame, sample_rows: int = 8000, hot_share: float = 0.0025) -> DataFrame:
