@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from ._arrays import bounded
 
 # Elements whose content is never main text.
-_DROPPED = frozenset("script style noscript template head nav footer aside form button select option textarea input iframe object embed svg canvas audio video map dialog menu math datalist fieldset label figure-controls".split()) - {"figure-controls"}
+_DROPPED = frozenset("script style noscript template head nav footer aside form button select option textarea input iframe object embed svg canvas audio video map dialog menu math datalist fieldset label".split())
 # Elements that end a block.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _CLOSES_P = _BLOCK - {"body", "html"}
 # Roles of parts around the main text.
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note".split()) - {"note"}
+_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 # Words in class or id names of parts around the main text.
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|submenu|breadcrumbs?|header|masthead|topbar|banner|footer|sidebar|side-bar|aside|rail|widget|widgets|cookies?|cookie-?\w*|consent|gdpr|notice|notices|notification|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|ad|ads|advert|adverts|advertisement|advertising|adsense|adbox|ad-?slot|sponsor|sponsored|promo|promos|promotion|comments?|comment-?list|respond|reply|replies|disqus|share|sharing|social|related|recommended|recommendations|tags|tag-?cloud|pagination|pager|skip-?link|toolbar|search|search-?form|form|hidden|print-?only|byline-?ads?|disclaimer|copyright|legal|toc)(?:$|[\s_-])",

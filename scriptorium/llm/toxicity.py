@@ -43,7 +43,7 @@ class _Fold(dict):
 
 _FOLD = _Fold({ord(a): b for a, b in LOOK_ALIKES.split()})
 _FOLD.update({code: "" for code in (0x200B, 0x200C, 0x200D, 0x2060, 0xAD, 0xFEFF)})
-_LETTER_OF = dict(SUBSTITUTES.split()[i] for i in range(len(SUBSTITUTES.split())))
+_LETTER_OF = dict(SUBSTITUTES.split())
 _SIGNED = re.compile(r"(?<=[^\W\d_])[@$!](?=\w)|(?<!\w)[@$](?=[^\W\d_])")
 _DIGIT = re.compile(r"\d")
 _MIXED = re.compile(r"\b(?=\w*[^\W\d_])(?=\w*\d)\w+\b")
