@@ -11,17 +11,19 @@ chance, as a share of the largest possible, averaged over the shorter chain.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _spark
-from ._arrays import SpanHash
+from ._arrays import SpanHash, bounded
 
 WINDOW, NEIGHBOURS, BITS, PER_FILTER, HASHES = 32, 48, 2048, 128, 5
 #: Texts of fewer bytes have windows and neighbourhoods of 8 bytes.
@@ -119,77 +121,87 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_STATE = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("text", pa.string()), *_OUT])
-_STATE_DDL = "kind string, part long, text string, doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("chain", pa.binary()), ("edited_chain", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_STATE = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("packed", pa.binary()), *_OUT])
+_OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, chain binary, edited_chain binary, near_edited double, near_next double"
 
 
 def _finished(doc_id, text: str, chain: np.ndarray, following: str, next_chain: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     edited_chain = _digest_of(edited)
-    return (doc_id, len(text), edited, encoded(chain), encoded(edited_chain), likeness(chain, edited_chain), likeness(chain, next_chain))
+    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), chain.tobytes(), edited_chain.tobytes(), likeness(chain, edited_chain), likeness(chain, next_chain))
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _slim(row: tuple) -> tuple:
-    import hashlib
-
-    return (*row[:2], hashlib.sha256(row[2].encode("utf-8")).hexdigest(), *row[3:])
+def _encoded(chain: str) -> Column:
+    """`encoded` as a Column; base64() may break its lines."""
+    return F.concat((F.length(chain) / (BITS // 8)).cast("long").cast("string"), F.lit(":"), F.regexp_replace(F.base64(chain), "[\\r\\n]+", ""))
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next larger doc_id (rows with equal ids in text
-    order; null ids come first); the last document's is the first. Texts are range-
-    partitioned and sorted by doc_id once. Each task pairs its own neighbours and hands
-    out its first and last row, one pair a task, which a second small step pairs across
-    tasks. Null counts as empty: an empty chain of filters. A single document is its own
-    next one; an empty table gives no rows. Only doc_id and text are read.
+    The next document is that of the next larger doc_id (rows with equal ids in an
+    order of their texts; null ids come first); the last document's is the first. Texts
+    travel compressed; they are range-partitioned and sorted by doc_id once. Each task
+    pairs its own neighbours and hands out its first and last row, one pair a task,
+    which a second small step pairs across tasks. Null counts as empty: an empty chain
+    of filters. A single document is its own next one; an empty table gives no rows.
+    Only doc_id and text are read.
     """
 
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in bounded(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack((t.as_py() or "").encode("utf-8")) for t in batch.column("text")], pa.binary())], names=["doc_id", "packed"])
+
+    def opened(packed: bytes) -> str:
+        return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8")
+
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, none = TaskContext.get().partitionId(), None, [None] * 7
+        part, held, none = TaskContext.get().partitionId(), None, [None] * 6
         rows: list[tuple] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), strict=True):
+                packed = packed.as_py()
+                text = opened(packed)
                 chain = _digest_of(text)
                 if held is None:
-                    rows.append(("head", part, text, doc_id, *none[1:]))
+                    rows.append(("head", part, packed, doc_id, *none))
                 else:
-                    rows.append(("done", part, None, *_slim(_finished(*held, text, chain))))
-                held = (doc_id, text, chain)
+                    rows.append(("done", part, None, *_finished(*held, text, chain)))
+                held, last = (doc_id, text, chain), packed
                 if len(rows) >= 500:
                     yield _rows(rows, _STATE)
                     rows = []
         if held is not None:
-            rows.append(("tail", part, held[1], held[0], *none[1:]))
+            rows.append(("tail", part, last, held[0], *none))
         if rows:
             yield _rows(rows, _STATE)
 
-    ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    state = _spark.written(ordered.mapInArrow(paired, _STATE_DDL))
+    small = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(compressed, "doc_id long, packed binary")
+    ordered = small.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "packed")
+    state = _spark.written(ordered.mapInArrow(paired, f"kind string, part long, packed binary, {_OUT_DDL}"))
     done = state.filter("kind = 'done'").select(*[n for n, _ in _OUT])
-    heads = state.filter("kind = 'head'").select("part", F.col("text").alias("next_text"))
+    heads = state.filter("kind = 'head'").select("part", F.col("packed").alias("next_packed"))
     # One row a task: the task numbers alone are ordered in one place.
     order = heads.select("part").withColumn("next_part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
-    tails = state.filter("kind = 'tail'").select("part", "doc_id", "text").join(order, "part").join(heads.select(F.col("part").alias("next_part"), "next_text"), "next_part").select("doc_id", "text", "next_text")
+    tails = state.filter("kind = 'tail'").select("part", "doc_id", "packed").join(order, "part").join(heads.select(F.col("part").alias("next_part"), "next_packed"), "next_part").select("doc_id", "packed", "next_packed")
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
-                text, following = x["text"] or "", x["next_text"] or ""
-                rows.append(_slim(_finished(x["doc_id"], text, _digest_of(text), following, _digest_of(following))))
+                text, following = opened(x["packed"]), opened(x["next_packed"])
+                rows.append(_finished(x["doc_id"], text, _digest_of(text), following, _digest_of(following)))
             if rows:
                 yield _rows(rows, pa.schema(_OUT))
 
-    ends = tails.mapInArrow(closed, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return done.unionByName(ends).withColumnRenamed("edited", "edited_sha256")
+    every = done.unionByName(tails.mapInArrow(closed, _OUT_DDL))
+    return every.select("doc_id", "n_chars", "edited_sha256", _encoded("chain").alias("fingerprint"), _encoded("edited_chain").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
