@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +25,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    Shuffle files of the plan go with the driver's garbage, so that is collected here:
+    else they would stay on the executors' disks for as long as the driver has memory.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """`written` for a plan that `make` builds; tables written on the way there are removed, as nothing else reads them."""
+    before = {path for _, path in _written}
+    out = written(make())
+    for spark, path in [x for x in _written if x[1] not in before and x[1] != out._scratch_path]:
+        _remove(spark, path)
+    return out
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Removes tables of `written` that no later plan reads."""
     for df in tables:
