@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import _spark
@@ -19,61 +19,71 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change; each
-    step keeps at most as many links as before, and stars end the work at once.
+    step keeps at most as many links as before.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    links = _spark.written(links)
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links, state = _observed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        before = links
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        before, last = links, state
+        both = links.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A centre can have any number of neighbours: this join may be split. A neighbour has few centres.
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition(partitions, "u")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = _spark.written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
-        settled = _signature(before) == _signature(links)
+        small = large.join(lower.hint("shuffle_hash"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links, state = _observed(small.distinct())
         _spark.drop_written(before)
-        if settled:
+        if state == last:
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _signature(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _observed(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written table of `links` with its count and hash sum, both taken while it is written."""
+    seen = Observation()
+    table = _spark.written(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return table, (seen.get["n"], seen.get["s"])
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, whole: bool = True) -> DataFrame:
     """(node, root) of nodes that some bucket and `verify` link, from `members` (bucket, node).
 
     `verify` takes candidate pairs (a, b), a < b, and returns those that are links;
-    `known` (a, b) are links beforehand.
-    First each bucket pairs its smallest node with the others. Then every pair of nodes
-    of one bucket that are still in different components is verified too, so no link
-    within a bucket is lost, while large groups of copies cost one pair a member.
+    `known` (a, b) are links beforehand. Each bucket pairs its smallest and its largest
+    node with all others, so large groups of copies cost two pairs a member. If `whole`,
+    every pair of nodes of one bucket that are then still in different components is
+    verified too, so no link within a bucket is lost; else links among the others are
+    left to the other buckets that they share.
     """
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(partitions, "bucket")
     ends = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
     # Both sides are dealt by bucket already: the join adds no exchange.
-    shared = _spark.written(dealt.join(ends.select("bucket", "first").hint("shuffle_hash"), "bucket").select("bucket", "first", "node"))
-    stars = shared.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = _spark.written(verify(stars).select("a", "b").unionByName(known))
+    shared = _spark.written(dealt.join(ends.hint("shuffle_hash"), "bucket").select("bucket", "first", "last", "node"))
+    stars = shared.select(F.inline(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b"))))).filter("a <> b").distinct()
+    links = _spark.settled(lambda: verify(stars).select("a", "b"))
+    if known is not None:
+        links = links.unionByName(known)
     found = components(links)
+    if not whole:
+        _spark.drop_written(shared)
+        return found
 
     rooted = shared.select("bucket", "node").distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     rest = _spark.written(rooted.join(mixed, "bucket", "left_semi"))
+    if rest.isEmpty():
+        _spark.drop_written(shared, rest)
+        return found
     groups = rest.select("bucket", "root").distinct()
     crossed = groups.select("bucket", F.col("root").alias("ra")).join(groups.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
     left = rest.select("bucket", F.col("node").alias("x"), F.col("root").alias("ra"))
     right = rest.select("bucket", F.col("node").alias("y"), F.col("root").alias("rb"))
     pairs = crossed.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = _spark.written(verify(pairs).select("a", "b"))
-    if more.isEmpty():
-        return found
-    return components(links.unionByName(more))
+    more = _spark.settled(lambda: verify(pairs).select("a", "b"))
+    _spark.drop_written(shared, rest)
+    return found if more.isEmpty() else components(links.unionByName(more))
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
