@@ -45,15 +45,15 @@ def _observed(links: DataFrame) -> tuple[DataFrame, tuple]:
     return table, (seen.get["n"], seen.get["s"])
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, whole: bool = True) -> DataFrame:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, crossing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of nodes that some bucket and `verify` link, from `members` (bucket, node).
 
     `verify` takes candidate pairs (a, b), a < b, and returns those that are links;
     `known` (a, b) are links beforehand. Each bucket pairs its smallest and its largest
-    node with all others, so large groups of copies cost two pairs a member. If `whole`,
-    every pair of nodes of one bucket that are then still in different components is
-    verified too, so no link within a bucket is lost; else links among the others are
-    left to the other buckets that they share.
+    node with all others, so large groups of copies cost two pairs a member. Then every
+    pair of nodes of one bucket that are still in different components is verified too,
+    so no link within a bucket is lost. `crossing` makes these pairs from the rows
+    (bucket, node, root) of such buckets; it may leave out only pairs that are no links.
     """
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(partitions, "bucket")
@@ -65,9 +65,6 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     if known is not None:
         links = links.unionByName(known)
     found = components(links)
-    if not whole:
-        _spark.drop_written(shared)
-        return found
 
     rooted = shared.select("bucket", "node").distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
@@ -75,15 +72,18 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     if rest.isEmpty():
         _spark.drop_written(shared, rest)
         return found
+    more = _spark.settled(lambda: verify((crossing or _crossing)(rest).join(stars, ["a", "b"], "left_anti")).select("a", "b"))
+    _spark.drop_written(shared, rest)
+    return found if more.isEmpty() else components(links.unionByName(more))
+
+
+def _crossing(rest: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes of one bucket with different roots."""
     groups = rest.select("bucket", "root").distinct()
     crossed = groups.select("bucket", F.col("root").alias("ra")).join(groups.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
     left = rest.select("bucket", F.col("node").alias("x"), F.col("root").alias("ra"))
     right = rest.select("bucket", F.col("node").alias("y"), F.col("root").alias("rb"))
-    pairs = crossed.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = _spark.settled(lambda: verify(pairs).select("a", "b"))
-    _spark.drop_written(shared, rest)
-    return found if more.isEmpty() else components(links.unionByName(more))
+    return crossed.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:

@@ -3,10 +3,12 @@
 A line, lower-cased and trimmed, is the set of its 8-character shingles (one shingle
 if it is shorter). Equal lines are one class by a 128-bit digest. A class has a one-
 permutation MinHash of 48 bins, empty bins filled from the next full one, in 12 bands
-of 4; every line of a band's bucket is verified against the bucket's first and last line
-by exact Jaccard similarity of shingles, 0.75 or more, so a bucket costs two pairs a line
-whatever its size. Of every connected component of lines the first occurrence, in order of
-doc_id and line number, stays. Blank lines are no candidates and stay.
+of 4; lines that share a band and have an exact Jaccard similarity of shingles of 0.75 or
+more are linked. Every line of a band's bucket is verified against the bucket's first and
+last line; lines of one bucket that are then still in different components meet by an exact
+prefix join of their shingles, which leaves out only pairs that cannot reach 0.75. Of every
+connected component of lines the first occurrence, in order of doc_id and line number,
+stays. Blank lines are no candidates and stay.
 """
 
 from __future__ import annotations
@@ -45,13 +47,18 @@ def line_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return full[lo[some]], full[hi[some] - 1] + 1, rows[some], numbers[some]
 
 
+def shingle_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each shingle of each line, in order."""
+    counts = np.maximum(ends - starts - WIDTH + 1, 1)
+    line = np.repeat(np.arange(len(starts)), counts)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[line]
+    return line, hasher(at, np.minimum(at + WIDTH, ends[line]))
+
+
 def min_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """uint64 [lines, BINS]: least shingle hash of each bin, empty bins filled by rotation."""
     n = len(starts)
-    counts = np.maximum(ends - starts - WIDTH + 1, 1)
-    line = np.repeat(np.arange(n), counts)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[line]
-    values = hasher(at, np.minimum(at + WIDTH, ends[line]))
+    line, values = shingle_hashes(hasher, starts, ends)
     table = np.full(n * BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
     np.minimum.at(table, line * BINS + ((values >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), values)
     table = table.reshape(n, BINS)
@@ -93,10 +100,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(signed, "doc_id long, line int, node binary, bands array<long>")
 
 
-def similar_lines(docs: DataFrame, places: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Those of `pairs` (a, b) of classes whose lines have a Jaccard similarity of `threshold`; `places` (node, doc_id, line) has one line of each class."""
-    pairs = _spark.written(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, words of `nodes` (node); `places` (node, doc_id, line) has one line of each class."""
     # All lines wanted of a document in one row: bounded by its text.
     wanted = places.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
 
@@ -108,7 +113,87 @@ def similar_lines(docs: DataFrame, places: DataFrame, pairs: DataFrame, threshol
                 found += [(x["node"], lines[x["line"]].strip()) for x in wanted_lines]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], names=["node", "words"])
 
-    texts = _spark.written(_links.by_ids(docs, _spark.written(wanted)).select("text", "wanted").mapInArrow(taken, "node binary, words string"))
+    return _spark.written(_links.by_ids(docs, _spark.written(wanted)).select("text", "wanted").mapInArrow(taken, "node binary, words string"))
+
+
+def _word_shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    points, offsets = _code_points(words)
+    return shingle_hashes(SpanHash(mix(points.astype(np.uint64), 1)), offsets[:-1], offsets[1:] - 1)
+
+
+def crossing_pairs(docs: DataFrame, places: DataFrame, rest: DataFrame, small: int = 16) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket of `rest` (bucket, node, root) with different roots, by a prefix join in buckets of more than `small` nodes.
+
+    In buckets of three nodes or fewer, the pairs with the first and the last node are all pairs.
+    """
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"))
+    sized = _spark.written(rest.join(sizes.filter("n > 3"), "bucket"))
+    few = _links._crossing(sized.filter(F.col("n") <= small))
+    return few.unionByName(prefix_pairs(docs, places, sized.filter(F.col("n") > small))).distinct()
+
+
+def prefix_pairs(docs: DataFrame, places: DataFrame, rest: DataFrame, threshold: float = 0.75, most: int = 50_000) -> DataFrame:
+    """Pairs (a, b) of nodes of `rest` (bucket, node, root) with different roots that may have a similarity of `threshold`.
+
+    In one order of all shingles, frequent ones last, a pair x, y of sizes |x| <= |y| that
+    reaches the threshold t shares one of the first |x| - ceil(2t / (1 + t) |x|) + 1
+    shingles of x and the first |y| - ceil(t |y|) + 1 of y. So lines of one template that
+    differ in rare shingles do not meet. Any order is exact; the `most` frequent shingles
+    that are put last steer cost only.
+    """
+    nodes = _spark.written(rest.select("node", "root").distinct())
+    lines = line_texts(docs, places, nodes.select("node")).join(nodes, "node")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n = np.unique(_word_shingles(batch.column("words").to_pylist())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    counts = lines.select("words").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 10")
+    frequent = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(most).collect()], np.int64).view(np.uint64)
+    by_value = np.argsort(frequent)
+    known, rank = frequent[by_value], len(frequent) - by_value  # the most frequent has the highest rank
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, values = _word_shingles(batch.column("words").to_pylist())
+            late = np.zeros(len(values), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                late = np.where(known[at] == values, rank[at], 0)
+            order = np.lexsort((values, late, line))
+            line, values = line[order], values[order]
+            new = np.ones(len(line), bool)
+            new[1:] = (line[1:] != line[:-1]) | (values[1:] != values[:-1])
+            line, values = line[new], values[new]
+            sizes = np.bincount(line, minlength=batch.num_rows)
+            size = sizes[line]
+            place = np.arange(len(line)) - (np.cumsum(sizes) - sizes)[line]
+            probed = place <= size - np.ceil(threshold * size - 1e-9)
+            low = place <= size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9)
+            take = pa.array(line[probed])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[probed].view(np.int64)), batch.column("node").take(take), batch.column("root").take(take), pa.array(size[probed], pa.int32()), pa.array(place[probed], pa.int32()), pa.array(low[probed])],
+                names=["token", "node", "root", "size", "place", "low"],
+            )
+
+    rows = _spark.written(lines.select("node", "root", "words").mapInArrow(cut, "token long, node binary, root binary, size int, place int, low boolean"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("low").alias("low")).filter("lo <> hi AND low").select("token")
+    rows = _spark.written(rows.join(mixed, "token", "left_semi"))
+    lows = rows.filter("low")
+    span = lambda df, side: df.groupBy("token", "root").agg(F.min("size").alias(f"{side}_lo"), F.max("size").alias(f"{side}_hi")).withColumnRenamed("root", f"{side}_root")
+    crossed = span(lows, "x").join(span(rows, "y"), "token").filter((F.col("x_root") != F.col("y_root")) & (F.col("x_lo") <= F.col("y_hi")) & (F.col("x_hi") >= threshold * F.col("y_lo")))
+    named = lambda df, side: df.select("token", F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("size").alias(f"{side}_size"), (F.col("size") - F.col("place")).alias(f"{side}_left"))
+    both = crossed.select("token", "x_root", "y_root").join(named(lows, "x"), ["token", "x_root"]).join(named(rows, "y"), ["token", "y_root"])
+    # At the first shingle that both have, they can share no more than what is left of either.
+    fit = (F.col("x_size") <= F.col("y_size")) & (F.col("x_size") >= threshold * F.col("y_size")) & (F.least("x_left", "y_left") >= threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9)
+    return both.filter(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def similar_lines(docs: DataFrame, places: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Those of `pairs` (a, b) of classes whose lines have a Jaccard similarity of `threshold`; `places` (node, doc_id, line) has one line of each class."""
+    pairs = _spark.written(pairs)
+    texts = line_texts(docs, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def grams(t: str) -> set[str]:
         return {t[i : i + WIDTH] for i in range(max(len(t) - WIDTH + 1, 1))}
@@ -137,7 +222,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     firsts = _spark.written(classes.groupBy("node").agg(place.alias("at"), F.count("*").alias("n")))
     places = firsts.select("node", "at.doc_id", "at.line")
     members = classes.select(F.explode("bands").alias("bucket"), "node")
-    roots = _spark.written(_links.linked_components(members, lambda pairs: similar_lines(docs, places, pairs), whole=False))
+    roots = _spark.written(_links.linked_components(members, lambda pairs: similar_lines(docs, places, pairs), crossing=lambda rest: crossing_pairs(docs, places, rest)))
     rooted = firsts.join(roots, "node", "left").select("node", "at", "n", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     # Classes that stand alone keep their one line; the others meet the first line of their component.
     keep = rooted.filter("linked").groupBy("root").agg(F.min("at").alias("keep"))
