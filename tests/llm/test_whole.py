@@ -2,7 +2,7 @@
 
 import random
 
-from scriptorium.llm import line_dedup
+from scriptorium.llm import licenses, line_dedup
 
 
 def grams(line):
@@ -30,3 +30,11 @@ def test_hot_template_family_loses_no_link(spark):
     assert len(meeting) > 60
     gone = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_removed"]}
     assert {b for _, b in meeting} <= gone <= {b for _, b in near}
+
+
+def test_license_separators_and_letters_are_free(spark):
+    """Texts whose canonical form is known match, whatever stands between their words."""
+    texts = ["All rights  reserved.", "ALL RIGHTS-RESERVED", "All rights\nreserved.", "This is free and unencumbered software released into the public\ndomain.", "All rights were reserved."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: (r["is_license"], r["licenses"]) for r in licenses.license_scan(docs).collect()}
+    assert rows == {0: (True, "proprietary"), 1: (True, "proprietary"), 2: (True, "proprietary"), 3: (True, "Unlicense"), 4: (False, "")}
