@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # SPDX identifiers and wordings of short licences and notices, as published.
-KNOWN = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -55,6 +55,42 @@ KNOWN = (
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
 )
+_MIT = next(text for name, text in NOTICES if name == "MIT" and len(text) > 500)
+_ISC = next(text for name, text in NOTICES if name == "ISC" and len(text) > 100) + (
+    '\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+)
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_REFERENCE = "\nFor more information, please refer to <{}://unlicense.org{}>"
+
+
+def _bsd(clauses: int, mark: str, holder: str) -> str:
+    """The BSD text of 2 or 3 clauses, numbered or with the list mark `mark`."""
+    conditions = (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    )[:clauses]
+    return "\n".join((
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        *(f"{mark or f'{i}.'} {c}" for i, c in enumerate(conditions, 1)),
+        f'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {holder} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {holder} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ))
+
+
+# Titles that files of these licences carry.
+_TITLED = (
+    ("MIT", ("", "MIT License", "The MIT License", "The MIT License (MIT)"), (_MIT,)),
+    ("ISC", ("", "ISC License", "The ISC License"), (_ISC,)),
+    ("BSD-2-Clause", ("", "BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), tuple(_bsd(2, mark, holder) for mark in ("", "*") for holder in ("HOLDER", "HOLDERS"))),
+    ("BSD-3-Clause", ("", "BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'), tuple(_bsd(3, mark, holder) for mark in ("", "*") for holder in ("HOLDER", "HOLDERS"))),
+    ("Unlicense", ("", "The Unlicense", "Unlicense"), (_UNLICENSE, *(_UNLICENSE + _REFERENCE.format(*x) for x in (("http", "/"), ("https", ""), ("http", ""), ("https", "/"))))),
+)
+#: Whole licence texts with and without title and the sentence that often follows the copyright line.
+TEXTS = tuple((name, f"{title}\n{rights}\n{text}") for name, titles, texts in _TITLED for title in titles for rights in ("", "All rights reserved.") for text in texts)
+KNOWN = NOTICES + TEXTS
 # Equivalent spellings; the first of each pair is read as the second.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyrighted", "copyright"), ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("ver", "version"), ("v", "version"))
 
@@ -120,7 +156,7 @@ def _sql() -> str:
     for pattern, replacement in _RULES:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
     form = f"trim({form}, ' ')"
-    known = ", ".join(f"({quoted(digest)}, {quoted(name)})" for digest, name in sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): n for n, t in KNOWN}.items()))
+    known = ", ".join(f"({quoted(digest)}, {quoted(name)})" for digest, name in sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): n for n, t in NOTICES}.items()))
     return f"""
 WITH known(digest, license) AS (VALUES {known}),
 units AS (SELECT doc_id, -1 AS line, text AS unit FROM documents

@@ -1,6 +1,7 @@
 """Training-data operators where a cut would lose matches."""
 
 import random
+import textwrap
 
 from scriptorium.llm import licenses, line_dedup
 
@@ -38,3 +39,15 @@ def test_license_separators_and_letters_are_free(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r["doc_id"]: (r["is_license"], r["licenses"]) for r in licenses.license_scan(docs).collect()}
     assert rows == {0: (True, "proprietary"), 1: (True, "proprietary"), 2: (True, "proprietary"), 3: (True, "Unlicense"), 4: (False, "")}
+
+
+def test_usual_license_files_are_known(spark):
+    """A LICENSE file with title, copyright line and the wrapped whole text is a licence; one with a changed word is none."""
+    whole = {name: next(t for n, t in licenses.TEXTS if n == name and t.startswith("\n\n")) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")}
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Unlicense": "The Unlicense"}
+    files = [(n, f"{titles[n]}\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n" + "\n".join(textwrap.fill(x, 72) for x in t.strip().split("\n"))) for n, t in whole.items()]
+    files.append(("", files[0][1].replace("sublicense", "lend")))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(files)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["is_license"], r["licenses"]) for r in licenses.license_scan(docs).collect()}
+    assert [rows[i][0] for i in range(len(files))] == [bool(n) for n, _ in files]
+    assert all(n in rows[i][1].split(",") for i, (n, _) in enumerate(files) if n)
