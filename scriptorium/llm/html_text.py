@@ -5,8 +5,9 @@ or id marks as navigation, header, footer, sidebar, notice, advert, form, commen
 script or style are left out with all they contain. What remains is cut into blocks
 at block elements. The first pass classifies blocks by stop-word density, length and
 link density; the second gives ambiguous blocks the class of their nearest decided
-neighbours. Where a page marks its article, blocks inside it start as good and the
-rest as bad unless nothing else is left.
+neighbours. Where a page marks its article, the markup alone makes blocks inside good
+unless they are mostly links; blocks outside go through both passes, and blocks in the
+article do not lend them their label.
 """
 
 from __future__ import annotations
@@ -192,8 +193,8 @@ def classify(blocks: list[Block], has_main: bool, short: int = 60, long: int = 1
         links = b.linked / max(1, len(b.text))
         if links > max_links:
             b.label = "bad"
-        elif has_main:
-            b.label = "good" if b.in_main else "bad"
+        elif b.in_main:
+            b.label = "good"
         elif b.text.startswith(("\xa9", "(c) ")):
             b.label = "bad"
         elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -220,7 +221,10 @@ def classify(blocks: list[Block], has_main: bool, short: int = 60, long: int = 1
         if decided[i] in ("good", "bad"):
             last = decided[i]
     for i, b in enumerate(blocks):
-        if b.label == "neargood":
+        if has_main and not b.in_main and b.label in ("short", "ambiguous", "neargood", "heading"):
+            # Only good blocks outside the article lend their label to others outside it.
+            b.label = "good" if any(outside_good(blocks, decided, i, step) for step in ((1,) if b.label == "heading" else (-1, 1))) else "bad"
+        elif b.label == "neargood":
             b.label = "good" if "good" in (before[i], after[i]) or not has_good(decided) else "bad"
         elif b.label in ("short", "ambiguous"):
             b.label = "good" if before[i] == after[i] == "good" or "good" in (before[i], after[i]) and b.tag in ("p", "li", "blockquote", "td", "pre") else "bad"
@@ -228,6 +232,16 @@ def classify(blocks: list[Block], has_main: bool, short: int = 60, long: int = 1
             b.label = "good" if after[i] == "good" or not has_good(decided) and n > 1 else "bad"
 
 
+def outside_good(blocks: list[Block], decided: list[str], i: int, step: int) -> bool:
+    """Whether the nearest decided block from i in direction `step` is good and outside the article."""
+    i += step
+    while 0 <= i < len(blocks):
+        if decided[i] in ("good", "bad"):
+            return decided[i] == "good" and not blocks[i].in_main
+        i += step
+    return False
+
+
 def has_good(labels: list[str]) -> bool:
     return "good" in labels
 

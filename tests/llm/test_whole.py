@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from scriptorium.llm import licenses, line_dedup
+from scriptorium.llm import html_text, licenses, line_dedup
 
 
 def grams(line):
@@ -51,3 +51,10 @@ def test_usual_license_files_are_known(spark):
     rows = {r["doc_id"]: (r["is_license"], r["licenses"]) for r in licenses.license_scan(docs).collect()}
     assert [rows[i][0] for i in range(len(files))] == [bool(n) for n, _ in files]
     assert all(n in rows[i][1].split(",") for i, (n, _) in enumerate(files) if n)
+
+
+def test_body_outside_a_teaser_article_is_kept():
+    """The text of a page in a plain div is not lost to a related item in an <article>."""
+    body = "This is the text of a page that has many of the words that are used in prose and it goes on for quite a while so that it is long enough to be taken as good text by the rules, which is what we want here to be sure."
+    page = f"<body><div><h1>Title</h1><p>{body}</p><p>Short bit.</p></div><article><h2>Teaser</h2><p>Read this too.</p></article><div>Posted in news</div></body>"
+    assert html_text.main_text(page) == f"Title\n{body}\nShort bit.\nTeaser\nRead this too."
