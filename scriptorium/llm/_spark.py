@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,20 +16,21 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets a temporary one; a cluster is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not (folder := spark.sparkContext.getCheckpointDir()):
-            folder = tempfile.mkdtemp(prefix="scratch-")
-            spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="scratch-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, free: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    Shuffle files of the plan go with the driver's garbage, so that is collected here:
-    else they would stay on the executors' disks for as long as the driver has memory.
+    `free`: shuffle files of large plans go with the driver's garbage, so collect it now;
+    else they stay on the executors' disks for as long as the driver has memory.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -36,8 +38,9 @@ def written(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -1,9 +1,11 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document is the set of hashes of its 5-word shingles. Sets are put into size bands
-such that sets of similarity 3/4 or more lie in one band or in neighbouring ones; the
-Hamming distance of two such sets of at most r elements is at most k = floor(2r/7).
-For its own band and the next, a set emits signatures of parts of the feature domain:
+A document is the set of hashes of its 5-word shingles; equal sets are one class. Sets are
+put into size bands, and a pair of similarity 3/4 or more lies in one band or across the
+boundary of two neighbouring ones. For its band, and for each boundary that a partner of it
+could lie across, a set emits signatures of parts of the feature domain. Two such sets differ
+in at most k features, k being 2/7 of the largest size of a band or of the mean of the two
+largest sizes at a boundary:
 
 - k <= 3: the domain is cut into k + 3 parts, of which at most k differ, and every
   subset of 3 parts is a signature;
@@ -13,9 +15,14 @@ For its own band and the next, a set emits signatures of parts of the feature do
 A part without features says nothing. A set with at most t such parts leaves them out
 and keeps one that agrees; a set with more emits signatures of a fresh partition too,
 as does any set it could match there, and only the last of four partitions keeps empty
-parts. Features found in many sampled documents are left out of the first partition,
-which cannot raise the distance. So similar sets always share a signature, and candidate
-pairs are verified exactly.
+parts. Features found in several sampled documents are left out of the first partition,
+which cannot raise the distance. So similar sets always share a signature.
+
+Signatures travel as packed arrays, dealt by a range of their hash. Sets that share one are
+paired in small buckets; in a large bucket each is paired with a few members, and members that
+are then still in different components are compared block by block. A pair goes to the exact
+check of its whole texts only if sizes and sketches allow it: a sketch holds the parity of
+the features at each of its bits, so that differing bits cannot outnumber differing features.
 """
 
 from __future__ import annotations
@@ -25,148 +32,431 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _links, _spark
-from ._arrays import SpanHash, bounded, list_column, mix, spans, text_buffer
+from ._arrays import SpanHash, bounded, mix, ragged, spans, text_buffer
 
-WIDTH, TIERS = 5, 4
+WIDTH, TIERS, SLACK = 5, 4, 0.3
+#: Buckets of more sets are not paired at once; there each set meets so many members first.
+SMALL, PIVOTS = 24, 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_HOT_BITS = 22
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; of fewer than 5 words, one hash of them all; empty without words."""
+def _tops() -> np.ndarray:
+    """Largest sizes of the bands; each is at least 4/3 of the one before."""
+    tops = [1]
+    while tops[-1] < 1 << 40:
+        tops.append(max(tops[-1] + 1, tops[-1] * 17 // 10))
+    return np.array(tops)
+
+
+_TOPS = _tops()
+
+
+def feature_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features, offsets): the sorted distinct shingle hashes of each text; of fewer than 5 words, one hash of them all; none without words."""
     data, offsets = text_buffer(column)
     data = _LOWER[data]
     starts, ends, rows = spans(~_SPACE[data], offsets)
     words = SpanHash.of_bytes(data)(starts, ends)
-    bounds = np.searchsorted(rows, np.arange(len(offsets)))
-    grams = SpanHash(words)
-    at = np.arange(max(len(words) - WIDTH + 1, 0))
-    wide = grams(at, at + WIDTH)
-    out = []
+    first = np.searchsorted(rows, np.arange(len(offsets)))
+    n_words = np.diff(first)
+    counts = np.where(n_words >= WIDTH, n_words - WIDTH + 1, np.minimum(n_words, 1))
+    at = ragged(first[:-1], counts)
+    row = np.repeat(np.arange(len(counts)), counts)
+    found = SpanHash(words)(at, at + np.minimum(WIDTH, n_words)[row])
+    bounds = np.concatenate(([0], np.cumsum(counts)))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= WIDTH:
-            out.append(np.unique(wide[a : b - WIDTH + 1]))
-        elif b > a:
-            out.append(grams(np.array([a]), np.array([b])))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+    return found[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(counts)))))
 
 
-def size_band(size: int) -> tuple[int, int]:
-    """Largest sizes of the band of `size` and of the next band."""
-    last = 1
-    while last < size:
-        last = (last + 1) * 4 // 3
-    return last, (last + 1) * 4 // 3
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sets of `feature_sets`, one array each."""
+    features, offsets = feature_sets(column)
+    return np.split(features, offsets[1:-1])
+
+
+def digests(features: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit digest of each set: the sum of its mixed features."""
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(features, seed))))
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def sketches(features: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each set, the parities of its features at each bit; as many bits as a power of two of 4 times its size, 64 at least."""
+    sizes = np.diff(offsets)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(bits)))
+    place = np.repeat(base[:-1], sizes) + (mix(features, 17) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch brought down to `size` bytes by adding parities of bits that come together; still a lower bound."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), 0)
+
+
+def hot_table(hot: np.ndarray) -> np.ndarray:
+    """Marks of the leading bits of frequent features; a feature that shares them with one counts as frequent too."""
+    table = np.zeros(1 << _HOT_BITS, bool)
+    table[(hot >> np.uint64(64 - _HOT_BITS)).astype(np.int64)] = True
+    return table
+
+
+def set_signatures(features: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, signature) of all sets under their band and boundaries; `hot` is a `hot_table`."""
+    sizes = np.diff(offsets)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    band = np.searchsorted(_TOPS, sizes)
+    top, below = _TOPS[band], np.where(band > 0, _TOPS[band - 1], 0)
+    cool = ~hot[(features >> np.uint64(64 - _HOT_BITS)).astype(np.int64)] if hot is not None else np.ones(len(features), bool)
+    out_rows, out = [], []
+    for label, k, who in (
+        (2 * band, 2 * top // 7, sizes > 0),
+        (2 * band + 1, (top + 4 * top // 3) // 7, (sizes > 0) & (4 * sizes >= 3 * (top + 1))),
+        (2 * band - 1, (below + 4 * below // 3) // 7, (sizes > 0) & (3 * sizes <= 4 * below)),
+    ):
+        slack = np.where(k <= 3, 0, np.ceil(SLACK * (k + 1)).astype(np.int64))
+        parts = np.where(k <= 3, k + 3, k + 1 + slack)
+        active = who
+        for tier in range(TIERS):
+            if not active.any():
+                break
+            used = active[rows] & cool if tier == 0 else active[rows]
+            row, f = rows[used], features[used]
+            base = np.concatenate(([0], np.cumsum(np.where(active, parts, 0))))
+            part = ((mix(f, 2 * tier + 1) >> np.uint64(32)) * parts[row].astype(np.uint64)) >> np.uint64(32)
+            sums = np.zeros(base[-1], np.uint64)
+            np.add.at(sums, base[row] + part.astype(np.int64), mix(f, 2 * tier + 2))
+            silent = np.zeros(len(sizes), np.int64)
+
+            def emit(of: np.ndarray, place: np.ndarray, content: np.ndarray, says: np.ndarray) -> None:
+                silent[:] += np.bincount(of[~says], minlength=len(sizes))
+                keep = says if tier < TIERS - 1 else np.ones(len(says), bool)
+                tag = (label[of[keep]].astype(np.uint64) * np.uint64(TIERS) + np.uint64(tier) << np.uint64(40)) | place[keep].astype(np.uint64)
+                out_rows.append(of[keep])
+                out.append(mix(content[keep] ^ mix(tag)))
+
+            wide = np.flatnonzero(active & (k > 3))
+            if len(wide):
+                cells = ragged(base[wide], parts[wide])
+                of = np.repeat(wide, parts[wide])
+                emit(of, cells - base[of], sums[cells], sums[cells] != 0)
+            for few in range(4):
+                if len(some := np.flatnonzero(active & (k == few))):
+                    subsets = np.array(list(combinations(range(few + 3), 3)))
+                    cells = sums[base[some][:, None] + np.arange(few + 3)]
+                    content = mix(cells)[:, subsets].sum(2, dtype=np.uint64)
+                    emit(np.repeat(some, len(subsets)), np.tile(np.arange(len(subsets)), len(some)), content.ravel(), (cells != 0)[:, subsets].any(2).ravel())
+            active = active & (silent > slack)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(out_rows), np.concatenate(out)
 
 
 def signatures(features: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
-    """Signature hashes of one set under both of its bands."""
-    if not len(features):
-        return features
-    out = []
-    for last in size_band(len(features)):
-        k = 2 * last // 7
-        for tier in range(TIERS):
-            used = features
-            if tier == 0 and hot is not None and len(hot):
-                used = features[~np.isin(features, hot, assume_unique=True)]
-            parts = k + 3 if k <= 3 else k + 1 + (k + 1) // 4
-            part = (mix(used, 2 * tier + 1) % np.uint64(parts)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, part, mix(used, 2 * tier + 2))
-            filled = np.bincount(part, minlength=parts) > 0
-            if k <= 3:
-                subsets = np.array(list(combinations(range(parts), 3)))
-                content, says, slack = mix(sums)[subsets].sum(1, dtype=np.uint64), filled[subsets].any(1), 0
-            else:
-                content, says, slack = sums, filled, (k + 1) // 4
-            label = np.arange(len(content), dtype=np.uint64) + np.uint64((last * TIERS + tier) << 24)
-            found = mix(content ^ mix(label))
-            enough = int((~says).sum()) <= slack
-            out.append(found if tier == TIERS - 1 else found[says])
-            if enough:
-                break
-    return np.concatenate(out)
+    """The signatures of one set; `hot` are frequent features."""
+    return set_signatures(features, np.array([0, len(features)]), None if hot is None else hot_table(hot))[1]
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set; null if it is empty)."""
+    """doc_id, n_shingles, d1, d2 (digest of the set; null if it is empty), sketch."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 500_000):
-            sets = shingle_sets(batch.column("text"))
-            digest = [[int(mix(x, seed).sum(dtype=np.uint64).astype(np.int64)) if len(x) else None for x in sets] for seed in (11, 12)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(d, pa.int64()) for d in digest)], names=["doc_id", "n_shingles", "d1", "d2"])
+        for batch in bounded(batches, "text", 1_000_000):
+            features, offsets = feature_sets(batch.column("text"))
+            sizes = np.diff(offsets)
+            digest = [pa.array(digests(features, offsets, seed).view(np.int64), mask=sizes == 0) for seed in (11, 12)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *digest, pa.array(sketches(features, offsets), pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return docs.mapInArrow(measured, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(measured, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
-def frequent_features(docs: DataFrame, sample_rows: int, share: float) -> np.ndarray:
-    """Sorted features of at least `share` of `sample_rows` documents, chosen by a hash of doc_id.
+def frequent_features(docs: DataFrame, sample_rows: int, least: int) -> np.ndarray:
+    """The `hot_table` of features of `least` or more of `sample_rows` documents, chosen by a hash of doc_id.
 
-    At most (mean set size / share) features; a guess here costs time, never links.
+    A guess here costs time, never links. The table has a fixed size.
     """
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 500_000):
-            found, counts = np.unique(np.concatenate([*shingle_sets(batch.column("text")), np.zeros(0, np.uint64)]), return_counts=True)
+        for batch in bounded(batches, "text", 1_000_000):
+            found, counts = np.unique(feature_sets(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["feature", "n"])
 
-    least = max(2, int(share * sample_rows))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(exploded, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("feature").collect()
-    return np.sort(np.array([r["feature"] for r in rows], np.int64).view(np.uint64))
-
-
-def _signature_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(bucket, node): every signature of the first document of each distinct text of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    prefix = F.shiftrightunsigned("feature", 64 - _HOT_BITS).alias("prefix")
+    often = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(exploded, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    table = np.zeros(1 << _HOT_BITS, bool)
+    table[[r["prefix"] for r in often.select(prefix).distinct().collect()]] = True
+    return table
+
+
+def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int = 2_000_000) -> DataFrame:
+    """part, nodes, counts, sigs: signatures of the distinct sets of a task in packed arrays, `held` at once; a node is the digest d1."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
+
+    def packed(nodes: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, sig = np.concatenate(nodes), np.concatenate(sigs)
+        part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.lexsort((node, part))
+        node, sig, part = node[order], sig[order].astype(np.uint32), part[order]
+        head = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]))))
+        counts = np.diff(np.append(head, len(node))).astype(np.uint32)
+        filled, at = np.unique(part[head], return_index=True)
+        runs, cells = np.append(at, len(head)), np.append(head[at], len(node))
+        cut = lambda x, edges: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+        for i in range(0, len(filled), 500):
+            j = min(i + 500, len(filled))
+            yield pa.RecordBatch.from_arrays([pa.array(filled[i:j].astype(np.int32)), cut(node[head], runs[i : j + 1]), cut(counts, runs[i : j + 1]), cut(sig, cells[i : j + 1])], names=["part", "nodes", "counts", "sigs"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # 16 bytes a document of this task
-        for batch in bounded(batches, "text", 500_000):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            buckets, nodes = [], []
-            for doc_id, features in zip(ids, shingle_sets(batch.column("text")), strict=True):
-                key = mix(features, 11).sum(dtype=np.uint64).tobytes() + mix(features, 12).sum(dtype=np.uint64).tobytes()
-                if len(features) and key not in seen:
+        table = np.unpackbits(shared.value).astype(bool)
+        seen: set[bytes] = set()  # 16 bytes a distinct set of this task
+        nodes, sigs, total = [], [], 0
+        for batch in bounded(batches, "text", 1_000_000):
+            features, offsets = feature_sets(batch.column("text"))
+            both = np.stack([digests(features, offsets, seed) for seed in (11, 12)], 1)
+            keys = [x.tobytes() for x in both]
+            fresh = []
+            for i, key in enumerate(keys):
+                if key not in seen and offsets[i + 1] - offsets[i] > 2:  # only equal sets are similar to smaller ones
                     seen.add(key)
-                    buckets.append(signatures(features, shared.value))
-                    nodes.append(np.full(len(buckets[-1]), doc_id, np.int64))
-            if buckets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(nodes))], names=["bucket", "node"])
-
-    return docs.mapInArrow(signed, "bucket long, node long")
+                    fresh.append(i)
+            if not fresh:
+                continue
+            sizes = np.diff(offsets)[fresh]
+            row, sig = set_signatures(features[ragged(offsets[fresh], sizes)], np.concatenate(([0], np.cumsum(sizes))), table)
+            nodes.append(both[fresh, 0][row])
+            sigs.append(sig)
+            total += len(sig)
+            if total >= held:
+                yield from packed(nodes, sigs)
+                nodes, sigs, total = [], [], 0
+        if total:
+            yield from packed(nodes, sigs)
+
+    return docs.select("text").mapInArrow(signed, "part int, nodes binary, counts binary, sigs binary")
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def bucket_pairs(node: np.ndarray, sig: np.ndarray, small: int = SMALL, pivots: int = PIVOTS) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """((a, b), (group, node)) of the nodes that share a signature.
+
+    A bucket of at most `small` nodes gives all its pairs; a larger one the pairs with
+    `pivots` of its nodes, of smallest hash, and its members under a digest of them all.
+    """
+    none = np.zeros(0, np.uint64)
+    order = np.argsort(sig)
+    sig, node = sig[order], node[order]
+    same = sig[1:] == sig[:-1]
+    shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(sig) else np.zeros(0, bool)
+    sig, node = _distinct_pairs(sig[shared], node[shared])
+    if not len(sig):
+        return (none, none), (none, none)
+    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(head, len(sig)))
+    left, right, groups, members = [none], [none], [none], [none]
+    for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
+        cells = node[head[size == m][:, None] + np.arange(m)]
+        cells = cells[np.unique(mix(cells, m).sum(1, dtype=np.uint64), return_index=True)[1]]  # each set of members once
+        i, j = np.triu_indices(m, 1)
+        x, y = _distinct_pairs(cells[:, i].ravel(), cells[:, j].ravel())
+        left.append(x)
+        right.append(y)
+    known: set[int] = set()
+    for a, m in zip(head[size > small].tolist(), size[size > small].tolist(), strict=True):
+        some = node[a : a + m]
+        group = int(mix(some, 5).sum(dtype=np.uint64))
+        if group not in known:
+            known.add(group)
+            first = some[np.argsort(mix(some, 6))[:pivots]]
+            x, y = np.repeat(first, m), np.tile(some, len(first))
+            left.append(np.minimum(x, y)[x != y])
+            right.append(np.maximum(x, y)[x != y])
+            groups.append(np.full(m, group, np.uint64))
+            members.append(some)
+    return _distinct_pairs(np.concatenate(left), np.concatenate(right)), (np.concatenate(groups), np.concatenate(members))
+
+
+def _shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
+    """(a, b) pairs, g null, and (g, a) members of large buckets, b null. A task holds the signatures of its parts of the hash range, no texts."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, nodes, counts, sigs in zip(*(batch.column(c).to_pylist() for c in ("part", "nodes", "counts", "sigs")), strict=True):
+                held.setdefault(part, []).append((nodes, counts, sigs))
+        for part in list(held):
+            rows = held.pop(part)
+            node, count, sig = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows, strict=True), (np.uint64, np.uint32, np.uint32), strict=True))
+            (a, b), (g, member) = bucket_pairs(np.repeat(node, count), sig)
+            blank = lambda n: pa.nulls(n, pa.int64())
+            whole = lambda x: pa.array(x.view(np.int64))
+            for i in range(0, len(a), 100_000):
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([blank(len(x)), whole(x), whole(y)], names=["g", "a", "b"])
+            for i in range(0, len(g), 100_000):
+                x, y = g[i : i + 100_000], member[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([whole(x), whole(y), blank(len(x))], names=["g", "a", "b"])
+
+    return packed.repartition(parts, "part").mapInArrow(met, "g long, a long, b long")
+
+
+def plausible_pairs(pairs: DataFrame) -> DataFrame:
+    """Of `pairs` (a, b, na, nb, sa, sb; sizes and sketches) those (a, b) whose sizes and sketches allow a similarity of 3/4."""
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                size = min(len(sa), len(sb))
+                differ = int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum())
+                keep.append(7 * differ <= na + nb)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    fit = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
+    return pairs.filter(fit).mapInArrow(tested, "a long, b long")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) with 100 * intersection >= 75 * union, and both counts."""
+    """Those of `pairs` (a, b) with 100 * intersection >= 75 * union, and both counts; whole texts travel compressed."""
     pairs = _spark.written(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 500_000):
-            found = shingle_sets(batch.column("text"))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(np.concatenate(found).view(np.int64), offsets, pa.int64())], names=["doc_id", "features"])
-
-    sets = _spark.written(_links.by_ids(docs, ids).select("doc_id", "text").mapInArrow(gathered, "doc_id long, features array<long>"))
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
-    both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-    common = F.size(F.array_intersect("fa", "fb")).cast("long")
-    counted = both.select("a", "b", common.alias("common"), (F.size("fa") + F.size("fb")).cast("long").alias("sizes"))
-    return counted.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("union_size")).filter("common > 0 AND 100 * common >= 75 * union_size")
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in bounded(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        last, one = None, None
+        for batch in batches:
+            common, union = [], []
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
+                if (a, x) != last:  # rows come by a
+                    last, one = (a, x), feature_sets(pa.array([unpack(x).decode()]))[0]
+                two = feature_sets(pa.array([unpack(y).decode()]))[0]
+                common.append(len(np.intersect1d(one, two, assume_unique=True)))
+                union.append(len(one) + len(two) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union_size"])
+
+    texts = _spark.written(_links.by_ids(docs.select("doc_id", "text"), ids).mapInArrow(compressed, "doc_id long, packed binary"))
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(counted, "a long, b long, common long, union_size long").filter("common > 0 AND 100 * common >= 75 * union_size").distinct()
+
+
+def _crossing(groups: DataFrame, classes: DataFrame, roots: DataFrame, block: int = 1024) -> DataFrame:
+    """Plausible pairs (a, b) of classes of one group with different roots, from `groups` (g, node), compared in blocks of about `block` members.
+
+    Sketches meet within a task; only pairs that sizes and sketches allow are rows.
+    """
+    rooted = groups.join(classes.select(F.col("d1").alias("node"), "class_id"), "node").join(roots, F.col("class_id") == F.col("node_id"), "left").select("g", "class_id", F.coalesce("root", "class_id").alias("root")).distinct()
+    mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    rest = _spark.written(rooted.join(mixed, "g"))
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rest.select("g", "class_id", "root", own.alias("own"), other.alias("other")).select("g", "class_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    known = classes.select("class_id", "n_shingles", "sketch").distinct()
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = dealt.join(known, "class_id").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "class_id")
+
+    def compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        step = max(1, 4_000_000 // max(1, y["sketch"].size))
+        out = []
+        for at in range(0, len(x["id"]), step):
+            one = slice(at, at + step)
+            differ = np.bitwise_count(x["sketch"][one][:, None] ^ y["sketch"][None]).sum(2, dtype=np.int64)
+            na, nb = x["n"][one][:, None], y["n"][None]
+            i, j = np.nonzero((7 * differ <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (x["root"][one][:, None] != y["root"][None]))
+            out.append((x["id"][one][i], y["id"][j]))
+        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def block_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        size = min(len(r[6]) for r in rows)
+        sides = []
+        for side in sorted({r[3] for r in rows}):
+            mine = [r for r in rows if r[3] == side]
+            sides.append({"id": np.array([r[1] for r in mine]), "root": np.array([r[2] for r in mine]), "n": np.array([r[5] for r in mine]), "sketch": np.stack([folded(r[6], size) for r in mine])})
+        if rows[0][4] != rows[0][7] and len(sides) < 2:  # two blocks of which one is empty
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = compare(sides[0], sides[-1])
+        return a[a < b], b[a < b]
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, left, right = None, [], [], []
+
+        def flush() -> None:
+            if held:
+                a, b = block_pairs(held)
+                left.append(a)
+                right.append(b)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "class_id", "root", "own", "i", "n_shingles", "sketch", "j")), strict=True):
+                if (row[0], row[4], row[7]) != key:
+                    flush()
+                    key, held = (row[0], row[4], row[7]), []
+                    if sum(map(len, left)) > 500_000:
+                        a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
+                        left, right = [], []
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held.append(row)
+        flush()
+        if left:
+            a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    out = sketched.select("g", "class_id", "root", "own", "i", "n_shingles", "sketch", "j").mapInArrow(blocked, "a long, b long").distinct()
+    out = _spark.written(out)
+    _spark.drop_written(rest)
+    return out
 
 
-def near_duplicates(docs: DataFrame, sample_rows: int = 8000, hot_share: float = 0.0025) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, sample_rows: int = 8000, hot_count: int = 2) -> DataFrame:
+    """Links (a, b) that connect the similar ones of `classes` (class_id, n_shingles, d1, sketch); see the module."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _spark.written(_shared_signatures(_packed_signatures(docs, frequent_features(docs, sample_rows, hot_count), parts), parts), free=True)
+    side = lambda x, d: classes.select(F.col("d1").alias(d), F.col("class_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    nodes = met.filter("g IS NULL").select(F.col("a").alias("da"), F.col("b").alias("db")).distinct()
+    pairs = nodes.join(side("x", "da"), "da").join(side("y", "db"), "db")
+    swap = F.col("x") <= F.col("y")
+    pick = lambda one, two, name: F.when(swap, F.col(one)).otherwise(F.col(two)).alias(name)
+    pairs = pairs.filter("x <> y").select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("sx", "sy", "sa"), pick("sy", "sx", "sb"))
+    tried = _spark.written(plausible_pairs(pairs).distinct(), free=True)
+    links = _spark.settled(lambda: similar_pairs(docs, tried).select("a", "b"))
+    groups = _spark.written(met.filter("g IS NOT NULL").select("g", F.col("a").alias("node")).distinct())
+    _spark.drop_written(met)
+    if not groups.isEmpty():
+        roots = _links.components(links)
+        crossing = _crossing(groups, classes, roots.withColumnRenamed("node", "node_id"))
+        more = _spark.settled(lambda: similar_pairs(docs, crossing.join(tried, ["a", "b"], "left_anti")).select("a", "b"))
+        links = links.unionByName(more)
+    _spark.drop_written(groups, tried)
+    return links
+
+
+def near_duplicates(docs: DataFrame, sample_rows: int = 8000, hot_count: int = 2) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with an equal set), component_id (smallest reachable).
 
     Null, empty and blank texts have an empty set, class and component their own id;
@@ -175,25 +465,18 @@ def near_duplicates(docs: DataFrame, sample_rows: int = 8000, hot_share: float =
     an empty table gives no rows. Only doc_id and text are read, texts whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = _spark.written(document_sets(docs))
     named = docs.filter("doc_id IS NOT NULL")
-    classes = sets.filter("d1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    of_class = sets.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-    of_class = _spark.written(of_class)
-    known = of_class.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    same = of_class.filter("class_id < doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        # Documents with equal sets stand behind their class; equal classes need no look at texts.
-        left = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("class_id").alias("ca")), "a")
-        both = left.join(known.select(F.col("doc_id").alias("b"), F.col("class_id").alias("cb")), "b").filter("ca <> cb")
-        return similar_pairs(named, both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-
-    members = _signature_rows(named, frequent_features(named, sample_rows, hot_share))
-    roots = _links.linked_components(members, verify, same)
-    return of_class.join(roots, of_class["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-
-
+    sets = _spark.written(document_sets(docs))
+    firsts = sets.filter("d1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    of_class = _spark.written(sets.join(firsts, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "d1", F.when(F.col("class_id") == F.col("doc_id"), F.col("sketch")).alias("sketch")), free=True)
+    _spark.drop_written(sets)
+    classes = of_class.filter("sketch IS NOT NULL").select("class_id", "n_shingles", "d1", "sketch")
+    links = similar_links(named, classes, sample_rows, hot_count)
+    # A doc_id with several texts links their classes.
+    several = of_class.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("hi")).filter("a <> hi").select("doc_id", "a")
+    own = of_class.select("doc_id", F.col("class_id").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b")
+    roots = _links.components(links.unionByName(own))
+    return of_class.join(roots, of_class["class_id"] == roots["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose document is the smallest doc_id of its component, with their columns."""
     gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
