@@ -1,18 +1,195 @@
-"""Buckets, verified links and connected components of documents or lines.
+"""Buckets, candidate pairs and connected components of documents or lines.
 
-Nothing here gathers links or components to the driver, and no step needs the
-members of one bucket or component in one task: minima are pre-aggregated and joins
-are those that Spark can split where a key is hot.
+Nothing here gathers links or components to the driver, and no step needs the members
+of one component in one task. Signatures of a task travel in packed arrays, dealt by a
+range of their hash; members of a large bucket are compared block by block, where only
+pairs that sizes and sketches allow become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import _spark
+from ._arrays import mix
+
+#: Columns of packed signatures: the part of the hash range, nodes, signatures of each node, signatures.
+PACKED = "part int, nodes binary, counts binary, sigs binary"
+
+
+def packed_rows(node: np.ndarray, sig: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """PACKED rows of (node, signature) pairs, one row a part; a signature keeps its 32 lower bits within the part."""
+    part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.lexsort((node, part))
+    node, sig, part = node[order], sig[order].astype(np.uint32), part[order]
+    head = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]))))
+    counts = np.diff(np.append(head, len(node))).astype(np.uint32)
+    filled, at = np.unique(part[head], return_index=True)
+    runs, cells = np.append(at, len(head)), np.append(head[at], len(node))
+    cut = lambda x, edges: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+    for i in range(0, len(filled), 500):
+        j = min(i + 500, len(filled))
+        yield pa.RecordBatch.from_arrays([pa.array(filled[i:j].astype(np.int32)), cut(node[head], runs[i : j + 1]), cut(counts, runs[i : j + 1]), cut(sig, cells[i : j + 1])], names=["part", "nodes", "counts", "sigs"])
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def bucket_pairs(node: np.ndarray, sig: np.ndarray, small: int, pivots: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """((a, b), (group, node)) of the nodes that share a signature.
+
+    A bucket of at most `small` nodes gives all its pairs; a larger one the pairs with
+    `pivots` of its nodes, of smallest hash, and its members under a digest of them all.
+    """
+    none = np.zeros(0, np.uint64)
+    order = np.argsort(sig)
+    sig, node = sig[order], node[order]
+    same = sig[1:] == sig[:-1]
+    shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(sig) else np.zeros(0, bool)
+    sig, node = distinct_pairs(sig[shared], node[shared])
+    if not len(sig):
+        return (none, none), (none, none)
+    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(head, len(sig)))
+    left, right, groups, members = [none], [none], [none], [none]
+    for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
+        cells = node[head[size == m][:, None] + np.arange(m)]
+        cells = cells[np.unique(mix(cells, m).sum(1, dtype=np.uint64), return_index=True)[1]]  # each set of members once
+        i, j = np.triu_indices(m, 1)
+        x, y = distinct_pairs(cells[:, i].ravel(), cells[:, j].ravel())
+        left.append(x)
+        right.append(y)
+    known: set[int] = set()
+    for a, m in zip(head[size > small].tolist(), size[size > small].tolist(), strict=True):
+        some = node[a : a + m]
+        group = int(mix(some, 5).sum(dtype=np.uint64))
+        if group not in known:
+            known.add(group)
+            first = some[np.argsort(mix(some, 6))[:pivots]]
+            x, y = np.repeat(first, m), np.tile(some, len(first))
+            left.append(np.minimum(x, y)[x != y])
+            right.append(np.maximum(x, y)[x != y])
+            groups.append(np.full(m, group, np.uint64))
+            members.append(some)
+    return distinct_pairs(np.concatenate(left), np.concatenate(right)), (np.concatenate(groups), np.concatenate(members))
+
+
+def met(packed: DataFrame, parts: int, small: int, pivots: int) -> DataFrame:
+    """(a, b) pairs, g null, and (g, a) members of large buckets, b null. A task holds the signatures of its parts of the hash range, no texts."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, nodes, counts, sigs in zip(*(batch.column(c).to_pylist() for c in ("part", "nodes", "counts", "sigs")), strict=True):
+                held.setdefault(part, []).append((nodes, counts, sigs))
+        for part in list(held):
+            rows = held.pop(part)
+            node, count, sig = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows, strict=True), (np.uint64, np.uint32, np.uint32), strict=True))
+            (a, b), (g, member) = bucket_pairs(np.repeat(node, count), sig, small, pivots)
+            blank = lambda n: pa.nulls(n, pa.int64())
+            whole = lambda x: pa.array(x.view(np.int64))
+            for i in range(0, len(a), 100_000):
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([blank(len(x)), whole(x), whole(y)], names=["g", "a", "b"])
+            for i in range(0, len(g), 100_000):
+                x, y = g[i : i + 100_000], member[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([whole(x), whole(y), blank(len(x))], names=["g", "a", "b"])
+
+    return packed.repartition(parts, "part").mapInArrow(meet, "g long, a long, b long")
+
+
+def sketches(features: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each set, the parities of its features at each bit; as many bits as a power of two of 4 times its size, 64 at least."""
+    sizes = np.diff(offsets)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(bits)))
+    place = np.repeat(base[:-1], sizes) + (mix(features, 17) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch brought down to `size` bytes by adding parities of bits that come together; still a lower bound."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), 0)
+
+
+def mixed_members(groups: DataFrame, roots: DataFrame, block: int = 1024) -> DataFrame:
+    """(g, node, root, blocks), written, of those `groups` (g, node) whose nodes have several roots in `roots` (node, root; others stand alone)."""
+    rooted = groups.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    return _spark.written(rooted.join(several, "g"))
+
+
+def crossing_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of nodes of one group of `mixed_members` with different roots; `known` has node, size, sketch.
+
+    A group is cut into blocks, and a task compares the sketches of two blocks. Only
+    pairs that sizes and sketches allow are rows, each once a task.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = mixed.select("g", "node", "root", own.alias("own"), other.alias("other")).select("g", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = dealt.join(known, "node").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+
+    def compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        step = max(1, 4_000_000 // max(1, y["sketch"].size))
+        out = []
+        for at in range(0, len(x["id"]), step):
+            one = slice(at, at + step)
+            differ = np.bitwise_count(x["sketch"][one][:, None] ^ y["sketch"][None]).sum(2, dtype=np.int64)
+            na, nb = x["n"][one][:, None], y["n"][None]
+            i, j = np.nonzero((7 * differ <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (x["root"][one][:, None] != y["root"][None]))
+            out.append((x["id"][one][i], y["id"][j]))
+        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def block_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        size = min(len(r[6]) for r in rows)
+        sides = []
+        for side in sorted({r[3] for r in rows}):
+            mine = [r for r in rows if r[3] == side]
+            sides.append({"id": np.array([r[1] for r in mine]), "root": np.array([r[2] for r in mine]), "n": np.array([r[5] for r in mine]), "sketch": np.stack([folded(r[6], size) for r in mine])})
+        if rows[0][4] != rows[0][7] and len(sides) < 2:  # two blocks of which one is empty
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = compare(sides[0], sides[-1])
+        return a[a < b], b[a < b]
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, left, right = None, [], [], []
+
+        def flush() -> None:
+            if held:
+                a, b = block_pairs(held)
+                left.append(a)
+                right.append(b)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "root", "own", "i", "size", "sketch", "j")), strict=True):
+                if (row[0], row[4], row[7]) != key:
+                    flush()
+                    key, held = (row[0], row[4], row[7]), []
+                    if sum(map(len, left)) > 500_000:
+                        a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
+                        left, right = [], []
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held.append(row)
+        flush()
+        if left:
+            a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return sketched.select("g", "node", "root", "own", "i", "size", "sketch", "j").mapInArrow(blocked, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,47 +222,6 @@ def _observed(links: DataFrame) -> tuple[DataFrame, tuple]:
     return table, (seen.get["n"], seen.get["s"])
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, crossing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) of nodes that some bucket and `verify` link, from `members` (bucket, node).
-
-    `verify` takes candidate pairs (a, b), a < b, and returns those that are links;
-    `known` (a, b) are links beforehand. Each bucket pairs its smallest and its largest
-    node with all others, so large groups of copies cost two pairs a member. Then every
-    pair of nodes of one bucket that are still in different components is verified too,
-    so no link within a bucket is lost. `crossing` makes these pairs from the rows
-    (bucket, node, root) of such buckets; it may leave out only pairs that are no links.
-    """
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(partitions, "bucket")
-    ends = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    # Both sides are dealt by bucket already: the join adds no exchange.
-    shared = _spark.written(dealt.join(ends.hint("shuffle_hash"), "bucket").select("bucket", "first", "last", "node"))
-    stars = shared.select(F.inline(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b"))))).filter("a <> b").distinct()
-    links = _spark.settled(lambda: verify(stars).select("a", "b"))
-    if known is not None:
-        links = links.unionByName(known)
-    found = components(links)
-
-    rooted = shared.select("bucket", "node").distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = _spark.written(rooted.join(mixed, "bucket", "left_semi"))
-    if rest.isEmpty():
-        _spark.drop_written(shared, rest)
-        return found
-    more = _spark.settled(lambda: verify((crossing or _crossing)(rest).join(stars, ["a", "b"], "left_anti")).select("a", "b"))
-    _spark.drop_written(shared, rest)
-    return found if more.isEmpty() else components(links.unionByName(more))
-
-
-def _crossing(rest: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes of one bucket with different roots."""
-    groups = rest.select("bucket", "root").distinct()
-    crossed = groups.select("bucket", F.col("root").alias("ra")).join(groups.select("bucket", F.col("root").alias("rb")), "bucket").filter("ra < rb")
-    left = rest.select("bucket", F.col("node").alias("x"), F.col("root").alias("ra"))
-    right = rest.select("bucket", F.col("node").alias("y"), F.col("root").alias("rb"))
-    return crossed.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def by_ids(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
     """Rows of `docs` whose doc_id is in `ids`; broadcasts the ids only where a count shows at most `most`."""
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id")

@@ -1,12 +1,12 @@
 """Fuzzy line deduplication by MinHash.
 
 A line, lower-cased and trimmed, is the set of its 8-character shingles (one shingle
-if it is shorter). Equal lines are one class by a 128-bit digest. A class has a one-
-permutation MinHash of 48 bins, empty bins filled from the next full one, in 12 bands
-of 4; lines that share a band and have an exact Jaccard similarity of shingles of 0.75 or
-more are linked. Every line of a band's bucket is verified against the bucket's first and
-last line; lines of one bucket that are then still in different components meet by an exact
-prefix join of their shingles, which leaves out only pairs that cannot reach 0.75. Of every
+if it is shorter). Equal lines are one class. A class has a one-permutation MinHash of 48
+bins, empty bins filled from the next full one, in 12 bands of 4; lines that share a band
+and have an exact Jaccard similarity of shingles of 0.75 or more are linked, and no pair
+of lines that shares a band is left out: small buckets are paired, in larger ones each line
+meets two of its members, and members that are then in different components are compared
+by sketches of their shingles, block by block; what these allow is verified. Of every
 connected component of lines the first occurrence, in order of doc_id and line number,
 stays. Blank lines are no candidates and stay.
 """
@@ -25,6 +25,9 @@ from ._arrays import SpanHash, bounded, list_column, mix
 
 WIDTH, BANDS, ROWS = 8, 12, 4
 BINS = BANDS * ROWS
+#: Buckets of more lines are not paired at once; there each line meets so many members first.
+SMALL, PIVOTS = 4, 2
+_LINES = "doc_id long, tk long, line int, n1 long, n2 long, " + _links.PACKED
 
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,176 +76,213 @@ def min_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return table
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, line, node (16-byte digest), bands (of the first of equal lines in a batch, else empty)."""
+class _Lines:
+    """Lines of a column of texts: row and number of each, two digests, the first of equal lines and the bands of those."""
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 2_000_000):
-            points, offsets = _code_points([t or "" for t in batch.column("text").to_pylist()])
-            starts, ends, rows, numbers = line_spans(points, offsets)
-            symbols = points.astype(np.uint64)
-            hasher = SpanHash(mix(symbols, 1))
-            digest = np.stack([hasher(starts, ends, 21), SpanHash(mix(symbols, 2))(starts, ends, 22)], 1)
-            _, first = np.unique(digest.view("V16").ravel(), return_index=True)
-            first.sort()
-            table = min_hashes(hasher, starts[first], ends[first]).reshape(-1, BANDS, ROWS)
-            bands = np.zeros(table.shape[:2], np.uint64)
-            for i in range(ROWS):
-                bands = mix(bands ^ table[:, :, i], i)
-            bands = mix(bands ^ np.arange(BANDS, dtype=np.uint64), 9)
-            sizes = np.zeros(len(starts), np.int64)
-            sizes[first] = BANDS
-            lists = list_column(bands.ravel().view(np.int64), np.concatenate(([0], np.cumsum(sizes))), pa.int64())
-            data = np.ascontiguousarray(digest).tobytes()
-            nodes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(starts), [None, pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(numbers, pa.int32()), nodes, lists], names=["doc_id", "line", "node", "bands"])
-
-    return docs.mapInArrow(signed, "doc_id long, line int, node binary, bands array<long>")
-
-
-def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, words of `nodes` (node); `places` (node, doc_id, line) has one line of each class."""
-    # All lines wanted of a document in one row: bounded by its text.
-    wanted = places.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
+    def __init__(self, column: pa.Array):
+        points, offsets = _code_points([t or "" for t in column.to_pylist()])
+        starts, ends, self.rows, self.numbers = line_spans(points, offsets)
+        symbols = points.astype(np.uint64)
+        hasher = SpanHash(mix(symbols, 1))
+        self.digest = np.stack([hasher(starts, ends, 21), SpanHash(mix(symbols, 2))(starts, ends, 22)], 1)
+        self.first = np.sort(np.unique(self.digest[:, 0], return_index=True)[1])
+        table = min_hashes(hasher, starts[self.first], ends[self.first]).reshape(-1, BANDS, ROWS)
+        bands = np.zeros(table.shape[:2], np.uint64)
+        for i in range(ROWS):
+            bands = mix(bands ^ table[:, :, i], i)
+        self.bands = mix(bands ^ np.arange(BANDS, dtype=np.uint64), 9)
 
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            found = []
-            for text, wanted_lines in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                lines = (text or "").lower().split("\n")
-                found += [(x["node"], lines[x["line"]].strip()) for x in wanted_lines]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], names=["node", "words"])
 
-    return _spark.written(_links.by_ids(docs, _spark.written(wanted)).select("text", "wanted").mapInArrow(taken, "node binary, words string"))
+def line_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, line, node (digest), bands (of the first of equal lines in a batch, else empty) of each line that is not blank."""
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text", 2_000_000):
+            x = _Lines(batch.column("text"))
+            sizes = np.zeros(len(x.rows), np.int64)
+            sizes[x.first] = BANDS
+            lists = list_column(x.bands.ravel().view(np.int64), np.concatenate(([0], np.cumsum(sizes))), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(x.rows)), pa.array(x.numbers, pa.int32()), pa.array(x.digest[:, 0].copy().view(np.int64)), lists], names=["doc_id", "line", "node", "bands"])
 
-def _word_shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    points, offsets = _code_points(words)
-    return shingle_hashes(SpanHash(mix(points.astype(np.uint64), 1)), offsets[:-1], offsets[1:] - 1)
+    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, line int, node long, bands array<long>")
 
 
-def crossing_pairs(docs: DataFrame, places: DataFrame, rest: DataFrame, small: int = 16) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket of `rest` (bucket, node, root) with different roots, by a prefix join in buckets of more than `small` nodes.
+def _signed_lines(docs: DataFrame, parts: int, held: int = 2_000_000) -> DataFrame:
+    """From (doc_id, tk, text) in one scan: a row for each line that is not blank, part null, and PACKED rows of the bands of distinct lines."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("line", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("part", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("sigs", pa.binary())])
 
-    In buckets of three nodes or fewer, the pairs with the first and the last node are all pairs.
-    """
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-    sized = _spark.written(rest.join(sizes.filter("n > 3"), "bucket"))
-    few = _links._crossing(sized.filter(F.col("n") <= small))
-    return few.unionByName(prefix_pairs(docs, places, sized.filter(F.col("n") > small))).distinct()
+    def rows(own: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sigs, total = [], [], 0
 
-def prefix_pairs(docs: DataFrame, places: DataFrame, rest: DataFrame, threshold: float = 0.75, most: int = 50_000) -> DataFrame:
-    """Pairs (a, b) of nodes of `rest` (bucket, node, root) with different roots that may have a similarity of `threshold`.
+        def flush() -> Iterator[pa.RecordBatch]:
+            for x in _links.packed_rows(np.concatenate(nodes), np.concatenate(sigs), parts):
+                yield rows(dict(zip(x.schema.names, x.columns, strict=True)), x.num_rows)
 
-    In one order of all shingles, frequent ones last, a pair x, y of sizes |x| <= |y| that
-    reaches the threshold t shares one of the first |x| - ceil(2t / (1 + t) |x|) + 1
-    shingles of x and the first |y| - ceil(t |y|) + 1 of y. So lines of one template that
-    differ in rare shingles do not meet. Any order is exact; the `most` frequent shingles
-    that are put last steer cost only.
+        for batch in bounded(batches, "text", 2_000_000):
+            x = _Lines(batch.column("text"))
+            if not len(x.rows):
+                continue
+            at = pa.array(x.rows)
+            whole = {"doc_id": batch.column("doc_id").take(at), "tk": batch.column("tk").take(at), "line": pa.array(x.numbers, pa.int32()), "n1": pa.array(x.digest[:, 0].copy().view(np.int64)), "n2": pa.array(x.digest[:, 1].copy().view(np.int64))}
+            for i in range(0, len(x.rows), 50_000):
+                yield rows({k: v.slice(i, 50_000) for k, v in whole.items()}, min(50_000, len(x.rows) - i))
+            nodes.append(np.repeat(x.digest[x.first, 0], BANDS))
+            sigs.append(x.bands.ravel())
+            total += len(sigs[-1])
+            if total >= held:
+                yield from flush()
+                nodes, sigs, total = [], [], 0
+        if total:
+            yield from flush()
+
+    return docs.select("doc_id", "tk", "text").mapInArrow(signed, _LINES)
+
+
+def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """node, words of `nodes` (node); `places` (node, doc_id, line) has one line of each class.
+
+    A line is taken only if its digest is the node, so rows that repeat a doc_id cannot
+    give another text. At most `most` lines in all are broadcast to the scan.
     """
-    nodes = _spark.written(rest.select("node", "root").distinct())
-    lines = line_texts(docs, places, nodes.select("node")).join(nodes, "node")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, n = np.unique(_word_shingles(batch.column("words").to_pylist())[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
-
-    counts = lines.select("words").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 10")
-    frequent = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(most).collect()], np.int64).view(np.uint64)
-    by_value = np.argsort(frequent)
-    known, rank = frequent[by_value], len(frequent) - by_value  # the most frequent has the highest rank
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            line, values = _word_shingles(batch.column("words").to_pylist())
-            late = np.zeros(len(values), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                late = np.where(known[at] == values, rank[at], 0)
-            order = np.lexsort((values, late, line))
-            line, values = line[order], values[order]
-            new = np.ones(len(line), bool)
-            new[1:] = (line[1:] != line[:-1]) | (values[1:] != values[:-1])
-            line, values = line[new], values[new]
-            sizes = np.bincount(line, minlength=batch.num_rows)
-            size = sizes[line]
-            place = np.arange(len(line)) - (np.cumsum(sizes) - sizes)[line]
-            probed = place <= size - np.ceil(threshold * size - 1e-9)
-            low = place <= size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9)
-            take = pa.array(line[probed])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[probed].view(np.int64)), batch.column("node").take(take), batch.column("root").take(take), pa.array(size[probed], pa.int32()), pa.array(place[probed], pa.int32()), pa.array(low[probed])],
-                names=["token", "node", "root", "size", "place", "low"],
-            )
-
-    rows = _spark.written(lines.select("node", "root", "words").mapInArrow(cut, "token long, node binary, root binary, size int, place int, low boolean"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("low").alias("low")).filter("lo <> hi AND low").select("token")
-    rows = _spark.written(rows.join(mixed, "token", "left_semi"))
-    lows = rows.filter("low")
-    span = lambda df, side: df.groupBy("token", "root").agg(F.min("size").alias(f"{side}_lo"), F.max("size").alias(f"{side}_hi")).withColumnRenamed("root", f"{side}_root")
-    crossed = span(lows, "x").join(span(rows, "y"), "token").filter((F.col("x_root") != F.col("y_root")) & (F.col("x_lo") <= F.col("y_hi")) & (F.col("x_hi") >= threshold * F.col("y_lo")))
-    named = lambda df, side: df.select("token", F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("size").alias(f"{side}_size"), (F.col("size") - F.col("place")).alias(f"{side}_left"))
-    both = crossed.select("token", "x_root", "y_root").join(named(lows, "x"), ["token", "x_root"]).join(named(rows, "y"), ["token", "y_root"])
-    # At the first shingle that both have, they can share no more than what is left of either.
-    fit = (F.col("x_size") <= F.col("y_size")) & (F.col("x_size") >= threshold * F.col("y_size")) & (F.least("x_left", "y_left") >= threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9)
-    return both.filter(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def similar_lines(docs: DataFrame, places: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Those of `pairs` (a, b) of classes whose lines have a Jaccard similarity of `threshold`; `places` (node, doc_id, line) has one line of each class."""
-    pairs = _spark.written(pairs)
-    texts = line_texts(docs, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # All lines wanted of a document in one row: bounded by its text.
+    wanted = _spark.written(places.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted")))
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most
 
-    def grams(t: str) -> set[str]:
-        return {t[i : i + WIDTH] for i in range(max(len(t) - WIDTH + 1, 1))}
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text"):
+            points, offsets = _code_points([t or "" for t in batch.column("text").to_pylist()])
+            starts, ends, rows, numbers = line_spans(points, offsets)
+            lists = batch.column("wanted")
+            sizes = np.diff(lists.offsets.to_numpy()[: len(lists) + 1])
+            pairs = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), sizes)
+            line, node = pairs.field("line").to_numpy(zero_copy_only=False).astype(np.int64), pairs.field("node").to_numpy(zero_copy_only=False)
+            have = (rows << np.int64(32)) | numbers
+            ask = (row << np.int64(32)) | line
+            at = np.minimum(np.searchsorted(have, ask), max(len(have) - 1, 0))
+            some = have[at] == ask if len(have) else np.zeros(len(ask), bool)
+            at, node = at[some], node[some]
+            hasher = SpanHash(mix(points.astype(np.uint64), 1))
+            right = hasher(starts[at], ends[at], 21).view(np.int64) == node
+            at, node = at[right], node[right]
+            words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(words, pa.string())], names=["node", "words"])
+
+    joined = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    return _spark.written(joined.select("text", "wanted").mapInArrow(taken, "node long, words string").dropDuplicates(["node"]))
+
+
+def line_sketches(texts: DataFrame) -> DataFrame:
+    """node, size, sketch of `line_texts`."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "words"):
+            points, offsets = _code_points(batch.column("words").to_pylist())
+            line, values = shingle_hashes(SpanHash(mix(points.astype(np.uint64), 1)), offsets[:-1], offsets[1:] - 1)
+            line, values = _links.distinct_pairs(line, values)
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=batch.num_rows))))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds)), pa.array(_links.sketches(values, bounds), pa.binary())], names=["node", "size", "sketch"])
+
+    return texts.mapInArrow(drawn, "node long, size long, sketch binary")
+
+
+def similar_lines(texts: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Those of `pairs` (a, b) of nodes whose `texts` (node, words) have a Jaccard similarity of `threshold`."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, two = None, set()
+        made: dict[str, set[str]] = {}  # shingles of texts of a few million characters
+        chars = 0
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if y != last:  # rows come sorted by b
-                    last, two = y, grams(y)
-                one = grams(x)
-                both = len(one & two) if min(len(one), len(two)) >= threshold * max(len(one), len(two)) else 0
-                keep.append(both > 0 and both >= threshold * (len(one) + len(two) - both))
+            for two in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                sets = []
+                for t in two:
+                    if (found := made.get(t)) is None:
+                        if chars > 4_000_000:
+                            made.clear()
+                            chars = 0
+                        found = made[t] = {t[i : i + WIDTH] for i in range(max(len(t) - WIDTH + 1, 1))}
+                        chars += len(t)
+                    sets.append(found)
+                one, other = sets
+                both = len(one & other) if min(len(one), len(other)) >= threshold * max(len(one), len(other)) else 0
+                keep.append(both > 0 and both >= threshold * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
     both = one.join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, lines (numbers from 0, sorted) of every document with lines to remove."""
-    classes = _spark.written(line_classes(docs))
-    place = F.min(F.struct("doc_id", "line"))
-    firsts = _spark.written(classes.groupBy("node").agg(place.alias("at"), F.count("*").alias("n")))
-    places = firsts.select("node", "at.doc_id", "at.line")
-    members = classes.select(F.explode("bands").alias("bucket"), "node")
-    roots = _spark.written(_links.linked_components(members, lambda pairs: similar_lines(docs, places, pairs), crossing=lambda rest: crossing_pairs(docs, places, rest)))
-    rooted = firsts.join(roots, "node", "left").select("node", "at", "n", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
+    """doc_id, tk, lines (numbers from 0, sorted) of every text with lines to remove, from (doc_id, tk, text); tk tells texts of one doc_id apart.
+
+    A null text and blank lines have nothing to remove; doc_id must not be null. Lines
+    at the same number of rows that repeat a doc_id are one place. Should two different
+    lines have one 64-bit digest, which a second one tells, both stay.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = _spark.written(_signed_lines(docs, parts))
+    lines = table.filter("part IS NULL").select("doc_id", "tk", "line", F.col("n1").alias("node"), "n2")
+    # doc_id and line as one number: its minimum is taken by hash aggregation.
+    place = (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
+    found = lines.groupBy("node").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.min("n2").alias("lo"), F.max("n2").alias("hi"))
+    classes = _spark.written(found.filter("lo = hi").select("node", "at", "n"))
+    packed = table.filter("part IS NOT NULL").select("part", "nodes", "counts", "sigs")
+    met = _spark.written(_links.met(packed, parts, SMALL, PIVOTS), free=True)
+    number = F.expr("pmod(at, 2147483648)")
+    places = classes.select("node", F.expr("(at - pmod(at, 2147483648)) div 2147483648").alias("doc_id"), number.cast("int").alias("line"))
+
+    pairs = _spark.written(met.filter("g IS NULL").select("a", "b").distinct())
+    texts = line_texts(docs, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = _spark.written(similar_lines(texts, pairs), free=True)
+    _spark.drop_written(texts)
+    groups = _spark.written(met.filter("g IS NOT NULL").select("g", F.col("a").alias("node")).distinct())
+    _spark.drop_written(met)
+    roots = _spark.written(_links.components(links))
+    if not groups.isEmpty():
+        mixed = _links.mixed_members(groups, roots)
+        texts = line_texts(docs, places, mixed.select("node").distinct())
+        crossing = _links.crossing_pairs(mixed, line_sketches(texts)).join(pairs, ["a", "b"], "left_anti")
+        more = _spark.written(similar_lines(texts, _spark.written(crossing)))
+        _spark.drop_written(mixed, texts)
+        if not more.isEmpty():
+            roots = _spark.written(_links.components(links.unionByName(more)))
+    _spark.drop_written(groups, pairs)
+    rooted = classes.join(roots, "node", "left")
     # Classes that stand alone keep their one line; the others meet the first line of their component.
-    keep = rooted.filter("linked").groupBy("root").agg(F.min("at").alias("keep"))
-    many = rooted.filter("linked OR n > 1").join(keep, "root", "left").select("node", F.coalesce("keep", "at").alias("keep"))
-    gone = classes.select("doc_id", "line", "node").join(many, "node").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    keep = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("at").alias("keep"))
+    many = rooted.filter("root IS NOT NULL OR n > 1").join(keep, "root", "left").select("node", F.coalesce("keep", "at").alias("keep"))
+    gone = lines.join(many, "node").filter(place != F.col("keep"))
+    return gone.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
     """The rows of `docs` with all columns, `text` without its repeated lines, and n_lines, n_removed.
 
     Null and empty texts have no line to remove and stay as they are; rows with a null
-    doc_id are kept unchanged; rows that repeat a doc_id lose the same line numbers; an
-    empty table gives no rows. Columns named n_lines or n_removed are replaced. A text
-    whose lines all go becomes empty.
+    doc_id are kept unchanged; rows that repeat a doc_id with one text lose the same lines,
+    with different texts each its own; an empty table gives no rows. Columns named n_lines
+    or n_removed are replaced; no other name can clash. A text whose lines all go becomes
+    empty. At most `broadcast_lines` line numbers are broadcast.
     """
-    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = _spark.written(removed_lines(named)).withColumnsRenamed({"doc_id": "__id", "lines": "__gone"})
-    gone = F.broadcast(gone) if gone.count() <= 200_000 else gone
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk"))
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = []
+            for lines in batch.column("lines"):
+                mask = np.zeros(lines[-1].as_py() + 1, bool)
+                mask[lines.values.to_numpy(zero_copy_only=False)] = True
+                masks.append(mask)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(masks, pa.list_(pa.bool_())), pa.array([int(m.sum()) for m in masks], pa.int64())], names=["doc_id", "tk", "mask", "gone"])
+
+    gone = _spark.written(removed_lines(rows.filter("doc_id IS NOT NULL").select("doc_id", "tk", "text")).mapInArrow(masked, "doc_id long, tk long, mask array<boolean>, gone long"), free=True)
+    few = (gone.agg(F.sum(F.size("mask") + 4)).first()[0] or 0) <= broadcast_lines
+    joined = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "tk"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.select(*[docs[c] if c != "text" else F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
+    return joined.select(*[F.col("row").getField(c).alias(c) if c != "text" else F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")], F.size(lines).cast("long").alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))

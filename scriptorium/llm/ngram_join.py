@@ -92,21 +92,6 @@ def digests(features: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def sketches(features: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """For each set, the parities of its features at each bit; as many bits as a power of two of 4 times its size, 64 at least."""
-    sizes = np.diff(offsets)
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
-    base = np.concatenate(([0], np.cumsum(bits)))
-    place = np.repeat(base[:-1], sizes) + (mix(features, 17) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
-    packed = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
-    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
-
-
-def folded(sketch: bytes, size: int) -> np.ndarray:
-    """A sketch brought down to `size` bytes by adding parities of bits that come together; still a lower bound."""
-    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), 0)
-
-
 def hot_table(hot: np.ndarray) -> np.ndarray:
     """Marks of the leading bits of frequent features; a feature that shares them with one counts as frequent too."""
     table = np.zeros(1 << _HOT_BITS, bool)
@@ -178,7 +163,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             features, offsets = feature_sets(batch.column("text"))
             sizes = np.diff(offsets)
             digest = [pa.array(digests(features, offsets, seed).view(np.int64), mask=sizes == 0) for seed in (11, 12)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *digest, pa.array(sketches(features, offsets), pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *digest, pa.array(_links.sketches(features, offsets), pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return docs.mapInArrow(measured, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
 
@@ -203,23 +188,9 @@ def frequent_features(docs: DataFrame, sample_rows: int, least: int) -> np.ndarr
 
 
 def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int = 2_000_000) -> DataFrame:
-    """part, nodes, counts, sigs: signatures of the distinct sets of a task in packed arrays, `held` at once; a node is the digest d1."""
+    """PACKED signatures of the distinct sets of a task in packed arrays, `held` at once; a node is the digest d1."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
-    def packed(nodes: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, sig = np.concatenate(nodes), np.concatenate(sigs)
-        part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.lexsort((node, part))
-        node, sig, part = node[order], sig[order].astype(np.uint32), part[order]
-        head = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]))))
-        counts = np.diff(np.append(head, len(node))).astype(np.uint32)
-        filled, at = np.unique(part[head], return_index=True)
-        runs, cells = np.append(at, len(head)), np.append(head[at], len(node))
-        cut = lambda x, edges: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
-        for i in range(0, len(filled), 500):
-            j = min(i + 500, len(filled))
-            yield pa.RecordBatch.from_arrays([pa.array(filled[i:j].astype(np.int32)), cut(node[head], runs[i : j + 1]), cut(counts, runs[i : j + 1]), cut(sig, cells[i : j + 1])], names=["part", "nodes", "counts", "sigs"])
-
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value).astype(bool)
         seen: set[bytes] = set()  # 16 bytes a distinct set of this task
@@ -241,83 +212,12 @@ def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int =
             sigs.append(sig)
             total += len(sig)
             if total >= held:
-                yield from packed(nodes, sigs)
+                yield from _links.packed_rows(np.concatenate(nodes), np.concatenate(sigs), parts)
                 nodes, sigs, total = [], [], 0
         if total:
-            yield from packed(nodes, sigs)
-
-    return docs.select("text").mapInArrow(signed, "part int, nodes binary, counts binary, sigs binary")
-
+            yield from _links.packed_rows(np.concatenate(nodes), np.concatenate(sigs), parts)
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
-def bucket_pairs(node: np.ndarray, sig: np.ndarray, small: int = SMALL, pivots: int = PIVOTS) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """((a, b), (group, node)) of the nodes that share a signature.
-
-    A bucket of at most `small` nodes gives all its pairs; a larger one the pairs with
-    `pivots` of its nodes, of smallest hash, and its members under a digest of them all.
-    """
-    none = np.zeros(0, np.uint64)
-    order = np.argsort(sig)
-    sig, node = sig[order], node[order]
-    same = sig[1:] == sig[:-1]
-    shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(sig) else np.zeros(0, bool)
-    sig, node = _distinct_pairs(sig[shared], node[shared])
-    if not len(sig):
-        return (none, none), (none, none)
-    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(np.append(head, len(sig)))
-    left, right, groups, members = [none], [none], [none], [none]
-    for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
-        cells = node[head[size == m][:, None] + np.arange(m)]
-        cells = cells[np.unique(mix(cells, m).sum(1, dtype=np.uint64), return_index=True)[1]]  # each set of members once
-        i, j = np.triu_indices(m, 1)
-        x, y = _distinct_pairs(cells[:, i].ravel(), cells[:, j].ravel())
-        left.append(x)
-        right.append(y)
-    known: set[int] = set()
-    for a, m in zip(head[size > small].tolist(), size[size > small].tolist(), strict=True):
-        some = node[a : a + m]
-        group = int(mix(some, 5).sum(dtype=np.uint64))
-        if group not in known:
-            known.add(group)
-            first = some[np.argsort(mix(some, 6))[:pivots]]
-            x, y = np.repeat(first, m), np.tile(some, len(first))
-            left.append(np.minimum(x, y)[x != y])
-            right.append(np.maximum(x, y)[x != y])
-            groups.append(np.full(m, group, np.uint64))
-            members.append(some)
-    return _distinct_pairs(np.concatenate(left), np.concatenate(right)), (np.concatenate(groups), np.concatenate(members))
-
-
-def _shared_signatures(packed: DataFrame, parts: int) -> DataFrame:
-    """(a, b) pairs, g null, and (g, a) members of large buckets, b null. A task holds the signatures of its parts of the hash range, no texts."""
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for part, nodes, counts, sigs in zip(*(batch.column(c).to_pylist() for c in ("part", "nodes", "counts", "sigs")), strict=True):
-                held.setdefault(part, []).append((nodes, counts, sigs))
-        for part in list(held):
-            rows = held.pop(part)
-            node, count, sig = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows, strict=True), (np.uint64, np.uint32, np.uint32), strict=True))
-            (a, b), (g, member) = bucket_pairs(np.repeat(node, count), sig)
-            blank = lambda n: pa.nulls(n, pa.int64())
-            whole = lambda x: pa.array(x.view(np.int64))
-            for i in range(0, len(a), 100_000):
-                x, y = a[i : i + 100_000], b[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([blank(len(x)), whole(x), whole(y)], names=["g", "a", "b"])
-            for i in range(0, len(g), 100_000):
-                x, y = g[i : i + 100_000], member[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([whole(x), whole(y), blank(len(x))], names=["g", "a", "b"])
-
-    return packed.repartition(parts, "part").mapInArrow(met, "g long, a long, b long")
+    return docs.select("text").mapInArrow(signed, _links.PACKED)
 
 
 def plausible_pairs(pairs: DataFrame) -> DataFrame:
@@ -328,7 +228,7 @@ def plausible_pairs(pairs: DataFrame) -> DataFrame:
             keep = []
             for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
                 size = min(len(sa), len(sb))
-                differ = int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum())
+                differ = int(np.bitwise_count(_links.folded(sa, size) ^ _links.folded(sb, size)).sum())
                 keep.append(7 * differ <= na + nb)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -365,78 +265,10 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(counted, "a long, b long, common long, union_size long").filter("common > 0 AND 100 * common >= 75 * union_size").distinct()
 
 
-def _crossing(groups: DataFrame, classes: DataFrame, roots: DataFrame, block: int = 1024) -> DataFrame:
-    """Plausible pairs (a, b) of classes of one group with different roots, from `groups` (g, node), compared in blocks of about `block` members.
-
-    Sketches meet within a task; only pairs that sizes and sketches allow are rows.
-    """
-    rooted = groups.join(classes.select(F.col("d1").alias("node"), "class_id"), "node").join(roots, F.col("class_id") == F.col("node_id"), "left").select("g", "class_id", F.coalesce("root", "class_id").alias("root")).distinct()
-    mixed = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rest = _spark.written(rooted.join(mixed, "g"))
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rest.select("g", "class_id", "root", own.alias("own"), other.alias("other")).select("g", "class_id", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    known = classes.select("class_id", "n_shingles", "sketch").distinct()
-    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketched = dealt.join(known, "class_id").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "class_id")
-
-    def compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        step = max(1, 4_000_000 // max(1, y["sketch"].size))
-        out = []
-        for at in range(0, len(x["id"]), step):
-            one = slice(at, at + step)
-            differ = np.bitwise_count(x["sketch"][one][:, None] ^ y["sketch"][None]).sum(2, dtype=np.int64)
-            na, nb = x["n"][one][:, None], y["n"][None]
-            i, j = np.nonzero((7 * differ <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (x["root"][one][:, None] != y["root"][None]))
-            out.append((x["id"][one][i], y["id"][j]))
-        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def block_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        size = min(len(r[6]) for r in rows)
-        sides = []
-        for side in sorted({r[3] for r in rows}):
-            mine = [r for r in rows if r[3] == side]
-            sides.append({"id": np.array([r[1] for r in mine]), "root": np.array([r[2] for r in mine]), "n": np.array([r[5] for r in mine]), "sketch": np.stack([folded(r[6], size) for r in mine])})
-        if rows[0][4] != rows[0][7] and len(sides) < 2:  # two blocks of which one is empty
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = compare(sides[0], sides[-1])
-        return a[a < b], b[a < b]
-
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, left, right = None, [], [], []
-
-        def flush() -> None:
-            if held:
-                a, b = block_pairs(held)
-                left.append(a)
-                right.append(b)
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "class_id", "root", "own", "i", "n_shingles", "sketch", "j")), strict=True):
-                if (row[0], row[4], row[7]) != key:
-                    flush()
-                    key, held = (row[0], row[4], row[7]), []
-                    if sum(map(len, left)) > 500_000:
-                        a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
-                        left, right = [], []
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                held.append(row)
-        flush()
-        if left:
-            a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    out = sketched.select("g", "class_id", "root", "own", "i", "n_shingles", "sketch", "j").mapInArrow(blocked, "a long, b long").distinct()
-    out = _spark.written(out)
-    _spark.drop_written(rest)
-    return out
-
-
 def similar_links(docs: DataFrame, classes: DataFrame, sample_rows: int = 8000, hot_count: int = 2) -> DataFrame:
     """Links (a, b) that connect the similar ones of `classes` (class_id, n_shingles, d1, sketch); see the module."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = _spark.written(_shared_signatures(_packed_signatures(docs, frequent_features(docs, sample_rows, hot_count), parts), parts), free=True)
+    met = _spark.written(_links.met(_packed_signatures(docs, frequent_features(docs, sample_rows, hot_count), parts), parts, SMALL, PIVOTS), free=True)
     side = lambda x, d: classes.select(F.col("d1").alias(d), F.col("class_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     nodes = met.filter("g IS NULL").select(F.col("a").alias("da"), F.col("b").alias("db")).distinct()
     pairs = nodes.join(side("x", "da"), "da").join(side("y", "db"), "db")
@@ -445,13 +277,14 @@ def similar_links(docs: DataFrame, classes: DataFrame, sample_rows: int = 8000,
     pairs = pairs.filter("x <> y").select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), pick("sx", "sy", "sa"), pick("sy", "sx", "sb"))
     tried = _spark.written(plausible_pairs(pairs).distinct(), free=True)
     links = _spark.settled(lambda: similar_pairs(docs, tried).select("a", "b"))
-    groups = _spark.written(met.filter("g IS NOT NULL").select("g", F.col("a").alias("node")).distinct())
+    groups = _spark.written(met.filter("g IS NOT NULL").select("g", F.col("a").alias("d1")).distinct().join(classes.select("d1", F.col("class_id").alias("node")), "d1").select("g", "node").distinct())
     _spark.drop_written(met)
     if not groups.isEmpty():
-        roots = _links.components(links)
-        crossing = _crossing(groups, classes, roots.withColumnRenamed("node", "node_id"))
+        mixed = _links.mixed_members(groups, _links.components(links))
+        crossing = _spark.written(_links.crossing_pairs(mixed, classes.select(F.col("class_id").alias("node"), F.col("n_shingles").alias("size"), "sketch").distinct()))
         more = _spark.settled(lambda: similar_pairs(docs, crossing.join(tried, ["a", "b"], "left_anti")).select("a", "b"))
         links = links.unionByName(more)
+        _spark.drop_written(mixed, crossing)
     _spark.drop_written(groups, tried)
     return links
 
