@@ -6,7 +6,7 @@ script or style are left out with all they contain. What remains is cut into blo
 at block elements. The first pass classifies blocks by stop-word density, length and
 link density; the second gives ambiguous blocks the class of their nearest decided
 neighbours. Where a page marks its article, the markup alone makes blocks inside good
-unless they are mostly links; blocks outside go through both passes, and blocks in the
+unless they are mostly links and no running text; blocks outside go through both passes, and blocks in the
 article do not lend them their label.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from ._arrays import bounded
 
 # Elements whose content is never main text.
-_DROPPED = frozenset("script style noscript template head nav footer aside form button select option textarea input iframe object embed svg canvas audio video map dialog menu math datalist fieldset label".split())
+_DROPPED = frozenset("script style noscript template head nav footer aside form button select option textarea input iframe object embed svg canvas audio video map dialog menu datalist fieldset label".split())
 # Elements that end a block.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +37,14 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|submenu|breadcrumbs?|header|masthead|topbar|banner|footer|sidebar|side-bar|aside|rail|widget|widgets|cookies?|cookie-?\w*|consent|gdpr|notice|notices|notification|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|ad|ads|advert|adverts|advertisement|advertising|adsense|adbox|ad-?slot|sponsor|sponsored|promo|promos|promotion|comments?|comment-?list|respond|reply|replies|disqus|share|sharing|social|related|recommended|recommendations|tags|tag-?cloud|pagination|pager|skip-?link|toolbar|search|search-?form|form|hidden|print-?only|byline-?ads?|disclaimer|copyright|legal|toc)(?:$|[\s_-])",
     re.I,
 )
+# Words of such names that also hold for containers inside an article; other elements there stay whatever their name.
+_NAMED_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|submenu|breadcrumbs?|sidebar|side-bar|cookies?|cookie-?\w*|consent|gdpr|notice|notices|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|ad|ads|advert|adverts|advertisement|advertising|adsense|adbox|ad-?slot|sponsor|sponsored|promo|promos|promotion|comments|comment-?list|respond|replies|disqus|share|sharing|social|related|recommended|recommendations|pagination|pager|skip-?link|toolbar|search-?form|byline-?ads?)(?:$|[\s_-])",
+    re.I,
+)
+_CONTAINERS = frozenset("div section ul ol dl table details article center".split())
+# Elements of running text, which in an article stay even if they are one link.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption summary address".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MAIN_NAMED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|article-?body|post-?body|entry-?content|post-?content|article-?content|main-?content)(?:$|[\s_-])", re.I)
 # Frequent function words of the languages read here.
@@ -46,7 +55,7 @@ STOP_WORDS = frozenset(
     " der die das den dem des und ist ein eine einer eines einem einen nicht mit von zu auf für im in sich auch als an er sie es wird sind war bei aus nach oder aber wie".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=\"'>/]+)", re.S)
 _RELEVANT = re.compile(r"class|id\s*=|role|hidden|style|aria-", re.I)
 _SPACE = re.compile(r"\s+")
@@ -79,6 +88,7 @@ class _Reader:
     mains: int = 0
     links: int = 0
     has_main: bool = False
+    open_tags: Counter = field(default_factory=Counter)
 
     def end_block(self) -> None:
         if self.parts:
@@ -96,6 +106,7 @@ class _Reader:
 
     def pop(self) -> None:
         x = self.stack.pop()
+        self.open_tags[x.tag] -= 1
         self.dropped -= x.dropped
         self.mains -= x.main
         self.links -= x.tag == "a"
@@ -103,9 +114,9 @@ class _Reader:
     def open(self, tag: str, attributes: str, closed: bool) -> None:
         if tag in _BLOCK:
             self.end_block()
-            if tag in _CLOSES_P and any(x.tag == "p" for x in self.stack):
+            if tag in _CLOSES_P and self.open_tags["p"]:
                 self.close("p")
-            if tag == "li":
+            if tag == "li" and self.open_tags["li"]:
                 self.close_inside("li", ("ul", "ol", "menu", "dir"))
         elif tag == "br":
             self.say(" ")
@@ -115,6 +126,7 @@ class _Reader:
         if main and not self.dropped:
             self.has_main = True
         self.stack.append(_Open(tag, dropped, main))
+        self.open_tags[tag] += 1
         self.dropped += dropped
         self.mains += main
         self.links += tag == "a"
@@ -133,7 +145,13 @@ class _Reader:
             if "hidden" in seen or seen.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(seen.get("style", "")):
                 return True, False
             role = seen.get("role", "").lower()
-            if role in _ROLES or tag not in ("html", "body", "main") and _NAMED.search(name) and not (main and not inside and not re.search(r"comment|ad|promo|related", name, re.I)):
+            if role in _ROLES:
+                return True, False
+            if inside:
+                named = tag in _CONTAINERS and _NAMED_INSIDE.search(name)
+            else:
+                named = tag not in ("html", "body", "main") and _NAMED.search(name) and not (main and not re.search(r"comment|ad|promo|related", name, re.I))
+            if named:
                 return True, False
             main = main or role in ("main", "article") or bool(_MAIN_NAMED.search(name))
         return False, main
@@ -149,6 +167,8 @@ class _Reader:
     def close(self, tag: str) -> None:
         if tag in _BLOCK:
             self.end_block()
+        if not self.open_tags[tag]:
+            return
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag), None)
         if at is None or tag not in _BLOCK and any(x.tag in ("article", "main", "body", "table", "td", "div", "section") for x in self.stack[at + 1 :]):
             return
@@ -169,18 +189,20 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         at = m.end()
         if m[0].startswith("<![CDATA["):
             reader.say(html.escape(m[0][9:].removesuffix("]]>")))
-        if not m[2]:
+        if not (m[2] or m[5]):
             continue
-        tag = m[2].lower()
-        if m[1]:
+        # A tag whose quotes do not match ends at its first bracket.
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = tag.lower()
+        if closing:
             reader.close(tag)
             continue
-        closed = m[3].endswith("/")
+        closed = attributes.endswith("/")
         if tag in _RAW and not closed:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else (n if tag in ("script", "style") else at)
             continue
-        reader.open(tag, m[3], closed)
+        reader.open(tag, attributes, closed)
     reader.end_block()
     return reader.blocks, reader.has_main
 
@@ -191,10 +213,10 @@ def classify(blocks: list[Block], has_main: bool, short: int = 60, long: int = 1
         found = [w.lower() for w in _WORD.findall(b.text)]
         density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
         links = b.linked / max(1, len(b.text))
-        if links > max_links:
+        if b.in_main:
+            b.label = "good" if links <= max_links or b.tag in _RUNNING else "bad"
+        elif links > max_links:
             b.label = "bad"
-        elif b.in_main:
-            b.label = "good"
         elif b.text.startswith(("\xa9", "(c) ")):
             b.label = "bad"
         elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
