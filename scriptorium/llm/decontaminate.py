@@ -32,17 +32,27 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return items.select("item_id", "ws", starts.alias("at")).select("item_id", F.slice("ws", F.col("at"), size).alias("w")).distinct()
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, start, length (in words), item_id of every occurrence of every window.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tk, ws: a hash of the text tells rows of one doc_id, or of none, apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tk"), words(F.col("text")).alias("ws"))
+
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tk"] == right["tk"])
+
+
+def _spans(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, tk, start, length (in words), item_id of every occurrence of every window.
 
     The prefix table has one row a distinct window; it is broadcast only where a
-    count shows at most `broadcast_rows`, and joined by a shuffle on the word beyond.
+    count shows at most `broadcast_rows`. Beyond, words are shuffled with their place
+    alone, and the starts that come of this meet each text once.
     """
     windows = item_windows(benchmark, size).groupBy("w").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     windows = _spark.written(windows)
     small = windows.count() <= broadcast_rows
     sized = F.broadcast if small else (lambda df: df)
-    tokens = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    tokens = _keyed(docs)
 
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
     counts = tokens.select(F.explode("ws").alias("word")).join(sized(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
@@ -51,40 +61,63 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, br
     prefix = ranked.groupBy("w").agg(F.first("items").alias("items"), rarest.alias("rare")).select("w", "items", F.col("rare.at").alias("at"), F.col("rare.word").alias("word"))
     prefix = _spark.written(prefix)
 
-    placed = tokens.select("doc_id", "ws", F.posexplode("ws").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
-    bounds = (start >= 0) & (start + F.size("w") <= F.size("ws"))
-    hit = placed.join(sized(prefix), "word").filter(bounds).filter(F.slice("ws", start + 1, F.size("w")) == F.col("w"))
-    return hit.select("doc_id", start.alias("start"), F.size("w").alias("length"), F.explode("items").alias("item_id"))
+    if small:
+        placed = tokens.select("doc_id", "tk", "ws", F.posexplode("ws").alias("pos", "word"))
+        bounds = (start >= 0) & (start + F.size("w") <= F.size("ws"))
+        hit = placed.join(sized(prefix), "word").filter(bounds).filter(F.slice("ws", start + 1, F.size("w")) == F.col("w"))
+        return hit.select("doc_id", "tk", start.alias("start"), F.size("w").alias("length"), F.explode("items").alias("item_id"))
+    placed = tokens.select("doc_id", "tk", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word"))
+    starts = placed.join(prefix, "word").filter((start >= 0) & (start + F.size("w") <= F.col("n"))).select("doc_id", "tk", start.alias("start"), "w", "items")
+    # Starts of one text in one row: bounded by its words and the windows of one prefix word.
+    asked = starts.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "w", "items")).alias("asked"))
+    once = tokens.dropDuplicates(["doc_id", "tk"])
+    met = asked.join(once, _same_row(asked, once)).select(asked["doc_id"], asked["tk"], F.filter("asked", lambda x: F.slice(F.col("ws"), x["start"] + 1, F.size(x["w"])) == x["w"]).alias("found"))
+    hit = met.select("doc_id", "tk", F.inline("found"))
+    return hit.select("doc_id", "tk", "start", F.size("w").alias("length"), F.explode("items").alias("item_id"))
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
+    """doc_id, start, length (in words), item_id of every occurrence of every window.
+
+    Null and empty texts have none; equal rows are one. A null doc_id is kept, and rows
+    that repeat a doc_id with different texts have each their own. Empty tables give no rows.
+    """
+    return _spans(docs, benchmark, size, broadcast_rows).drop("tk").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids) of every document with a non-null doc_id.
+    """doc_id, n_words, n_hit, n_items, items (sorted ids) of every document.
 
     Null and empty texts have no words and no hits; an item without words has no
-    window; an empty benchmark hits nothing. Rows that repeat a doc_id are one
-    document each only if their ids differ: hits are gathered by doc_id. Only doc_id,
+    window; an empty benchmark hits nothing. Hits belong to a doc_id and its text, so
+    rows without a doc_id or with a repeated one get those of their own text. Only doc_id,
     text and item_id are read. Long texts are scanned whole.
     """
-    found = contaminated_spans(docs, benchmark, size, broadcast_rows)
+    found = _spans(docs, benchmark, size, broadcast_rows)
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
-    hits = found.groupBy("doc_id").agg(spans.alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    hits = found.groupBy("doc_id", "tk").agg(spans.alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["to"], s["start"]))).alias("n"), F.greatest(acc["to"], s["end"]).alias("to")),
         lambda acc: acc["n"],
     )
-    hits = hits.select("doc_id", covered.cast("long").alias("n_hit"), "items")
-    sizes = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    hits = hits.select("doc_id", "tk", covered.cast("long").alias("hit"), "items")
+    sizes = _keyed(docs).select("doc_id", "tk", F.size("ws").cast("long").alias("n_words"))
     empty = F.array().cast("array<string>")
-    return sizes.join(hits, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", empty)).cast("long").alias("n_items"), F.coalesce("items", empty).alias("items"))
+    return sizes.join(hits, _same_row(sizes, hits), "left").select(sizes["doc_id"], "n_words", F.coalesce("hit", F.lit(0)).alias("n_hit"), F.size(F.coalesce("items", empty)).cast("long").alias("n_items"), F.coalesce("items", empty).alias("items"))
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of `docs` in which no window of the benchmark occurs, with their columns."""
-    hit = contaminated_spans(docs.select("doc_id", "text"), benchmark, size).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` in which no window of the benchmark occurs, with their columns, whose names cannot clash.
+
+    Rows without a doc_id, and rows that repeat one, go by their own text; null and
+    empty texts stay; an empty benchmark leaves all rows, an empty table gives none.
+    """
+    hit = _spans(docs.select("doc_id", "text"), benchmark, size, 200_000).select("doc_id", "tk").distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("tk"))
+    return rows.join(hit, _same_row(rows, hit), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same result by comparing all windows, for DuckDB.

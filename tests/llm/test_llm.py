@@ -285,6 +285,44 @@ def test_sliding_pair_counts():
     assert fingerprint.likeness(fingerprint.digest(data), fingerprint.digest(data[: len(data) // 2])) > 0.1
 
 
+def test_digest_equals_a_plain_version():
+    """Windows, entropy, selection and bits, counted one by one."""
+
+    def rarest(data, window, neighbours):
+        possible = window * (window - 1) // 2
+        ranks = []
+        for at in range(len(data) - window + 1):
+            part = data[at : at + window]
+            pairs = sum(part[i] == part[j] for i in range(window) for j in range(i))
+            hashed = int(fingerprint.SpanHash.of_bytes(np.frombuffer(part, np.uint8))(np.array([0]), np.array([window]))[0])
+            rank = (1023 - min(1023, abs(pairs - round(0.0726 * possible)))) << 53 | hashed >> 11
+            ranks.append((rank | 1 << 63 if pairs >= 0.5 * possible else rank, hashed))
+        width = min(neighbours, len(ranks))
+        low = {min(ranks[i : i + width])[0] for i in range(len(ranks) - width + 1)}
+        return list(dict.fromkeys(h for r, h in ranks if r in low))
+
+    rng = random.Random(21)
+    for text in ("", "short", "x" * 40, prose(rng, 5), prose(rng, 20), prose(rng, 60), prose(rng, 700)):
+        data = text.encode()
+        if len(data) <= 8:
+            found = [int(h) for h in fingerprint.SpanHash.of_bytes(np.frombuffer(data, np.uint8))(np.array([0]), np.array([len(data)]))] if data else []
+        else:
+            found = (rarest(data, 32, 48) if len(data) >= 32 else []) + (rarest(data, 8, 8) if len(data) < 256 else [])
+        filters = [0] * -(-len(found) // 128)
+        for i, h in enumerate(found):
+            for k in range(5):
+                filters[i // 128] |= 1 << (2047 - (h >> 11 * k) % 2048)
+        want = b"".join(f.to_bytes(256, "big") for f in filters)
+        assert fingerprint.digest(np.frombuffer(data, np.uint8)).tobytes() == want, text
+
+
+def test_likeness_is_continuous_in_length():
+    data = np.frombuffer(prose(random.Random(3), 60).encode()[:300], np.uint8)
+    for n in (300, 260, 257, 256):
+        for less in (1, 5, 30):
+            assert fingerprint.likeness(fingerprint.digest(data[:n]), fingerprint.digest(data[: n - less])) > 0.6
+
+
 # 6. Decontamination
 
 
@@ -300,6 +338,19 @@ def test_filter_keeps_columns_and_clean_rows(spark):
     assert {r["doc_id"]: r["n_hit"] for r in large.collect()} == {0: 0, 1: 14, 2: 0, 3: 0}
 
 
+def test_contaminated_rows_without_or_with_repeated_id_go(spark):
+    rng = random.Random(2)
+    item = prose(rng, 14)
+    clean = prose(rng, 30)
+    docs = spark.createDataFrame([(None, item, 1), (None, clean, 2), (5, item, 3), (5, clean, 4), (6, None, 5), (5, item, 6)], "doc_id long, text string, tk int")
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    out = decontaminate.without_contamination(docs, bench)
+    assert out.columns == docs.columns and sorted(r["tk"] for r in out.collect()) == [2, 4, 5]
+    for rows in (200_000, 0):
+        found = decontaminate.contamination(docs, bench, broadcast_rows=rows).collect()
+        assert sorted((r["doc_id"] or -1, r["n_words"], r["n_hit"], r["n_items"]) for r in found) == [(-1, 14, 14, 1), (-1, 30, 0, 0), (5, 14, 14, 1), (5, 14, 14, 1), (5, 30, 0, 0), (6, 0, 0, 0)]
+
+
 # 7. Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -319,6 +370,29 @@ def test_page_without_article_uses_block_rules():
     assert html_text.main_text(page) == f"Heading\n{good}\nShort bit.\n{good}"
 
 
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<p>a <math><mi>x</mi></math> b</p>", "a x b"),
+        ('<p class="legal">L</p><p class="search-notes">S</p><ul class="tags"><li>T</li></ul>', "L\nS\nT"),
+        ('<div class="post-header"><h1>Title</h1></div><p>x</p>', "Title\nx"),
+        ("<p><a href=u>only a link</a></p>", "only a link"),
+        ('<p>t</p><div class="share-buttons">S</div><div class="ad">B</div><div class="related-posts"><p>R</p></div>', "t"),
+        ('<p title="x > y">quoted</p>', "quoted"),
+    ],
+)
+def test_what_stays_in_an_article(inside, text):
+    assert html_text.main_text(f"<body><nav>m</nav><article>{inside}</article><footer>f</footer></body>") == text
+
+
+def test_unmatched_quotes_leave_no_markup():
+    assert html_text.main_text('<article><p title="x>hello world</article>') == "hello world"
+
+
+def test_deep_nesting_is_read(spark):
+    assert html_text.main_text("<article>" + "<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>a</b></p>", "<script>x", "a & b", "<!-- open", "</div></p>", "<p>&#x1F600;&bogus;</p>"])
 def test_malformed_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
