@@ -9,7 +9,7 @@ bytes: their Burrows-Wheeler order to the depth of `length`, cut into runs of eq
 matching statistics, whose first row is sampled: the earliest occurrence. Every
 further row of a run that matches `length` bytes marks a repeat. Since equal strings
 have equal anchors, indexes of different anchors need never meet, and any number of
-tasks can build theirs apart.
+tasks can build theirs apart. The README says where this leaves the named method.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
     """(row, first, last, anchor place, anchor hash, class hash) of each run; places count from the start of the buffer."""
     none = np.zeros(0, np.int64)
     n = len(data)
+    if n > int(_PLACE):
+        raise ValueError("a text of more than 256 MB has to be cut before its repeats are looked for")
     if n < length:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     hasher = SpanHash.of_bytes(data)
@@ -147,10 +149,10 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(found, _RUNS)
 
 
-def _shared_strings(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+def _shared_strings(docs: DataFrame, classes: DataFrame, length: int, most: int = 300_000) -> DataFrame:
     """doc_id, start, bytes of strings that occur earlier in another class of the same anchor."""
     wanted = _spark.written(classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "bytes")).alias("wanted")))
-    few = wanted.count() <= 200_000
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most  # runs in all, not documents
     with_text = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +213,36 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own) where ids repeat: rows in order of id and text get numbers of their own as doc_id, written once."""
+    keyed = docs.withColumn("tk", F.xxhash64("text"))
+    rows = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tk").orderBy("text")))
+    key = ["doc_id", "tk", "nth"]
+    order = _spark.written(rows.select(*key).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("number", F.monotonically_increasing_id()))
+    return _spark.written(rows.join(order, key).select(F.col("number").alias("doc_id"), "text", F.col("doc_id").alias("own")))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes), spans (start, bytes of each maximal removed run).
 
     Null counts as empty; texts shorter than `length` bytes lose nothing; rows with a
-    null doc_id are returned whole; rows that repeat a doc_id lose the same spans; an
+    null doc_id are returned whole; of rows that repeat a doc_id each is a document, in
+    order of a hash of their texts, so that one of equal rows keeps its text; an
     empty table gives no rows. Only doc_id and text are read. Texts are read whole, up
-    to 256 MB each.
+    to 256 MB each; a longer one is an error.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.filter("doc_id IS NOT NULL")
+    if not named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        numbered = _numbered(named)
+        cut = _removed(numbered.select("doc_id", "text"), length).withColumnRenamed("doc_id", "number")
+        own = cut.join(numbered.select(F.col("doc_id").alias("number"), F.col("own").alias("doc_id")), "number").drop("number")
+        return own.select("doc_id", "n_bytes", "kept", "spans").unionByName(_removed(docs.filter("doc_id IS NULL"), length))
+    return _removed(docs, length)
+
+
+def _removed(docs: DataFrame, length: int) -> DataFrame:
+    """`remove_repeats` of (doc_id, text) where no doc_id repeats."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,5 +273,3 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     out = both.mapInArrow(cut, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
     pairs = F.arrays_zip(F.coalesce("starts", none).alias("start"), F.coalesce("ends", none).alias("end"))
     return out.select("doc_id", "n_bytes", "kept", pairs.alias("spans"))
-
-

@@ -439,6 +439,19 @@ def test_repeats_equal_brute_force(spark):
     assert [(bytes(got[i]["kept"]), got[i]["n_bytes"] - len(got[i]["kept"]), len(got[i]["spans"])) for i in range(len(texts))] == want
 
 
+def test_repeated_and_missing_ids_keep_one_copy(spark):
+    rng = random.Random(13)
+    text, other = prose(rng, 120), prose(rng, 40)
+    rows = [(1, text), (1, text), (1, other + text[:300]), (None, text), (2, text[50:400]), (2, None)]
+    got = [(r["doc_id"], bytes(r["kept"]).decode(), r["n_bytes"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 6 and (None, text, len(text.encode())) in got
+    assert sum(t.startswith(text[300:]) or text in t for i, t, _ in got if i == 1) >= 1
+    kept = "".join(t for i, t, _ in got if i == 1)
+    assert all(text[a : a + 100] in kept for a in (0, 350)) and other in kept
+    assert len(kept.encode()) <= len((text + other).encode()) + 200
+    assert {t for i, t, _ in got if i == 2} == {""}
+
+
 def test_index_orders_bounded_strings():
 
 
