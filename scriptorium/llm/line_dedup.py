@@ -97,7 +97,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, line, node (digest), bands (of the first of equal lines in a batch, else empty) of each line that is not blank."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 2_000_000):
+        for batch in bounded(batches, "text", 1_000_000):
             x = _Lines(batch.column("text"))
             sizes = np.zeros(len(x.rows), np.int64)
             sizes[x.first] = BANDS
@@ -107,7 +107,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, line int, node long, bands array<long>")
 
 
-def _signed_lines(docs: DataFrame, parts: int, held: int = 2_000_000) -> DataFrame:
+def _signed_lines(docs: DataFrame, parts: int, held: int = 1_000_000) -> DataFrame:
     """From (doc_id, tk, text) in one scan: a row for each line that is not blank, part null, and PACKED rows of the bands of distinct lines."""
     schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("line", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("part", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("sigs", pa.binary())])
 
@@ -121,7 +121,7 @@ def _signed_lines(docs: DataFrame, parts: int, held: int = 2_000_000) -> DataFra
             for x in _links.packed_rows(np.concatenate(nodes), np.concatenate(sigs), parts):
                 yield rows(dict(zip(x.schema.names, x.columns, strict=True)), x.num_rows)
 
-        for batch in bounded(batches, "text", 2_000_000):
+        for batch in bounded(batches, "text", 1_000_000):
             x = _Lines(batch.column("text"))
             if not len(x.rows):
                 continue
@@ -193,7 +193,7 @@ def similar_lines(texts: DataFrame, pairs: DataFrame, threshold: float = 0.75) -
     """Those of `pairs` (a, b) of nodes whose `texts` (node, words) have a Jaccard similarity of `threshold`."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, set[str]] = {}  # shingles of texts of a few million characters
+        made: dict[str, set[str]] = {}  # shingles of texts of 400 000 characters or one longer
         chars = 0
         for batch in batches:
             keep = []
@@ -201,7 +201,7 @@ def similar_lines(texts: DataFrame, pairs: DataFrame, threshold: float = 0.75) -
                 sets = []
                 for t in two:
                     if (found := made.get(t)) is None:
-                        if chars > 4_000_000:
+                        if chars > 400_000:
                             made.clear()
                             chars = 0
                         found = made[t] = {t[i : i + WIDTH] for i in range(max(len(t) - WIDTH + 1, 1))}

@@ -187,7 +187,7 @@ def frequent_features(docs: DataFrame, sample_rows: int, least: int) -> np.ndarr
     return table
 
 
-def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int = 2_000_000) -> DataFrame:
+def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int = 1_000_000) -> DataFrame:
     """PACKED signatures of the distinct sets of a task in packed arrays, `held` at once; a node is the digest d1."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
