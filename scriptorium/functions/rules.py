@@ -22,26 +22,102 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BATCH_TOKENS = 32_000
 
 # Folded word -> canonical word, by field.
-ALIASES = dict(
-    pair.split("=")
-    for pair in """
-    wudhu=wudu wuzu=wudu wudoo=wudu ablution=wudu ghusal=ghusl gusl=ghusl tayammom=tayammum tayamum=tayammum
-    istinja=istinja najasah=najasat najaasah=najasat haid=haid hayd=haid haiz=haid menstruation=haid
-    nifaas=nifas istihaadah=istihadah masah=masah mash=masah
-    salaat=salah salat=salah namaz=salah namaaz=salah prayer=salah sajdah=sajdah sajda=sajdah
-    rakat=rakah rakaat=rakah rakah=rakah ruku=ruku adhaan=adhan azan=adhan iqamah=iqamah iqaamah=iqamah
-    witir=witr taraweeh=tarawih taravih=tarawih jumuah=jumuah juma=jumuah jumma=jumuah
-    janaza=janazah janaazah=janazah funeral=janazah imamah=imamah imaamah=imamah
-    sawm=sawm saum=sawm roza=sawm fast=sawm iftaar=iftar suhoor=sahur sehri=sahur
-    itikaf=itikaf etikaf=itikaf kaffaarah=kaffarah kafarah=kaffarah qadaa=qada qazaa=qada
-    zakat=zakah zakaat=zakah zakaah=zakah nisaab=nisab sadaqah=sadaqat fitrah=fitr
-    hajj=hajj haj=hajj umrah=umrah umra=umrah ihraam=ihram tawaaf=tawaf saee=sai saiy=sai
-    qiran=qiran tamattu=tamattu
-    fardh=fard farz=fard faraid=fard faraidh=fard waajib=wajib waajibaat=wajib wajibat=wajib
-    sunnat=sunnah sunan=sunnah masnun=sunnah makruh=makruh makrooh=makruh makroohat=makruh
-    mustahab=mustahab mustahabb=mustahab adaab=adab aadaab=adab etiquette=adab haraam=haram mandoob=mandub
-    """.split()
-)
+ALIASES = {
+    "wudhu": "wudu",
+    "wuzu": "wudu",
+    "wudoo": "wudu",
+    "ablution": "wudu",
+    "ghusal": "ghusl",
+    "gusl": "ghusl",
+    "tayammom": "tayammum",
+    "tayamum": "tayammum",
+    "istinja": "istinja",
+    "najasah": "najasat",
+    "najaasah": "najasat",
+    "haid": "haid",
+    "hayd": "haid",
+    "haiz": "haid",
+    "menstruation": "haid",
+    "nifaas": "nifas",
+    "istihaadah": "istihadah",
+    "masah": "masah",
+    "mash": "masah",
+    "salaat": "salah",
+    "salat": "salah",
+    "namaz": "salah",
+    "namaaz": "salah",
+    "prayer": "salah",
+    "sajdah": "sajdah",
+    "sajda": "sajdah",
+    "rakat": "rakah",
+    "rakaat": "rakah",
+    "rakah": "rakah",
+    "ruku": "ruku",
+    "adhaan": "adhan",
+    "azan": "adhan",
+    "iqamah": "iqamah",
+    "iqaamah": "iqamah",
+    "witir": "witr",
+    "taraweeh": "tarawih",
+    "taravih": "tarawih",
+    "jumuah": "jumuah",
+    "juma": "jumuah",
+    "jumma": "jumuah",
+    "janaza": "janazah",
+    "janaazah": "janazah",
+    "funeral": "janazah",
+    "imamah": "imamah",
+    "imaamah": "imamah",
+    "sawm": "sawm",
+    "saum": "sawm",
+    "roza": "sawm",
+    "fast": "sawm",
+    "iftaar": "iftar",
+    "suhoor": "sahur",
+    "sehri": "sahur",
+    "itikaf": "itikaf",
+    "etikaf": "itikaf",
+    "kaffaarah": "kaffarah",
+    "kafarah": "kaffarah",
+    "qadaa": "qada",
+    "qazaa": "qada",
+    "zakat": "zakah",
+    "zakaat": "zakah",
+    "zakaah": "zakah",
+    "nisaab": "nisab",
+    "sadaqah": "sadaqat",
+    "fitrah": "fitr",
+    "hajj": "hajj",
+    "haj": "hajj",
+    "umrah": "umrah",
+    "umra": "umrah",
+    "ihraam": "ihram",
+    "tawaaf": "tawaf",
+    "saee": "sai",
+    "saiy": "sai",
+    "qiran": "qiran",
+    "tamattu": "tamattu",
+    "fardh": "fard",
+    "farz": "fard",
+    "faraid": "fard",
+    "faraidh": "fard",
+    "waajib": "wajib",
+    "waajibaat": "wajib",
+    "wajibat": "wajib",
+    "sunnat": "sunnah",
+    "sunan": "sunnah",
+    "masnun": "sunnah",
+    "makruh": "makruh",
+    "makrooh": "makruh",
+    "makroohat": "makruh",
+    "mustahab": "mustahab",
+    "mustahabb": "mustahab",
+    "adaab": "adab",
+    "aadaab": "adab",
+    "etiquette": "adab",
+    "haraam": "haram",
+    "mandoob": "mandub",
+}
 # Title in the contents -> title in the body.
 TITLE_OVERRIDES = {"Sujūd al-tilāwah": "Sajdat al-tilāwah"}
 # First page, last page, collection.

@@ -16,7 +16,8 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit vector of `v`; the norm counts as 1e-12 at least."""
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    # As an argument of zip_with the norm is taken once a vector; inside a lambda it would be once an element.
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def fingerprint(model: str, dim: int, chunk_id: Column, text: Column) -> Column:

@@ -2,15 +2,17 @@
 
 Embedders, rerankers, generators and judges are objects whose methods take and return
 DataFrames, so a hosted model is a `mapInPandas` over batches in the same place. The
-stand-ins use DataFrame functions alone and reproduce no hosted model's scores.
+stand-ins reproduce no hosted model's scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +39,33 @@ class Generator(Protocol):
 
 
 def hashed_terms(folded: Column, dim: int) -> Column:
-    """Counts of hashed terms, a vector of `dim` numbers."""
-    slots = F.transform(F.filter(F.split(folded, " "), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+    """Unit vectors of hashed term counts: a term's slot is the number of the first four digits of its MD5, modulo `dim`."""
+
+    @F.pandas_udf("array<float>")
+    def vector(texts: pd.Series) -> pd.Series:
+        slots: dict[str, int] = {}  # of the words of one batch
+        out = []
+        for said in texts:
+            words = [w for w in (said or "").split(" ") if w]
+            for w in words:
+                if w not in slots:
+                    slots[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim
+            counts = np.bincount([slots[w] for w in words], minlength=dim).astype(np.float64)
+            out.append((counts / max(float(np.sqrt((counts * counts).sum())), 1e-12)).astype(np.float32))
+        return pd.Series(out)
+
+    return vector(folded)
 
 
 @dataclass(frozen=True)
 class HashedEmbedder:
-    """Unit vectors of hashed term counts."""
+    """Unit vectors of hashed term counts, one pass over a batch of texts."""
 
     model: str = "hashed-terms"
     dim: int = 64
 
     def embed(self, texts: DataFrame, kind: str = "document") -> DataFrame:
-        return texts.withColumn("vec", vectors.l2_normalize(hashed_terms(text.fold("text"), self.dim)).cast("array<float>"))
+        return texts.withColumn("vec", hashed_terms(text.fold("text"), self.dim))
 
 
 @dataclass(frozen=True)

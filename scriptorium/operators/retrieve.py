@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text, vectors
+from ..scratch import kept
 
 BROADCAST_ROWS = 1_000_000
 
@@ -46,27 +47,80 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES, alias
     """query_id, chunk_id, ordinal, score, rank: BM25 over (chunk_id, ordinal, text_folded), positive scores only.
 
     Only tokens that a query has are exploded into rows; they are counted in tasks
-    before the shuffle. Query terms are broadcast where a count shows them small.
+    before the shuffle and written once, and their document frequencies come from that
+    table. The mean weight over all terms is taken only if a query has a term of more than
+    half the chunks. Query terms are broadcast where a count shows them small.
     """
-    wanted = query_terms(queries, aliases)
-    weights = term_weights(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = kept(query_terms(queries, aliases))
     sized = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
     split = chunks.select("chunk_id", "ordinal", tokens("text_folded").alias("ts"))
-    average = split.agg(F.avg(F.size("ts")).alias("avgdl"))
-    hits = split.select("chunk_id", "ordinal", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(sized(weights.select("term", "idf")), "term")
-    tf = hits.groupBy("chunk_id", "ordinal", "dl", "term", "idf").agg(F.count("*").alias("tf"))
-    part = F.col("idf") * F.col("tf") * (rules.K1 + 1) / (F.col("tf") + rules.K1 * (1 - rules.B + rules.B * F.col("dl") / F.col("avgdl")))
-    parts = tf.crossJoin(F.broadcast(average)).select("chunk_id", "ordinal", "term", part.alias("part"))
+    n, average = split.agg(F.count("*"), F.avg(F.size("ts"))).first()
+    hits = split.select("chunk_id", "ordinal", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(sized(wanted.select("term").distinct()), "term", "left_semi")
+    tf = kept(hits.groupBy("chunk_id", "ordinal", "dl", "term").agg(F.count("*").alias("tf")))
+    raw = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = 0.0
+    if not raw.filter("raw < 0").isEmpty():
+        mean = term_statistics(chunks).agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+    weights = raw.select("term", F.when(F.col("raw") < 0, rules.EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (rules.K1 + 1) / (F.col("tf") + rules.K1 * (1 - rules.B + rules.B * F.col("dl") / F.lit(average)))
+    parts = tf.join(sized(weights), "term").select("chunk_id", "ordinal", "term", part.alias("part"))
     scored = parts.join(sized(wanted), "term").groupBy("query_id", "chunk_id", "ordinal").agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
     return top(scored.filter("score > 0"), k, F.desc("score"), F.desc("ordinal"))
 
 
-def dense(embeddings: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
-    """query_id, chunk_id, ordinal, score, rank: every vector (chunk_id, ordinal, vec) against a small batch (query_id, vec)."""
-    unit = queries.select("query_id", vectors.l2_normalize(F.col("vec")).alias("q"))
+def coverage_ranks(chunks: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
+    """query_id, chunk_id, ordinal, score, rank: the share of the query's content terms that a chunk (chunk_id, ordinal, text_raw) has.
+
+    Only chunks that share a term are reached, through the terms; a query whose k-th
+    best would share none is filled up with the last chunks at score 0.
+    """
+    asked = kept(queries.select("query_id", F.explode(text.content_terms("question")).alias("term")))
+    sized = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda df: df)
+    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    have = chunks.select("chunk_id", "ordinal", F.explode(text.content_terms("text_raw")).alias("term"))
+    shared = have.join(sized(asked), "term").groupBy("query_id", "chunk_id", "ordinal").agg(F.count("*").alias("shared"))
+    scored = shared.join(sized(size), "query_id").select("query_id", "chunk_id", "ordinal", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
+    best = top(scored, k, F.desc("score"), F.desc("ordinal")).drop("rank")
+    last = chunks.select("chunk_id", "ordinal").orderBy(F.desc("ordinal")).limit(2 * k)
+    rest = size.select("query_id").crossJoin(F.broadcast(last)).withColumn("score", F.lit(0.0))
+    return top(best.unionByName(rest).groupBy("query_id", "chunk_id", "ordinal").agg(F.max("score").alias("score")), k, F.desc("score"), F.desc("ordinal"))
+
+
+def containing(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, ordinal of chunks (chunk_id, ordinal, text_raw) that hold a question word for word.
+
+    A chunk with the question has all of its words but the first and the last as whole
+    words between spaces; the rarest of them in the corpus reaches the chunks to look
+    at. Questions of fewer than three words have none and meet all chunks.
+    """
+    asked = kept(queries.select("query_id", "question").withColumn("inner", F.array_distinct(F.filter(F.split("question", " "), lambda w, i: (i > 0) & (w != "")))).withColumn("inner", F.array_except("inner", F.array(F.element_at(F.split("question", " "), -1)))))
+    words = kept(asked.select(F.explode("inner").alias("word")).distinct())
+    sized = F.broadcast if words.count() <= BROADCAST_ROWS else (lambda df: df)
+    split = chunks.select("chunk_id", "ordinal", "text_raw", F.explode(F.array_distinct(F.split("text_raw", " "))).alias("word"))
+    counts = split.select("word").join(sized(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rare = asked.select("query_id", "question", F.explode("inner").alias("word")).join(sized(counts), "word").groupBy("query_id", "question").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.count("*").alias("found"))
+    whole = rare.join(asked.select("query_id", F.size("inner").alias("inner")), "query_id").filter("found = inner").select("query_id", "question", "word")
+    held = split.join(sized(whole), "word").filter(F.col("text_raw").contains(F.col("question"))).select("query_id", "chunk_id", "ordinal")
+    short = asked.filter(F.size("inner") == 0).select("query_id", "question")
+    few = F.broadcast if short.count() <= 10_000 else (lambda df: df)
+    return held.unionByName(chunks.select("chunk_id", "ordinal", "text_raw").join(few(short), F.col("text_raw").contains(F.col("question"))).select("query_id", "chunk_id", "ordinal"))
+
+
+def dense(embeddings: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES, block: int = 4096) -> DataFrame:
+    """query_id, chunk_id, ordinal, score, rank: every vector (chunk_id, ordinal, vec) against a batch (query_id, vec).
+
+    The batch is counted and broadcast in blocks of about `block` queries.
+    """
+    unit = kept(queries.select("query_id", vectors.l2_normalize(F.col("vec")).alias("q")))
     units = embeddings.select("chunk_id", "ordinal", vectors.l2_normalize(F.col("vec")).alias("v"))
-    scored = units.crossJoin(F.broadcast(unit)).select("query_id", "chunk_id", "ordinal", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scored, k, F.desc("score"), F.desc("ordinal"))
+    blocks = max(1, -(-unit.count() // block))
+    out = None
+    for i in range(blocks):
+        some = unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else unit
+        scored = units.crossJoin(F.broadcast(some)).select("query_id", "chunk_id", "ordinal", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("score"))
+        best = top(scored, k, F.desc("score"), F.desc("ordinal"))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int = rules.CANDIDATES, constant: int = rules.RRF_K) -> DataFrame:
@@ -99,6 +153,7 @@ def expand_groups(results: DataFrame, chunks: DataFrame) -> DataFrame:
     that brought them in and the source "group-expansion".
     """
     grouped = chunks.select("chunk_id", "ordinal", "group_id")
+    results = kept(results)
     own = results.join(grouped.select("chunk_id", "group_id", F.col("ordinal").alias("o")), "chunk_id").select("query_id", "chunk_id", "score", "source", "group_id", "rank")
     triggers = own.filter("group_id IS NOT NULL").groupBy("query_id", "group_id").agg(F.min(F.struct("rank", "score")).alias("t"))
     place = lambda *c: F.struct(*(x.cast("long").alias(n) for x, n in zip(c, ("a", "b", "c"), strict=True)))
@@ -126,16 +181,17 @@ def answer_context(questions: DataFrame, reranked: DataFrame, expanded: DataFram
     return section.unionByName(rest).select("query_id", "chunk_id", F.row_number().over(order).alias("pos"))
 
 
-def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, score, k: int = rules.TOP_K, candidates: int = rules.CANDIDATES, expand: bool = True) -> DataFrame:
+def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, score, k: int = rules.TOP_K, candidates: int = rules.CANDIDATES, expand: bool = True, aliases: Mapping[str, str] | None = rules.ALIASES) -> DataFrame:
     """All stages in long form: query_id, stage, rank, chunk_id, score, source.
 
     `score(pairs)` is the reranker: it adds `score` to (query_id, question, chunk_id, text_raw, fused_rank).
+    The lists of each stage are small and written once, so no stage is planned twice.
     """
-    lexical = bm25(chunks, queries, candidates)
-    vector = dense(embeddings, query_vectors, candidates)
-    fused = rrf(lexical, vector, candidates)
+    lexical = kept(bm25(chunks, queries, candidates, aliases))
+    vector = kept(dense(embeddings, query_vectors, candidates))
+    fused = kept(rrf(lexical, vector, candidates))
     pairs = fused.select("query_id", "chunk_id", F.col("rank").alias("fused_rank")).join(queries.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "text_raw"), "chunk_id")
-    best = rerank(score(pairs), k).select("query_id", "chunk_id", "score", "rank", F.lit("rerank").alias("source"))
+    best = kept(rerank(score(pairs), k).select("query_id", "chunk_id", "score", "rank", F.lit("rerank").alias("source")))
     staged = [("bm25", lexical), ("dense", vector), ("rrf", fused), ("rerank", best)]
     if expand:
         staged.append(("final", expand_groups(best, chunks)))

@@ -122,15 +122,15 @@ def plan_deck(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cards(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
-    return turns.select("conv_id", "turn", F.left("text", F.lit(20)).alias("front"), F.col("text").alias("back"), F.col("conv_id").cast("string").alias("chunk_id"))
+    return turns.select("conv_id", "turn", F.col("text").alias("front"), F.col("text").alias("back"), F.col("conv_id").cast("string").alias("chunk_id"))
 
 
-@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY {base.sql_fold('left(text, 20)')} ORDER BY conv_id, turn) AS n FROM conversations) WHERE n = 1")
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY {base.sql_fold('text')} ORDER BY conv_id, turn) AS n FROM conversations) WHERE n = 1")
 def dedupe_cards(spark: SparkSession, sf: str) -> DataFrame:
     return ground.first_by_front(_cards(spark, sf), "conv_id", "turn").select("conv_id", "turn")
 
 
-@query(f"""WITH {SQL_CHUNKS}, u AS (SELECT collection, chunk_id FROM c WHERE len(text_raw) >= 400), k AS (SELECT c.collection, c.chunk_id, conv_id, turn, row_number() OVER (PARTITION BY {base.sql_fold('left(text, 20)')} ORDER BY conv_id, turn) AS n FROM conversations JOIN c ON c.doc_id = conv_id),
+@query(f"""WITH {SQL_CHUNKS}, u AS (SELECT collection, chunk_id FROM c WHERE len(text_raw) >= 400), k AS (SELECT c.collection, c.chunk_id, conv_id, turn, row_number() OVER (PARTITION BY {base.sql_fold('text')} ORDER BY conv_id, turn) AS n FROM conversations JOIN c ON c.doc_id = conv_id),
 tp AS (SELECT collection, count(DISTINCT page) AS pages_total FROM (SELECT collection, unnest(generate_series(page_start, page_end)) AS page FROM c) GROUP BY 1),
 cp AS (SELECT collection, count(DISTINCT page) AS pages_covered FROM (SELECT collection, unnest(generate_series(page_start, page_end)) AS page FROM c WHERE chunk_id IN (SELECT chunk_id FROM k WHERE n = 1)) GROUP BY 1)
 SELECT collection, (SELECT count(*) FROM u WHERE u.collection = tp.collection) AS passages, (SELECT count(*) FROM k WHERE n = 1 AND k.collection = tp.collection) AS cards, (SELECT count(*) FROM k WHERE n > 1 AND k.collection = tp.collection) AS discarded, pages_total, coalesce(pages_covered, 0) AS pages_covered

@@ -23,18 +23,18 @@ def query(sql: str | None = None):
     return add
 
 
-_TOKENS = f"tok AS (SELECT doc_id, list_filter(string_split({sql_fold('text')}, ' '), lambda w: w <> '') AS ts FROM documents)"
+_TOKENS = f"tok AS MATERIALIZED (SELECT doc_id, list_filter(string_split({sql_fold('text')}, ' '), lambda w: w <> '') AS ts FROM documents)"
 _WEIGHTS = """
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM tok) GROUP BY 1),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM documents)),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM documents)),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 _BM25 = f"""{_TOKENS}, {_WEIGHTS},
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(string_split({sql_fold("text")}, ' '), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok) SEMI JOIN (SELECT term FROM q) USING (term) GROUP BY ALL),
 sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(ts)) FROM tok)))), 6) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 20)"""
 _SECOND = f"""
-cov AS (SELECT query_id, doc_id, round(len(list_intersect(qt, dt)) / CAST(len(qt) AS DOUBLE), 6) AS score FROM (SELECT item_id AS query_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS qt FROM benchmark), (SELECT doc_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS dt FROM documents WHERE doc_id % 10 = 0) WHERE len(qt) > 0),
+cov AS (SELECT query_id, doc_id, round(len(list_intersect(qt, dt)) / CAST(len(qt) AS DOUBLE), 6) AS score FROM (SELECT item_id AS query_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS qt FROM benchmark), (SELECT doc_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS dt FROM documents) WHERE len(qt) > 0),
 sec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM cov QUALIFY rank <= 20)"""
 _FUSED = """
 uni AS (SELECT query_id, doc_id, rank AS b, NULL AS d FROM bm UNION ALL SELECT query_id, doc_id, NULL, rank FROM sec),
@@ -71,22 +71,19 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.vec_id < 20)
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.u, c.u), 6) AS score FROM u q, u c WHERE q.vec_id % 20 = 0)
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM s QUALIFY rank <= 20
 """)
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """All vectors against a batch of 20 query vectors."""
+    """All vectors against those whose id is divisible by 20."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vec"))
-    batch = table(spark, sf, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    batch = table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     return retrieve.dense(rows, batch).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _second(spark: SparkSession, sf: str) -> DataFrame:
-    """Another ranking: term coverage over every tenth document, questions broadcast."""
-    docs = table(spark, sf, "documents").filter("doc_id % 10 = 0").select("doc_id", text.content_terms("text").alias("dt"))
-    asked = base.questions(spark, sf).select("query_id", text.content_terms("question").alias("qt")).filter(F.size("qt") > 0)
-    scored = docs.crossJoin(F.broadcast(asked)).select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ordinal"), F.round(text.coverage(F.col("qt"), F.col("dt")), 6).alias("score"))
-    return retrieve.top(scored, 20, F.desc("score"), F.desc("ordinal"))
+    """Another ranking: term coverage over all documents."""
+    return retrieve.coverage_ranks(base.chunks(spark, sf), base.questions(spark, sf), 20)
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +111,9 @@ def confidence_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def should_abstain(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, should_abstain: no document holds the question word for word; the questions are broadcast."""
+    """query_id, should_abstain: no document holds the question word for word."""
     asked = base.questions(spark, sf)
-    found = table(spark, sf, "documents").select("text").join(F.broadcast(asked), F.col("text").contains(F.col("question"))).select("query_id").distinct().withColumn("there", F.lit(True))
+    found = retrieve.containing(base.chunks(spark, sf), asked).select("query_id").distinct().withColumn("there", F.lit(True))
     return asked.select("query_id").join(found, "query_id", "left").select("query_id", F.col("there").isNull().alias("should_abstain"))
 
 
@@ -134,26 +131,32 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_BM25}, {_ABSTAIN}, e AS (SELECT item_id AS query_id, min(doc_id) AS want FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT ab.query_id, CASE WHEN want IS NOT NULL THEN coalesce(bool_or(doc_id = want AND rank <= 5), false) END AS recall FROM ab LEFT JOIN e USING (query_id) LEFT JOIN bm USING (query_id) GROUP BY ab.query_id, want")
 def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     asked = base.questions(spark, sf)
-    expected = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("question"))).groupBy("query_id").agg(F.array(F.min("doc_id").cast("string")).alias("expected_chunk_ids"))
+    expected = retrieve.containing(base.chunks(spark, sf), asked).groupBy("query_id").agg(F.array(F.min("ordinal").cast("string")).alias("expected_chunk_ids"))
     return evaluate.recall_at(_bm25(spark, sf), asked.select("query_id").join(expected, "query_id", "left"), 5)
 
 
-@query(f"""WITH {_BM25}, {_SECOND}, {_FUSED}, {_RERANKED}, g AS (SELECT doc_id, doc_id AS ordinal, CASE WHEN doc_id % 3 = 0 THEN doc_id // 30 END AS group_id FROM documents),
+_EXPANDED = """
+g AS (SELECT doc_id, doc_id AS ordinal, CASE WHEN doc_id % 3 = 0 THEN doc_id // 30 END AS group_id FROM documents),
 o AS (SELECT re.query_id, re.doc_id, re.score, re.rank, g.group_id FROM re JOIN g USING (doc_id)),
 t AS (SELECT query_id, group_id, min(rank) AS r, arg_min(score, rank) AS lent FROM o WHERE group_id IS NOT NULL GROUP BY ALL),
 k AS (SELECT query_id, doc_id, rank AS a, 0 AS b, 0 AS c, score AS own, NULL AS lent FROM o UNION ALL SELECT t.query_id, g.doc_id, t.r, 1, g.ordinal, NULL, t.lent FROM t JOIN g USING (group_id)),
-m AS (SELECT query_id, doc_id, min((a, b, c)) AS place, coalesce(max(own), max(lent)) AS score, CASE WHEN max(own) IS NULL THEN 'group-expansion' ELSE 'rerank' END AS source FROM k GROUP BY ALL)
-SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM m""")
+m AS (SELECT query_id, doc_id, min((a, b, c)) AS place, coalesce(max(own), max(lent)) AS score, CASE WHEN max(own) IS NULL THEN 'group-expansion' ELSE 'rerank' END AS source FROM k GROUP BY ALL),
+fin AS (SELECT query_id, doc_id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM m)"""
+
+
+@query(f"WITH {_BM25}, {_SECOND}, {_FUSED}, {_RERANKED}, {_EXPANDED} SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, source, rank FROM fin")
 def expand_groups(spark: SparkSession, sf: str) -> DataFrame:
     grouped = base.chunks(spark, sf).withColumn("group_id", F.when(F.col("doc_id") % 3 == 0, F.floor(F.col("doc_id") / 30)))
     results = _reranked(spark, sf).withColumn("source", F.lit("rerank"))
     return retrieve.expand_groups(results, grouped).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {SQL_CHUNKS}, w AS (SELECT item_id AS query_id, CAST(item_id % 40 AS VARCHAR) AS chunk_id FROM benchmark) SELECT query_id, s.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s.part, s.ordinal) AS pos FROM w JOIN c USING (chunk_id) JOIN c s ON s.section = c.section AND s.collection = c.collection")
+@query(f"WITH {SQL_CHUNKS}, w AS (SELECT doc_id AS query_id, chunk_id FROM c WHERE doc_id % 20 = 0) SELECT query_id, s.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s.part, s.ordinal) AS pos FROM w JOIN c USING (chunk_id) JOIN c s ON s.section = c.section AND s.collection = c.collection")
 def get_section(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = base.questions(spark, sf).select("query_id", (F.col("query_id") % 40).cast("string").alias("chunk_id"))
-    return retrieve.get_section(base.chunks(spark, sf), wanted).withColumn("pos", F.col("pos").cast("long"))
+    """The sections of the chunks whose id is divisible by 20, over all chunks."""
+    rows = base.chunks(spark, sf)
+    wanted = rows.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "chunk_id")
+    return retrieve.get_section(rows, wanted).withColumn("pos", F.col("pos").cast("long"))
 
 
 _LISTS = "q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'List the conditions: ' || text ELSE text END AS question FROM benchmark)"
@@ -177,14 +180,31 @@ def enumeration_context(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.answer_context(_lists(spark, sf), best, best, base.chunks(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+def _sql_vector(ts: str) -> str:
+    """SQL of providers.hashed_terms with 32 slots."""
+    slots = f"list_transform({ts}, lambda w: CAST('0x' || left(md5(w), 4) AS INT) % 32)"
+    return f"list_transform(generate_series(0, 31), lambda i: CAST(len(list_filter({slots}, lambda s: s = i)) AS DOUBLE))"
+
+
+_UNIT = "list_transform({0}, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum(list_transform({0}, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-12))"
+_DENSE = f"""
+qt_ AS MATERIALIZED (SELECT item_id AS query_id, list_filter(string_split({sql_fold('text')}, ' '), lambda w: w <> '') AS ts FROM benchmark),
+dv AS MATERIALIZED (SELECT doc_id, {_sql_vector('ts')} AS v FROM tok), qv AS MATERIALIZED (SELECT query_id, {_sql_vector('ts')} AS v FROM qt_),
+df_ AS MATERIALIZED (SELECT doc_id, list_transform({_UNIT.format('v')}, lambda x: CAST(x AS FLOAT)) AS v FROM dv), qf AS MATERIALIZED (SELECT query_id, list_transform({_UNIT.format('v')}, lambda x: CAST(x AS FLOAT)) AS v FROM qv),
+du AS MATERIALIZED (SELECT doc_id, {_UNIT.format('v')} AS u FROM df_), qu AS MATERIALIZED (SELECT query_id, {_UNIT.format('v')} AS u FROM qf),
+sec AS MATERIALIZED (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT query_id, doc_id, round(list_dot_product(qu.u, du.u), 6) AS score FROM qu, du) QUALIFY rank <= 20)"""
+_STAGE = "SELECT query_id, '{0}' AS stage, rank, CAST(doc_id AS VARCHAR) AS chunk_id, round(score, 9) AS score, {1} AS source FROM {2}"
+
+
+@query(f"WITH {_BM25}, {_DENSE}, {_FUSED}, {_RERANKED}, {_EXPANDED} " + " UNION ALL ".join(_STAGE.format(name, "source" if name == "final" else f"'{name}'", of) for name, of in (("bm25", "bm"), ("dense", "sec"), ("rrf", "fused"), ("rerank", "re"), ("final", "fin"))))
 def search_stages(spark: SparkSession, sf: str) -> DataFrame:
     """All stages over all documents with the offline stand-ins."""
     rows = base.chunks(spark, sf).withColumn("group_id", F.when(F.col("doc_id") % 3 == 0, F.floor(F.col("doc_id") / 30).cast("string"))).withColumn("text_folded", text.fold("text_raw"))
     embedder = providers.HashedEmbedder(dim=32)
     vecs = embedder.embed(rows.select("chunk_id", "ordinal", F.col("text_raw").alias("text"))).select("chunk_id", "ordinal", "vec")
     asked = base.questions(spark, sf)
-    return retrieve.search(rows, vecs, asked, embedder.embed(asked.select("query_id", F.col("question").alias("text")), "query").select("query_id", "vec"), providers.CoverageReranker().score)
+    found = retrieve.search(rows, vecs, asked, embedder.embed(asked.select("query_id", F.col("question").alias("text")), "query").select("query_id", "vec"), providers.CoverageReranker().score, aliases=None)
+    return found.select("query_id", "stage", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"), "source")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256(concat_ws(chr(31), 'stand-in:64', CAST(doc_id AS VARCHAR), text)) AS fingerprint FROM documents")

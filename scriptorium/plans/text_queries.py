@@ -34,14 +34,14 @@ def fold_drop_digits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.fold("text", True).alias("folded"))
 
 
-_JUNKED = "(SELECT doc_id, CAST(n - 1 AS INT) AS line_no, CASE WHEN (doc_id + n) % 7 = 0 THEN 'ЖшЩ ' || left(line, 5) WHEN (doc_id + n) % 11 = 0 THEN 'ṣḍ ' || left(line, 30) ELSE line END AS line FROM (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+_JUNKED = "(SELECT doc_id, CAST(n - 1 AS INT) AS line_no, CASE WHEN (doc_id + n) % 7 = 0 THEN 'ЖшЩ ' || line WHEN (doc_id + n) % 11 = 0 THEN 'ṣḍ ' || line ELSE line END AS line FROM (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 _SQL_RATIO = "CASE WHEN len(regexp_replace(line, '\\s+', '', 'g')) = 0 THEN 0.0 ELSE len(regexp_replace(regexp_replace(line, '\\s+', '', 'g'), '[\\x{0000}-\\x{024F}\\x{0600}-\\x{06FF}ʾʿ‘’“”—–…·]', '', 'g')) / CAST(len(regexp_replace(line, '\\s+', '', 'g')) AS DOUBLE) END"
 
 
 def _junked(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n = F.col("doc_id") + F.col("line_no") + 1
-    line = F.when(n % 7 == 0, F.concat(F.lit("ЖшЩ "), F.left("line", F.lit(5)))).when(n % 11 == 0, F.concat(F.lit("ṣḍ "), F.left("line", F.lit(30)))).otherwise(F.col("line"))
+    line = F.when(n % 7 == 0, F.concat(F.lit("ЖшЩ "), "line")).when(n % 11 == 0, F.concat(F.lit("ṣḍ "), "line")).otherwise(F.col("line"))
     return lines.select("doc_id", "line_no", line.alias("line"))
 
 
@@ -192,13 +192,13 @@ def group_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.col("collection").alias("group_id")).agg(F.count("*").alias("n"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"), F.count_if(F.col("toxic") == 0).alias("affirmative"), F.count_if(F.col("toxic") == 1).alias("negative"))
 
 
-@query("SELECT source AS group_id, CAST(p AS INT) AS polarity FROM (SELECT DISTINCT source FROM documents), (VALUES (0), (1)) v(p) EXCEPT SELECT source, toxic FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0")
+@query("SELECT source AS title_folded, source AS group_id, CAST(p AS VARCHAR) AS polarity FROM (SELECT DISTINCT source FROM documents), (VALUES (0), (1), (2)) v(p) EXCEPT SELECT source, source, CAST(toxic AS VARCHAR) FROM documents JOIN labels USING (doc_id)")
 def missing_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Declared (source, polarity) members that the labelled documents with ids divisible by 5 lack."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("group_id"))
-    declared = docs.select("group_id").distinct().select("group_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("polarity"))
-    seen = docs.filter("doc_id % 5 = 0").join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("polarity")), "doc_id")
-    return declared.join(seen, ["group_id", "polarity"], "left_anti")
+    """Declared (source, polarity) members that no labelled document carries; a third polarity is declared that none has."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("section"), F.col("source").alias("group_id"))
+    declared = docs.select(F.col("section").alias("title_folded"), "group_id").distinct().select("title_folded", "group_id", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))).alias("polarity"))
+    rows = docs.join(table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("string").alias("polarity")), "doc_id")
+    return segment.missing_group_members(rows, declared)
 
 
 @query(f"WITH w AS (SELECT doc_id, {sql_words('text', rules.LABEL_STOP_WORDS)} AS ws FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(ws)), ' ') AS terms FROM w")
