@@ -43,12 +43,28 @@ def metrics(rows: DataFrame, polarity_category: str = "Polarity trap") -> DataFr
         pair(F.coalesce("recall", F.lit(False)), answerable).alias("recall@context"),
         pair(F.size("unverified_pages") == 0, every).alias("citation validity"),
     )
-    groups = rows.filter("variant_group IS NOT NULL").groupBy("variant_group").agg((F.countDistinct("verdict") == 1).alias("same"))
-    variants = groups.agg(F.lit("variant agreement").alias("metric"), F.count_if("same").alias("passed"), F.count("*").alias("total"))
+    variants = variant_agreement(rows).agg(F.lit("variant agreement").alias("metric"), F.count_if("same").alias("passed"), F.count("*").alias("total"))
     names = one.columns
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`.passed").alias("passed"), F.col(f"`{n}`.total").alias("total")) for n in names])).alias("m")).select("m.*").unionByName(variants)
 
 
+def subset(questions: DataFrame, category: str | None = None, limit: int | None = None, order: str = "query_id") -> DataFrame:
+    """The questions of a category, whatever its case, and of these the first `limit` in `order`."""
+    out = questions if category is None else questions.filter(F.lower("category") == category.lower())
+    return out if limit is None else out.orderBy(order).limit(limit)
+
+
+def slowest(rows: DataFrame, n: int = 6) -> DataFrame:
+    """The `n` rows that took longest, ties by query_id, with `place` from 1."""
+    first = rows.orderBy(F.desc("seconds"), "query_id").limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("seconds"), "query_id")))
+
+
+def variant_agreement(rows: DataFrame) -> DataFrame:
+    """variant_group, same: whether all variants of a question have one verdict."""
+    return rows.filter("variant_group IS NOT NULL").groupBy("variant_group").agg((F.countDistinct("verdict") == 1).alias("same"))
+
+
 def by_category(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count_if("behaviour_ok").alias("passed"), F.count("*").alias("total"))
 

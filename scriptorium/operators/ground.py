@@ -27,6 +27,11 @@ def resolve_citations(citations: DataFrame, context: DataFrame) -> DataFrame:
     return citations.join(placed, ["query_id", "document_index"])
 
 
+def citation_sections(citations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Citations (chunk_id, ...) with the section of their chunk; an empty string if no chunk has the id."""
+    return citations.join(chunks.select("chunk_id", "section"), "chunk_id", "left").withColumn("section", F.coalesce("section", F.lit("")))
+
+
 def ground_cards(cards: DataFrame, least: float = rules.MIN_GROUNDING) -> DataFrame:
     """Cards (front, back, source_text) with overlap and grounded."""
     overlap = text.coverage(text.content_words("back"), text.content_words("source_text"))

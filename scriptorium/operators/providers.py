@@ -35,7 +35,7 @@ class Reranker(Protocol):
 
 class Generator(Protocol):
     def answer(self, prompts: DataFrame) -> DataFrame:
-        """(query_id, question, context: array of (title, text)) with `text` and `cited` (document_index, cited_text)."""
+        """(query_id, question, context: array of (title, text)) with `text`, `stop_reason` ("refusal" if the model declines) and `cited` (array of document_index, cited_text)."""
 
 
 def hashed_terms(folded: Column, dim: int) -> Column:
@@ -78,15 +78,26 @@ class CoverageReranker:
 
 @dataclass(frozen=True)
 class ExtractiveGenerator:
-    """Quotes the line of the context that shares most terms with the question."""
+    """Quotes the line of the context that shares most terms with the question; declines if none shares any."""
 
     def answer(self, prompts: DataFrame) -> DataFrame:
         asked = text.content_terms("question")
         lines = prompts.select("query_id", asked.alias("asked"), F.posexplode("context").alias("document_index", "doc")).select("query_id", "asked", "document_index", "doc.title", F.posexplode(F.split("doc.text", "\n")).alias("n", "line"))
         shared = F.size(F.array_intersect("asked", text.content_terms("line")))
-        best = lines.groupBy("query_id").agg(F.max_by(F.struct("document_index", "title", "line"), F.struct(shared, -F.col("document_index"), -F.col("n"))).alias("best"))
+        best = lines.groupBy("query_id").agg(F.max_by(F.struct("document_index", "title", "line"), F.struct(shared, -F.col("document_index"), -F.col("n"))).alias("best"), F.max(shared).alias("shared"))
         cited = F.array(F.struct(F.col("best.document_index").alias("document_index"), F.col("best.line").alias("cited_text")))
-        return prompts.join(best.select("query_id", F.concat("best.line", F.lit(" ("), "best.title", F.lit(")")).alias("text"), cited.alias("cited")), "query_id", "left")
+        stop = F.when(F.col("shared") > 0, F.lit("end_turn")).otherwise(F.lit("refusal"))
+        return prompts.join(best.select("query_id", F.concat("best.line", F.lit(" ("), "best.title", F.lit(")")).alias("text"), stop.alias("stop_reason"), cited.alias("cited")), "query_id", "left")
+
+
+@dataclass(frozen=True)
+class LineCardWriter:
+    """Cards of the first lines of a passage: the first four words ask for the whole line."""
+
+    def write(self, passages: DataFrame) -> DataFrame:
+        lines = F.filter(F.split("text_raw", "\n"), lambda x: F.trim(x) != "")
+        cards = passages.select("chunk_id", F.posexplode(F.slice(lines, F.lit(1), F.col("n_cards"))).alias("card_no", "back"))
+        return cards.select("chunk_id", "card_no", F.array_join(F.slice(F.split("back", " "), 1, 4), " ").alias("front"), "back")
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text, vectors
+from ..scratch import kept, numbered
+from . import ground
 
 
 def extract_items(chunks: DataFrame) -> DataFrame:
@@ -34,14 +36,15 @@ def extract_items(chunks: DataFrame) -> DataFrame:
 def item_pool(chunks: DataFrame, contrasts: Sequence[Sequence[str]] = rules.CONTRASTS) -> DataFrame:
     """Items of chunks with a contrasting category: item_idx (corpus order), item, chunk_id, category, collection, section, page_start, page_end."""
     real = [c for group in contrasts for c in group]
-    kept = chunks.filter(F.col("category").isin(real))
-    items = extract_items(kept.select("chunk_id", "ordinal", "text_raw"))
-    # Numbers count over chunks first, so that only one row a chunk is ordered in one place.
-    per = items.groupBy("chunk_id", "ordinal").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("ordinal", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per.select("chunk_id", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("chunk_id").orderBy("item_no")) - 1
-    return items.withColumn("own", own).join(offsets, "chunk_id").join(kept.select("chunk_id", "category", "collection", "section", "page_start", "page_end"), "chunk_id").select((F.col("before") + F.col("own")).cast("long").alias("item_idx"), "item", "chunk_id", "category", "collection", "section", "page_start", "page_end")
+    real_chunks = chunks.filter(F.col("category").isin(real))
+    items = extract_items(real_chunks.select("chunk_id", "ordinal", "text_raw"))
+    rows = numbered(items, "item_idx", "ordinal", "chunk_id", "item_no")
+    return rows.join(real_chunks.select("chunk_id", "category", "collection", "section", "page_start", "page_end"), "chunk_id").select("item_idx", "item", "chunk_id", "category", "collection", "section", "page_start", "page_end")
+
+
+def pool_summary(pool: DataFrame) -> DataFrame:
+    """category, n, collections (sorted) of the items of each category."""
+    return pool.groupBy("category").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("collection")).alias("collections"))
 
 
 def contrast_of(category: Column, contrasts: Sequence[Sequence[str]] = rules.CONTRASTS) -> Column:
@@ -71,9 +74,12 @@ def select_items(pool: DataFrame, n: int, seed: int = 0, contrasts: Sequence[Seq
     from the narrowest length band with three of them, first one of each category by
     size of the category in the band, then any others.
     """
-    keyed = pool.select("collection", "category", "item_idx", F.length("item").alias("chars"), contrast_of(F.col("category"), contrasts).alias("contrast")).filter("contrast IS NOT NULL")
-    order = Window.partitionBy("collection", "category").orderBy(_draw(seed, F.col("item_idx")), "item_idx")
-    correct = keyed.withColumn("question_no", F.row_number().over(order)).filter(F.col("question_no") <= n).select("collection", "contrast", "category", "question_no", F.col("item_idx").alias("correct_idx"), F.col("chars").alias("target"))
+    keyed = pool.select("collection", "category", "item_idx", "item", F.length("item").alias("chars"), contrast_of(F.col("category"), contrasts).alias("contrast")).filter("contrast IS NOT NULL")
+    drawn = [_draw(seed, F.col("item_idx")), F.col("item_idx")]
+    order = Window.partitionBy("collection", "category").orderBy(*drawn)
+    # A correct text that repeats is asked for once.
+    distinct = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("collection", "category", "item").orderBy(*drawn))).filter("copy = 1")
+    correct = distinct.withColumn("question_no", F.row_number().over(order)).filter(F.col("question_no") <= n).select("collection", "contrast", "category", "question_no", F.col("item_idx").alias("correct_idx"), F.col("chars").alias("target"))
     wrong = keyed.select("collection", "contrast", F.col("category").alias("wrong_category"), "item_idx", "chars")
     pairs = correct.join(wrong, ["collection", "contrast"]).filter("wrong_category <> category")
     key = ["collection", "category", "question_no"]
@@ -81,10 +87,10 @@ def select_items(pool: DataFrame, n: int, seed: int = 0, contrasts: Sequence[Seq
     inside = [F.col("chars").between(F.col("target") / f, F.col("target") * f) for f in rules.LENGTH_BANDS]
     enough = [F.sum(i.cast("int")).over(of_question) >= 3 for i in inside]
     band = F.when(enough[0], F.lit(0)).when(enough[1], F.lit(1)).otherwise(F.lit(2))
-    kept = pairs.withColumn("band", band).filter(((F.col("band") == 0) & inside[0]) | ((F.col("band") == 1) & inside[1]) | (F.col("band") == 2))
+    within = pairs.withColumn("band", band).filter(((F.col("band") == 0) & inside[0]) | ((F.col("band") == 1) & inside[1]) | (F.col("band") == 2))
     in_category = Window.partitionBy(*key, "wrong_category")
     draw = _draw(seed, F.col("correct_idx"), F.col("item_idx"))
-    sized = kept.withColumn("size", F.count("*").over(in_category)).withColumn("draw", draw).withColumn("nth", F.row_number().over(in_category.orderBy("draw", "item_idx")))
+    sized = within.withColumn("size", F.count("*").over(in_category)).withColumn("draw", draw).withColumn("nth", F.row_number().over(in_category.orderBy("draw", "item_idx")))
     lead = F.when(F.col("nth") == 1, F.lit(0)).otherwise(F.lit(1))
     ranked = sized.withColumn("lead", lead).withColumn("slot", F.row_number().over(of_question.orderBy("lead", F.when(F.col("lead") == 0, -F.col("size")), F.when(F.col("lead") == 0, F.col("wrong_category")), "draw", "item_idx")))
     chosen = ranked.withColumn("n", F.count("*").over(of_question)).filter("n >= 3 AND slot <= 3")
@@ -92,6 +98,24 @@ def select_items(pool: DataFrame, n: int, seed: int = 0, contrasts: Sequence[Seq
     return chosen.select(*key, "slot", "item_idx", F.col("wrong_category").alias("item_category")).unionByName(right)
 
 
+def contrast_pairs(pool: DataFrame, contrasts: Sequence[Sequence[str]] = rules.CONTRASTS, factor: float = rules.LENGTH_BANDS[0]) -> DataFrame:
+    """collection, category, other, n: pairs of items of contrasting categories in one collection whose lengths differ by `factor` at most.
+
+    Lengths are counted first, so the pairs are never rows: at most one row a length,
+    category and collection meets another.
+    """
+    sized = pool.select("collection", "category", F.length("item").alias("chars"), contrast_of(F.col("category"), contrasts).alias("contrast")).filter("contrast IS NOT NULL")
+    counts = sized.groupBy("collection", "contrast", "category", "chars").agg(F.count("*").alias("m"))
+    others = counts.select("collection", "contrast", F.col("category").alias("other"), F.col("chars").alias("other_chars"), F.col("m").alias("other_m"))
+    near = counts.join(others, ["collection", "contrast"]).filter((F.col("category") != F.col("other")) & F.col("other_chars").between(F.col("chars") / factor, F.col("chars") * factor))
+    return near.groupBy("collection", "category", "other").agg(F.sum(F.col("m") * F.col("other_m")).alias("n"))
+
+
+def no_pool(requested: DataFrame, selected: DataFrame) -> DataFrame:
+    """collection, category, check: requested pairs without a question, each a failure "no_pool"."""
+    return requested.select("collection", "category").distinct().join(selected, ["collection", "category"], "left_anti").withColumn("check", F.lit("no_pool"))
+
+
 def shuffle_options(selected: DataFrame, seed: int = 0) -> DataFrame:
     """`selected` with `position` (0 to 3) of each option; that of slot 0 is the correct answer's."""
     key = Window.partitionBy("collection", "category", "question_no")
@@ -143,3 +167,42 @@ def deck_report(chunks: DataFrame, units: DataFrame, cards: DataFrame, discarded
     out = count(units, "passages").join(count(cards, "cards"), "collection", "left").join(count(discarded, "discarded"), "collection", "left").join(total, "collection").join(covered, "collection", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("collection", *(zero(c) for c in ("passages", "cards", "discarded", "pages_total", "pages_covered")))
+
+
+def passage_cards(units: DataFrame, chunks: DataFrame, writer) -> tuple[DataFrame, DataFrame]:
+    """(cards, failures) of passages (collection, chunk_id, unit_no, n_cards), written by `writer` and grounded.
+
+    `writer.write(passages)` takes (chunk_id, n_cards, text_raw) and returns (chunk_id,
+    card_no, front, back). A card whose back traces too little to its passage fails as
+    card_grounding; the others carry source_page, the passage's first page.
+    """
+    passages = units.join(chunks.select("chunk_id", "section", "text_raw", "page_start", "page_end"), "chunk_id")
+    said = writer.write(passages.select("chunk_id", "n_cards", "text_raw"))
+    checked = ground.ground_cards(said.join(passages.withColumnRenamed("text_raw", "source_text"), "chunk_id"))
+    keep = ["collection", "section", "chunk_id", "unit_no", "card_no", "front", "back", "page_start", "page_end"]
+    cards = checked.filter("grounded").select(*keep, F.col("page_start").alias("source_page"))
+    return cards, checked.filter("NOT grounded").select(*keep, F.lit("card_grounding").alias("check"))
+
+
+def build_deck(chunks: DataFrame, writer, exclude_sections: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cards, failures, report, by_section) of every collection: all passages carded, fronts that fold alike kept once a collection.
+
+    Passages come in page order, so the first card of a front is that of the earliest
+    passage. Failures are card_grounding and duplicate_front, and both count as
+    discarded; a passage with a kept card covers all of its pages.
+    """
+    units = plan_deck(chunks, exclude_sections)
+    cards, ungrounded = passage_cards(units, chunks, writer)
+    first = Window.partitionBy("collection", text.fold("front")).orderBy("unit_no", "card_no")
+    ranked = kept(cards.withColumn("nth", F.row_number().over(first)))
+    good = ranked.filter("nth = 1").drop("nth")
+    fails = ungrounded.unionByName(ranked.filter("nth > 1").drop("nth", "source_page").withColumn("check", F.lit("duplicate_front")))
+    report = deck_report(chunks, units, good, fails)
+    return good, fails, report, by_section(good)
+
+
+def by_section(cards: DataFrame) -> DataFrame:
+    """collection, section, n, place: cards of each section, largest first, then in order of their first passage."""
+    counts = cards.groupBy("collection", "section").agg(F.count("*").alias("n"), F.min(F.struct("unit_no", "card_no")).alias("first"))
+    order = Window.partitionBy("collection").orderBy(F.desc("n"), "first")
+    return counts.select("collection", "section", "n", F.row_number().over(order).alias("place"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text
+from ..scratch import numbered
 
 
 def locate_headings(stream: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +82,8 @@ def build_chunks(stream: DataFrame, located: DataFrame, groups: DataFrame, limit
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     parts = lines.groupBy(*keys, "part", "n_parts").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), joined.alias("body"))
     raw = F.when(F.col("part") == 0, F.col("body")).otherwise(F.concat_ws("\n", "title", "body"))
-    named = parts.withColumn("text_raw", raw).withColumn("title_folded", text.fold("title")).join(F.broadcast(groups), "title_folded", "left")
+    table = F.broadcast(groups) if groups.count() <= 100_000 else groups
+    named = numbered(parts.withColumn("text_raw", raw).withColumn("title_folded", text.fold("title")), "ordinal", "doc_id", "ord", "part").join(table, "title_folded", "left")
     return named.select(
         text.chunk_id("start_page", "title", "part", "n_parts").alias("chunk_id"),
         "doc_id",
@@ -96,7 +98,7 @@ def build_chunks(stream: DataFrame, located: DataFrame, groups: DataFrame, limit
         "n_parts",
         "text_raw",
         text.fold("text_raw").alias("text_folded"),
-        (F.col("doc_id") * 1_000_000_000 + F.col("ord") * 10_000 + F.col("part")).cast("long").alias("ordinal"),
+        "ordinal",
     )
 
 
@@ -108,3 +110,19 @@ def missing_group_members(chunks: DataFrame, groups: DataFrame) -> DataFrame:
     """title_folded, group_id, polarity of declared members that no chunk carries."""
     seen = chunks.filter("group_id IS NOT NULL").select("group_id", "polarity", text.fold("section").alias("title_folded"))
     return groups.join(seen, ["title_folded", "group_id", "polarity"], "left_anti")
+
+
+def corpus_profile(chunks: DataFrame) -> DataFrame:
+    """collection, category, n: chunks of each collection and of each category; the other column is null."""
+    return chunks.groupingSets([["collection"], ["category"]], "collection", "category").agg(F.count("*").alias("n")).select("collection", "category", "n")
+
+
+def group_summary(chunks: DataFrame) -> DataFrame:
+    """group_id, n, first_page, last_page, affirmative, negative of the groups of (group_id, polarity, page_start, page_end)."""
+    rows = chunks.filter("group_id IS NOT NULL").groupBy("group_id")
+    return rows.agg(F.count("*").alias("n"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"), F.count_if(F.col("polarity") == "affirmative").alias("affirmative"), F.count_if(F.col("polarity") == "negative").alias("negative"))
+
+
+def section_pages(chunks: DataFrame) -> DataFrame:
+    """collection, section, ordinal, page: the first chunk of each section and its page."""
+    return chunks.groupBy("collection", "section").agg(F.min("ordinal").alias("ordinal"), F.min_by("page_start", "ordinal").alias("page"))

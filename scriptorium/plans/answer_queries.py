@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import evaluate, ground, providers, retrieve, revise
+from ..operators import answer, evaluate, ground, providers, retrieve, revise, segment
 from . import base, retrieval_queries
 from .base import SQL_CHUNKS, sql_words, table
 from .text_queries import sql_stem
@@ -93,26 +93,55 @@ def mcq_targets(spark: SparkSession, sf: str) -> DataFrame:
     return revise.quiz_targets(revise.item_pool(_numbered(spark, sf)))
 
 
-@query(f"""WITH {_ITEMS}, k AS (SELECT collection, category, item_idx, len(item) AS chars FROM pool),
-cr AS (SELECT collection, category, item_idx AS cidx, chars AS target, row_number() OVER (PARTITION BY collection, category ORDER BY md5(concat_ws(':', '7', CAST(item_idx AS VARCHAR))), item_idx) AS qn FROM k QUALIFY qn <= 5),
+def _selected(n: int) -> str:
+    """SQL of revise.select_items with seed 7, as a CTE named sel."""
+    return f"""
+k AS (SELECT collection, category, item_idx, item, len(item) AS chars FROM pool),
+kd AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY collection, category, item ORDER BY md5(concat_ws(':', '7', CAST(item_idx AS VARCHAR))), item_idx) = 1),
+cr AS (SELECT collection, category, item_idx AS cidx, chars AS target, row_number() OVER (PARTITION BY collection, category ORDER BY md5(concat_ws(':', '7', CAST(item_idx AS VARCHAR))), item_idx) AS qn FROM kd QUALIFY qn <= {n}),
 p AS (SELECT cr.*, k.category AS wc, k.item_idx, k.chars, chars BETWEEN target / 1.6::DOUBLE AND target * 1.6::DOUBLE AS i0, chars BETWEEN target / 2.4::DOUBLE AND target * 2.4::DOUBLE AS i1 FROM cr JOIN k ON k.collection = cr.collection AND k.category <> cr.category),
 bd AS (SELECT *, CASE WHEN count_if(i0) OVER q >= 3 THEN 0 WHEN count_if(i1) OVER q >= 3 THEN 1 ELSE 2 END AS band FROM p WINDOW q AS (PARTITION BY collection, category, qn)),
 kp AS (SELECT *, md5(concat_ws(':', '7', CAST(cidx AS VARCHAR), CAST(item_idx AS VARCHAR))) AS draw FROM bd WHERE (band = 0 AND i0) OR (band = 1 AND i1) OR band = 2),
 sz AS (SELECT *, count(*) OVER (PARTITION BY collection, category, qn, wc) AS size, row_number() OVER (PARTITION BY collection, category, qn, wc ORDER BY draw, item_idx) AS nth FROM kp),
 rk AS (SELECT *, row_number() OVER (PARTITION BY collection, category, qn ORDER BY CASE WHEN nth = 1 THEN 0 ELSE 1 END, CASE WHEN nth = 1 THEN -size END NULLS FIRST, CASE WHEN nth = 1 THEN wc END NULLS FIRST, draw, item_idx) AS slot, count(*) OVER (PARTITION BY collection, category, qn) AS n FROM sz),
-ch AS (SELECT * FROM rk WHERE n >= 3 AND slot <= 3)
-SELECT collection, category, CAST(qn AS INT) AS question_no, CAST(slot AS INT) AS slot, item_idx, wc AS item_category FROM ch UNION ALL SELECT collection, category, CAST(qn AS INT), 0, cidx, category FROM ch WHERE slot = 1""")
+ch AS (SELECT * FROM rk WHERE n >= 3 AND slot <= 3),
+sel AS (SELECT collection, category, CAST(qn AS INT) AS question_no, CAST(slot AS INT) AS slot, item_idx, wc AS item_category FROM ch UNION ALL SELECT collection, category, CAST(qn AS INT), 0, cidx, category FROM ch WHERE slot = 1)"""
+
+
+@query(f"WITH {_ITEMS}, {_selected(5)} SELECT * FROM sel")
 def select_items(spark: SparkSession, sf: str) -> DataFrame:
     return revise.select_items(revise.item_pool(_numbered(spark, sf)), 5, seed=7).select("collection", "category", "question_no", "slot", "item_idx", "item_category")
 
 
-@query()
+@query(f"""WITH {_ITEMS}, {_selected(3)},
+op AS (SELECT sel.*, row_number() OVER (PARTITION BY sel.collection, sel.category, question_no ORDER BY md5(concat_ws(':', '7', 'shuffle', sel.category, CAST(question_no AS VARCHAR), CAST(item_idx AS VARCHAR))), item_idx) - 1 AS position, regexp_replace(trim(regexp_replace(trim(item), '^To ', '')), '\\d+$', '') AS o, source FROM sel JOIN pool USING (item_idx) JOIN documents USING (doc_id))
+SELECT collection, category, question_no, string_agg(upper(left(o, 1)) || substr(o, 2), '|' ORDER BY position) AS options, max(CASE WHEN slot = 0 THEN position END) AS correct_index, 1 AS source_page, max(CASE WHEN slot = 0 THEN source END) AS section, string_agg(DISTINCT CASE WHEN slot > 0 THEN item_category END, ',' ORDER BY CASE WHEN slot > 0 THEN item_category END) AS distractors, 'Which of these is filed under ' || category || '?' AS question
+FROM op GROUP BY collection, category, question_no HAVING count(*) = 4""")
 def assembled_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Questions with shuffled options and stand-in stems."""
     pool = revise.item_pool(_numbered(spark, sf))
     options = revise.shuffle_options(revise.select_items(pool, 3, seed=7), seed=7)
     stems = options.select("collection", "category", "question_no").distinct().withColumn("question", F.concat(F.lit("Which of these is filed under "), "category", F.lit("?"))).withColumn("explanation", F.lit(""))
-    return revise.assemble_questions(options, pool, stems)[0]
+    good = revise.assemble_questions(options, pool, stems)[0]
+    return good.select("collection", "category", "question_no", F.array_join("options", "|").alias("options"), F.col("correct_index").cast("long").alias("correct_index"), "source_page", "section", F.array_join("distractor_categories", ",").alias("distractors"), "question")
+
+
+@query(f"WITH {_ITEMS}, {_selected(1)} SELECT collection, category, 'no_pool' AS \"check\" FROM (SELECT collection, category FROM (SELECT DISTINCT collection FROM pool), (VALUES ('adab'), ('fard'), ('sunnah')) v(category) EXCEPT SELECT collection, category FROM sel)")
+def no_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Requested questions of three categories in every collection; one of them has no items."""
+    pool = revise.item_pool(_numbered(spark, sf))
+    requested = pool.select("collection").distinct().select("collection", F.explode(F.array(*map(F.lit, ("adab", "fard", "sunnah")))).alias("category"))
+    return revise.no_pool(requested, revise.select_items(pool, 1, seed=7))
+
+
+@query(f"WITH {_ITEMS}, k AS (SELECT collection, category, len(item) AS chars FROM pool) SELECT x.collection, x.category, y.category AS other, count(*) AS n FROM k x JOIN k y ON y.collection = x.collection AND y.category <> x.category AND y.chars BETWEEN x.chars / 1.6::DOUBLE AND x.chars * 1.6::DOUBLE GROUP BY ALL")
+def contrast_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return revise.contrast_pairs(revise.item_pool(_numbered(spark, sf)))
+
+
+@query(f"WITH {_ITEMS} SELECT category, count(*) AS n, string_agg(DISTINCT collection, ',' ORDER BY collection) AS collections FROM pool GROUP BY 1")
+def pool_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return revise.pool_summary(revise.item_pool(_numbered(spark, sf))).withColumn("collections", F.array_join("collections", ","))
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT collection, chunk_id, CAST(row_number() OVER (PARTITION BY collection ORDER BY page_start, part, ordinal) AS INT) AS unit_no, CAST(greatest(2, least(5, len(text_raw) // 750)) AS INT) AS n_cards FROM c WHERE len(text_raw) >= 400")
@@ -142,6 +171,39 @@ def deck_report(spark: SparkSession, sf: str) -> DataFrame:
     return revise.deck_report(rows, revise.plan_deck(rows), kept, cards.join(kept, ["conv_id", "turn"], "left_anti"))
 
 
+_DECK = f"""{SQL_CHUNKS},
+u AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY page_start, part, ordinal) AS unit_no, greatest(2, least(5, len(text_raw) // 750)) AS n_cards FROM c WHERE len(text_raw) >= 400),
+ln AS (SELECT *, list_filter(string_split(text_raw, chr(10)), lambda x: trim(x) <> '') AS ls FROM u),
+cd AS (SELECT collection, section, chunk_id, unit_no, page_start, text_raw AS source_text, unnest(generate_series(0, least(n_cards, len(ls)) - 1)) AS card_no, unnest(ls[1:n_cards]) AS back FROM ln),
+fr AS (SELECT *, array_to_string(string_split(back, ' ')[1:4], ' ') AS front, len({_BACK}) AS n_words FROM cd),
+ok AS (SELECT *, row_number() OVER (PARTITION BY collection, {base.sql_fold('front')} ORDER BY unit_no, card_no) AS nth FROM fr WHERE n_words > 0)"""
+
+
+@query(f"WITH {_DECK} SELECT collection, chunk_id, CAST(card_no AS INT) AS card_no, front, page_start AS source_page FROM ok WHERE nth = 1")
+def deck_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Grounded cards of all passages, fronts that fold alike once a collection."""
+    cards, _, _, _ = revise.build_deck(base.chunks(spark, sf), providers.LineCardWriter())
+    return cards.select("collection", "chunk_id", "card_no", "front", "source_page")
+
+
+@query(f"WITH {_DECK} SELECT collection, 'duplicate_front' AS \"check\", count(*) AS n FROM ok WHERE nth > 1 GROUP BY 1 UNION ALL SELECT collection, 'card_grounding', count(*) FROM fr WHERE n_words = 0 GROUP BY 1")
+def deck_failures(spark: SparkSession, sf: str) -> DataFrame:
+    _, fails, _, _ = revise.build_deck(base.chunks(spark, sf), providers.LineCardWriter())
+    return fails.groupBy("collection", "check").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_DECK}, f AS (SELECT collection, section, count(*) AS n, min((unit_no, card_no)) AS first FROM ok WHERE nth = 1 GROUP BY ALL) SELECT collection, section, n, CAST(row_number() OVER (PARTITION BY collection ORDER BY n DESC, first) AS INT) AS place FROM f")
+def deck_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return revise.build_deck(base.chunks(spark, sf), providers.LineCardWriter())[3]
+
+
+@query(f"WITH {SQL_CHUNKS} SELECT conv_id * 1000 + turn AS query_id, coalesce(section, '') AS section FROM conversations LEFT JOIN c ON c.chunk_id = CASE WHEN turn % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE 'none' END")
+def citation_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn cites the chunk of its conversation's number, odd ones a chunk that is none."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(F.col("turn") % 2 == 0, F.col("conv_id").cast("string")).otherwise("none").alias("chunk_id"))
+    return ground.citation_sections(turns, base.chunks(spark, sf)).select("query_id", "section")
+
+
 _EVAL = "e AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'Polarity trap' WHEN 1 THEN 'Out of scope' ELSE 'Straightforward' END AS category, item_id % 3 = 1 AS should_abstain, item_id % 7 = 1 AS abstained, CASE item_id % 5 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'incomplete' ELSE 'agrees' END AS judged, CASE WHEN item_id % 4 = 0 THEN item_id % 8 END AS variant_group, CASE WHEN item_id % 3 <> 1 THEN item_id % 6 <> 0 END AS recall, item_id % 9 = 0 AS bad_page, (item_id * 37 % 101) / 10 AS seconds FROM benchmark), v AS (SELECT *, CASE WHEN should_abstain THEN CASE WHEN abstained THEN 'declined' ELSE 'leaked' END WHEN abstained THEN 'abstained' ELSE judged END AS verdict FROM e), r AS (SELECT *, verdict = CASE WHEN should_abstain THEN 'declined' ELSE 'agrees' END AS behaviour_ok FROM v)"
 
 
@@ -193,7 +255,18 @@ def eval_latency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_EVAL} SELECT variant_group, count(DISTINCT verdict) = 1 AS same FROM r WHERE variant_group IS NOT NULL GROUP BY 1")
 def variant_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, sf).filter("variant_group IS NOT NULL").groupBy("variant_group").agg((F.countDistinct("verdict") == 1).alias("same"))
+    return evaluate.variant_agreement(_rows(spark, sf))
+
+
+@query(f"WITH {_EVAL} SELECT query_id FROM r WHERE category = 'Polarity trap' ORDER BY query_id LIMIT 5")
+def eval_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five questions of a category, named in another case."""
+    return evaluate.subset(_rows(spark, sf), "polarity TRAP", 5).select("query_id")
+
+
+@query(f"WITH {_EVAL} SELECT query_id, seconds, CAST(row_number() OVER (ORDER BY seconds DESC, query_id) AS INT) AS place FROM r QUALIFY place <= 6")
+def eval_slowest(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.slowest(_rows(spark, sf)).select("query_id", "seconds", "place")
 
 
 @query(f"WITH {retrieval_queries._BM25} SELECT item_id % 8 AS variant_group, count(*) AS n, count(DISTINCT coalesce(doc_id, -1)) = 1 AS same_top1 FROM benchmark LEFT JOIN (SELECT query_id, doc_id FROM bm WHERE rank = 1) ON query_id = item_id GROUP BY 1")
@@ -224,21 +297,33 @@ def option_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SQL_CHUNKS} SELECT collection, section, min(ordinal) AS ordinal, arg_min(page_start, ordinal) AS page FROM c GROUP BY ALL")
 def section_pages(spark: SparkSession, sf: str) -> DataFrame:
     """First page of each section, that of its first chunk."""
-    return base.chunks(spark, sf).groupBy("collection", "section").agg(F.min("ordinal").alias("ordinal"), F.min_by("page_start", "ordinal").alias("page"))
-
-
-@query()
+    return segment.section_pages(base.chunks(spark, sf))
+
+
+_PAGE_LIST = "flatten(list_transform(generate_series(1, len(pa)), lambda i: CASE WHEN coalesce(pb[i], '') = '' OR CAST(nullif(pb[i], '') AS INT) < CAST(pa[i] AS INT) OR CAST(nullif(pb[i], '') AS INT) - CAST(pa[i] AS INT) > 20 THEN [CAST(pa[i] AS BIGINT)] ELSE generate_series(CAST(pa[i] AS BIGINT), CAST(pb[i] AS BIGINT)) END))"
+
+
+@query(f"""WITH {SQL_CHUNKS}, {retrieval_queries._BM25},
+qt AS (SELECT item_id AS query_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS qt FROM benchmark),
+sc2 AS (SELECT query_id, doc_id, rank AS b, CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}))) / CAST(len(qt) AS DOUBLE), 6) ELSE 0 END AS score FROM bm JOIN qt USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 5),
+re2 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b) AS rank FROM sc2),
+ga AS (SELECT item_id AS query_id, coalesce(max(score), 0) AS top_score FROM benchmark LEFT JOIN re2 ON query_id = item_id GROUP BY 1),
+cx AS (SELECT query_id, rank - 1 AS di, c.* FROM re2 JOIN ga USING (query_id) JOIN c USING (doc_id) WHERE top_score >= 0.5),
+li AS (SELECT query_id, di, chunk_id, section, page_start, page_end, unnest(generate_series(0, len(string_split(text_raw, chr(10))) - 1)) AS n, unnest(string_split(text_raw, chr(10))) AS text FROM cx),
+sh AS (SELECT li.*, len(list_intersect(qt, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}))) AS shared FROM li JOIN qt USING (query_id)),
+be AS (SELECT *, trim(text || ' (Corpus — ' || section || ', ' || CASE WHEN page_start = page_end THEN printf('p%d', page_start) ELSE printf('pp%d-%d', page_start, page_end) END || ')') AS said FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, di, n) = 1),
+pg AS (SELECT query_id, said, regexp_extract_all(said, '(?i){rules.PAGE_MENTION}', 1) AS pa, regexp_extract_all(said, '(?i){rules.PAGE_MENTION}', 2) AS pb FROM be),
+cv AS (SELECT query_id, flatten(list(generate_series(page_start, page_end))) AS have FROM cx GROUP BY 1)
+SELECT ga.query_id, top_score, top_score < 0.5 OR shared = 0 AS abstained, CASE WHEN top_score < 0.5 THEN 'low-confidence' WHEN shared = 0 THEN 'refusal' END AS abstain_reason,
+  CASE WHEN top_score < 0.5 THEN '{answer.LOW_CONFIDENCE}' WHEN shared = 0 THEN '{answer.REFUSAL}' ELSE be.said END AS text, CASE WHEN shared > 0 THEN chunk_id END AS cited, CASE WHEN shared > 0 THEN section END AS section,
+  CASE WHEN shared > 0 THEN array_to_string(list_sort(list_filter(list_distinct({_PAGE_LIST}), lambda x: NOT list_contains(have, x))), ',') END AS unverified
+FROM ga LEFT JOIN be USING (query_id) LEFT JOIN pg USING (query_id) LEFT JOIN cv USING (query_id)""")
 def grounded_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Gate, context, stand-in answer and page check of every question; gated ones reach no generator."""
+    """Gate, context, stand-in answer, citations and page check of every question; gated ones reach no generator."""
     asked, rows = base.questions(spark, sf), base.chunks(spark, sf)
     best = retrieval_queries._bm25(spark, sf).filter("rank <= 5")
     pairs = best.select("query_id", "chunk_id", F.col("rank").alias("fused_rank")).join(asked, "query_id").join(rows.select("chunk_id", "text_raw"), "chunk_id")
     ranked = retrieve.rerank(providers.CoverageReranker().score(pairs)).select("query_id", "chunk_id", "score", "rank")
-    gated = retrieve.gate(asked, ranked)
-    passed = gated.filter("is_confident").select("query_id")
-    context = ranked.join(passed, "query_id", "left_semi").join(rows.select("chunk_id", "section", "text_raw", "page_start", "page_end"), "chunk_id")
-    title = text.document_title("Corpus", "section", F.lit("general"), "page_start", "page_end")
-    prompts = context.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", title.alias("title"), F.col("text_raw").alias("text")))), lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))).alias("context")).join(asked, "query_id")
-    said = providers.ExtractiveGenerator().answer(prompts)
-    checked = ground.verify_citations(said.select("query_id", "text"), context)
-    return gated.join(said.select("query_id", "text"), "query_id", "left").join(checked, "query_id", "left").select("query_id", "top_score", (~F.col("is_confident")).alias("abstained"), "text", "unverified_pages")
+    said = answer.answer(asked, ranked, rows, providers.ExtractiveGenerator(), least=0.5)
+    first = F.try_element_at("citations", F.lit(1))
+    return said.select("query_id", "top_score", "abstained", "abstain_reason", "text", first["chunk_id"].alias("cited"), first["section"].alias("section"), F.array_join(F.col("unverified_pages").cast("array<string>"), ",").alias("unverified"))

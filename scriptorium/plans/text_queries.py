@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import segment
+from ..scratch import kept
 from ..sources import paged
 from . import base
 from .base import SQL_CHUNKS, sql_fold, sql_words, table
@@ -173,23 +174,41 @@ def split_sections(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("doc_id", "part", "n_parts").agg(F.count("*").alias("n_lines"), F.sha2(body.cast("binary"), 256).alias("body_sha"))
 
 
-@query()
+_SECTION_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches({sql_fold('title')}, '{p}') THEN '{label}'" for p, label in rules.CATEGORIES) + f" ELSE '{rules.NO_CATEGORY}' END"
+_SECTION_COLLECTION = "CASE " + " ".join(f"WHEN start_page BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in rules.COLLECTIONS) + f" WHEN start_page < {rules.COLLECTIONS[0][0]} THEN '{rules.BEFORE_COLLECTIONS}' ELSE '{rules.AFTER_COLLECTIONS}' END"
+
+
+@query(f"""WITH RECURSIVE {_ENTRIES},
+loc AS (SELECT r.doc_id, r.ord, en.title, r.hit AS pos, sf.page AS start_page FROM r JOIN en USING (doc_id, ord) JOIN sf ON sf.doc_id = r.doc_id AND sf.pos = r.hit WHERE r.ord >= 0),
+sl AS MATERIALIZED (SELECT s.doc_id, s.pos, s.page, s.line, l.ord, l.title, l.start_page, row_number() OVER (PARTITION BY s.doc_id, l.ord ORDER BY s.pos) - 1 AS k FROM s ASOF JOIN loc l ON s.doc_id = l.doc_id AND s.pos >= l.pos),
+pt AS (SELECT doc_id, ord, k, len(line) + 1 AS size, 0 AS part FROM sl WHERE k = 0
+  UNION ALL SELECT x.doc_id, x.ord, x.k, CASE WHEN pt.size + len(x.line) > {rules.CHUNK_CHARS} THEN len(x.line) + 1 ELSE pt.size + len(x.line) + 1 END, CASE WHEN pt.size + len(x.line) > {rules.CHUNK_CHARS} THEN pt.part + 1 ELSE pt.part END FROM pt JOIN sl x ON x.doc_id = pt.doc_id AND x.ord = pt.ord AND x.k = pt.k + 1),
+bd AS (SELECT sl.doc_id, sl.ord, title, start_page, part, min(page) AS page_start, max(page) AS page_end, string_agg(line, chr(10) ORDER BY pos) AS body FROM sl JOIN pt USING (doc_id, ord, k) GROUP BY ALL),
+gr AS (SELECT {sql_fold('title')} AS t, 'g' || CAST(min(doc_id) % 5 AS VARCHAR) AS group_id, CASE WHEN min(doc_id) % 2 = 0 THEN 'affirmative' ELSE 'negative' END AS polarity FROM loc WHERE ord % 4 = 0 GROUP BY 1),
+ck AS (SELECT *, CASE WHEN part = 0 THEN body ELSE title || chr(10) || body END AS raw, max(part) OVER (PARTITION BY doc_id, ord) + 1 AS n_parts, row_number() OVER (ORDER BY doc_id, ord, part) - 1 AS ordinal, left(regexp_replace(regexp_replace({sql_fold('title', True)}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM bd)
+SELECT printf('%03d-%s%s', start_page, slug, CASE WHEN n_parts > 1 THEN printf('-p%d', part) ELSE '' END) AS chunk_id, doc_id, {_SECTION_COLLECTION} AS collection, title AS section, {_SECTION_CATEGORY} AS category, group_id, polarity, page_start, page_end, CAST(part AS INT) AS part, CAST(n_parts AS INT) AS n_parts, ordinal, sha256(raw) AS raw_sha, sha256({sql_fold('raw')}) AS folded_sha
+FROM ck LEFT JOIN gr ON gr.t = {sql_fold('title')}""")
 def build_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk table of the located sections; every fourth title of a document names a group."""
     stream, entries = _stream_and_entries(spark, sf)
     located, _ = segment.locate_headings(stream, entries)
-    return segment.build_chunks(stream, located, segment.group_table(spark))
+    located = kept(located)
+    named = located.filter("ord % 4 = 0").select(text.fold("title").alias("title_folded"), "doc_id").groupBy("title_folded").agg(F.min("doc_id").alias("d"))
+    groups = named.select("title_folded", F.concat(F.lit("g"), (F.col("d") % 5).cast("string")).alias("group_id"), F.when(F.col("d") % 2 == 0, "affirmative").otherwise("negative").alias("polarity"))
+    rows = segment.build_chunks(stream, located, groups)
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return rows.select("chunk_id", "doc_id", "collection", "section", "category", "group_id", "polarity", "page_start", "page_end", "part", "n_parts", "ordinal", digest("text_raw").alias("raw_sha"), digest("text_folded").alias("folded_sha"))
 
 
 @query("SELECT source AS collection, lang AS category, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source), (lang))")
 def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("lang").alias("category"))
-    return docs.groupingSets([["collection"], ["category"]], "collection", "category").agg(F.count("*").alias("n")).select("collection", "category", "n")
+    return segment.corpus_profile(table(spark, sf, "documents").select(F.col("source").alias("collection"), F.col("lang").alias("category")))
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT collection AS group_id, count(*) AS n, min(page_start) AS first_page, max(page_end) AS last_page, count_if(toxic = 0) AS affirmative, count_if(toxic = 1) AS negative FROM c JOIN labels USING (doc_id) GROUP BY 1")
 def group_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = base.chunks(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-    return rows.groupBy(F.col("collection").alias("group_id")).agg(F.count("*").alias("n"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"), F.count_if(F.col("toxic") == 0).alias("affirmative"), F.count_if(F.col("toxic") == 1).alias("negative"))
+    labels = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 0, "affirmative").when(F.col("toxic") == 1, "negative").alias("polarity"))
+    return segment.group_summary(base.chunks(spark, sf).withColumnRenamed("collection", "group_id").join(labels, "doc_id"))
 
 
 @query("SELECT source AS title_folded, source AS group_id, CAST(p AS VARCHAR) AS polarity FROM (SELECT DISTINCT source FROM documents), (VALUES (0), (1), (2)) v(p) EXCEPT SELECT source, source, CAST(toxic AS VARCHAR) FROM documents JOIN labels USING (doc_id)")

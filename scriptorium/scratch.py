@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _kept: list[tuple[SparkSession, str]] = []
 
@@ -34,6 +36,21 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """`df` with `name`, the number of each row from 0 in order of `keys`, which tell all rows apart.
+
+    Rows are dealt by ranges of the keys and written; each range is counted, and a row's
+    number is its place in its range after the rows of the ranges before.
+    """
+    part = f"_range_of_{name}"
+    dealt = kept(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()))
+    # One row a range is ordered in one place.
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy(part).agg(F.count("*").alias("n")).select(part, before.alias("before"))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*keys)) - 1
+    return dealt.withColumn(name, own).join(F.broadcast(offsets), part).withColumn(name, (F.col("before") + F.col(name)).cast("long")).drop(part, "before")
+
+
 def _remove() -> None:
     for spark, path in _kept:
         try:
