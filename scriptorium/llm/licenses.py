@@ -97,8 +97,6 @@ SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "s
 # In order: copyright lines go, then punctuation becomes a space, then spellings, then spaces.
 _COPYRIGHT = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[ \t]*((\(c\)|©)[ \t]*)?[0-9][^\n]*$"
 _PUNCTUATION = r"[^0-9a-zß-öø-ÿ]+"
-# Only the SQL tests raw texts for these words first.
-_CANDIDATE = "licen[cs]e|copyright|public domain|rights reserved|permission|creative commons|cc0"
 _RULES = [(_COPYRIGHT, " "), (_PUNCTUATION, " "), *((rf"\b{a}\b", b) for a, b in SPELLINGS)]
 
 
@@ -124,30 +122,37 @@ def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNO
     return spark.createDataFrame(rows, "digest string, license string")
 
 
+def _units(docs: DataFrame, known: tuple[tuple[str, str], ...]) -> DataFrame:
+    """doc_id, tk (a hash of the text, which tells rows of one doc_id apart), line, license."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    lines = texts.select("doc_id", "tk", F.posexplode(F.split("low", "\n")).alias("line", "unit"))
+    whole = texts.select("doc_id", "tk", F.lit(-1).alias("line"), F.col("low").alias("unit"))
+    digest = F.sha2(canonical(F.col("unit")).cast("binary"), 256)
+    units = lines.unionByName(whole).select("doc_id", "tk", "line", digest.alias("digest"))
+    return units.join(F.broadcast(known_licenses(docs.sparkSession, known)), "digest").select("doc_id", "tk", "line", "license")
+
+
 def license_units(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, line (-1: the entire text), license of every text unit that is a known licence.
 
-    Every line and text is brought to its canonical form; no test of the raw text comes before.
+    Every line and text is brought to its canonical form; no test of the raw text comes
+    before. Null and empty texts have no unit; a null doc_id is kept, repeated rows each.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    lines = texts.select("doc_id", F.posexplode(F.split("low", "\n")).alias("line", "unit"))
-    whole = texts.select("doc_id", F.lit(-1).alias("line"), F.col("low").alias("unit"))
-    digest = F.sha2(canonical(F.col("unit")).cast("binary"), 256)
-    units = lines.unionByName(whole).select("doc_id", "line", digest.alias("digest"))
-    return units.join(F.broadcast(known_licenses(spark, known)), "digest").select("doc_id", "line", "license")
+    return _units(docs, known).drop("tk")
 
 
 def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, is_license, n_lines, licenses (sorted, comma-joined) of every document.
 
     is_license: the entire text is a known licence; n_lines: its lines that are one.
-    Null and empty texts match nothing. Matches are gathered by doc_id, so rows that
-    repeat an id with different texts share them; a null doc_id matches nothing. An
+    Null and empty texts match nothing. Matches belong to a doc_id and its text, so rows
+    without a doc_id or with a repeated one have those of their own text. An
     empty table gives no rows. Only doc_id and text are read; texts are scanned whole.
     """
-    found = license_units(docs, known).groupBy("doc_id").agg(F.max(F.col("line") == -1).alias("is_license"), F.countDistinct(F.when(F.col("line") >= 0, F.col("line"))).alias("n_lines"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("is_license", F.lit(False)).alias("is_license"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"))
+    found = _units(docs, known).groupBy("doc_id", "tk").agg(F.max(F.col("line") == -1).alias("is_license"), F.countDistinct(F.when(F.col("line") >= 0, F.col("line"))).alias("n_lines"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"))
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["tk"] == found["tk"]), "left")
+    return joined.select(rows["doc_id"], F.coalesce("is_license", F.lit(False)).alias("is_license"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 
 def _sql() -> str:
@@ -156,12 +161,12 @@ def _sql() -> str:
     for pattern, replacement in _RULES:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
     form = f"trim({form}, ' ')"
-    known = ", ".join(f"({quoted(digest)}, {quoted(name)})" for digest, name in sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): n for n, t in NOTICES}.items()))
+    known = ", ".join(f"({quoted(digest)}, {quoted(name)})" for digest, name in sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): n for n, t in KNOWN}.items()))
     return f"""
 WITH known(digest, license) AS (VALUES {known}),
 units AS (SELECT doc_id, -1 AS line, text AS unit FROM documents
   UNION ALL SELECT doc_id, line, unit FROM (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line, unnest(string_split(text, chr(10))) AS unit FROM documents)),
-found AS (SELECT doc_id, line, license FROM units JOIN known ON known.digest = sha256({form.format("unit")}) WHERE regexp_matches(lower(coalesce(unit, '')), {quoted(_CANDIDATE)})),
+found AS (SELECT doc_id, line, license FROM units JOIN known ON known.digest = sha256({form.format("unit")})),
 g AS (SELECT doc_id, bool_or(line = -1) AS is_license, count(DISTINCT CASE WHEN line >= 0 THEN line END) AS n_lines, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM found GROUP BY doc_id)
 SELECT d.doc_id, coalesce(g.is_license, false) AS is_license, CAST(coalesce(g.n_lines, 0) AS BIGINT) AS n_lines, coalesce(g.licenses, '') AS licenses FROM documents d LEFT JOIN g USING (doc_id)
 """

@@ -311,7 +311,11 @@ def near_duplicates(docs: DataFrame, sample_rows: int = 8000, hot_count: int = 2
     roots = _links.components(links.unionByName(own))
     return of_class.join(roots, of_class["class_id"] == roots["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is the smallest doc_id of its component, with their columns."""
+    """The rows of `docs` whose document is the smallest doc_id of its component, with their columns.
+
+    Rows without an id or without words are in no component and stay; all rows of an id
+    that stays stay; an empty table gives no rows.
+    """
     gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -195,7 +195,10 @@ def _shared_strings(docs: DataFrame, classes: DataFrame, length: int, most: int
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, spans (array of start, bytes; not merged) of every document with bytes to remove."""
+    """doc_id, spans (array of start, bytes; not merged) of every document with bytes to remove.
+
+    Ids must not be null or repeat; texts must not be null; an empty table gives no rows.
+    """
     runs = _runs(docs, length)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartition(partitions, "anchor")

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import _spark
 
-# Letters of other scripts that look like Latin ones, in pairs.
-LOOK_ALIKES = "аa вb еe кk мm нh оo рp сc тt уy хx іi јj ѕs ԁd һh ԛq ԝw αa βb εe ηn ιi κk νv οo ρp τt υu χx ɑa ɡg ıi"
-# Digits and signs that stand for letters, in pairs.
-SUBSTITUTES = "0o 1i 3e 4a 5s 7t 8b 9g @a $s !i"
+# Letters of other scripts that look like Latin ones.
+LOOK_ALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɑ": "a", "ɡ": "g", "ı": "i"}
+# Digits and signs that stand for letters.
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 # Phrases in which an otherwise toxic word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "class clown", "loser pays")
 
@@ -41,9 +41,9 @@ class _Fold(dict):
         return value
 
 
-_FOLD = _Fold({ord(a): b for a, b in LOOK_ALIKES.split()})
+_FOLD = _Fold({ord(a): b for a, b in LOOK_ALIKES.items()})
 _FOLD.update({code: "" for code in (0x200B, 0x200C, 0x200D, 0x2060, 0xAD, 0xFEFF)})
-_LETTER_OF = dict(SUBSTITUTES.split())
+_LETTER_OF = SUBSTITUTES
 _SIGNED = re.compile(r"(?<=[^\W\d_])[@$!](?=\w)|(?<!\w)[@$](?=[^\W\d_])")
 _DIGIT = re.compile(r"\d")
 _MIXED = re.compile(r"\b(?=\w*[^\W\d_])(?=\w*\d)\w+\b")
@@ -113,9 +113,8 @@ def _candidates(folded: str) -> set[str]:
     """Whole words and word beginnings of 3 to 10 letters."""
     out = set()
     for word in set(folded.split()):
-        if len(word) <= 40:
-            out.add(f" {word} ")
-            out.update(f" {word[:k]}" for k in range(3, min(len(word), 10) + 1))
+        out.add(f" {word} ")
+        out.update(f" {word[:k]}" for k in range(3, min(len(word), 10) + 1))
     return out
 
 
@@ -124,7 +123,8 @@ def learn_lexicon(sample: DataFrame, min_support: int = 4, min_log_odds: float =
 
     Documents are counted in tasks and summed by term; only terms that pass the
     thresholds of support, log-odds and evidence (the log-likelihood ratio of the
-    term's share of y = 1 against the sample's) reach the driver, `max_terms` at most. Of a word
+    term's share of y = 1 against the sample's) reach the driver: the 20 * `max_terms` of
+    most support, of which the `max_terms` of greatest weight stay. Of a word
     beginning and a longer term with nearly the same documents the longer stays.
     Without both labels the lexicon has no terms and scores all texts alike.
     """
@@ -221,7 +221,11 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fo
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all columns, whose text scores below `threshold`; rows pass through one scan, unshuffled."""
+    """The rows of `docs`, with all columns, whose text scores below `threshold`; rows pass through one scan, unshuffled.
+
+    Each row goes by its own text, whatever its id; null and empty texts score as texts
+    without hits; repeated rows all stay or all go; an empty table gives no rows.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coef = np.array(lexicon.coef)

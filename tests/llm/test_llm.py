@@ -60,6 +60,51 @@ def test_edges(spark, tmp_path, name, empty):
         assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
 
 
+def odd_rows():
+    """Rows without an id, repeated ids with equal and with other texts, columns named as the operators name theirs."""
+    rng = random.Random(14)
+    a, b, long = prose(rng, 40), prose(rng, 40), prose(rng, 30_000)
+    texts = [(None, a), (None, a), (None, None), (1, a), (1, a), (1, b), (2, "\n".join([a, b, a])), (3, long), (4, ""), (5, None)]
+    return [(i, t, "en", "s", None if t is None else len(t), 1, "x", 2.0, True) for i, t in texts]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __gone int, tk string, score double, mask boolean"
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n != "op7_html_text"])
+def test_odd_rows(spark, tmp_path, name):
+    """Each row gets its own row (op1: pieces of each id), with missing and repeated ids and clashing names."""
+    rows = odd_rows()
+    spark.createDataFrame(rows, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r["doc_id"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    order = lambda ids: sorted(ids, key=lambda x: (x is not None, x or 0))
+    if name == "op1_packing":
+        assert set(got) == {r[0] for r in rows}
+    else:
+        assert order(got) == order([r[0] for r in rows])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, tmp_path, empty):
+    """All stages keep columns of any name; a null id and a repeated one go by their own texts."""
+    import corpus_pipeline
+
+    rows = [] if empty else odd_rows()
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words in any of these texts at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sum(r["doc_id"] is None for r in docs.collect()) == (0 if empty else 3), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
 # 1. Packing
 
 
@@ -260,6 +305,42 @@ def test_folding_and_exceptions():
     assert toxicity.matched("amor", lexicon) == (0.0, 0, 1)
 
 
+def test_toxic_weights_equal_a_plain_search():
+    """Hits found by looking at every place for every term, exceptions and ties included."""
+    rng = random.Random(17)
+    lexicon = toxicity.Lexicon(tuple((p, float(w)) for p, w in ((" al", 2), (" alpha ", 3), (" beta", 1.5), (" gam", 4), (" gammas", 5), (" rho ", 2.5))), ("alpha beta", "gammas pi"))
+    for _ in range(200):
+        text = " ".join(rng.choice(["alpha", "Beta", "g4mmas", "pi", "rho", "rhos", "аlpha"]) for _ in range(rng.randint(0, 12)))
+        folded = toxicity.fold(text)
+        excused = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {p} )", folded)]
+        best = {}
+        for pattern, weight in lexicon.terms:
+            for at in range(len(folded)):
+                if folded.startswith(pattern, at) and not any(a <= at < b for a, b in excused):
+                    best[at] = max(best.get(at, 0.0), weight)
+        total, hits, words = toxicity.matched(text, lexicon)
+        assert (round(total, 9), hits, words) == (round(sum(best.values()), 9), len(best), len(folded.split())), text
+
+
+def test_coordinate_descent_reaches_the_least_loss():
+    """The objective of the fitted weights is near that of plain subgradient descent on the same rows."""
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(60)]
+    values = [rng.normal(size=4) for _ in rows]
+    y = np.sign(rng.normal(size=60))
+    x = np.zeros((60, 13))
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, r] = v
+    x[:, 12] = 1.0
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    w, bias = quality.dual_coordinate_descent(rows, values, y, np.ones(60), 12, epochs=400)
+    plain, best = np.zeros(13), np.inf
+    for step in range(1, 20_001):
+        plain -= (plain - (x * y[:, None])[y * (x @ plain) < 1].sum(0)) / step
+        best = min(best, loss(plain))
+    assert loss(np.append(w, bias)) <= best * 1.01
+
+
 # 5. Fingerprints
 
 
