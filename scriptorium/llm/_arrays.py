@@ -75,6 +75,15 @@ class SpanHash:
         raw = (self._sums[end] - self._sums[start]) * self._inverses[start]
         return mix(raw ^ ((end - start).astype(np.uint64) << np.uint64(40)), seed)
 
+    def windows(self, width: int) -> np.ndarray:
+        """The hashes of all spans of `width` symbols, by their start; as a call gives them."""
+        n = len(self._sums) - 1 - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        raw = self._sums[width:] - self._sums[:n]
+        raw *= self._inverses[:n]
+        return mix(raw ^ np.uint64(width << 40))
+
 
 def _geometric(base: np.uint64, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)

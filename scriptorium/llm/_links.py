@@ -8,7 +8,7 @@ pairs that sizes and sketches allow become rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,47 +123,74 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), 0)
 
 
-def mixed_members(groups: DataFrame, roots: DataFrame, block: int = 1024) -> DataFrame:
-    """(g, node, root, blocks), written, of those `groups` (g, node) whose nodes have several roots in `roots` (node, root; others stand alone)."""
+def mixed_members(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(g, node, root), written, of those `groups` (g, node) whose nodes have several roots in `roots` (node, root; others stand alone)."""
     rooted = groups.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    return _spark.written(rooted.join(several, "g"))
+    several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    return _spark.written(rooted.join(several, "g", "left_semi"))
 
 
-def crossing_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
+def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str], bool] | None = None, members: int = 1024, features: int = 1_000_000) -> DataFrame:
     """Plausible pairs (a, b) of nodes of one group of `mixed_members` with different roots; `known` has node, size, sketch.
 
-    A group is cut into blocks, and a task compares the sketches of two blocks. Only
-    pairs that sizes and sketches allow are rows, each once a task.
+    A group is cut into blocks of about `members` nodes and `features` features, and a
+    task compares the sketches of two blocks. Only pairs that sizes and sketches allow
+    are rows, each once a task. Where `known` has words, too, `same` decides of two words
+    at once whether they are a link; a task then returns links only, and none between
+    nodes that its links connect already, so less than one a node.
     """
+    partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = mixed.join(known.select("node", "size"), "node").groupBy("g").agg(F.count("*").alias("m"), F.sum("size").alias("features"))
+    blocks = size.select("g", F.ceil(F.greatest(F.col("m") / members, F.col("features") / features)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = mixed.select("g", "node", "root", own.alias("own"), other.alias("other")).select("g", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketched = dealt.join(known, "node").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+    dealt = mixed.join(blocks, "g").select("g", "node", "root", own.alias("own"), other.alias("other")).select("g", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    columns = ["g", "i", "j", "own", "node", "root", "size", "sketch", *(["words"] if same else [])]
+    sketched = dealt.join(known, "node").select(*columns).repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
-    def compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def plausible(x: dict, y: dict) -> tuple[np.ndarray, np.ndarray]:
         step = max(1, 4_000_000 // max(1, y["sketch"].size))
-        out = []
-        for at in range(0, len(x["id"]), step):
+        left, right = [], []
+        for at in range(0, len(x["node"]), step):
             one = slice(at, at + step)
             differ = np.bitwise_count(x["sketch"][one][:, None] ^ y["sketch"][None]).sum(2, dtype=np.int64)
-            na, nb = x["n"][one][:, None], y["n"][None]
-            i, j = np.nonzero((7 * differ <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (x["root"][one][:, None] != y["root"][None]))
-            out.append((x["id"][one][i], y["id"][j]))
-        a, b = (np.concatenate(z) for z in zip(*out, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
+            na, nb = x["size"][one][:, None], y["size"][None]
+            fit = (7 * differ <= na + nb) & (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (x["root"][one][:, None] != y["root"][None])
+            if x is y:
+                fit &= np.arange(len(fit))[:, None] + at < np.arange(len(y["node"]))[None]
+            i, j = np.nonzero(fit)
+            left.append(i + at)
+            right.append(j)
+        return np.concatenate(left), np.concatenate(right)
 
     def block_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        size = min(len(r[6]) for r in rows)
+        _, first, last, *_ = rows[0]
+        width = min(len(r[7]) for r in rows)
         sides = []
         for side in sorted({r[3] for r in rows}):
             mine = [r for r in rows if r[3] == side]
-            sides.append({"id": np.array([r[1] for r in mine]), "root": np.array([r[2] for r in mine]), "n": np.array([r[5] for r in mine]), "sketch": np.stack([folded(r[6], size) for r in mine])})
-        if rows[0][4] != rows[0][7] and len(sides) < 2:  # two blocks of which one is empty
+            sides.append({"node": np.array([r[4] for r in mine]), "root": np.array([r[5] for r in mine]), "size": np.array([r[6] for r in mine]), "sketch": np.stack([folded(r[7], width) for r in mine]), "rows": mine})
+        if first != last and len(sides) < 2:  # of two blocks one is empty
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = compare(sides[0], sides[-1])
-        return a[a < b], b[a < b]
+        x, y = sides[0], sides[-1]
+        i, j = plausible(x, y)
+        if same:
+            above: dict[int, int] = {}
+
+            def top(root: int) -> int:
+                while root in above:
+                    root = above[root]
+                return root
+
+            keep = np.zeros(len(i), bool)
+            for at, (one, two) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                a, b = top(x["rows"][one][5]), top(y["rows"][two][5])
+                if a != b and same(x["rows"][one][8], y["rows"][two][8]):
+                    above[a] = b
+                    keep[at] = True
+            i, j = i[keep], j[keep]
+        a, b = x["node"][i], y["node"][j]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, left, right = None, [], [], []
@@ -175,10 +202,10 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
                 right.append(b)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "root", "own", "i", "size", "sketch", "j")), strict=True):
-                if (row[0], row[4], row[7]) != key:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row[:3] != key:
                     flush()
-                    key, held = (row[0], row[4], row[7]), []
+                    key, held = row[:3], []
                     if sum(map(len, left)) > 500_000:
                         a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
                         left, right = [], []
@@ -189,7 +216,7 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
             a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return sketched.select("g", "node", "root", "own", "i", "size", "sketch", "j").mapInArrow(blocked, "a long, b long").distinct()
+    return sketched.mapInArrow(blocked, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

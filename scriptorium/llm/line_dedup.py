@@ -6,7 +6,7 @@ bins, empty bins filled from the next full one, in 12 bands of 4; lines that sha
 and have an exact Jaccard similarity of shingles of 0.75 or more are linked, and no pair
 of lines that shares a band is left out: small buckets are paired, in larger ones each line
 meets two of its members, and members that are then in different components are compared
-by sketches of their shingles, block by block; what these allow is verified. Of every
+block by block, first by sketches of their shingles, then exactly. Of every
 connected component of lines the first occurrence, in order of doc_id and line number,
 stays. Blank lines are no candidates and stay.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _links, _spark
-from ._arrays import SpanHash, bounded, list_column, mix
+from ._arrays import SpanHash, bounded, list_column, mix, ragged
 
 WIDTH, BANDS, ROWS = 8, 12, 4
 BINS = BANDS * ROWS
@@ -54,8 +54,13 @@ def shingle_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> tu
     """(line, hash) of each shingle of each line, in order."""
     counts = np.maximum(ends - starts - WIDTH + 1, 1)
     line = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[line]
-    return line, hasher(at, np.minimum(at + WIDTH, ends[line]))
+    at = ragged(starts, counts)
+    every = hasher.windows(WIDTH)
+    values = every[np.minimum(at, max(len(every) - 1, 0))] if len(every) else np.zeros(len(at), np.uint64)
+    short = np.flatnonzero(ends - starts < WIDTH)
+    if len(short):
+        values[(np.cumsum(counts) - counts)[short]] = hasher(starts[short], ends[short])
+    return line, values
 
 
 def min_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -142,7 +147,7 @@ def _signed_lines(docs: DataFrame, parts: int, held: int = 1_000_000) -> DataFra
 
 
 def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """node, words of `nodes` (node); `places` (node, doc_id, line) has one line of each class.
+    """node, words, size, sketch (of the shingles) of `nodes` (node), written; `places` (node, doc_id, line) has one line of each class.
 
     A line is taken only if its digest is the node, so rows that repeat a doc_id cannot
     give another text. At most `most` lines in all are broadcast to the scan.
@@ -152,7 +157,7 @@ def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int =
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 1_000_000):
             points, offsets = _code_points([t or "" for t in batch.column("text").to_pylist()])
             starts, ends, rows, numbers = line_spans(points, offsets)
             lists = batch.column("wanted")
@@ -169,52 +174,59 @@ def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int =
             right = hasher(starts[at], ends[at], 21).view(np.int64) == node
             at, node = at[right], node[right]
             words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(words, pa.string())], names=["node", "words"])
+            for i in range(0, len(at), 1 << 19):
+                some = slice(i, i + (1 << 19))
+                line, values = shingle_hashes(hasher, starts[at[some]], ends[at[some]])
+                # A line's number and 44 bits of a shingle's hash in one key: one sort tells shingles of a line apart.
+                keys = np.unique((line.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20)))
+                bounds = np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=len(at[some])))))
+                drawn = _links.sketches(keys & np.uint64((1 << 44) - 1), bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(words[some], pa.string()), pa.array(np.diff(bounds)), pa.array(drawn, pa.binary())], names=["node", "words", "size", "sketch"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
-    return _spark.written(joined.select("text", "wanted").mapInArrow(taken, "node long, words string").dropDuplicates(["node"]))
+    return _spark.written(joined.select("text", "wanted").mapInArrow(taken, "node long, words string, size long, sketch binary").dropDuplicates(["node"]))
+
 
+class _Same:
+    """Whether two lines have a Jaccard similarity of shingles of `threshold`; shingle sets of 400 000 characters, or of one longer line, are kept."""
 
-def line_sketches(texts: DataFrame) -> DataFrame:
-    """node, size, sketch of `line_texts`."""
+    def __init__(self, threshold: float):
+        self.threshold, self.made, self.chars = threshold, {}, 0
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "words"):
-            points, offsets = _code_points(batch.column("words").to_pylist())
-            line, values = shingle_hashes(SpanHash(mix(points.astype(np.uint64), 1)), offsets[:-1], offsets[1:] - 1)
-            line, values = _links.distinct_pairs(line, values)
-            bounds = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=batch.num_rows))))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(bounds)), pa.array(_links.sketches(values, bounds), pa.binary())], names=["node", "size", "sketch"])
+    def _grams(self, text: str) -> set[str]:
+        if (found := self.made.get(text)) is None:
+            if self.chars > 400_000:
+                self.made.clear()
+                self.chars = 0
+            found = self.made[text] = {text[i : i + WIDTH] for i in range(max(len(text) - WIDTH + 1, 1))}
+            self.chars += len(text)
+        return found
 
-    return texts.mapInArrow(drawn, "node long, size long, sketch binary")
+    def __call__(self, x: str, y: str) -> bool:
+        one, two = self._grams(x), self._grams(y)
+        if min(len(one), len(two)) < self.threshold * max(len(one), len(two)):
+            return False
+        both = len(one & two)
+        return both > 0 and both >= self.threshold * (len(one) + len(two) - both)
 
 
-def similar_lines(texts: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Those of `pairs` (a, b) of nodes whose `texts` (node, words) have a Jaccard similarity of `threshold`."""
+def similar_lines(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) of nodes whose `line_texts` have a Jaccard similarity of 0.75; sizes and sketches rule out most others first."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, set[str]] = {}  # shingles of texts of 400 000 characters or one longer
-        chars = 0
+        same = _Same(0.75)
         for batch in batches:
             keep = []
-            for two in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                sets = []
-                for t in two:
-                    if (found := made.get(t)) is None:
-                        if chars > 400_000:
-                            made.clear()
-                            chars = 0
-                        found = made[t] = {t[i : i + WIDTH] for i in range(max(len(t) - WIDTH + 1, 1))}
-                        chars += len(t)
-                    sets.append(found)
-                one, other = sets
-                both = len(one & other) if min(len(one), len(other)) >= threshold * max(len(one), len(other)) else 0
-                keep.append(both > 0 and both >= threshold * (len(one) + len(other) - both))
+            for na, nb, sa, sb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb", "x", "y")), strict=True):
+                width = min(len(sa), len(sb))
+                differ = int.from_bytes(_links.folded(sa, width).tobytes()) ^ int.from_bytes(_links.folded(sb, width).tobytes()) if len(sa) != len(sb) else int.from_bytes(sa) ^ int.from_bytes(sb)
+                keep.append(7 * differ.bit_count() <= na + nb and same(x, y))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    side = lambda d, n, s, t: texts.select(F.col("node").alias(d), F.col("size").alias(n), F.col("sketch").alias(s), F.col("words").alias(t))
+    both = pairs.join(side("a", "na", "sa", "x"), "a").join(side("b", "nb", "sb", "y"), "b")
+    fit = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
+    return both.filter(fit).select("a", "b", "na", "nb", "sa", "sb", "x", "y").mapInArrow(compared, "a long, b long")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -246,8 +258,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     if not groups.isEmpty():
         mixed = _links.mixed_members(groups, roots)
         texts = line_texts(docs, places, mixed.select("node").distinct())
-        crossing = _links.crossing_pairs(mixed, line_sketches(texts)).join(pairs, ["a", "b"], "left_anti")
-        more = _spark.written(similar_lines(texts, _spark.written(crossing)))
+        more = _spark.written(_links.crossing_pairs(mixed, texts, _Same(0.75)), free=True)
         _spark.drop_written(mixed, texts)
         if not more.isEmpty():
             roots = _spark.written(_links.components(links.unionByName(more)))

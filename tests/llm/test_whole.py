@@ -3,6 +3,9 @@
 import random
 import textwrap
 
+import pyarrow as pa
+import pytest
+
 from scriptorium.llm import html_text, licenses, line_dedup
 
 
@@ -33,6 +36,33 @@ def test_hot_template_family_loses_no_link(spark):
     assert {b for _, b in meeting} <= gone <= {b for _, b in near}
 
 
+@pytest.mark.parametrize("n", [150, 300])
+def test_recall_of_bands_in_boilerplate_families(n):
+    """Of the pairs of a family of boilerplate lines with a similarity of 0.75 or more at least 0.95 share a band; those are all settled exactly."""
+    rng = random.Random(n)
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    base = [letters(rng.randint(3, 8)) for _ in range(58)]
+    others = {p: [letters(6) for _ in range(3)] for p in rng.sample(range(58), 12)}
+    lines = list(dict.fromkeys(" ".join(rng.choice(others[p]) if p in others and rng.random() < 0.5 else w for p, w in enumerate(base)) for _ in range(n)))
+    bands = [set(b.tolist()) for b in line_dedup._Lines(pa.array(lines)).bands]
+    sets = [grams(x) for x in lines]
+    near = [(a, b) for b in range(len(lines)) for a in range(b) if jaccard(sets[a], sets[b]) >= 0.75]
+    assert len(near) > 100
+    assert sum(bool(bands[a] & bands[b]) for a, b in near) >= 0.95 * len(near)
+
+
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Rows of one doc_id with texts of other lengths lose only their own lines; no column name clashes."""
+    line, other = "a line of boilerplate that stands in many texts", "some words that are found in one text only"
+    rows = [(1, f"{line}\n{other}", 5, 6), (1, f"{other} and more of it\n\n{line}\n{line}", 5, 6), (1, line, 5, 6), (2, line, 5, 6), (None, line, 5, 6)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, __gone int, __id int"))
+    assert out.columns == ["doc_id", "text", "__gone", "__id", "n_lines", "n_removed"]
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in out.collect())
+    assert got[0] == (0, line, 0) and got[-1] == (2, "", 1)
+    # The first line numbers of doc_id 1 are one place: those at it stay, later ones go.
+    assert [x for x in got if x[0] == 1] == sorted([(1, f"{line}\n{other}", 0), (1, f"{other} and more of it\n", 2), (1, line, 0)])
+
+
 def test_license_separators_and_letters_are_free(spark):
     """Texts whose canonical form is known match, whatever stands between their words."""
     texts = ["All rights  reserved.", "ALL RIGHTS-RESERVED", "All rights\nreserved.", "This is free and unencumbered software released into the public\ndomain.", "All rights were reserved."]
