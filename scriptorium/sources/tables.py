@@ -53,3 +53,41 @@ def append_run(rows: DataFrame, path: str, run_id: str, settings: dict[str, str]
 def latest_run(runs: DataFrame) -> DataFrame:
     """Rows of the run with the largest run_id."""
     return runs.join(F.broadcast(runs.agg(F.max("run_id").alias("run_id"))), "run_id").select(*runs.columns)
+
+
+def backup_once(spark: SparkSession, path: str, backup: str) -> bool:
+    """Copies the folder or file `path` to `backup` unless that is there already; whether it was copied."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(backup)
+    to = target.getFileSystem(conf)
+    if to.exists(target):
+        return False
+    return bool(jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, to, target, False, conf))
+
+
+def rewrite_questions(questions: DataFrame, path: str, backup: str) -> None:
+    """Replaces the JSON table of questions at `path`; the first rewrite leaves its former state in `backup`.
+
+    Refused if a column or the id of a question would be lost. The new table is written
+    beside the old one and takes its place when it is whole.
+    """
+    spark = questions.sparkSession
+    old = spark.read.json(path)
+    if lost := set(old.columns) - set(questions.columns):
+        raise ValueError(f"columns would be lost: {sorted(lost)}")
+    if not old.select("id").join(questions.select("id"), "id", "left_anti").isEmpty():
+        raise ValueError("questions would be lost")
+    backup_once(spark, path, backup)
+    fresh = f"{path.rstrip('/')}.new"
+    questions.write.mode("overwrite").option("ignoreNullFields", "false").json(fresh)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, there = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    files = here.getFileSystem(conf)
+    files.delete(here, True)
+    if not files.rename(there, here):
+        raise OSError(f"{fresh} holds the new questions, {backup} the old ones")
+
+
+def write_proposals(proposals: DataFrame, path: str) -> None:
+    """Overwrites the JSON table of label proposals (id, chunk_ids, best_coverage, weak)."""
+    proposals.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

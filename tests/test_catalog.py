@@ -13,9 +13,8 @@ def test_query_equals_its_sql(spark, name):
     assert_same(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):

@@ -3,7 +3,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scriptorium.operators import evaluate, ground, providers, retrieve, revise, segment
+from scriptorium.operators import answer, evaluate, ground, providers, retrieve, revise, segment
 from scriptorium.sources import paged, tables
 from scriptorium.streaming import ingest
 
@@ -155,3 +155,96 @@ def test_stream_ingests_each_document_once(spark, tmp_path):
         ingest.ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), limit=3).awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("part").collect()
     assert [r["text_raw"] for r in rows] == ["a\nb", "c"] or [r["text_raw"] for r in rows] == ["a", "b", "c"]
+
+
+def test_rewrites_keep_a_backup_and_lose_nothing(spark, tmp_path):
+    path, backup = f"{tmp_path}/golden", f"{tmp_path}/golden.bak"
+    spark.createDataFrame([("a", "x"), ("b", "y")], "id string, question string").write.json(path)
+    labelled = spark.createDataFrame([("a", "x", ["c"]), ("b", "y", None)], "id string, question string, expected_chunk_ids array<string>")
+    for again in (False, True):
+        tables.rewrite_questions(labelled, path, backup)
+        assert {r["id"]: r["expected_chunk_ids"] for r in spark.read.json(path).collect()} == {"a": ["c"], "b": None}
+        assert spark.read.json(backup).columns == ["id", "question"]
+    for less in (labelled.drop("question"), labelled.filter("id = 'a'")):
+        try:
+            tables.rewrite_questions(less, path, backup)
+        except ValueError as e:
+            assert "would be lost" in str(e)
+        else:
+            raise AssertionError
+    assert spark.read.json(path).count() == 2
+    tables.write_proposals(labelled.select("id", "expected_chunk_ids"), f"{tmp_path}/proposals")
+    assert spark.read.json(f"{tmp_path}/proposals").count() == 2
+
+
+def test_chunk_tables_and_runs_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "chunk_id string, collection string, page int")
+    tables.write_chunks(rows, f"{tmp_path}/chunks")
+    assert sorted((r["chunk_id"], r["page"]) for r in tables.read_table(spark, f"{tmp_path}/chunks").filter("collection = 'y'").collect()) == [("b", 2)]
+    for run in ("r1", "r2"):
+        tables.append_run(rows, f"{tmp_path}/runs", run, {"gate": "0.74"})
+    last = tables.latest_run(spark.read.parquet(f"{tmp_path}/runs")).collect()
+    assert [r["run_id"] for r in last] == ["r2", "r2"] and last[0]["settings"] == {"gate": "0.74"}
+
+
+def test_correct_texts_are_asked_once(spark):
+    items = [(i, f"the very same text number {i // 2}", "fard" if i < 6 else "wajib", "k") for i in range(14)]
+    pool = spark.createDataFrame(items, "item_idx long, item string, category string, collection string")
+    right = revise.select_items(pool, 5, seed=1).filter("slot = 0 AND category = 'fard'").join(pool.select("item_idx", "item"), "item_idx").collect()
+    assert len(right) == len({r["item"] for r in right}) == 3
+    missing = revise.no_pool(spark.createDataFrame([("k", "fard"), ("k", "adab")], "collection string, category string"), revise.select_items(pool, 1, seed=1)).collect()
+    assert [(r["category"], r["check"]) for r in missing] == [("adab", "no_pool")]
+
+
+def test_deck_discards_ungrounded_and_repeated_cards(spark):
+    text = "purity of water in plain words " * 20
+    rows = [("a", 1, "k", "one", text, 1, 2, 0), ("b", 2, "k", "two", text, 3, 3, 0), ("c", 3, "k", "two", "short", 4, 4, 0)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ordinal long, collection string, section string, text_raw string, page_start int, page_end int, part int")
+
+    class Writer:
+        def write(self, passages):
+            cards = F.array(F.struct(F.lit("Water?").alias("front"), F.lit("purity of water").alias("back")), F.struct(F.lit("Stars?").alias("front"), F.lit("distant galaxies glitter").alias("back")))
+            return passages.select("chunk_id", F.posexplode(cards).alias("card_no", "card")).select("chunk_id", "card_no", "card.front", "card.back")
+
+    cards, fails, report, sections = revise.build_deck(chunks, Writer())
+    assert [(r["chunk_id"], r["front"], r["source_page"]) for r in cards.collect()] == [("a", "Water?", 1)]
+    assert sorted(r["check"] for r in fails.collect()) == ["card_grounding", "card_grounding", "duplicate_front"]
+    r = report.collect()[0]
+    assert (r["passages"], r["cards"], r["discarded"], r["pages_total"], r["pages_covered"]) == (2, 1, 3, 4, 2)
+    assert [(s["section"], s["n"], s["place"]) for s in sections.collect()] == [("one", 1, 1)]
+
+
+def test_answers_abstain_refuse_and_cite(spark):
+    asked = spark.createDataFrame([(1, "what is water"), (2, "which galaxies shine"), (3, "low")], "query_id long, question string")
+    ranked = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2), (2, "b", 0.9, 1), (3, "a", 0.1, 1)], "query_id long, chunk_id string, score double, rank int")
+    chunks = spark.createDataFrame([("a", "one", "k", "water is wet", 1, 2, 0, 0), ("b", "two", "k", "earth is dry", 3, 3, 0, 1)], "chunk_id string, section string, collection string, text_raw string, page_start int, page_end int, part int, ordinal long")
+    rows = {r["query_id"]: r for r in answer.answer(asked, ranked, chunks, providers.ExtractiveGenerator(), least=0.5).collect()}
+    assert rows[1]["text"].startswith("water is wet") and not rows[1]["abstained"] and rows[1]["unverified_pages"] == []
+    assert [(c["chunk_id"], c["section"], c["cited_text"]) for c in rows[1]["citations"]] == [("a", "one", "water is wet")]
+    assert (rows[2]["abstain_reason"], rows[2]["text"], rows[2]["citations"]) == ("refusal", answer.REFUSAL, None)
+    assert (rows[3]["abstain_reason"], rows[3]["text"]) == ("low-confidence", answer.LOW_CONFIDENCE)
+
+
+def test_word_for_word_questions_are_found(spark):
+    texts = ["so he said and went", "he said", "nothing", None, "she said and went home today"]
+    chunks = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "chunk_id string, ordinal long, text_raw string")
+    asked = ["he said and went", "said", "e said and wen", "and", "he sai", "no such words here", "said and went"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    got = {(r["query_id"], r["ordinal"]) for r in retrieve.containing(chunks, queries).collect()}
+    assert got == {(i, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if t and q in t}
+
+
+def test_coverage_ranks_equal_a_plain_version(spark):
+    rng = random.Random(4)
+    words = ["water", "purity", "stream", "vessel", "garden", "market", "journey", "river"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    asked = [" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(8)] + ["unknown terms"]
+    chunks = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "chunk_id string, ordinal long, text_raw string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    got = {}
+    for r in retrieve.coverage_ranks(chunks, queries, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["ordinal"], r["score"]))
+    for i, q in enumerate(asked):
+        terms = set(q.split())
+        scored = sorted(((round(len(terms & set(t.split())) / len(terms), 6), j) for j, t in enumerate(texts)), key=lambda x: (-x[0], -x[1]))
+        assert got[i] == [(j, s) for s, j in scored[:10]]
