@@ -37,6 +37,15 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
 
 
+#: Symbols of the code points of the basic plane, by seed.
+_SYMBOLS = {seed: mix(np.arange(1 << 16, dtype=np.uint64), seed) for seed in (1, 2)}
+
+
+def _symbols(points: np.ndarray, seed: int) -> np.ndarray:
+    """mix(points, seed), looked up where all code points are of the basic plane."""
+    return _SYMBOLS[seed][points] if points.max(initial=0) < 1 << 16 else mix(points.astype(np.uint64), seed)
+
+
 def line_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row, number) of each line that is not blank, without white space at its ends."""
     breaks = np.flatnonzero(points == 10)
@@ -87,9 +96,8 @@ class _Lines:
     def __init__(self, column: pa.Array):
         points, offsets = _code_points([t or "" for t in column.to_pylist()])
         starts, ends, self.rows, self.numbers = line_spans(points, offsets)
-        symbols = points.astype(np.uint64)
-        hasher = SpanHash(mix(symbols, 1))
-        self.digest = np.stack([hasher(starts, ends, 21), SpanHash(mix(symbols, 2))(starts, ends, 22)], 1)
+        hasher = SpanHash(_symbols(points, 1))
+        self.digest = np.stack([hasher(starts, ends, 21), SpanHash(_symbols(points, 2))(starts, ends, 22)], 1)
         self.first = np.sort(np.unique(self.digest[:, 0], return_index=True)[1])
         table = min_hashes(hasher, starts[self.first], ends[self.first]).reshape(-1, BANDS, ROWS)
         bands = np.zeros(table.shape[:2], np.uint64)
@@ -170,7 +178,7 @@ def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int =
             at = np.minimum(np.searchsorted(have, ask), max(len(have) - 1, 0))
             some = have[at] == ask if len(have) else np.zeros(len(ask), bool)
             at, node = at[some], node[some]
-            hasher = SpanHash(mix(points.astype(np.uint64), 1))
+            hasher = SpanHash(_symbols(points, 1))
             right = hasher(starts[at], ends[at], 21).view(np.int64) == node
             at, node = at[right], node[right]
             words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
