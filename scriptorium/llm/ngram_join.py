@@ -21,7 +21,7 @@ which cannot raise the distance. So similar sets always share a signature.
 Signatures travel as packed arrays, dealt by a range of their hash. Sets that share one are
 paired in small buckets; in a large bucket each is paired with a few members, and members that
 are then still in different components are compared block by block. A pair goes to the exact
-check of its whole texts only if sizes and sketches allow it: a sketch holds the parity of
+check of its whole texts, there or after a join, only if sizes and sketches allow it: a sketch holds the parity of
 the features at each of its bits, so that differing bits cannot outnumber differing features.
 """
 
@@ -236,33 +236,54 @@ def plausible_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(fit).mapInArrow(tested, "a long, b long")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) with 100 * intersection >= 75 * union, and both counts; whole texts travel compressed."""
-    pairs = _spark.written(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, packed: the compressed whole texts of `ids` (doc_id), written."""
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in bounded(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        last, one = None, None
+    return _spark.written(_links.by_ids(docs.select("doc_id", "text"), ids).mapInArrow(compressed, "doc_id long, packed binary"))
+
+
+class _Same:
+    """Whether 100 * intersection >= 75 * union for two packed texts; sets of 500 000 features, or of one larger text, are kept."""
+
+    def __init__(self) -> None:
+        self.made: dict[bytes, set[int]] = {}
+        self.kept = 0
+
+    def features(self, packed: bytes) -> set[int]:
+        if (found := self.made.get(packed)) is None:
+            if self.kept > 500_000:
+                self.made.clear()
+                self.kept = 0
+            text = zstandard.ZstdDecompressor().decompress(packed).decode()
+            found = self.made[packed] = set(feature_sets(pa.array([text]))[0].tolist())
+            self.kept += len(found)
+        return found
+
+    def __call__(self, x: bytes, y: bytes) -> bool:
+        one, two = self.features(x), self.features(y)
+        common = len(one & two)
+        return common > 0 and 100 * common >= 75 * (len(one) + len(two) - common)
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) with 100 * intersection >= 75 * union; whole texts travel compressed."""
+    pairs = _spark.written(pairs)
+    texts = packed_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same = _Same()
         for batch in batches:
-            common, union = [], []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
-                if (a, x) != last:  # rows come by a
-                    last, one = (a, x), feature_sets(pa.array([unpack(x).decode()]))[0]
-                two = feature_sets(pa.array([unpack(y).decode()]))[0]
-                common.append(len(np.intersect1d(one, two, assume_unique=True)))
-                union.append(len(one) + len(two) - common[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "union_size"])
-
-    texts = _spark.written(_links.by_ids(docs.select("doc_id", "text"), ids).mapInArrow(compressed, "doc_id long, packed binary"))
+            keep = [same(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(counted, "a long, b long, common long, union_size long").filter("common > 0 AND 100 * common >= 75 * union_size").distinct()
+    return both.mapInArrow(compared, "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, sample_rows: int = 8000, hot_count: int = 2) -> DataFrame:
@@ -281,10 +302,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, sample_rows: int = 8000,
     _spark.drop_written(met)
     if not groups.isEmpty():
         mixed = _links.mixed_members(groups, _links.components(links))
-        crossing = _spark.written(_links.crossing_pairs(mixed, classes.select(F.col("class_id").alias("node"), F.col("n_shingles").alias("size"), "sketch").distinct()))
-        more = _spark.settled(lambda: similar_pairs(docs, crossing.join(tried, ["a", "b"], "left_anti")).select("a", "b"))
+        texts = packed_texts(docs, mixed.select(F.col("node").alias("doc_id")).distinct())
+        known = classes.select(F.col("class_id").alias("node"), F.col("n_shingles").alias("size"), "sketch").join(texts.select(F.col("doc_id").alias("node"), F.col("packed").alias("words")), "node").distinct()
+        more = _spark.written(_links.crossing_pairs(mixed, known, _Same()), free=True)
         links = links.unionByName(more)
-        _spark.drop_written(mixed, crossing)
+        _spark.drop_written(mixed, texts)
     _spark.drop_written(groups, tried)
     return links
 
