@@ -178,16 +178,21 @@ def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int =
             at = np.minimum(np.searchsorted(have, ask), max(len(have) - 1, 0))
             some = have[at] == ask if len(have) else np.zeros(len(ask), bool)
             at, node = at[some], node[some]
+            # Only the lines asked for are hashed, side by side.
+            sizes = ends[at] - starts[at]
+            points = points[ragged(starts[at], sizes)]
+            edges = np.concatenate(([0], np.cumsum(sizes)))
+            starts, ends = edges[:-1], edges[1:]
             hasher = SpanHash(_symbols(points, 1))
-            right = hasher(starts[at], ends[at], 21).view(np.int64) == node
-            at, node = at[right], node[right]
-            words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for i in range(0, len(at), 1 << 19):
+            right = np.flatnonzero(hasher(starts, ends, 21).view(np.int64) == node)
+            starts, ends, node = starts[right], ends[right], node[right]
+            words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            for i in range(0, len(node), 1 << 19):
                 some = slice(i, i + (1 << 19))
-                line, values = shingle_hashes(hasher, starts[at[some]], ends[at[some]])
+                line, values = shingle_hashes(hasher, starts[some], ends[some])
                 # A line's number and 44 bits of a shingle's hash in one key: one sort tells shingles of a line apart.
                 keys = np.unique((line.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20)))
-                bounds = np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=len(at[some])))))
+                bounds = np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=len(node[some])))))
                 drawn = _links.sketches(keys & np.uint64((1 << 44) - 1), bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(words[some], pa.string()), pa.array(np.diff(bounds)), pa.array(drawn, pa.binary())], names=["node", "words", "size", "sketch"])
 
