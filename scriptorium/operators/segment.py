@@ -22,8 +22,9 @@ def locate_headings(stream: DataFrame, entries: DataFrame) -> tuple[DataFrame, D
     # Keys are folded before the join: once a line and once a title, not once a pair.
     lines = stream.select("doc_id", "pos", text.fold("line", True).alias("line_key"))
     titles = entries.select("doc_id", "ord", text.heading_key("title").alias("title_key")).withColumn("probe", text.heading_probe(F.col("title_key")))
-    lines, titles = (df.filter(F.col(c) != "").repartition("doc_id") for df, c in ((lines, "line_key"), (titles, "title_key")))
-    pairs = lines.join(titles, "doc_id").filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe"))).select("doc_id", "ord", "pos")
+    # A line and a title that match begin with the same character.
+    lines, titles = (df.filter(F.col(c) != "").withColumn("initial", F.left(c, F.lit(1))) for df, c in ((lines, "line_key"), (titles, "title_key")))
+    pairs = lines.join(titles, ["doc_id", "initial"]).filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe"))).select("doc_id", "ord", "pos")
     state = F.struct(F.lit(-1).cast("long").alias("cursor"), F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<ord:bigint,pos:bigint>>").alias("hits"))
 
     def step(acc: Column, x: Column) -> Column:
