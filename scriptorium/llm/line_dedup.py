@@ -110,7 +110,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, line, node (digest), bands (of the first of equal lines in a batch, else empty) of each line that is not blank."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 1_000_000):
+        for batch in bounded(batches, "text", 400_000):
             x = _Lines(batch.column("text"))
             sizes = np.zeros(len(x.rows), np.int64)
             sizes[x.first] = BANDS
@@ -120,7 +120,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, line int, node long, bands array<long>")
 
 
-def _signed_lines(docs: DataFrame, parts: int, held: int = 1_000_000) -> DataFrame:
+def _signed_lines(docs: DataFrame, parts: int, held: int = 400_000) -> DataFrame:
     """From (doc_id, tk, text) in one scan: a row for each line that is not blank, part null, and PACKED rows of the bands of distinct lines."""
     schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("line", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("part", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("sigs", pa.binary())])
 
@@ -134,7 +134,7 @@ def _signed_lines(docs: DataFrame, parts: int, held: int = 1_000_000) -> DataFra
             for x in _links.packed_rows(np.concatenate(nodes), np.concatenate(sigs), parts):
                 yield rows(dict(zip(x.schema.names, x.columns, strict=True)), x.num_rows)
 
-        for batch in bounded(batches, "text", 1_000_000):
+        for batch in bounded(batches, "text", 400_000):
             x = _Lines(batch.column("text"))
             if not len(x.rows):
                 continue
@@ -165,7 +165,7 @@ def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int =
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 1_000_000):
+        for batch in bounded(batches, "text", 400_000):
             points, offsets = _code_points([t or "" for t in batch.column("text").to_pylist()])
             starts, ends, rows, numbers = line_spans(points, offsets)
             lists = batch.column("wanted")

@@ -159,7 +159,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set; null if it is empty), sketch."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 1_000_000):
+        for batch in bounded(batches, "text", 500_000):
             features, offsets = feature_sets(batch.column("text"))
             sizes = np.diff(offsets)
             digest = [pa.array(digests(features, offsets, seed).view(np.int64), mask=sizes == 0) for seed in (11, 12)]
@@ -176,7 +176,7 @@ def frequent_features(docs: DataFrame, sample_rows: int, least: int) -> np.ndarr
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 1_000_000):
+        for batch in bounded(batches, "text", 500_000):
             found, counts = np.unique(feature_sets(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["feature", "n"])
 
@@ -187,7 +187,7 @@ def frequent_features(docs: DataFrame, sample_rows: int, least: int) -> np.ndarr
     return table
 
 
-def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int = 1_000_000) -> DataFrame:
+def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int = 500_000) -> DataFrame:
     """PACKED signatures of the distinct sets of a task in packed arrays, `held` at once; a node is the digest d1."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
@@ -195,7 +195,7 @@ def _packed_signatures(docs: DataFrame, hot: np.ndarray, parts: int, held: int =
         table = np.unpackbits(shared.value).astype(bool)
         seen: set[bytes] = set()  # 16 bytes a distinct set of this task
         nodes, sigs, total = [], [], 0
-        for batch in bounded(batches, "text", 1_000_000):
+        for batch in bounded(batches, "text", 500_000):
             features, offsets = feature_sets(batch.column("text"))
             both = np.stack([digests(features, offsets, seed) for seed in (11, 12)], 1)
             keys = [x.tobytes() for x in both]

@@ -131,13 +131,21 @@ def learn_lexicon(sample: DataFrame, min_support: int = 4, min_log_odds: float =
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            terms = list(by[1].keys() | by[0].keys())
+            for i in range(0, len(terms), 50_000):
+                some = terms[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([by[1][t] for t in some], pa.int64()), pa.array([by[0][t] for t in some], pa.int64())], names=["term", "pos", "neg"])
+            for counts in by:
+                counts.clear()
+
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
                 by[y].update(_candidates(fold(text.as_py() or "")))
-        terms = list(by[1].keys() | by[0].keys())
-        for i in range(0, len(terms), 50_000):
-            some = terms[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([by[1][t] for t in some], pa.int64()), pa.array([by[0][t] for t in some], pa.int64())], names=["term", "pos", "neg"])
+                if len(by[0]) + len(by[1]) > 200_000:  # counts of one term are summed after the shuffle
+                    yield from flush()
+        yield from flush()
 
     n = {int(r["y"]): r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
