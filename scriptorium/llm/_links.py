@@ -3,7 +3,7 @@
 Nothing here gathers links or components to the driver, and no step needs the members
 of one component in one task. Signatures of a task travel in packed arrays, dealt by a
 range of their hash; members of a large bucket are compared block by block, where only
-pairs that sizes and sketches allow become rows.
+pairs that sizes and sketches allow, or the links among these, become rows.
 """
 
 from __future__ import annotations

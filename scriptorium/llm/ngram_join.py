@@ -332,6 +332,8 @@ def near_duplicates(docs: DataFrame, sample_rows: int = 8000, hot_count: int = 2
     own = of_class.select("doc_id", F.col("class_id").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b")
     roots = _links.components(links.unionByName(own))
     return of_class.join(roots, of_class["class_id"] == roots["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose document is the smallest doc_id of its component, with their columns.
 
