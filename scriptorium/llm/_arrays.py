@@ -7,12 +7,15 @@ one subtraction and one multiplication each.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: malloc_trim of the C library, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Odd 64-bit value of each byte; drawn once from a fixed seed.
@@ -42,6 +45,14 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_0
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, for the worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

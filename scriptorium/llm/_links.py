@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import _spark
-from ._arrays import mix
+from ._arrays import mix, release
 
 #: Columns of packed signatures: the part of the hash range, nodes, signatures of each node, signatures.
 PACKED = "part int, nodes binary, counts binary, sigs binary"
@@ -104,6 +104,8 @@ def met(packed: DataFrame, parts: int, small: int, pivots: int) -> DataFrame:
             for i in range(0, len(g), 100_000):
                 x, y = g[i : i + 100_000], member[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([whole(x), whole(y), blank(len(x))], names=["g", "a", "b"])
+            rows = node = count = sig = a = b = g = member = None
+        release()
 
     return packed.repartition(parts, "part").mapInArrow(meet, "g long, a long, b long")
 
@@ -149,7 +151,7 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str]
     sketched = dealt.join(known, "node").select(*columns).repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
     def plausible(x: dict, y: dict) -> tuple[np.ndarray, np.ndarray]:
-        step = max(1, 4_000_000 // max(1, y["sketch"].size))
+        step = max(1, 1_000_000 // max(1, y["sketch"].size))
         left, right = [], []
         for at in range(0, len(x["node"]), step):
             one = slice(at, at + step)
@@ -212,9 +214,11 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str]
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 held.append(row)
         flush()
+        held = []
         if left:
             a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release()
 
     return sketched.mapInArrow(blocked, "a long, b long").distinct()
 
