@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, licenses, line_dedup, ngram_join, packing, quality, substring_dedup, toxicity
+from . import decontaminate, filter_audit, fingerprint, html_text, licenses, line_dedup, mixing, ngram_join, packing, quality, resampling, substring_dedup, toxicity
 from ._spark import crc32_remainder, table
 
 
@@ -59,6 +59,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -70,10 +83,16 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_resampling": op11_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL = {
     "op2_ngram_join": f"SELECT q.*, c.class_id FROM ({ngram_join.SQL}) q JOIN ({ngram_join.CLASS_SQL}) c USING (doc_id)",
     "op6_decontamination": decontaminate.SQL,
     "op8_licenses": licenses.SQL,
+    "op11_resampling": resampling.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_mixing": mixing.SQL,
 }
