@@ -8,16 +8,19 @@ stand-ins reproduce no hosted model's scores.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, vectors
+from ..functions import text, vectors
+from ..sources import tables
+from ..sources.answered import AnsweredRequests
+from .connect import Limits, ask_in_requests
 
 
 class Embedder(Protocol):
@@ -112,24 +115,87 @@ class OverlapJudge:
         return answers.withColumn("judged", F.when(share >= self.agrees, "agrees").when(share >= self.incomplete, "incomplete").otherwise("contradicts"))
 
 
-def batches_by_tokens(frames: Iterator[pd.DataFrame], count: Callable[[str], int], limit: int = rules.BATCH_TOKENS, column: str = "text") -> Iterator[pd.DataFrame]:
-    """Rows in batches of at most `limit` tokens, a longer text alone, for providers with request limits.
+@dataclass(frozen=True)
+class RemoteEmbedder:
+    """A hosted embedder. `client()` gives, in a task, an object whose `embed(texts, kind)` returns a vector a text or raises `Retryable`."""
 
-    A batch closes when it has rows and the next one would pass the limit.
-    """
-    for frame in frames:
-        first, total = 0, 0
-        for i, n in enumerate(count(t) for t in frame[column]):
-            if i > first and total + n > limit:
-                yield frame.iloc[first:i]
-                first, total = i, 0
-            total += n
-        if first < len(frame):
-            yield frame.iloc[first:]
+    client: Callable[[], Any]
+    model: str
+    dim: int
+    count: Callable[[str], int]
+    limits: Limits = Limits()
+
+    def embed(self, texts: DataFrame, kind: str = "document", store: AnsweredRequests | None = None) -> DataFrame:
+        ask = lambda session, batch: {"vec": session.embed(batch["text"].tolist(), kind)}
+        return ask_in_requests(texts, self.client, ask, "vec array<float>", self.limits, self.count, store=store)
+
+
+@dataclass(frozen=True)
+class RemoteReranker:
+    """A hosted reranker: a request holds the texts of one question. `client().rerank(question, texts)` returns a score a text."""
+
+    client: Callable[[], Any]
+    count: Callable[[str], int]
+    limits: Limits = Limits()
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        ask = lambda session, batch: {"score": session.rerank(batch["question"].iloc[0], batch["text_raw"].tolist())}
+        # Pairs of a question share a slot.
+        slot = F.pmod(F.xxhash64("query_id"), F.lit(self.limits.slots))
+        keyed = pairs.withColumn("slot_of_question", slot)
+        return ask_in_requests(keyed, self.client, ask, "score double", self.limits, self.count, "text_raw", ["query_id", "fused_rank"], "slot_of_question", "query_id").drop("slot_of_question")
+
+
+@dataclass(frozen=True)
+class RemoteGenerator:
+    """A hosted language model: one request a prompt. `client().generate(prompt)` returns the model's text."""
+
+    client: Callable[[], Any]
+    limits: Limits = Limits(texts=1)
+
+    def generate(self, prompts: DataFrame) -> DataFrame:
+        """prompts (prompt, ...) with `raw`, the model's text."""
+        ask = lambda session, batch: {"raw": [session.generate(p) for p in batch["prompt"]]}
+        return ask_in_requests(prompts, self.client, ask, "raw string", self.limits, len, "prompt")
 
 
 def stored_embeddings(chunks: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
     """(chunk_id, fingerprint, model, dim, vec) of chunks that `stored` lacks or has for another text."""
-    mark = vectors.fingerprint(embedder.model, embedder.dim, F.col("chunk_id"), F.col("text"))
-    todo = chunks.withColumn("fingerprint", mark).join(stored.select("chunk_id", "fingerprint"), ["chunk_id", "fingerprint"], "left_anti")
-    return embedder.embed(todo, "document").select("chunk_id", "fingerprint", F.lit(embedder.model).alias("model"), F.lit(embedder.dim).alias("dim"), "vec")
+    todo = tables.to_embed(chunks, stored, vectors.fingerprint(embedder.model, embedder.dim, F.col("chunk_id"), F.col("text")))
+    return _as_rows(embedder.embed(todo.select("chunk_id", "fingerprint", "text"), "document"), embedder)
+
+
+def _as_rows(embedded: DataFrame, embedder: Embedder) -> DataFrame:
+    return embedded.select("chunk_id", "fingerprint", F.lit(embedder.model).alias("model"), F.lit(embedder.dim).alias("dim"), "vec")
+
+
+def build_embeddings(chunks: DataFrame, path: str, embedder: RemoteEmbedder, force: bool = False) -> DataFrame:
+    """The table of unit vectors under `path`, after all chunks (chunk_id, text) that it lacks have been embedded.
+
+    Answered requests wait in `path`/requests until the build ends and are then appended to
+    `path`/rows in files of Spark's size. A build that was killed anywhere leaves them
+    there: the next one takes them in first and asks only for the rest. A row is taken in
+    once, whatever was killed when. `force` asks for every chunk again.
+    """
+    spark = chunks.sparkSession
+    store, rows = AnsweredRequests(f"{path.rstrip('/')}/requests"), f"{path.rstrip('/')}/rows"
+
+    def known() -> DataFrame:
+        return tables.read_or_empty(spark, rows, tables.EMBEDDING_SCHEMA)
+
+    def take_in() -> None:
+        if not store.is_empty():
+            answered = spark.read.parquet(store.path).select("chunk_id", "fingerprint", "vec").dropDuplicates(["chunk_id", "fingerprint"])
+            unit = answered.withColumn("vec", vectors.l2_normalize(F.col("vec")).cast("array<float>"))
+            new = unit.join(known().select("chunk_id", "fingerprint"), ["chunk_id", "fingerprint"], "left_anti")
+            tables.append_embeddings(_as_rows(new, embedder), rows)
+            store.clear()
+
+    if force:
+        store.clear()
+        tables.delete(spark, rows)
+    take_in()
+    todo = tables.to_embed(chunks, known(), vectors.fingerprint(embedder.model, embedder.dim, F.col("chunk_id"), F.col("text")))
+    embedder.embed(todo.select("chunk_id", "fingerprint", "text"), "document", store).select("chunk_id").write.format("noop").mode("overwrite").save()
+    take_in()
+    return known()

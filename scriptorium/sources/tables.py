@@ -29,6 +29,19 @@ def to_embed(chunks: DataFrame, stored: DataFrame, fingerprint) -> DataFrame:
     return current.join(stored.select("chunk_id", "fingerprint"), ["chunk_id", "fingerprint"], "left_anti")
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at `path`, or one without rows if there is none yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes the table at `path` if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def append_embeddings(embedded: DataFrame, path: str) -> None:
     embedded.write.mode("append").parquet(path)
 

@@ -3,7 +3,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scriptorium.operators import answer, evaluate, ground, providers, retrieve, revise, segment
+from scriptorium.operators import answer, connect, evaluate, ground, providers, retrieve, revise, segment
 from scriptorium.sources import paged, tables
 from scriptorium.streaming import ingest
 
@@ -121,7 +121,7 @@ def test_citations_outside_the_context_are_dropped(spark):
 
 def test_batches_by_tokens():
     frame = pd.DataFrame({"text": ["aaa", "bb", "cccccccc", "d", "e"]})
-    assert [list(b["text"]) for b in providers.batches_by_tokens(iter([frame]), len, 5)] == [["aaa", "bb"], ["cccccccc"], ["d", "e"]]
+    assert [list(b["text"]) for b in connect.batches_by_tokens(iter([frame]), len, 5)] == [["aaa", "bb"], ["cccccccc"], ["d", "e"]]
 
 
 def test_labels_prefer_overrides_and_fail_without_any(spark):
