@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text, vectors
 from ..scratch import kept
+from . import lexical
+from .best import CELLS, Best
+from .lexical import top
 
 BROADCAST_ROWS = 1_000_000
-
-
-def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
-    """The first k rows of each query in `order`, with `rank` from 1."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+#: Query vectors that a scan holds at once, in doubles; a larger batch takes several scans.
+DENSE_BYTES = 32_000_000
+#: Questions that a scan for their wording holds at once.
+CONTAINED = 200_000
 
 
 def tokens(folded: Column | str) -> Column:
@@ -46,41 +50,27 @@ def query_terms(queries: DataFrame, aliases: Mapping[str, str] | None = rules.AL
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES, aliases: Mapping[str, str] | None = rules.ALIASES) -> DataFrame:
     """query_id, chunk_id, ordinal, score, rank: BM25 over (chunk_id, ordinal, text_folded), positive scores only.
 
-    Only tokens that a query has are exploded into rows; they are counted in tasks
-    before the shuffle and written once, and their document frequencies come from that
-    table. The mean weight over all terms is taken only if a query has a term of more than
-    half the chunks. Query terms are broadcast where a count shows them small.
+    The chunks are split and counted once, for this batch alone; `bm25_indexed` asks an
+    index that is there already.
     """
-    wanted = kept(query_terms(queries, aliases))
-    sized = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
-    split = chunks.select("chunk_id", "ordinal", tokens("text_folded").alias("ts"))
-    n, average = split.agg(F.count("*"), F.avg(F.size("ts"))).first()
-    hits = split.select("chunk_id", "ordinal", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(sized(wanted.select("term").distinct()), "term", "left_semi")
-    tf = kept(hits.groupBy("chunk_id", "ordinal", "dl", "term").agg(F.count("*").alias("tf")))
-    raw = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = 0.0
-    if not raw.filter("raw < 0").isEmpty():
-        mean = term_statistics(chunks).agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
-    weights = raw.select("term", F.when(F.col("raw") < 0, rules.EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (rules.K1 + 1) / (F.col("tf") + rules.K1 * (1 - rules.B + rules.B * F.col("dl") / F.lit(average)))
-    parts = tf.join(sized(weights), "term").select("chunk_id", "ordinal", "term", part.alias("part"))
-    scored = parts.join(sized(wanted), "term").groupBy("query_id", "chunk_id", "ordinal").agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
-    return top(scored.filter("score > 0"), k, F.desc("score"), F.desc("ordinal"))
+    return lexical.bm25_of(lexical.ForwardIndex.of(chunks), query_terms(queries, aliases), k)
+
+
+def bm25_indexed(index: lexical.StoredIndex, queries: DataFrame, k: int = rules.CANDIDATES, aliases: Mapping[str, str] | None = rules.ALIASES) -> DataFrame:
+    """`bm25` over the chunks of a stored index."""
+    return lexical.bm25_of(index, query_terms(queries, aliases), k)
 
 
 def coverage_ranks(chunks: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
     """query_id, chunk_id, ordinal, score, rank: the share of the query's content terms that a chunk (chunk_id, ordinal, text_raw) has.
 
-    Only chunks that share a term are reached, through the terms; a query whose k-th
-    best would share none is filled up with the last chunks at score 0.
+    One scan of the chunks, from which k rows a query and task come; a query whose k-th
+    best would share no term is filled up with the last chunks at score 0.
     """
     asked = kept(queries.select("query_id", F.explode(text.content_terms("question")).alias("term")))
-    sized = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda df: df)
-    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    have = chunks.select("chunk_id", "ordinal", F.explode(text.content_terms("text_raw")).alias("term"))
-    shared = have.join(sized(asked), "term").groupBy("query_id", "chunk_id", "ordinal").agg(F.count("*").alias("shared"))
-    scored = shared.join(sized(size), "query_id").select("query_id", "chunk_id", "ordinal", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
-    best = top(scored, k, F.desc("score"), F.desc("ordinal")).drop("rank")
+    size = asked.groupBy("query_id").agg(F.count("*").cast("double").alias("by"))
+    have = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "ordinal", text.content_terms("text_raw").alias("terms"))
+    best = lexical.scan(have, asked.withColumn("weight", F.lit(1.0)), k, size).drop("rank")
     last = chunks.select("chunk_id", "ordinal").orderBy(F.desc("ordinal")).limit(2 * k)
     rest = size.select("query_id").crossJoin(F.broadcast(last)).withColumn("score", F.lit(0.0))
     return top(best.unionByName(rest).groupBy("query_id", "chunk_id", "ordinal").agg(F.max("score").alias("score")), k, F.desc("score"), F.desc("ordinal"))
@@ -90,37 +80,126 @@ def containing(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, ordinal of chunks (chunk_id, ordinal, text_raw) that hold a question word for word.
 
     A chunk with the question has all of its words but the first and the last as whole
-    words between spaces; the rarest of them in the corpus reaches the chunks to look
-    at. Questions of fewer than three words have none and meet all chunks.
+    words between spaces, a word that ends with the first and one that begins with the
+    last. The rarest inner word in the corpus, or where there is none the longer end,
+    tells a task which chunks to look at; texts stay where they are read. Blank questions
+    are compared with every chunk, null questions and texts with none.
     """
-    asked = kept(queries.select("query_id", "question").withColumn("inner", F.array_distinct(F.filter(F.split("question", " "), lambda w, i: (i > 0) & (w != "")))).withColumn("inner", F.array_except("inner", F.array(F.element_at(F.split("question", " "), -1)))))
-    words = kept(asked.select(F.explode("inner").alias("word")).distinct())
+    pieces = F.split("question", " ")
+    inner = F.array_distinct(F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != ""))
+    asked = kept(queries.filter("question IS NOT NULL").select("query_id", "question", inner.alias("inner")))
+    words = asked.select(F.explode("inner").alias("word")).distinct()
     sized = F.broadcast if words.count() <= BROADCAST_ROWS else (lambda df: df)
-    split = chunks.select("chunk_id", "ordinal", "text_raw", F.explode(F.array_distinct(F.split("text_raw", " "))).alias("word"))
-    counts = split.select("word").join(sized(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    rare = asked.select("query_id", "question", F.explode("inner").alias("word")).join(sized(counts), "word").groupBy("query_id", "question").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.count("*").alias("found"))
-    whole = rare.join(asked.select("query_id", F.size("inner").alias("inner")), "query_id").filter("found = inner").select("query_id", "question", "word")
-    held = split.join(sized(whole), "word").filter(F.col("text_raw").contains(F.col("question"))).select("query_id", "chunk_id", "ordinal")
-    short = asked.filter(F.size("inner") == 0).select("query_id", "question")
-    few = F.broadcast if short.count() <= 10_000 else (lambda df: df)
-    return held.unionByName(chunks.select("chunk_id", "ordinal", "text_raw").join(few(short), F.col("text_raw").contains(F.col("question"))).select("query_id", "chunk_id", "ordinal"))
-
+    counts = chunks.select(F.explode(F.array_distinct(F.split("text_raw", " "))).alias("word")).join(sized(words), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    each = asked.select("query_id", "question", F.size("inner").alias("n"), F.explode_outer("inner").alias("word"))
+    rare = each.join(counts, "word", "left").groupBy("query_id", "question", "n").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.count("df").alias("found"))
+    # A question with an inner word that no chunk has is in none.
+    open_ = kept(rare.filter("found = n").select("query_id", "question", F.when(F.col("n") > 0, F.col("word")).alias("word")))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    name = chunks.schema["chunk_id"].dataType.simpleString()
+    groups = max(1, -(-open_.count() // CONTAINED))
+    out = None
+    for i in range(groups):
+        # Bounded by the number of groups.
+        some = open_.filter(F.pmod(F.xxhash64("query_id", "question"), F.lit(groups)) == i).toArrow()
+        found = chunks.filter("text_raw IS NOT NULL").select("chunk_id", "ordinal", "text_raw").mapInArrow(_containing_task(some), f"query_id {kind}, chunk_id {name}, ordinal {chunks.schema['ordinal'].dataType.simpleString()}")
+        out = found if out is None else out.unionByName(found)
+    return out
 
-def dense(embeddings: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES, block: int = 4096) -> DataFrame:
-    """query_id, chunk_id, ordinal, score, rank: every vector (chunk_id, ordinal, vec) against a batch (query_id, vec).
 
-    The batch is counted and broadcast in blocks of about `block` queries.
+def _containing_task(questions: pa.Table):
+    said, keys = questions.column("question").to_pylist(), questions.column("word").to_pylist()
+    ids = questions.column("query_id").combine_chunks()
+    whole: dict[str, list[int]] = {}
+    ends: dict[tuple[str, str], list[int]] = {}
+    every: list[int] = []
+    for i, (text_, word) in enumerate(zip(said, keys, strict=True)):
+        first, *_, last = text_.split(" ") if " " in text_ else (text_, "", "")
+        if word is not None:
+            whole.setdefault(word, []).append(i)
+        elif not text_.strip(" "):
+            every.append(i)
+        elif " " not in text_:
+            ends.setdefault(("in", text_), []).append(i)
+        elif len(first) >= len(last):
+            ends.setdefault(("end", first), []).append(i)
+        else:
+            ends.setdefault(("begin", last), []).append(i)
+    sizes = {way: sorted({len(w) for k, w in ends if k == way}) for way in ("in", "end", "begin")}
+
+    def of_word(word: str) -> list[int]:
+        """The questions that a chunk with this word may hold."""
+        parts = {("end", word[len(word) - n :]) for n in sizes["end"] if n <= len(word)} | {("begin", word[:n]) for n in sizes["begin"] if n <= len(word)}
+        parts |= {("in", word[at : at + n]) for n in sizes["in"] for at in range(len(word) - n + 1)}
+        return whole.get(word, []) + [q for part in parts for q in ends.get(part, [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            rows, found = [], []
+            for row, text_ in enumerate(batch.column("text_raw").to_pylist()):
+                maybe = set(every)
+                for word in set(text_.split(" ")):
+                    if (hit := seen.get(word)) is None:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        hit = seen[word] = of_word(word)
+                    if hit:
+                        maybe.update(hit)
+                held = [q for q in maybe if said[q] in text_]
+                rows += [row] * len(held)
+                found += held
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column("chunk_id").take(at), batch.column("ordinal").take(at)], ["query_id", "chunk_id", "ordinal"])
+
+    return run
+
+
+def dense(embeddings: DataFrame, queries: DataFrame, k: int = rules.CANDIDATES) -> DataFrame:
+    """query_id, chunk_id, ordinal, score, rank: every vector (chunk_id, ordinal, vec) against a batch (query_id, vec), by cosine.
+
+    One pass over the vectors for all queries whose vectors fill `DENSE_BYTES`: slices of
+    vectors are multiplied with blocks of queries, and at most k rows a query leave a
+    task. Null vectors are no candidates, null query vectors find nothing; a vector of
+    another length than the queries' is an error.
     """
-    unit = kept(queries.select("query_id", vectors.l2_normalize(F.col("vec")).alias("q")))
-    units = embeddings.select("chunk_id", "ordinal", vectors.l2_normalize(F.col("vec")).alias("v"))
-    blocks = max(1, -(-unit.count() // block))
+    unit = kept(queries.filter("vec IS NOT NULL").select("query_id", vectors.l2_normalize(F.col("vec")).alias("q")))
+    n, dim = unit.agg(F.count("*"), F.max(F.size("q"))).first()
+    groups = max(1, -(-n * (dim or 1) * 8 // DENSE_BYTES))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    given = embeddings.filter("vec IS NOT NULL").select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ordinal").cast("long").alias("ordinal"), F.col("vec").cast("array<double>").alias("vec"))
     out = None
-    for i in range(blocks):
-        some = unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else unit
-        scored = units.crossJoin(F.broadcast(some)).select("query_id", "chunk_id", "ordinal", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("score"))
-        best = top(scored, k, F.desc("score"), F.desc("ordinal"))
-        out = best if out is None else out.unionByName(best)
-    return out
+    for i in range(groups):
+        # Bounded by the number of groups.
+        some = unit.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == i).toArrow()
+        found = given.mapInArrow(_dense_task(some, dim or 0, k), f"query_id {kind}, chunk_id string, ordinal long, score double")
+        out = found if out is None else out.unionByName(found)
+    best = top(out, k, F.desc("score"), F.desc("ordinal"))
+    return best.withColumn("chunk_id", F.col("chunk_id").cast(embeddings.schema["chunk_id"].dataType))
+
+
+def _dense_task(queries: pa.Table, dim: int, k: int):
+    """Scores of vector batches against all `queries` (query_id, q)."""
+    ids = queries.column("query_id").combine_chunks()
+    many = len(ids)
+    matrix = queries.column("q").combine_chunks().flatten().to_numpy().reshape(many, dim) if many else np.zeros((0, dim))
+    block = 4096
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(min(block, many - at), k) for at in range(0, many, block)]
+        step = max(1, CELLS // max(1, min(block, many)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if many else 0, step):
+                batch = whole.slice(at, step)
+                rows = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dim)
+                rows = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
+                names, ordinals = np.array(batch.column("chunk_id").to_pylist(), object), batch.column("ordinal").to_numpy()
+                for i, held in enumerate(best):
+                    held.offer(rows @ matrix[i * block : (i + 1) * block].T, ordinals, names)
+        for i, held in enumerate(best):
+            yield from held.rows(ids.slice(i * block, block))
+
+    return run
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int = rules.CANDIDATES, constant: int = rules.RRF_K) -> DataFrame:

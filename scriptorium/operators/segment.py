@@ -2,38 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text
-from ..scratch import numbered
+from ..scratch import kept, numbered
+
+
+def _heading_keys(lines: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, titles), each a row a key; a line and a title that match have a key in common.
+
+    A line that begins the title equals one of the title's beginnings. A title that
+    begins the line, or whose first three words do, has the line's first two words if it
+    has more than two, the first and the next letter if it has two, and else begins the
+    line's first word.
+    """
+    words = lambda c: F.split(c, " ")
+    two = lambda c: F.concat_ws(" ", words(c)[0], words(c)[1])
+    letter = lambda c: F.concat_ws(" ", words(c)[0], F.left(words(c)[1], F.lit(1)))
+    key = lambda kind, value: F.concat(F.lit(kind), value)
+    one_word = F.size(words("title_key")) == 1
+    longest, sizes = titles.agg(F.max(F.length("title_key")), F.collect_set(F.when(one_word, F.length("title_key")))).first()
+    begins = F.transform(F.sequence(F.lit(1), F.length("title_key")), lambda i: key("=", F.left("title_key", i)))
+    n = F.size(words("title_key"))
+    own = F.when(n > 2, key("3", two("title_key"))).when(n == 2, key("2", letter("title_key"))).otherwise(key("1", F.col("title_key")))
+    keyed = titles.select("*", F.explode(F.concat(begins, F.array(own))).alias("key"))
+    n = F.size(words("line_key"))
+    whole = F.when(F.length("line_key") <= (longest or 0), key("=", F.col("line_key")))
+    first = [F.when(F.length(words("line_key")[0]) >= size, key("1", F.left("line_key", F.lit(size)))) for size in sorted(sizes or [])]
+    keys = F.array(whole, F.when(n > 2, key("3", two("line_key"))), F.when(n > 1, key("2", letter("line_key"))), *first)
+    return lines.select("*", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key")), keyed
+
+
+def _first_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in order of (doc_id, ord) the first of their `places` after the one taken last in the document."""
+    doc, cursor = None, -1
+    for batch in batches:
+        taken, found = [], []
+        for row, (doc_id, places) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+            if doc_id != doc:
+                doc, cursor = doc_id, -1
+            at = bisect_right(places, cursor)
+            if at < len(places):
+                cursor = places[at]
+                taken.append(row)
+                found.append(cursor)
+        some = batch.take(pa.array(taken, pa.int64()))
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("ord"), pa.array(found, pa.int64())], ["doc_id", "ord", "pos"])
 
 
 def locate_headings(stream: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(located: doc_id, ord, title, printed, pos, page; unlocated: doc_id, ord, title, printed).
 
     Each entry takes its first matching line after the line of the entry found before
-    it; an entry without one leaves that place as it was. Only matching pairs of one
-    document are folded.
+    it; an entry without one leaves that place as it was. Lines and titles meet by keys,
+    equal titles of a document once, and a document's entries are then gone through in
+    order with one search each among the places of their title.
     """
     # Keys are folded before the join: once a line and once a title, not once a pair.
-    lines = stream.select("doc_id", "pos", text.fold("line", True).alias("line_key"))
-    titles = entries.select("doc_id", "ord", text.heading_key("title").alias("title_key")).withColumn("probe", text.heading_probe(F.col("title_key")))
-    # A line and a title that match begin with the same character.
-    lines, titles = (df.filter(F.col(c) != "").withColumn("initial", F.left(c, F.lit(1))) for df, c in ((lines, "line_key"), (titles, "title_key")))
-    pairs = lines.join(titles, ["doc_id", "initial"]).filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe"))).select("doc_id", "ord", "pos")
-    state = F.struct(F.lit(-1).cast("long").alias("cursor"), F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<ord:bigint,pos:bigint>>").alias("hits"))
-
-    def step(acc: Column, x: Column) -> Column:
-        taken = (x["ord"] != acc["last"]) & (x["pos"] > acc["cursor"])
-        hit = F.array_append(acc["hits"], F.struct(x["ord"].alias("ord"), x["pos"].alias("pos")))
-        return F.when(taken, F.struct(x["pos"].alias("cursor"), x["ord"].alias("last"), hit.alias("hits"))).otherwise(acc)
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("pos").cast("long").alias("pos"))))
-    hits = pairs.groupBy("doc_id").agg(F.aggregate(ordered, state, step, lambda acc: acc["hits"]).alias("hits")).select("doc_id", F.inline("hits"))
+    lines = stream.select("doc_id", F.col("pos").cast("long").alias("pos"), text.fold("line", True).alias("line_key")).filter("line_key <> ''")
+    keyed = kept(entries.select("doc_id", F.col("ord").cast("long").alias("ord"), text.heading_key("title").alias("title_key")).filter("title_key <> ''"))
+    titles = keyed.select("doc_id", "title_key").distinct().withColumn("probe", text.heading_probe(F.col("title_key")))
+    by_line, by_title = _heading_keys(lines, titles)
+    pairs = by_line.join(by_title, ["doc_id", "key"]).filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe")))
+    places = pairs.groupBy("doc_id", "title_key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    ordered = keyed.join(places, ["doc_id", "title_key"]).select("doc_id", "ord", "places").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    hits = kept(ordered.mapInArrow(_first_after, f"doc_id {entries.schema['doc_id'].dataType.simpleString()}, ord long, pos long"))
     located = entries.join(hits, ["doc_id", "ord"]).join(stream.select("doc_id", "pos", "page"), ["doc_id", "pos"]).select("doc_id", "ord", "title", "printed", "pos", "page")
     unlocated = entries.join(hits, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", "title", "printed")
     return located, unlocated
@@ -47,29 +87,51 @@ def section_lines(stream: DataFrame, located: DataFrame) -> DataFrame:
     return marked.select("doc_id", "pos", "page", "line", fill("ord"), fill("title"), fill("start_page")).filter("ord IS NOT NULL")
 
 
-def part_numbers(sizes: Column, limit: int = rules.CHUNK_CHARS) -> Column:
-    """Part of each line of a section from the array of line lengths.
-
-    A line opens a new part if the part has lines and the line would pass the limit;
-    each line counts one more for its line feed.
-    """
-    state = F.struct(F.lit(0).alias("size"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc: Column, n: Column) -> Column:
-        opens = (F.size(acc["parts"]) > 0) & (acc["size"] > 0) & (acc["size"] + n > limit)
-        part = acc["part"] + opens.cast("int")
-        return F.struct((F.when(opens, F.lit(0)).otherwise(acc["size"]) + n + 1).alias("size"), part.alias("part"), F.array_append(acc["parts"], part).alias("parts"))
-
-    return F.aggregate(sizes, state, step, lambda acc: acc["parts"])
+def _greedy_parts(limit: int):
+    """Part numbers of lines in order of (section, pos): a task goes from break to break by a search among the sums of sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        section, held, part = None, 0, 0
+        for batch in batches:
+            names = batch.column("section").to_numpy(zero_copy_only=False)
+            sizes = batch.column("size").to_numpy().astype(np.int64) + 1
+            parts = np.empty(len(names), np.int32)
+            starts = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)])) if len(names) else [0]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if names[a] != section:
+                    section, held, part = names[a], 0, 0
+                sums = np.cumsum(sizes[a:b])
+                # `before`: the sum at which the open part began; negative where it began in an earlier batch.
+                at, before = 0, -held
+                while at < b - a:
+                    stop = int(np.searchsorted(sums, limit + 1 + before, side="right"))
+                    if (sums[at - 1] if at else 0) == before:
+                        stop = max(stop, at + 1)  # a part has a line, however long
+                    stop = min(stop, b - a)
+                    parts[a + at : a + stop] = part
+                    at = stop
+                    if at < b - a:
+                        part, before = part + 1, int(sums[at - 1]) if at else 0
+                held = int(sums[-1]) - before
+            yield pa.RecordBatch.from_arrays([batch.column("section"), batch.column("pos"), pa.array(parts)], ["section", "pos", "part"])
+
+    return run
 
 
 def split_sections(lines: DataFrame, keys: list[str], limit: int = rules.CHUNK_CHARS) -> DataFrame:
-    """keys, pos, page, line, part, n_parts of section lines; lines of one section are folded in one row."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "page", "line")))
-    rows = lines.groupBy(*keys).agg(listed.alias("ls"))
-    parts = rows.withColumn("parts", part_numbers(F.transform("ls", lambda x: F.length(x["line"])), limit))
-    out = parts.select(*keys, (F.element_at("parts", -1) + 1).alias("n_parts"), F.inline(F.arrays_zip("ls", "parts")))
-    return out.select(*keys, "ls.pos", "ls.page", "ls.line", F.col("parts").alias("part"), "n_parts")
+    """keys, pos, page, line, part, n_parts of section lines (keys, pos, page, line).
+
+    A line opens a new part if the part has lines and the line would pass the limit; each
+    line counts one more for its line feed. Breaks follow one from another, so a section's
+    line sizes, no texts, go through one task in order, in constant memory; texts meet
+    their part by their place.
+    """
+    section = F.sha2(F.to_json(F.struct(*keys)).cast("binary"), 256)
+    named = lines.select(*keys, F.col("pos").cast("long").alias("pos"), "page", "line", section.alias("section"))
+    sizes = named.select("section", "pos", F.coalesce(F.length("line"), F.lit(0)).alias("size")).repartition("section").sortWithinPartitions("section", "pos")
+    parts = kept(sizes.mapInArrow(_greedy_parts(limit), "section string, pos long, part int"))
+    counts = parts.groupBy("section").agg((F.max("part") + 1).alias("n_parts"))
+    return named.join(parts, ["section", "pos"]).join(counts, "section").select(*keys, "pos", "page", "line", "part", "n_parts")
 
 
 def build_chunks(stream: DataFrame, located: DataFrame, groups: DataFrame, limit: int = rules.CHUNK_CHARS, collection: Column | None = None) -> DataFrame:

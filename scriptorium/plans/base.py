@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import spread
 
 #: Word -> canonical word for these texts.
 ALIASES = {"ththe": "thing", "onan": "with", "inan": "the", "thin": "thin", "erst": "first", "des": "les", "que": "qui"}
@@ -36,7 +37,7 @@ def sql_words(x: str, stop: tuple[str, ...]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, vectors
-from ..operators import evaluate, providers, retrieve
+from ..operators import evaluate, lexical, providers, retrieve
+from ..scratch import folder, kept
+from ..sources import tables
 from . import base
 from .base import SQL_CHUNKS, sql_fold, sql_words, table
 
@@ -62,6 +66,19 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, rank FROM bm")
+def indexed_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 from a stored index that was built over older texts of every third document and without every fifth, and then updated."""
+    rows = base.folded_chunks(spark, sf).select("chunk_id", "ordinal", "text_folded")
+    index = lexical.StoredIndex(spark, f"{folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}", buckets=32)
+    older = F.when(F.col("ordinal") % 3 == 0, F.concat("text_folded", F.lit(" older"))).otherwise(F.col("text_folded"))
+    index.update(rows.filter("ordinal % 5 <> 0").withColumn("text_folded", older))
+    index.update(rows)
+    out = kept(retrieve.bm25_indexed(index, base.questions(spark, sf), aliases=None).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank")))
+    tables.delete(spark, index.path)
+    return out
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(u, lambda x: abs(x))), 6) AS l1, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS l2 FROM (SELECT vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings))")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     unit = vectors.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))
@@ -215,8 +232,6 @@ def embed_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE doc_id % 4 = 1 OR doc_id % 6 = 0")
 def incremental_embed_todo(spark: SparkSession, sf: str) -> DataFrame:
     """Every fourth chunk was never stored and every sixth had another text."""
-    from ..sources import tables
-
     rows = base.chunks(spark, sf)
     old = F.when(F.col("doc_id") % 6 == 0, F.concat("text_raw", F.lit("!"))).otherwise(F.col("text_raw"))
     stored = rows.filter("doc_id % 4 <> 1").select("chunk_id", vectors.fingerprint("stand-in", 64, F.col("chunk_id"), old).alias("fingerprint"))

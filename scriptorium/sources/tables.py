@@ -18,6 +18,12 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, kind:
     return (reader.schema(schema) if schema else reader).option("multiLine", "true").load(path) if kind == "json" else (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over all cores: a file that Spark reads in fewer splits than there are cores is dealt out, any larger table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Overwrites the chunk table, one folder a collection, so that a filter on it prunes files."""
     chunks.write.mode("overwrite").partitionBy("collection").parquet(path)

@@ -29,9 +29,9 @@ def test_mini_book(spark):
     assert chunks[0]["chunk_id"] == "003-first-things-p0"
 
 
-def test_part_numbers_equal_a_greedy_loop(spark):
+def test_parts_equal_a_greedy_loop(spark):
     rng = random.Random(5)
-    cases = [[rng.randint(0, 12) for _ in range(rng.randint(1, 15))] for _ in range(60)] + [[30], [10, 0, 0]]
+    cases = [[rng.randint(0, 12) for _ in range(rng.randint(1, 15))] for _ in range(60)] + [[30], [10, 0, 0], [30, 30, 1], [19, 20, 21, 0], [rng.randint(0, 9) for _ in range(25_000)]]
 
     def loop(sizes, limit=20):
         out, part, size, held = [], 0, 0, False
@@ -42,8 +42,41 @@ def test_part_numbers_equal_a_greedy_loop(spark):
             size, held = size + n + 1, True
         return out
 
-    got = spark.createDataFrame([(c,) for c in cases], "s array<int>").select(segment.part_numbers(F.col("s"), 20).alias("p")).collect()
-    assert [r["p"] for r in got] == [loop(c) for c in cases]
+    rows = spark.createDataFrame([(k, None if k % 2 else "x", i, 1, "y" * n) for k, c in enumerate(cases) for i, n in enumerate(c)], "doc_id long, title string, pos long, page int, line string").repartition(6)
+    got = segment.split_sections(rows, ["doc_id", "title"], 20).collect()
+    parts, last = {(r["doc_id"], r["pos"]): r["part"] for r in got}, {r["doc_id"]: r["n_parts"] for r in got}
+    for k, c in enumerate(cases):
+        want = loop(c)
+        assert [parts[k, i] for i in range(len(c))] == want and last[k] == want[-1] + 1
+
+
+def test_headings_equal_a_plain_search(spark):
+    """Titles of one, two and more words, repeated, nested in each other, against lines that begin alike."""
+    rng = random.Random(8)
+    words = ["fast", "fasting", "of", "the", "rules", "a", "chapter"]
+    streams = [[" ".join(rng.choices(words, k=rng.randint(1, 5))) + rng.choice(["", " 12", "."]) for _ in range(80)] for _ in range(12)]
+    entries = [[" ".join(rng.choices(words, k=rng.randint(1, 4))).title() for _ in range(15)] + [""] for _ in range(12)]
+    lines = spark.createDataFrame([(d, i, i // 9 + 1, x) for d, s in enumerate(streams) for i, x in enumerate(s)], "doc_id long, pos long, page int, line string")
+    toc = spark.createDataFrame([(d, i, t, 1) for d, s in enumerate(entries) for i, t in enumerate(s)], "doc_id long, ord int, title string, printed int")
+    located, unlocated = segment.locate_headings(lines.repartition(3), toc)
+    fold = lambda x: " ".join("".join(c for c in x.lower() if not c.isdigit() and c != ".").split())
+
+    def matches(line, title):
+        probe = " ".join(title.split()[:3]) if len(title.split()) >= 3 else None
+        return bool(line and title) and (line.startswith(title) or title.startswith(line) or (probe is not None and line.startswith(probe) and abs(len(line) - len(title)) <= 12))
+
+    want, lost = set(), set()
+    for d in range(12):
+        cursor = -1
+        for i, t in enumerate(entries[d]):
+            hit = next((p for p, x in enumerate(streams[d]) if p > cursor and matches(fold(x), fold(t))), None)
+            if hit is None:
+                lost.add((d, i))
+            else:
+                want.add((d, i, hit, hit // 9 + 1))
+                cursor = hit
+    assert {(r["doc_id"], r["ord"], r["pos"], r["page"]) for r in located.collect()} == want and want
+    assert {(r["doc_id"], r["ord"]) for r in unlocated.collect()} == lost
 
 
 def test_group_expansion_equals_the_sequential_rule(spark):
