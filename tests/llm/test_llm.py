@@ -105,6 +105,17 @@ def test_pipeline_edges(spark, tmp_path, empty):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_line_stage_keeps_columns_named_as_its_counts(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "a line that is long enough\nanother line", 77, 5, "r"), (2, "a line that is long enough\nmore", 88, 6, "s"), (None, None, 99, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, n_lines long, row string")
+    out = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert {(r["doc_id"], r["n_removed"], r["n_lines"], r["row"]) for r in out.collect()} == {(i, a, b, c) for i, _, a, b, c in rows}
+    assert {r["doc_id"]: r["text"] for r in out.collect()}[2] == "more"
+
+
 # 1. Packing
 
 
