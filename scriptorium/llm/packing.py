@@ -94,7 +94,7 @@ class ByteBpe:
 
     _LOADED: dict[str, ByteBpe] = {}
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -236,7 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
             return rows
 
         full, least = capacity * 4, min(piece, capacity) * 4
-        for batch in bounded(batches, "text", 8_000_000):
+        for batch in bounded(batches, "text", 2_000_000):
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
