@@ -1,13 +1,13 @@
 """Similarity digests of documents from statistically improbable byte windows.
 
-Every window of 32 bytes has a collision entropy, kept up to date for all positions
+Every window of 8 bytes has a collision entropy, kept up to date for all positions
 at once from counts of equal bytes at each distance. Windows are ranked by how far
 their entropy lies from that of ordinary text, nearly constant windows excepted; the
-rarest of every 48 neighbouring windows is a feature. These features make up the digest
-of a text of any length; a text of fewer than 256 bytes, which has few of them, has
-those of windows and neighbourhoods of 8 bytes besides. Features go into a chain of
-2048-bit Bloom filters, at most 128 to a filter. Likeness is the bit overlap beyond
-chance, as a share of the largest possible, averaged over the shorter chain.
+rarest of every 12 neighbouring windows is a feature. One rule holds for every length:
+whether a window is a feature depends on the bytes around it alone, so all features of
+a piece of at least 19 bytes are features of any text that holds it. Features go into a
+chain of 2048-bit Bloom filters, at most 512 to a filter. Likeness is the bit overlap
+beyond chance, as a share of the largest possible, averaged over the shorter chain.
 """
 
 from __future__ import annotations
@@ -27,11 +27,9 @@ from pyspark.sql.window import Window
 from . import _spark
 from ._arrays import SpanHash, bounded
 
-WINDOW, NEIGHBOURS, BITS, PER_FILTER, HASHES = 32, 48, 2048, 128, 5
-#: Texts of fewer bytes have features of windows and neighbourhoods of so many bytes, too.
-SHORT, FINE = 256, 8
+WINDOW, NEIGHBOURS, BITS, PER_FILTER, HASHES = 8, 12, 2048, 512, 2
 # The share of byte pairs of a window that are equal in ordinary prose (mean), and the share from which a window is too uniform to tell texts apart.
-_USUAL, _UNIFORM = 0.0726, 0.5
+_USUAL, _UNIFORM = 0.0618, 0.5
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,40 +43,31 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def features(data: np.ndarray) -> np.ndarray:
-    """Distinct feature hashes of one byte string; a string of up to 8 bytes is one feature."""
+    """Distinct hashes of the rarest of every `NEIGHBOURS` windows, in order of first place; a string of up to `WINDOW` bytes is one feature."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64)
     hasher = SpanHash.of_bytes(data)
-    if n <= FINE:
+    if n <= WINDOW:
         return hasher(np.array([0]), np.array([n]))
-    found = [_rarest(data, hasher, WINDOW, NEIGHBOURS)] if n >= WINDOW else []
-    if n < SHORT:
-        found.append(_rarest(data, hasher, FINE, FINE))
-    return np.concatenate(found)
-
-
-def _rarest(data: np.ndarray, hasher: SpanHash, window: int, neighbours: int) -> np.ndarray:
-    """Distinct hashes of the rarest of every `neighbours` windows, in order of first place."""
-    n = len(data)
-    possible = window * (window - 1) // 2
+    possible = WINDOW * (WINDOW - 1) // 2
     forward = np.zeros(n, np.int32)
     backward = np.zeros(n, np.int32)
-    for distance in range(1, window):
+    for distance in range(1, WINDOW):
         equal = data[:-distance] == data[distance:]
         forward[: n - distance] += equal
         backward[distance:] += equal
     # Moving on by one byte loses the pairs of the byte that leaves and gains those of the one that enters.
-    pairs = np.empty(n - window + 1, np.int32)
-    first = np.bincount(data[:window])
+    pairs = np.empty(n - WINDOW + 1, np.int32)
+    first = np.bincount(data[:WINDOW])
     pairs[0] = (first * (first - 1) // 2).sum()
-    pairs[1:] = pairs[0] + np.cumsum(backward[window:] - forward[: n - window])
+    pairs[1:] = pairs[0] + np.cumsum(backward[WINDOW:] - forward[: n - WINDOW])
     at = np.arange(len(pairs))
-    hashes = hasher(at, at + window)
+    hashes = hasher(at, at + WINDOW)
     rarity = np.abs(pairs - round(_USUAL * possible)).astype(np.uint64)
     rank = ((np.uint64(1023) - np.minimum(rarity, np.uint64(1023))) << np.uint64(53)) | (hashes >> np.uint64(11))
     rank = np.where(pairs >= _UNIFORM * possible, rank | np.uint64(1 << 63), rank)
-    lowest = _slide_min(rank, min(neighbours, len(rank)))
+    lowest = _slide_min(rank, min(NEIGHBOURS, len(rank)))
     chosen = hashes[np.isin(rank, lowest)]
     _, place = np.unique(chosen, return_index=True)
     return chosen[np.sort(place)]

@@ -387,7 +387,7 @@ def test_digest_equals_a_plain_version():
             part = data[at : at + window]
             pairs = sum(part[i] == part[j] for i in range(window) for j in range(i))
             hashed = int(fingerprint.SpanHash.of_bytes(np.frombuffer(part, np.uint8))(np.array([0]), np.array([window]))[0])
-            rank = (1023 - min(1023, abs(pairs - round(0.0726 * possible)))) << 53 | hashed >> 11
+            rank = (1023 - min(1023, abs(pairs - round(0.0618 * possible)))) << 53 | hashed >> 11
             ranks.append((rank | 1 << 63 if pairs >= 0.5 * possible else rank, hashed))
         width = min(neighbours, len(ranks))
         low = {min(ranks[i : i + width])[0] for i in range(len(ranks) - width + 1)}
@@ -399,20 +399,33 @@ def test_digest_equals_a_plain_version():
         if len(data) <= 8:
             found = [int(h) for h in fingerprint.SpanHash.of_bytes(np.frombuffer(data, np.uint8))(np.array([0]), np.array([len(data)]))] if data else []
         else:
-            found = (rarest(data, 32, 48) if len(data) >= 32 else []) + (rarest(data, 8, 8) if len(data) < 256 else [])
-        filters = [0] * -(-len(found) // 128)
+            found = rarest(data, 8, 12)
+        filters = [0] * -(-len(found) // 512)
         for i, h in enumerate(found):
-            for k in range(5):
-                filters[i // 128] |= 1 << (2047 - (h >> 11 * k) % 2048)
+            for k in range(2):
+                filters[i // 512] |= 1 << (2047 - (h >> 11 * k) % 2048)
         want = b"".join(f.to_bytes(256, "big") for f in filters)
         assert fingerprint.digest(np.frombuffer(data, np.uint8)).tobytes() == want, text
 
 
 def test_likeness_is_continuous_in_length():
-    data = np.frombuffer(prose(random.Random(3), 60).encode()[:300], np.uint8)
-    for n in (300, 260, 257, 256):
-        for less in (1, 5, 30):
-            assert fingerprint.likeness(fingerprint.digest(data[:n]), fingerprint.digest(data[: n - less])) > 0.6
+    """A text to each of its prefixes, across 256 bytes and all other lengths: one byte more changes little."""
+    rng = random.Random(3)
+    for n in [200, 255, 256, 257, 300, 511, 512, 700, *(rng.randint(200, 700) for _ in range(12))]:
+        for data in (bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n)), prose(rng, 150).encode()[:n]):
+            whole = np.frombuffer(data, np.uint8)
+            chain = fingerprint.digest(whole)
+            like = [fingerprint.likeness(chain, fingerprint.digest(whole[:k])) for k in range(19, n + 1)]
+            assert max(abs(a - b) for a, b in zip(like, like[1:])) < 0.1 and min(like) > 0.9
+
+
+def test_likeness_to_half_does_not_depend_on_length():
+    rng = random.Random(8)
+    for n in (64, 128, 255, 256, 257, 400, 1000, 5000, 40000):
+        one, other = (prose(rng, n // 4).encode()[:n] for _ in range(2))
+        one, mixed, other = (fingerprint.digest(np.frombuffer(x, np.uint8)) for x in (one, one[: n // 2] + other[: n - n // 2], other))
+        assert 0.2 < fingerprint.likeness(one, mixed) < 0.75
+        assert fingerprint.likeness(one, other) < 0.2
 
 
 # 6. Decontamination
