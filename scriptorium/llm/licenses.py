@@ -20,11 +20,9 @@ NOTICES = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("MIT", "Distributed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("Apache-2.0", "This project is licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
@@ -90,13 +88,17 @@ _TITLED = (
 )
 #: Whole licence texts with and without title and the sentence that often follows the copyright line.
 TEXTS = tuple((name, f"{title}\n{rights}\n{text}") for name, titles, texts in _TITLED for title in titles for rights in ("", "All rights reserved.") for text in texts)
-KNOWN = NOTICES + TEXTS
+#: The tag line of every licence that a notice names.
+TAGS = tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in NOTICES} - {"proprietary"}))
+KNOWN = NOTICES + TAGS + TEXTS
 # Equivalent spellings; the first of each pair is read as the second.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyrighted", "copyright"), ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("ver", "version"), ("v", "version"))
 
-# In order: copyright lines go, then punctuation becomes a space, then spellings, then spaces.
-_COPYRIGHT = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[ \t]*((\(c\)|©)[ \t]*)?[0-9][^\n]*$"
+# A copyright line: the word or mark with a number after it, both marks, or the word first and a year anywhere.
+_MARK = r"(\(c\)|©)"
+_COPYRIGHT = rf"(?m)^[ \t/*#;-]*((copyright|{_MARK})[ \t:]*({_MARK}[ \t]*)?[0-9]|copyright[ \t:]*{_MARK}|{_MARK}[ \t]*copyright|copyright[ \t:][^\n]*(19|20)[0-9][0-9])[^\n]*$"
 _PUNCTUATION = r"[^0-9a-zß-öø-ÿ]+"
+# In order: copyright lines go, then punctuation becomes a space, then spellings, then spaces.
 _RULES = [(_COPYRIGHT, " "), (_PUNCTUATION, " "), *((rf"\b{a}\b", b) for a, b in SPELLINGS)]
 
 
@@ -108,12 +110,45 @@ def canonical_text(text: str) -> str:
     return out.strip(" ")
 
 
+def _spelled(words: Column) -> Column:
+    for pattern, replacement in _RULES[2:]:
+        words = F.regexp_replace(words, pattern, replacement)
+    return F.trim(words)
+
+
 def canonical(text: Column) -> Column:
     """The same form as a Column."""
     out = F.lower(text)
-    for pattern, replacement in _RULES:
+    for pattern, replacement in _RULES[:2]:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.trim(out)
+    return _spelled(out)
+
+
+def _possible(words: Column, known: tuple[tuple[str, str], ...]) -> Column:
+    """Whether the spelled form of `words` can be that of a known text: its first and last word are theirs, or become theirs by spelling.
+
+    Spelling changes whole words of a-z only, so a word with any other letter always passes.
+    """
+    forms, tests = [canonical_text(text) for _, text in known], []
+    for place, at in ((0, 1), (-1, -1)):
+        allowed = {f.split(" ")[place] for f in forms}
+        while more := {a.split(" ")[place] for a, b in SPELLINGS if b.split(" ")[place] in allowed} - allowed:
+            allowed |= more
+        word = F.substring_index(words, " ", at)
+        tests.append(word.isin(sorted(allowed)) | word.rlike("[^0-9a-z]"))
+    return tests[0] & tests[1]
+
+
+def texts_in(spark: SparkSession, folder: str, most: int = 5000) -> tuple[tuple[str, str], ...]:
+    """(name, text) of the files of a folder, each one whole licence text named by its identifier, to be passed on as `known` beside KNOWN.
+
+    Known texts are a table that every task holds, so a folder of more than `most` files is refused.
+    """
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+    rows = files.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{folder} holds more than {most} texts")
+    return tuple(sorted((re.sub(r"\.txt$", "", r["name"]), r["text"]) for r in rows))
 
 
 def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -123,20 +158,26 @@ def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNO
 
 
 def _units(docs: DataFrame, known: tuple[tuple[str, str], ...]) -> DataFrame:
-    """doc_id, tk (a hash of the text, which tells rows of one doc_id apart), line, license."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    lines = texts.select("doc_id", "tk", F.posexplode(F.split("low", "\n")).alias("line", "unit"))
-    whole = texts.select("doc_id", "tk", F.lit(-1).alias("line"), F.col("low").alias("unit"))
-    digest = F.sha2(canonical(F.col("unit")).cast("binary"), 256)
-    units = lines.unionByName(whole).select("doc_id", "tk", "line", digest.alias("digest"))
+    """doc_id, tk (a hash of the text, which tells rows of one doc_id apart), line, license.
+
+    Copyright lines and punctuation go from a text once; only units whose first and last
+    word can be those of a known text are spelled and digested.
+    """
+    low, marked = F.col("low"), F.col("low").contains("copyright") | F.col("low").contains("(c)") | F.col("low").contains("©")
+    plain = F.regexp_replace(F.when(marked, F.regexp_replace(low, _COPYRIGHT, " ")).otherwise(low), _PUNCTUATION.replace("]+", r"\n ]+"), " ")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.lower(F.coalesce("text", F.lit(""))).alias("low")).select("doc_id", "tk", plain.alias("plain"))
+    every = F.concat(F.array(F.translate("plain", "\n", " ")), F.split("plain", "\n"))
+    both = texts.select("doc_id", "tk", F.posexplode(every).alias("place", "unit")).select("doc_id", "tk", (F.col("place") - 1).alias("line"), F.trim("unit").alias("unit"))
+    likely = both.filter(_possible(F.col("unit"), known)).withColumn("unit", F.regexp_replace("unit", " +", " "))
+    units = likely.select("doc_id", "tk", "line", F.sha2(_spelled(F.col("unit")).cast("binary"), 256).alias("digest"))
     return units.join(F.broadcast(known_licenses(docs.sparkSession, known)), "digest").select("doc_id", "tk", "line", "license")
 
 
 def license_units(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, line (-1: the entire text), license of every text unit that is a known licence.
 
-    Every line and text is brought to its canonical form; no test of the raw text comes
-    before. Null and empty texts have no unit; a null doc_id is kept, repeated rows each.
+    Lines and texts are brought to their canonical form; those whose first or last word no
+    known text has go before spellings are read, which loses none. Null and empty texts have no unit; a null doc_id is kept, repeated rows each.
     """
     return _units(docs, known).drop("tk")
 

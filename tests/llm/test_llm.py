@@ -506,6 +506,46 @@ def test_malformed_pages_do_not_fail(page):
 # 8. Licences
 
 
+def test_every_unit_of_a_known_form_is_found(spark):
+    """Against the canonical form of every line and text, with spellings, breaks, marks and copyright lines of all kinds."""
+    rng = random.Random(12)
+    digests = {licenses.canonical_text(t): n for n, t in licenses.KNOWN}
+    back = [("license", "licence"), ("noninfringement", "Non-Infringement"), ("noninfringement", "non\ninfringement"), ("version", "v."), ("version", "Ver"), ("copyright", "Copyrighted"), ("percent", "per cent")]
+    rights = ["Copyright (c) 2020 Someone", "Copyright Foo Bar 2020", "Copyright (c) The Authors", "(c) 1999-2003 X", "© Copyright X", "# Copyright: 2011 Y", " * copyright © Z\r", "Neither X 2020", ""]
+    texts = ["", "é", "v", "licence v é", "copyright holder"]
+    for _ in range(250):
+        text = rng.choice(licenses.KNOWN)[1]
+        for a, b in rng.sample(back, 3):
+            text = text.replace(a, b)
+        text = "".join(rng.choice([" ", "\n", ", ", " \t"]) if c == " " and rng.random() < 0.1 else c for c in text) if rng.random() < 0.5 else text
+        texts.append("\n".join(rng.sample([rng.choice(rights), text, rng.choice([text, "", "plain words"])], rng.randint(1, 3))))
+    got = {(r["doc_id"], r["line"], r["license"]) for r in licenses.license_units(corpus(spark, texts)).collect()}
+    want = {(i, at, digests[f]) for i, t in enumerate(texts) for at, u in [(-1, t), *enumerate(t.split("\n"))] if (f := " ".join(licenses.canonical_text(u).split(" "))) in digests}
+    assert got == want and len(want) > 250
+
+
+def test_copyright_lines_and_tags(spark):
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)
+    texts = [f"{line}\n{mit}" for line in ("Copyright Foo Bar 2020", "Copyright (c) The Authors", "Copyright 2020 X", "(c) 2020 X", "© Copyright X", "Copyright: 2020, X")]
+    texts += ["SPDX-License-Identifier: " + n for n in ("BSD-3-Clause", "MIT", "GPL-3.0-only", "CC0-1.0")] + [f"Copyright holders\n{mit}"]
+    rows = {r["doc_id"]: (r["is_license"], r["licenses"]) for r in licenses.license_scan(corpus(spark, texts)).collect()}
+    assert [rows[i] for i in range(11)] == [(True, "MIT")] * 6 + [(True, "BSD-3-Clause"), (True, "MIT"), (True, "GPL-3.0-only"), (True, "CC0-1.0"), (False, "")]
+
+
+def test_known_texts_of_a_folder(spark, tmp_path):
+    rng = random.Random(13)
+    long = "Some Public License\n" + "\n".join(prose(rng, 12) for _ in range(300))
+    (tmp_path / "Some-1.0.txt").write_text(long)
+    (tmp_path / "Other-2.0").write_text("Other terms, version 2")
+    known = licenses.texts_in(spark, str(tmp_path))
+    assert [n for n, _ in known] == ["Other-2.0", "Some-1.0"]
+    docs = corpus(spark, ["Copyright 2021 Me\n" + long.upper().replace("\n", "\n * "), "OTHER TERMS v 2\nmore", long[:-1]])
+    rows = {r["doc_id"]: (r["is_license"], r["n_lines"], r["licenses"]) for r in licenses.license_scan(docs, licenses.KNOWN + known).collect()}
+    assert rows == {0: (True, 0, "Some-1.0"), 1: (False, 1, "Other-2.0"), 2: (False, 0, "")}
+    with pytest.raises(ValueError):
+        licenses.texts_in(spark, str(tmp_path), most=1)
+
+
 def test_license_forms(spark):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500)
     texts = ["Copyright (c) 2020 Someone\n" + mit.replace("license", "LICENCE"), "x\nreleased under the MIT licence\ny", "mit", None]
