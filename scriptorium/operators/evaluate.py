@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..scratch import kept, numbered
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
@@ -30,6 +31,23 @@ def recall_at(results: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return questions.join(found, "query_id", "left").select("query_id", F.when(first.isNotNull(), F.coalesce(F.array_contains("got", first), F.lit(False))).alias("recall"))
 
 
+def judged_answers(questions: DataFrame, answers: DataFrame, ranked: DataFrame, judge, k: int = 5) -> DataFrame:
+    """The rows that rates, sweeps and reports read: every question with its answer, verdict and recall among the first `k` of `ranked`.
+
+    `questions` hold query_id, question, reference_answer, category, should_abstain,
+    variant_group and expected_chunk_ids, `answers` what `answer.answer` gives and any
+    measures such as seconds. An abstention asks no judge. `judge.judge` compares
+    other answers with their reference, `judge.judge_abstention` tells whether an answer
+    to a question that should have none leaks one; both read question,
+    reference_answer and answer. A question without an answer row counts as abstained.
+    """
+    rows = kept(questions.join(answers, "query_id", "left").join(recall_at(ranked, questions, k), "query_id").withColumn("abstained", F.coalesce("abstained", F.lit(True))).withColumn("unverified_pages", F.coalesce("unverified_pages", F.array().cast("array<int>"))))
+    asked = rows.filter(~F.col("abstained")).select("query_id", "question", "reference_answer", F.col("text").alias("answer"), "should_abstain")
+    rulings, refusals = judge.judge(asked.filter(~F.col("should_abstain"))), judge.judge_abstention(asked.filter("should_abstain"))
+    found = rulings.select("query_id", "judged").unionByName(refusals.select("query_id", "judged"))
+    return verdicts(rows.join(found, "query_id", "left"))
+
+
 def metrics(rows: DataFrame, polarity_category: str = "Polarity trap") -> DataFrame:
     """metric, passed, total of the seven rates; each has its own denominator."""
     answerable, polar = ~F.col("should_abstain"), F.col("category") == polarity_category
@@ -92,9 +110,15 @@ def threshold_sweep(scores: DataFrame, hundredths: Sequence[int] = range(50, 96,
 
 
 def calibration(scores: DataFrame) -> DataFrame:
-    """should_abstain, n, low, upper_median, high of the top scores of each class."""
-    ordered = F.sort_array(F.collect_list("top_score"))
-    return scores.groupBy("should_abstain").agg(F.count("*").alias("n"), F.min("top_score").alias("low"), F.element_at(ordered, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median"), F.max("top_score").alias("high"))
+    """should_abstain, n, low, upper_median, high of the top scores of each class; the medians are picked by number, so no task holds a class."""
+    rows = kept(scores.select("should_abstain", "top_score"))
+    classes = rows.groupBy("should_abstain").agg(F.count("*").alias("n"), F.min("top_score").alias("low"), F.max("top_score").alias("high"))
+    # Two rows: the class that comes first takes the first numbers.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("should_abstain").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = classes.withColumn("at", before + F.floor(F.col("n") / 2))
+    ordered = numbered(rows, "number", "should_abstain", "top_score")
+    picked = ordered.select("number", F.col("top_score").alias("upper_median")).join(F.broadcast(middle), F.col("number") == F.col("at"))
+    return picked.select("should_abstain", "n", "low", "upper_median", "high")
 
 
 def separable(scores: DataFrame) -> DataFrame:

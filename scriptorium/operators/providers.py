@@ -105,7 +105,7 @@ class LineCardWriter:
 
 @dataclass(frozen=True)
 class OverlapJudge:
-    """Verdict by the share of the reference answer's terms in the answer."""
+    """Verdicts of two kinds by shares of terms: a ruling against its reference answer, and whether an answer where none should be leaks what was asked."""
 
     agrees: float = 0.5
     incomplete: float = 0.2
@@ -114,6 +114,10 @@ class OverlapJudge:
         share = text.coverage(text.content_terms("reference_answer"), text.content_terms("answer"))
         return answers.withColumn("judged", F.when(share >= self.agrees, "agrees").when(share >= self.incomplete, "incomplete").otherwise("contradicts"))
 
+    def judge_abstention(self, answers: DataFrame) -> DataFrame:
+        share = text.coverage(text.content_terms("question"), text.content_terms("answer"))
+        return answers.withColumn("judged", F.when(share >= self.agrees, "leaked").otherwise("declined"))
+
 
 @dataclass(frozen=True)
 class RemoteEmbedder:

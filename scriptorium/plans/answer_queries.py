@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import answer, evaluate, ground, providers, retrieve, revise, segment
+from ..scratch import kept
 from . import base, retrieval_queries
 from .base import SQL_CHUNKS, sql_words, table
 from .text_queries import sql_stem
@@ -204,24 +205,54 @@ def citation_sections(spark: SparkSession, sf: str) -> DataFrame:
     return ground.citation_sections(turns, base.chunks(spark, sf)).select("query_id", "section")
 
 
-_EVAL = "e AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'Polarity trap' WHEN 1 THEN 'Out of scope' ELSE 'Straightforward' END AS category, item_id % 3 = 1 AS should_abstain, item_id % 7 = 1 AS abstained, CASE item_id % 5 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'incomplete' ELSE 'agrees' END AS judged, CASE WHEN item_id % 4 = 0 THEN item_id % 8 END AS variant_group, CASE WHEN item_id % 3 <> 1 THEN item_id % 6 <> 0 END AS recall, item_id % 9 = 0 AS bad_page, (item_id * 37 % 101) / 10 AS seconds FROM benchmark), v AS (SELECT *, CASE WHEN should_abstain THEN CASE WHEN abstained THEN 'declined' ELSE 'leaked' END WHEN abstained THEN 'abstained' ELSE judged END AS verdict FROM e), r AS (SELECT *, verdict = CASE WHEN should_abstain THEN 'declined' ELSE 'agrees' END AS behaviour_ok FROM v)"
+_PAGE_LIST = "flatten(list_transform(generate_series(1, len(pa)), lambda i: CASE WHEN coalesce(pb[i], '') = '' OR CAST(nullif(pb[i], '') AS INT) < CAST(pa[i] AS INT) OR CAST(nullif(pb[i], '') AS INT) - CAST(pa[i] AS INT) > 20 THEN [CAST(pa[i] AS BIGINT)] ELSE generate_series(CAST(pa[i] AS BIGINT), CAST(pb[i] AS BIGINT)) END))"
+_GROUNDED = f"""{SQL_CHUNKS}, {retrieval_queries._BM25},
+qt AS (SELECT item_id AS query_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS qt FROM benchmark),
+sc2 AS (SELECT query_id, doc_id, rank AS b, CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}))) / CAST(len(qt) AS DOUBLE), 6) ELSE 0 END AS score FROM bm JOIN qt USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 5),
+re2 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b) AS rank FROM sc2),
+ga AS (SELECT item_id AS query_id, coalesce(max(score), 0) AS top_score FROM benchmark LEFT JOIN re2 ON query_id = item_id GROUP BY 1),
+cx AS (SELECT query_id, rank - 1 AS di, c.* FROM re2 JOIN ga USING (query_id) JOIN c USING (doc_id) WHERE top_score >= 0.5),
+li AS (SELECT query_id, di, chunk_id, section, page_start, page_end, unnest(generate_series(0, len(string_split(text_raw, chr(10))) - 1)) AS n, unnest(string_split(text_raw, chr(10))) AS text FROM cx),
+sh AS (SELECT li.*, len(list_intersect(qt, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}))) AS shared FROM li JOIN qt USING (query_id)),
+be AS (SELECT *, trim(text || ' (Corpus — ' || section || ', ' || CASE WHEN page_start = page_end THEN printf('p%d', page_start) ELSE printf('pp%d-%d', page_start, page_end) END || ')') AS said FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, di, n) = 1),
+pg AS (SELECT query_id, said, regexp_extract_all(said, '(?i){rules.PAGE_MENTION}', 1) AS pa, regexp_extract_all(said, '(?i){rules.PAGE_MENTION}', 2) AS pb FROM be),
+cv AS (SELECT query_id, flatten(list(generate_series(page_start, page_end))) AS have FROM cx GROUP BY 1)"""
+_GROUNDED_ROWS = f"""SELECT ga.query_id, top_score, top_score < 0.5 OR shared = 0 AS abstained, CASE WHEN top_score < 0.5 THEN 'low-confidence' WHEN shared = 0 THEN 'refusal' END AS abstain_reason,
+  CASE WHEN top_score < 0.5 THEN '{answer.LOW_CONFIDENCE}' WHEN shared = 0 THEN '{answer.REFUSAL}' ELSE be.said END AS text, CASE WHEN shared > 0 THEN chunk_id END AS cited, CASE WHEN shared > 0 THEN section END AS section,
+  CASE WHEN shared > 0 THEN array_to_string(list_sort(list_filter(list_distinct({_PAGE_LIST}), lambda x: NOT list_contains(have, x))), ',') END AS unverified
+FROM ga LEFT JOIN be USING (query_id) LEFT JOIN pg USING (query_id) LEFT JOIN cv USING (query_id)"""
+_EVAL = f"""{_GROUNDED}, an AS ({_GROUNDED_ROWS}), {retrieval_queries._ABSTAIN},
+ex AS (SELECT item_id AS query_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+sa AS (SELECT query_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS said FROM an),
+e AS (SELECT query_id, CASE WHEN should_abstain THEN 'Out of scope' WHEN len(qt) % 2 = 0 THEN 'Polarity trap' ELSE 'Straightforward' END AS category, should_abstain, abstained, query_id % 8 AS variant_group,
+  CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, said)) / CAST(len(qt) AS DOUBLE) ELSE 0 END AS share,
+  CASE WHEN expected IS NOT NULL THEN (query_id, expected) IN (SELECT (query_id, doc_id) FROM re2) END AS recall, coalesce(unverified, '') <> '' AS bad_page, len(an.text) / 100 AS seconds
+  FROM an JOIN ab USING (query_id) JOIN qt USING (query_id) JOIN sa USING (query_id) LEFT JOIN ex USING (query_id)),
+j AS (SELECT *, CASE WHEN should_abstain THEN CASE WHEN share >= 0.5 THEN 'leaked' ELSE 'declined' END WHEN share >= 0.5 THEN 'agrees' WHEN share >= 0.2 THEN 'incomplete' ELSE 'contradicts' END AS judged FROM e),
+v AS (SELECT *, CASE WHEN should_abstain THEN CASE WHEN abstained THEN 'declined' ELSE judged END WHEN abstained THEN 'abstained' ELSE judged END AS verdict FROM j),
+r AS (SELECT *, verdict = CASE WHEN should_abstain THEN 'declined' ELSE 'agrees' END AS behaviour_ok FROM v)"""
+
+
+def _said(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Reranked chunks and answers of every question."""
+    asked, rows = base.questions(spark, sf), base.chunks(spark, sf)
+    best = retrieval_queries._bm25(spark, sf).filter("rank <= 5")
+    pairs = best.select("query_id", "chunk_id", F.col("rank").alias("fused_rank")).join(asked, "query_id").join(rows.select("chunk_id", "text_raw"), "chunk_id")
+    ranked = kept(retrieve.rerank(providers.CoverageReranker().score(pairs)).select("query_id", "chunk_id", "score", "rank"))
+    return ranked, answer.answer(asked, ranked, rows, providers.ExtractiveGenerator(), least=0.5)
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation rows whose outcomes follow from the question's number."""
-    i = F.col("item_id")
-    rows = table(spark, sf, "benchmark").select(
-        i.alias("query_id"),
-        F.when(i % 3 == 0, "Polarity trap").when(i % 3 == 1, "Out of scope").otherwise("Straightforward").alias("category"),
-        (i % 3 == 1).alias("should_abstain"),
-        (i % 7 == 1).alias("abstained"),
-        F.when(i % 5 == 0, "contradicts").when(i % 5 == 1, "incomplete").otherwise("agrees").alias("judged"),
-        F.when(i % 4 == 0, i % 8).alias("variant_group"),
-        F.when(i % 3 != 1, i % 6 != 0).alias("recall"),
-        F.when(i % 9 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("unverified_pages"),
-        (i * 37 % 101 / 10).alias("seconds"),
+    """Every question answered from the corpus and judged; the question is its own reference answer, the first chunk that holds it the expected one, and the length of an answer stands for its time."""
+    asked = base.questions(spark, sf)
+    found = retrieve.containing(base.chunks(spark, sf), asked).groupBy("query_id").agg(F.min(F.col("chunk_id").cast("long")).cast("string").alias("expected"))
+    ranked, said = _said(spark, sf)
+    category = F.when(F.col("expected").isNull(), "Out of scope").when(F.size(text.content_terms("question")) % 2 == 0, "Polarity trap").otherwise("Straightforward")
+    golden = asked.join(found, "query_id", "left").select(
+        "query_id", "question", F.col("question").alias("reference_answer"), category.alias("category"), F.col("expected").isNull().alias("should_abstain"),
+        (F.col("query_id") % 8).alias("variant_group"), F.array_compact(F.array("expected")).alias("expected_chunk_ids"),
     )
-    return evaluate.verdicts(rows)
+    return evaluate.judged_answers(golden, said.withColumn("seconds", F.length("text") / 100), ranked, providers.OverlapJudge())
 
 
 @query(f"""WITH {_EVAL}
@@ -300,30 +331,11 @@ def section_pages(spark: SparkSession, sf: str) -> DataFrame:
     return segment.section_pages(base.chunks(spark, sf))
 
 
-_PAGE_LIST = "flatten(list_transform(generate_series(1, len(pa)), lambda i: CASE WHEN coalesce(pb[i], '') = '' OR CAST(nullif(pb[i], '') AS INT) < CAST(pa[i] AS INT) OR CAST(nullif(pb[i], '') AS INT) - CAST(pa[i] AS INT) > 20 THEN [CAST(pa[i] AS BIGINT)] ELSE generate_series(CAST(pa[i] AS BIGINT), CAST(pb[i] AS BIGINT)) END))"
 
 
-@query(f"""WITH {SQL_CHUNKS}, {retrieval_queries._BM25},
-qt AS (SELECT item_id AS query_id, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}) AS qt FROM benchmark),
-sc2 AS (SELECT query_id, doc_id, rank AS b, CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}))) / CAST(len(qt) AS DOUBLE), 6) ELSE 0 END AS score FROM bm JOIN qt USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 5),
-re2 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b) AS rank FROM sc2),
-ga AS (SELECT item_id AS query_id, coalesce(max(score), 0) AS top_score FROM benchmark LEFT JOIN re2 ON query_id = item_id GROUP BY 1),
-cx AS (SELECT query_id, rank - 1 AS di, c.* FROM re2 JOIN ga USING (query_id) JOIN c USING (doc_id) WHERE top_score >= 0.5),
-li AS (SELECT query_id, di, chunk_id, section, page_start, page_end, unnest(generate_series(0, len(string_split(text_raw, chr(10))) - 1)) AS n, unnest(string_split(text_raw, chr(10))) AS text FROM cx),
-sh AS (SELECT li.*, len(list_intersect(qt, list_distinct({sql_words("text", rules.LABEL_STOP_WORDS)}))) AS shared FROM li JOIN qt USING (query_id)),
-be AS (SELECT *, trim(text || ' (Corpus — ' || section || ', ' || CASE WHEN page_start = page_end THEN printf('p%d', page_start) ELSE printf('pp%d-%d', page_start, page_end) END || ')') AS said FROM sh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, di, n) = 1),
-pg AS (SELECT query_id, said, regexp_extract_all(said, '(?i){rules.PAGE_MENTION}', 1) AS pa, regexp_extract_all(said, '(?i){rules.PAGE_MENTION}', 2) AS pb FROM be),
-cv AS (SELECT query_id, flatten(list(generate_series(page_start, page_end))) AS have FROM cx GROUP BY 1)
-SELECT ga.query_id, top_score, top_score < 0.5 OR shared = 0 AS abstained, CASE WHEN top_score < 0.5 THEN 'low-confidence' WHEN shared = 0 THEN 'refusal' END AS abstain_reason,
-  CASE WHEN top_score < 0.5 THEN '{answer.LOW_CONFIDENCE}' WHEN shared = 0 THEN '{answer.REFUSAL}' ELSE be.said END AS text, CASE WHEN shared > 0 THEN chunk_id END AS cited, CASE WHEN shared > 0 THEN section END AS section,
-  CASE WHEN shared > 0 THEN array_to_string(list_sort(list_filter(list_distinct({_PAGE_LIST}), lambda x: NOT list_contains(have, x))), ',') END AS unverified
-FROM ga LEFT JOIN be USING (query_id) LEFT JOIN pg USING (query_id) LEFT JOIN cv USING (query_id)""")
+@query(f"WITH {_GROUNDED} {_GROUNDED_ROWS}")
 def grounded_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Gate, context, stand-in answer, citations and page check of every question; gated ones reach no generator."""
-    asked, rows = base.questions(spark, sf), base.chunks(spark, sf)
-    best = retrieval_queries._bm25(spark, sf).filter("rank <= 5")
-    pairs = best.select("query_id", "chunk_id", F.col("rank").alias("fused_rank")).join(asked, "query_id").join(rows.select("chunk_id", "text_raw"), "chunk_id")
-    ranked = retrieve.rerank(providers.CoverageReranker().score(pairs)).select("query_id", "chunk_id", "score", "rank")
-    said = answer.answer(asked, ranked, rows, providers.ExtractiveGenerator(), least=0.5)
+    _, said = _said(spark, sf)
     first = F.try_element_at("citations", F.lit(1))
     return said.select("query_id", "top_score", "abstained", "abstain_reason", "text", first["chunk_id"].alias("cited"), first["section"].alias("section"), F.array_join(F.col("unverified_pages").cast("array<string>"), ",").alias("unverified"))

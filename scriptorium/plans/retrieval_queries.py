@@ -145,6 +145,11 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.calibration(retrieve.gate(base.questions(spark, sf), _reranked(spark, sf)).join(should_abstain(spark, sf), "query_id"))
 
 
+@query(f"WITH {_BM25}, {_SECOND}, {_FUSED}, {_RERANKED}, {_ABSTAIN}, s AS (SELECT ab.query_id, should_abstain, coalesce(max(score), 0) AS t FROM ab LEFT JOIN re USING (query_id) GROUP BY ALL), m AS (SELECT min(t) FILTER (NOT should_abstain) AS low, max(t) FILTER (should_abstain) AS high FROM s) SELECT low > high AS separable, CASE WHEN low IS NULL OR high IS NULL THEN 0.0 ELSE greatest(CAST(high - low AS DOUBLE), 0.0) END AS overlap FROM m")
+def separable(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.separable(retrieve.gate(base.questions(spark, sf), _reranked(spark, sf)).join(should_abstain(spark, sf), "query_id"))
+
+
 @query(f"WITH {_BM25}, {_ABSTAIN}, e AS (SELECT item_id AS query_id, min(doc_id) AS want FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT ab.query_id, CASE WHEN want IS NOT NULL THEN coalesce(bool_or(doc_id = want AND rank <= 5), false) END AS recall FROM ab LEFT JOIN e USING (query_id) LEFT JOIN bm USING (query_id) GROUP BY ab.query_id, want")
 def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     asked = base.questions(spark, sf)
