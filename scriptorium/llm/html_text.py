@@ -5,9 +5,8 @@ or id marks as navigation, header, footer, sidebar, notice, advert, form, commen
 script or style are left out with all they contain. What remains is cut into blocks
 at block elements. The first pass classifies blocks by stop-word density, length and
 link density; the second gives ambiguous blocks the class of their nearest decided
-neighbours. Where a page marks its article, the markup alone makes blocks inside good
-unless they are mostly links and no running text; blocks outside go through both passes, and blocks in the
-article do not lend them their label.
+neighbours. Where a page marks its article, labels do not cross its border, which
+counts as a good neighbour inside and as a bad one outside.
 """
 
 from __future__ import annotations
@@ -43,8 +42,9 @@ _NAMED_INSIDE = re.compile(
     re.I,
 )
 _CONTAINERS = frozenset("div section ul ol dl table details article center".split())
-# Elements of running text, which in an article stay even if they are one link.
+# Elements of running text, which in an article are undecided even if they are one link.
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption summary address".split())
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MAIN_NAMED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|article-?body|post-?body|entry-?content|post-?content|article-?content|main-?content)(?:$|[\s_-])", re.I)
 # Frequent function words of the languages read here.
@@ -207,65 +207,67 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
     return reader.blocks, reader.has_main
 
 
+def first_label(b: Block, short: int, long: int, low: float, high: float, max_links: float) -> str:
+    """Label of a block by its own figures: good and bad are decided, all others are for the second pass."""
+    found = [w.lower() for w in _WORD.findall(b.text)]
+    density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    if b.linked > max_links * len(b.text):
+        return "ambiguous" if b.in_main and b.tag in _RUNNING else "bad"
+    if not b.in_main and b.text.startswith(("\xa9", "(c) ")):
+        return "bad"
+    if b.tag in _HEADINGS:
+        return "heading"
+    if len(b.text) < short:
+        return "bad" if b.linked and not b.in_main else "short"
+    if density >= high:
+        return "good" if len(b.text) > long else "neargood"
+    return "neargood" if density >= low else "ambiguous"
+
+
+def neighbours(blocks: list[Block], decided: list[str], edges: tuple[str, str]) -> list[str]:
+    """Label of the nearest decided block before each, on its own side of the article's border; edges: at the border, outside and inside."""
+    out, last, side = [], "", None
+    for b, label in zip(blocks, decided):
+        if b.in_main != side:
+            side, last = b.in_main, edges[b.in_main]
+        out.append(last)
+        if label in ("good", "bad"):
+            last = label
+    return out
+
+
 def classify(blocks: list[Block], has_main: bool, short: int = 60, long: int = 180, low: float = 0.2, high: float = 0.3, max_links: float = 0.35) -> None:
-    """Labels blocks good or bad: first by their own figures, then ambiguous ones by their neighbours."""
-    for b in blocks:
-        found = [w.lower() for w in _WORD.findall(b.text)]
-        density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
-        links = b.linked / max(1, len(b.text))
-        if b.in_main:
-            b.label = "good" if links <= max_links or b.tag in _RUNNING else "bad"
-        elif links > max_links:
-            b.label = "bad"
-        elif b.text.startswith(("\xa9", "(c) ")):
-            b.label = "bad"
-        elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            b.label = "heading"
-        elif len(b.text) < short:
-            b.label = "bad" if b.linked else "short"
-        elif density >= high:
-            b.label = "good" if len(b.text) > long else "neargood"
-        elif density >= low:
-            b.label = "neargood"
+    """Labels blocks good or bad: first by their own figures, then undecided ones by their nearest decided neighbours.
+
+    Labels do not cross the border of a marked article. The border counts as bad for
+    blocks outside and as good for those inside, which go only between two bad ones.
+    Headings come last and have the label of the text below them.
+    """
+    decided = [first_label(b, short, long, low, high, max_links) for b in blocks]
+    edges = ("bad", "good")
+    before = neighbours(blocks, decided, edges)
+    after = neighbours(blocks[::-1], decided[::-1], edges)[::-1]
+    none_good = "good" not in decided
+    for b, label, above, below in zip(blocks, decided, before, after):
+        near = (above, below)
+        if label in ("good", "bad"):
+            good = label == "good"
+        elif label == "heading":
+            b.label = ""
+            continue
+        elif b.in_main:
+            good = label == "neargood" or "good" in near
+        elif has_main:
+            good = "good" in near
+        elif label == "neargood":
+            good = "good" in near or none_good
         else:
-            b.label = "ambiguous"
-    decided = [b.label for b in blocks]
-    n = len(blocks)
-    before, after = [""] * n, [""] * n
-    last = "bad"
-    for i in range(n):
-        before[i] = last
-        if decided[i] in ("good", "bad"):
-            last = decided[i]
-    last = "bad"
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if decided[i] in ("good", "bad"):
-            last = decided[i]
-    for i, b in enumerate(blocks):
-        if has_main and not b.in_main and b.label in ("short", "ambiguous", "neargood", "heading"):
-            # Only good blocks outside the article lend their label to others outside it.
-            b.label = "good" if any(outside_good(blocks, decided, i, step) for step in ((1,) if b.label == "heading" else (-1, 1))) else "bad"
-        elif b.label == "neargood":
-            b.label = "good" if "good" in (before[i], after[i]) or not has_good(decided) else "bad"
-        elif b.label in ("short", "ambiguous"):
-            b.label = "good" if before[i] == after[i] == "good" or "good" in (before[i], after[i]) and b.tag in ("p", "li", "blockquote", "td", "pre") else "bad"
-        elif b.label == "heading":
-            b.label = "good" if after[i] == "good" or not has_good(decided) and n > 1 else "bad"
-
-
-def outside_good(blocks: list[Block], decided: list[str], i: int, step: int) -> bool:
-    """Whether the nearest decided block from i in direction `step` is good and outside the article."""
-    i += step
-    while 0 <= i < len(blocks):
-        if decided[i] in ("good", "bad"):
-            return decided[i] == "good" and not blocks[i].in_main
-        i += step
-    return False
-
-
-def has_good(labels: list[str]) -> bool:
-    return "good" in labels
+            good = above == below == "good" or "good" in near and b.tag in ("p", "li", "blockquote", "td", "pre")
+        b.label = "good" if good else "bad"
+    below = neighbours(blocks[::-1], [b.label for b in blocks[::-1]], edges)[::-1]
+    for b, label, above, text in zip(blocks, decided, before, below):
+        if label == "heading":
+            b.label = "good" if text == "good" or b.in_main and above == "good" or none_good and not has_main and len(blocks) > 1 else "bad"
 
 
 def main_text(page: str | None) -> str:
