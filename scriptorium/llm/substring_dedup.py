@@ -149,11 +149,10 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(found, _RUNS)
 
 
-def _shared_strings(docs: DataFrame, classes: DataFrame, length: int, most: int = 300_000) -> DataFrame:
+def _shared_strings(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """doc_id, start, bytes of strings that occur earlier in another class of the same anchor."""
     wanted = _spark.written(classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "bytes")).alias("wanted")))
-    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most  # runs in all, not documents
-    with_text = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    with_text = docs.join(wanted.hint("merge"), "doc_id")  # grows with the corpus at every size
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
