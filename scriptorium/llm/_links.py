@@ -126,9 +126,14 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
 
 
 def mixed_members(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(g, node, root), written, of those `groups` (g, node) whose nodes have several roots in `roots` (node, root; others stand alone)."""
+    """(g, node, root), written, of those `groups` (g, node; distinct) whose nodes have several roots in `roots` (node, root; others stand alone).
+
+    Groups of the same nodes, told by two 64-bit hashes of each, are kept once.
+    """
     rooted = groups.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+    sets = rooted.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), total(1).alias("s1"), total(2).alias("s2"))
+    several = sets.filter("lo <> hi").groupBy("m", "s1", "s2").agg(F.min("g").alias("g")).select("g")
     return _spark.written(rooted.join(several, "g", "left_semi"))
 
 
@@ -137,9 +142,10 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str]
 
     A group is cut into blocks of about `members` nodes and `features` features, and a
     task compares the sketches of two blocks. Only pairs that sizes and sketches allow
-    are rows, each once a task. Where `known` has words, too, `same` decides of two words
-    at once whether they are a link; a task then returns links only, and none between
-    nodes that its links connect already, so less than one a node.
+    are rows, each once a task. Where `known` has words, too, they travel to the blocks in
+    which their node is in such a pair, and `same` decides of two words at once whether
+    they are a link; a task then returns links only, and none between nodes that its
+    links connect already, so less than one a node.
     """
     partitions = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = mixed.join(known.select("node", "size"), "node").groupBy("g").agg(F.count("*").alias("m"), F.sum("size").alias("features"))
@@ -148,7 +154,21 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str]
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = mixed.join(blocks, "g").select("g", "node", "root", own.alias("own"), other.alias("other")).select("g", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     columns = ["g", "i", "j", "own", "node", "root", "size", "sketch", *(["words"] if same else [])]
-    sketched = dealt.join(known, "node").select(*columns).repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+
+    def in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.join(known.select("node", *columns[6:]), "node").select(*columns).repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+
+    def held_blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield held
+                    key, held = row[:3], []
+                held.append(row)
+        if held:
+            yield held
 
     def plausible(x: dict, y: dict) -> tuple[np.ndarray, np.ndarray]:
         step = max(1, 1_000_000 // max(1, y["sketch"].size))
@@ -165,16 +185,37 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str]
             right.append(j)
         return np.concatenate(left), np.concatenate(right)
 
-    def block_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def sides_of(rows: list[tuple]) -> tuple[dict, dict] | None:
+        """The two blocks of a task; None if one of two is empty."""
         _, first, last, *_ = rows[0]
         width = min(len(r[7]) for r in rows)
         sides = []
         for side in sorted({r[3] for r in rows}):
             mine = [r for r in rows if r[3] == side]
             sides.append({"node": np.array([r[4] for r in mine]), "root": np.array([r[5] for r in mine]), "size": np.array([r[6] for r in mine]), "sketch": np.stack([folded(r[7], width) for r in mine]), "rows": mine})
-        if first != last and len(sides) < 2:  # of two blocks one is empty
+        return None if first != last and len(sides) < 2 else (sides[0], sides[-1])
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each task whose node is in a plausible pair there."""
+        schema = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("node", pa.int64()), ("root", pa.int64())])
+        out = []
+        for rows in held_blocks(batches, columns[:8]):
+            if both := sides_of(rows):
+                x, y = both
+                i, j = plausible(x, y)
+                found = {x["rows"][n] for n in np.unique(i).tolist()} | {y["rows"][n] for n in np.unique(j).tolist()}
+                out += [r[:6] for r in found]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        release()
+
+    def block_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        if not (both := sides_of(rows)):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y = sides[0], sides[-1]
+        x, y = both
         i, j = plausible(x, y)
         if same:
             above: dict[int, int] = {}
@@ -195,32 +236,24 @@ def crossing_pairs(mixed: DataFrame, known: DataFrame, same: Callable[[str, str]
         return np.minimum(a, b), np.maximum(a, b)
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, left, right = None, [], [], []
-
-        def flush() -> None:
-            if held:
-                a, b = block_pairs(held)
-                left.append(a)
-                right.append(b)
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if row[:3] != key:
-                    flush()
-                    key, held = row[:3], []
-                    if sum(map(len, left)) > 500_000:
-                        a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
-                        left, right = [], []
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                held.append(row)
-        flush()
-        held = []
+        left, right = [], []
+        for rows in held_blocks(batches, columns):
+            a, b = block_pairs(rows)
+            left.append(a)
+            right.append(b)
+            if sum(map(len, left)) > 500_000:
+                a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
+                left, right = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
         if left:
             a, b = distinct_pairs(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
         release()
 
-    return sketched.mapInArrow(blocked, "a long, b long").distinct()
+    rows = in_blocks(dealt, columns[:8])
+    if same:
+        rows = in_blocks(rows.mapInArrow(involved, "g long, i int, j int, own int, node long, root long"), columns)
+    return rows.mapInArrow(blocked, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
