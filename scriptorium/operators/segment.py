@@ -12,32 +12,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text
-from ..scratch import kept, numbered
+from ..scratch import kept, numbered, sorted_join
 
 
 def _heading_keys(lines: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, titles), each a row a key; a line and a title that match have a key in common.
 
-    A line that begins the title equals one of the title's beginnings. A title that
-    begins the line, or whose first three words do, has the line's first two words if it
-    has more than two, the first and the next letter if it has two, and else begins the
-    line's first word.
+    Of a match the shorter text begins the longer one, or the title's first three words
+    do. If the shorter has more than two words, both have its first two; if it has two,
+    the longer has its first and the next letter; if it has one, that begins the longer's
+    first word. Keys of two and one words tell which side is the shorter, so that long
+    lines and long titles do not meet by a first word alone.
     """
-    words = lambda c: F.split(c, " ")
-    two = lambda c: F.concat_ws(" ", words(c)[0], words(c)[1])
-    letter = lambda c: F.concat_ws(" ", words(c)[0], F.left(words(c)[1], F.lit(1)))
-    key = lambda kind, value: F.concat(F.lit(kind), value)
-    one_word = F.size(words("title_key")) == 1
-    longest, sizes = titles.agg(F.max(F.length("title_key")), F.collect_set(F.when(one_word, F.length("title_key")))).first()
-    begins = F.transform(F.sequence(F.lit(1), F.length("title_key")), lambda i: key("=", F.left("title_key", i)))
-    n = F.size(words("title_key"))
-    own = F.when(n > 2, key("3", two("title_key"))).when(n == 2, key("2", letter("title_key"))).otherwise(key("1", F.col("title_key")))
-    keyed = titles.select("*", F.explode(F.concat(begins, F.array(own))).alias("key"))
-    n = F.size(words("line_key"))
-    whole = F.when(F.length("line_key") <= (longest or 0), key("=", F.col("line_key")))
-    first = [F.when(F.length(words("line_key")[0]) >= size, key("1", F.left("line_key", F.lit(size)))) for size in sorted(sizes or [])]
-    keys = F.array(whole, F.when(n > 2, key("3", two("line_key"))), F.when(n > 1, key("2", letter("line_key"))), *first)
-    return lines.select("*", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key")), keyed
+    pieces = lambda c: F.split(c, " ")
+    # Bounded by the longest word: the lengths of texts of one word.
+    single = lambda df, c: df.filter(F.size(pieces(c)) == 1).agg(F.collect_set(F.length(c))).first()[0]
+
+    def keys(c: str, own: str, other: str, lengths: list[int]) -> Column:
+        n, first, letter = F.size(pieces(c)), pieces(c)[0], F.left(F.get(pieces(c), F.lit(1)), F.lit(1))
+        key = lambda kind, *value: F.xxhash64(F.lit(kind), *value)
+        begins = F.transform(F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>"), lambda x: x <= F.length(first)), lambda x: key(other + "1", F.left(first, x)))
+        found = F.array(
+            F.when(n > 2, key("3", first, F.get(pieces(c), F.lit(1)))),
+            F.when(n == 2, key(own + "2", first, letter)),
+            F.when(n > 1, key(other + "2", first, letter)),
+            F.when(n == 1, key(own + "1", F.col(c))),
+        )
+        return F.concat(F.filter(found, lambda k: k.isNotNull()), begins)
+
+    # A hash that two keys share costs a comparison of the whole texts, which all pairs pass.
+    by_line = lines.select("*", F.explode(keys("line_key", "line", "title", single(titles, "title_key"))).alias("key"))
+    return by_line, titles.select("*", F.explode(keys("title_key", "title", "line", single(lines, "line_key"))).alias("key"))
 
 
 def _first_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,18 +75,19 @@ def locate_headings(stream: DataFrame, entries: DataFrame) -> tuple[DataFrame, D
     keyed = kept(entries.select("doc_id", F.col("ord").cast("long").alias("ord"), text.heading_key("title").alias("title_key")).filter("title_key <> ''"))
     titles = keyed.select("doc_id", "title_key").distinct().withColumn("probe", text.heading_probe(F.col("title_key")))
     by_line, by_title = _heading_keys(lines, titles)
-    pairs = by_line.join(by_title, ["doc_id", "key"]).filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe")))
+    pairs = sorted_join(by_line, by_title, ["doc_id", "key"]).filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe")))
     places = pairs.groupBy("doc_id", "title_key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    ordered = keyed.join(places, ["doc_id", "title_key"]).select("doc_id", "ord", "places").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    ordered = sorted_join(keyed, places, ["doc_id", "title_key"]).select("doc_id", "ord", "places").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
     hits = kept(ordered.mapInArrow(_first_after, f"doc_id {entries.schema['doc_id'].dataType.simpleString()}, ord long, pos long"))
-    located = entries.join(hits, ["doc_id", "ord"]).join(stream.select("doc_id", "pos", "page"), ["doc_id", "pos"]).select("doc_id", "ord", "title", "printed", "pos", "page")
-    unlocated = entries.join(hits, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", "title", "printed")
+    found = sorted_join(entries, hits, ["doc_id", "ord"])
+    located = sorted_join(found, stream.select("doc_id", "pos", "page"), ["doc_id", "pos"]).select("doc_id", "ord", "title", "printed", "pos", "page")
+    unlocated = sorted_join(entries, hits, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", "title", "printed")
     return located, unlocated
 
 
 def section_lines(stream: DataFrame, located: DataFrame) -> DataFrame:
     """Lines with their section (ord, title, start_page); those before the first heading are left out."""
-    marked = stream.join(located.select("doc_id", "pos", "ord", "title", F.col("page").alias("start_page")), ["doc_id", "pos"], "left")
+    marked = sorted_join(stream, located.select("doc_id", "pos", "ord", "title", F.col("page").alias("start_page")), ["doc_id", "pos"], "left")
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     fill = lambda c: F.last(c, ignorenulls=True).over(so_far).alias(c)
     return marked.select("doc_id", "pos", "page", "line", fill("ord"), fill("title"), fill("start_page")).filter("ord IS NOT NULL")
@@ -131,7 +137,7 @@ def split_sections(lines: DataFrame, keys: list[str], limit: int = rules.CHUNK_C
     sizes = named.select("section", "pos", F.coalesce(F.length("line"), F.lit(0)).alias("size")).repartition("section").sortWithinPartitions("section", "pos")
     parts = kept(sizes.mapInArrow(_greedy_parts(limit), "section string, pos long, part int"))
     counts = parts.groupBy("section").agg((F.max("part") + 1).alias("n_parts"))
-    return named.join(parts, ["section", "pos"]).join(counts, "section").select(*keys, "pos", "page", "line", "part", "n_parts")
+    return sorted_join(sorted_join(named, parts, ["section", "pos"]), counts, ["section"]).select(*keys, "pos", "page", "line", "part", "n_parts")
 
 
 def build_chunks(stream: DataFrame, located: DataFrame, groups: DataFrame, limit: int = rules.CHUNK_CHARS, collection: Column | None = None) -> DataFrame:

@@ -51,6 +51,15 @@ def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return dealt.withColumn(name, own).join(F.broadcast(offsets), part).withColumn(name, (F.col("before") + F.col(name)).cast("long")).drop(part, "before")
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle and sort of two tables that grow with the corpus.
+
+    Spark sizes a table by its files, before its rows are exploded: of packed files it
+    would hand a table of many times their size to the driver for a broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _remove() -> None:
     for spark, path in _kept:
         try:

@@ -281,3 +281,17 @@ def test_coverage_ranks_equal_a_plain_version(spark):
         terms = set(q.split())
         scored = sorted(((round(len(terms & set(t.split())) / len(terms), 6), j) for j, t in enumerate(texts)), key=lambda x: (-x[0], -x[1]))
         assert got[i] == [(j, s) for s, j in scored[:10]]
+
+
+def test_heading_joins_neither_broadcast_nor_hold_every_beginning(spark, tmp_path):
+    """Small files of long titles: before, each title was a row for each of its beginnings, broadcast by the size of its file."""
+    spark.range(40).selectExpr("id % 4 AS doc_id", "id div 4 AS pos", "1 AS page", "concat('a heading of many letters and words ', id) AS line").write.parquet(f"{tmp_path}/lines")
+    stream = spark.read.parquet(f"{tmp_path}/lines")
+    toc = stream.select("doc_id", F.col("pos").cast("int").alias("ord"), F.col("line").alias("title"), F.col("page").alias("printed"))
+    lines, titles = segment._heading_keys(stream.select("doc_id", F.col("line").alias("line_key")), toc.select("doc_id", F.col("title").alias("title_key")))
+    assert lines.count() <= 3 * 40 and titles.count() <= 3 * 40
+    located, unlocated = segment.locate_headings(stream, toc)
+    chunks = segment.split_sections(segment.section_lines(stream, located), ["doc_id", "ord"])
+    for df in (located, unlocated, chunks):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
+    assert located.count() == 40 and unlocated.count() == 0
