@@ -29,7 +29,7 @@ def extract_items(chunks: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", said.alias("said")))), lambda x: x["said"]), " ")
     items = numbered.groupBy("chunk_id", "ordinal", "item_no").agg(text.strip_glued_footnotes(text.squeeze(joined)).alias("item"))
     size = F.length("item")
-    good = size.between(rules.ITEM_MIN_CHARS, rules.ITEM_MAX_CHARS) & (text.junk_ratio("item") <= rules.JUNK_ITEM) & (F.size(text.content_words("item")) >= rules.ITEM_MIN_WORDS) & ~F.col("item").rlike("(?iu)" + rules.SELF_DECLARING)
+    good = size.between(rules.ITEM_MIN_CHARS, rules.ITEM_MAX_CHARS) & (text.junk_ratio("item") <= rules.JUNK_ITEM) & (F.size(text.content_words("item")) >= rules.ITEM_MIN_WORDS) & ~F.col("item").rlike("(?iu)" + text.ascii_bounds(rules.SELF_DECLARING))
     return items.filter(good).select("chunk_id", "ordinal", F.col("item_no").cast("int").alias("item_no"), "item")
 
 
