@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Scores held at once, rows of a slice times queries.
-CELLS = 4_000_000
+CELLS = 400_000
 #: Scores are compared as whole millionths, as the results are rounded.
 GRAIN = 1_000_000
 
@@ -30,9 +30,12 @@ class Best:
 
     def offer(self, scores: np.ndarray, ordinals: np.ndarray, ids: np.ndarray) -> None:
         """`scores` (rows x queries) of rows with `ordinals` and `ids`."""
-        exact = millionths(scores)
-        row, query = np.nonzero(exact >= self.bar)
-        self.held.append((query, exact[row, query], ordinals[row], ids[row]))
+        # Only scores within a millionth of the bar are brought to whole millionths.
+        row, query = np.nonzero(~(scores < (self.bar - 1.0) / GRAIN))
+        exact = millionths(scores[row, query])
+        some = exact >= self.bar[query]
+        row, query, exact = row[some], query[some], exact[some]
+        self.held.append((query, exact, ordinals[row], ids[row]))
         self.size += len(row)
         if self.size > max(CELLS, 4 * self.k * len(self.bar)):
             self._settle()

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,31 @@ def test_coverage_fills_up_with_the_last_chunks(spark):
     chunks = spark.createDataFrame([("a", 0, "candle window"), ("b", 1, "window"), ("c", 2, "stone"), ("d", 3, None)], "chunk_id string, ordinal long, text_raw string")
     got = retrieve.coverage_ranks(chunks, asked(spark, [(1, "window candle"), (2, "the")]), 3).collect()
     assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in got) == [(1, 1, "a", 1.0), (1, 2, "b", 0.5), (1, 3, "d", 0.0)]
+
+
+def test_best_holds_few_scores_at_once():
+    """Over many batches no more is held than a few times k a query or a slice; before, four million scores."""
+    rng = np.random.default_rng(4)
+    held, every = best.Best(50, 5), []
+    most = 0
+    for at in range(0, 40_000, 1000):
+        scores = rng.integers(-3, 3000, (1000, 50)) / 1000
+        every.append(scores)
+        held.offer(scores, np.arange(at, at + 1000), np.array([str(i) for i in range(at, at + 1000)], object))
+        most = max(most, held.size)
+    assert most <= 500_000
+    whole, got = np.concatenate(every), {}
+    for b in held.rows(pa.array(range(50))):
+        for q, o, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            got.setdefault(q, []).append((s, o))
+    for q in range(50):
+        assert sorted(got[q]) == sorted(sorted(zip(whole[:, q].tolist(), range(len(whole)), strict=True))[-5:])
+
+
+def test_scan_sums_piece_by_piece(spark, monkeypatch):
+    """Sums over pieces of a few entries equal those over all entries at once."""
+    rows = spark.createDataFrame([(str(i), i, " ".join(f"w{(i * j) % 11}" for j in range(1, 9))) for i in range(60)], "chunk_id string, ordinal long, text_folded string")
+    asked = spark.createDataFrame([(q, f"w{(q * j) % 11} w{j}") for q in range(9) for j in range(3)], "query_id long, question string").groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("question")).alias("question"))
+    want = sorted(map(tuple, retrieve.bm25(rows, asked, aliases=None).collect()))
+    monkeypatch.setattr(lexical, "CELLS", 7)
+    assert sorted(map(tuple, retrieve.bm25(rows, asked, aliases=None).collect())) == want and want
