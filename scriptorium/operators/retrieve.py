@@ -110,13 +110,13 @@ def containing(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def _containing_task(questions: pa.Table):
     said, keys = questions.column("question").to_pylist(), questions.column("word").to_pylist()
     ids = questions.column("query_id").combine_chunks()
-    whole: dict[str, list[int]] = {}
+    by_word: dict[str, list[int]] = {}
     ends: dict[tuple[str, str], list[int]] = {}
     every: list[int] = []
     for i, (text_, word) in enumerate(zip(said, keys, strict=True)):
         first, *_, last = text_.split(" ") if " " in text_ else (text_, "", "")
         if word is not None:
-            whole.setdefault(word, []).append(i)
+            by_word.setdefault(word, []).append(i)
         elif not text_.strip(" "):
             every.append(i)
         elif " " not in text_:
@@ -131,26 +131,29 @@ def _containing_task(questions: pa.Table):
         """The questions that a chunk with this word may hold."""
         parts = {("end", word[len(word) - n :]) for n in sizes["end"] if n <= len(word)} | {("begin", word[:n]) for n in sizes["begin"] if n <= len(word)}
         parts |= {("in", word[at : at + n]) for n in sizes["in"] for at in range(len(word) - n + 1)}
-        return whole.get(word, []) + [q for part in parts for q in ends.get(part, [])]
+        return by_word.get(word, []) + [q for part in parts for q in ends.get(part, [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
-        for batch in batches:
-            rows, found = [], []
-            for row, text_ in enumerate(batch.column("text_raw").to_pylist()):
-                maybe = set(every)
-                for word in set(text_.split(" ")):
-                    if (hit := seen.get(word)) is None:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        hit = seen[word] = of_word(word)
-                    if hit:
-                        maybe.update(hit)
-                held = [q for q in maybe if said[q] in text_]
-                rows += [row] * len(held)
-                found += held
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column("chunk_id").take(at), batch.column("ordinal").take(at)], ["query_id", "chunk_id", "ordinal"])
+        none: list[int] = []
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                rows, found = [], []
+                for row, text_ in enumerate(batch.column("text_raw").to_pylist()):
+                    maybe = set(every)
+                    for word in set(text_.split(" ")):
+                        if (hit := seen.get(word)) is None:
+                            if len(seen) > 100_000:
+                                seen.clear()
+                            hit = seen[word] = of_word(word) or none
+                        if hit:
+                            maybe.update(hit)
+                    held = [q for q in maybe if said[q] in text_]
+                    rows += [row] * len(held)
+                    found += held
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column("chunk_id").take(at), batch.column("ordinal").take(at)], ["query_id", "chunk_id", "ordinal"])
 
     return run
 
