@@ -24,6 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import rules
 from ..sources.answered import AnsweredRequests
 
+#: Rows and tokens of answered requests after which a task gives them on.
+FRAME_ROWS, FRAME_TOKENS = 2000, 200_000
 SLOT, REQUEST, CALLS, TOKENS = "slot", "request_no", "calls", "tokens"
 
 
@@ -52,6 +54,12 @@ def batches_by_tokens(frames: Iterator[pd.DataFrame], count: Callable[[str], int
     A batch closes when it has tokens and the next row would pass the limit, when it is
     full, or where the value of `apart` changes. Null texts have no tokens.
     """
+    for batch, _ in _batches(frames, count, limit, column, texts, apart):
+        yield batch
+
+
+def _batches(frames: Iterator[pd.DataFrame], count: Callable[[str], int], limit: int = rules.BATCH_TOKENS, column: str = "text", texts: int | None = None, apart: str | None = None) -> Iterator[tuple[pd.DataFrame, int]]:
+    """`batches_by_tokens`, each with its tokens."""
     held: list[pd.DataFrame] = []
     rows, total, last = 0, 0, None
     for frame in frames:
@@ -60,13 +68,17 @@ def batches_by_tokens(frames: Iterator[pd.DataFrame], count: Callable[[str], int
         for i, (said, group) in enumerate(zip(frame[column].tolist(), groups, strict=True)):
             n = count(said) if said else 0
             if rows and ((total and total + n > limit) or rows == texts or group != last):
-                yield pd.concat([*held, frame.iloc[first:i]], ignore_index=True)
+                yield _joined([*held, frame.iloc[first:i]]), total
                 held, first, rows, total = [], i, 0, 0
             rows, total, last = rows + 1, total + n, group
         if first < len(frame):
             held.append(frame.iloc[first:])
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield _joined(held), total
+
+
+def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return parts[0].reset_index(drop=True) if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
 class _Pace:
@@ -139,7 +151,18 @@ def ask_in_requests(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, pace = None, _Pace(limits)
-        for number, batch in enumerate(batches_by_tokens(frames, count, limits.tokens, column, limits.texts, apart), 1):
+        held: list[pd.DataFrame] = []
+        added: dict[str, list] = {name: [] for name in [*names, REQUEST, TOKENS, CALLS]}
+        size = 0
+
+        def whole(parts: list[pd.DataFrame], more: dict[str, list]) -> pd.DataFrame:
+            out = pd.concat(parts, ignore_index=True)
+            for name, values in more.items():
+                out[name] = pd.Series(values, dtype=object) if name in names else values
+            return out
+
+        # Many small requests leave a task as one frame.
+        for number, (batch, tokens) in enumerate(_batches(frames, count, limits.tokens, column, limits.texts, apart), 1):
             # The rows name a request, so a second attempt of the task knows it again.
             mark = store.name_of(batch, order) if store else None
             found = store.find(mark) if store else None
@@ -147,16 +170,23 @@ def ask_in_requests(
                 yield found.to_pandas()
                 continue
             session = client() if session is None else session
-            tokens = sum(count(t) for t in batch[column] if t)
             got, calls = patiently(lambda batch=batch: ask(session, batch), limits, pace, tokens)
+            n = len(batch)
             for name in names:
-                if len(got[name]) != len(batch):
-                    raise ValueError(f"{len(got[name])} values of {name} for {len(batch)} rows")
-                batch[name] = pd.Series(got[name], dtype=object)
-            batch[REQUEST], batch[TOKENS], batch[CALLS] = number, tokens, calls
+                if len(got[name]) != n:
+                    raise ValueError(f"{len(got[name])} values of {name} for {n} rows")
+            own = {name: list(got[name]) for name in names} | {REQUEST: [number] * n, TOKENS: [tokens] * n, CALLS: [calls] * n}
             if store:
-                store.commit(mark, pa.Table.from_pandas(batch, arrow, preserve_index=False))
-            yield batch
+                store.commit(mark, pa.Table.from_pandas(whole([batch], own), arrow, preserve_index=False))
+            held.append(batch)
+            for name, values in own.items():
+                added[name] += values
+            size += tokens + n
+            if len(added[REQUEST]) >= FRAME_ROWS or size >= FRAME_TOKENS:
+                yield whole(held, added)
+                held, added, size = [], {name: [] for name in added}, 0
+        if held:
+            yield whole(held, added)
 
     out = given.mapInPandas(run, schema)
     return out if log else out.drop(SLOT, REQUEST, TOKENS, CALLS)

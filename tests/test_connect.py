@@ -138,3 +138,25 @@ def test_budget_is_shared_over_streams():
 
 def test_store_reads_empty_tables(spark, tmp_path):
     assert tables.read_or_empty(spark, f"{tmp_path}/none", tables.EMBEDDING_SCHEMA).collect() == []
+
+
+def test_a_text_is_counted_once_over_small_requests(spark):
+    """Each text's tokens are counted once, and rows of many small requests come out whole and in their requests."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(said):
+        counted.add(1)
+        return len(said)
+
+    class Echo:
+        def say(self, texts):
+            return [t + "!" for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * (i % 5 + 1)) for i in range(5000)], "id long, text string")
+    got = connect.ask_in_requests(rows, Echo, lambda s, b: {"said": s.say(b["text"].tolist())}, "said string", connect.Limits(tokens=7, texts=3, slots=2), count, order=["id"], slot="id", log=True).collect()
+    assert counted.value == 5000
+    assert {(r["id"], r["said"]) for r in got} == {(i, "x" * (i % 5 + 1) + "!") for i in range(5000)} and len(got) == 5000
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r["slot"], r["request_no"]), []).append((len(r["text"]), r["tokens"]))
+    assert all(sum(n for n, _ in v) == t and len(v) <= 3 for v in sizes.values() for _, t in v[:1])
