@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, text, vectors
-from ..scratch import kept, numbered
-from . import ground
+from ..scratch import kept, numbered, sorted_join
 
 
 def extract_items(chunks: DataFrame) -> DataFrame:
@@ -37,7 +36,8 @@ def item_pool(chunks: DataFrame, contrasts: Sequence[Sequence[str]] = rules.CONT
     """Items of chunks with a contrasting category: item_idx (corpus order), item, chunk_id, category, collection, section, page_start, page_end."""
     real = [c for group in contrasts for c in group]
     real_chunks = chunks.filter(F.col("category").isin(real))
-    items = extract_items(real_chunks.select("chunk_id", "ordinal", "text_raw"))
+    # Written first: dealing by ranges would extract all items once more to find the ranges.
+    items = kept(extract_items(real_chunks.select("chunk_id", "ordinal", "text_raw")))
     rows = numbered(items, "item_idx", "ordinal", "chunk_id", "item_no")
     return rows.join(real_chunks.select("chunk_id", "category", "collection", "section", "page_start", "page_end"), "chunk_id").select("item_idx", "item", "chunk_id", "category", "collection", "section", "page_start", "page_end")
 
@@ -81,19 +81,25 @@ def select_items(pool: DataFrame, n: int, seed: int = 0, contrasts: Sequence[Seq
     distinct = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("collection", "category", "item").orderBy(*drawn))).filter("copy = 1")
     correct = distinct.withColumn("question_no", F.row_number().over(order)).filter(F.col("question_no") <= n).select("collection", "contrast", "category", "question_no", F.col("item_idx").alias("correct_idx"), F.col("chars").alias("target"))
     wrong = keyed.select("collection", "contrast", F.col("category").alias("wrong_category"), "item_idx", "chars")
-    pairs = correct.join(wrong, ["collection", "contrast"]).filter("wrong_category <> category")
+    # At most n questions a collection and category.
+    correct = kept(correct)
+    pairs = wrong.join(F.broadcast(correct), ["collection", "contrast"]).filter("wrong_category <> category")
     key = ["collection", "category", "question_no"]
     of_question = Window.partitionBy(*key)
     inside = [F.col("chars").between(F.col("target") / f, F.col("target") * f) for f in rules.LENGTH_BANDS]
-    enough = [F.sum(i.cast("int")).over(of_question) >= 3 for i in inside]
-    band = F.when(enough[0], F.lit(0)).when(enough[1], F.lit(1)).otherwise(F.lit(2))
-    within = pairs.withColumn("band", band).filter(((F.col("band") == 0) & inside[0]) | ((F.col("band") == 1) & inside[1]) | (F.col("band") == 2))
+    # Items are counted and only the first four of a question and category are drawn, so no task holds the items of a question.
+    counts = kept(pairs.groupBy(*key, "wrong_category").agg(F.count_if(inside[0]).alias("n0"), F.count_if(inside[1]).alias("n1"), F.count("*").alias("n2")))
+    enough = lambda c: F.sum(c).over(of_question) >= 3
+    banded = counts.withColumn("band", F.when(enough("n0"), F.lit(0)).when(enough("n1"), F.lit(1)).otherwise(F.lit(2)))
+    of_band = F.when(F.col("band") == 0, F.col("n0")).when(F.col("band") == 1, F.col("n1")).otherwise(F.col("n2"))
+    sizes = kept(banded.withColumn("size", of_band).withColumn("n", F.sum("size").over(of_question)).select(*key, "wrong_category", "band", "size", "n"))
+    within = pairs.join(F.broadcast(sizes), [*key, "wrong_category"]).filter(((F.col("band") == 0) & inside[0]) | ((F.col("band") == 1) & inside[1]) | (F.col("band") == 2))
     in_category = Window.partitionBy(*key, "wrong_category")
     draw = _draw(seed, F.col("correct_idx"), F.col("item_idx"))
-    sized = within.withColumn("size", F.count("*").over(in_category)).withColumn("draw", draw).withColumn("nth", F.row_number().over(in_category.orderBy("draw", "item_idx")))
+    sized = within.withColumn("draw", draw).withColumn("nth", F.row_number().over(in_category.orderBy("draw", "item_idx"))).filter("nth <= 4")
     lead = F.when(F.col("nth") == 1, F.lit(0)).otherwise(F.lit(1))
     ranked = sized.withColumn("lead", lead).withColumn("slot", F.row_number().over(of_question.orderBy("lead", F.when(F.col("lead") == 0, -F.col("size")), F.when(F.col("lead") == 0, F.col("wrong_category")), "draw", "item_idx")))
-    chosen = ranked.withColumn("n", F.count("*").over(of_question)).filter("n >= 3 AND slot <= 3")
+    chosen = kept(ranked.filter("n >= 3 AND slot <= 3"))
     right = chosen.filter("slot = 1").select(*key, F.lit(0).alias("slot"), F.col("correct_idx").alias("item_idx"), F.col("category").alias("item_category"))
     return chosen.select(*key, "slot", "item_idx", F.col("wrong_category").alias("item_category")).unionByName(right)
 
@@ -154,8 +160,10 @@ def assemble_questions(options: DataFrame, pool: DataFrame, stems: DataFrame) ->
 def plan_deck(chunks: DataFrame, exclude_sections: Sequence[str] = ()) -> DataFrame:
     """collection, chunk_id, unit_no, n_cards: passages long enough for cards, in page order."""
     long = chunks.filter((F.length("text_raw") >= rules.DECK_MIN_CHARS) & ~F.col("section").isin(list(exclude_sections)))
+    # Numbers of cards are taken before the passages are ordered, so texts stay where they are read.
+    sized = long.select("collection", "chunk_id", "page_start", "part", "ordinal", vectors.cards_for(F.length("text_raw")).alias("n_cards"))
     order = Window.partitionBy("collection").orderBy("page_start", "part", "ordinal")
-    return long.select("collection", "chunk_id", F.row_number().over(order).alias("unit_no"), vectors.cards_for(F.length("text_raw")).alias("n_cards"))
+    return sized.select("collection", "chunk_id", F.row_number().over(order).alias("unit_no"), "n_cards")
 
 
 def deck_report(chunks: DataFrame, units: DataFrame, cards: DataFrame, discarded: DataFrame) -> DataFrame:
@@ -178,8 +186,11 @@ def passage_cards(units: DataFrame, chunks: DataFrame, writer) -> tuple[DataFram
     """
     passages = units.join(chunks.select("chunk_id", "section", "text_raw", "page_start", "page_end"), "chunk_id")
     said = writer.write(passages.select("chunk_id", "n_cards", "text_raw"))
-    checked = ground.ground_cards(said.join(passages.withColumnRenamed("text_raw", "source_text"), "chunk_id"))
+    # A passage's words are taken once, not once a card, and the checked cards are written, as two tables come from them.
+    worded = passages.withColumn("source_words", text.content_words("text_raw")).drop("text_raw")
+    overlap = text.coverage(text.content_words("back"), F.col("source_words"))
     keep = ["collection", "section", "chunk_id", "unit_no", "card_no", "front", "back", "page_start", "page_end"]
+    checked = kept(sorted_join(said, worded, ["chunk_id"]).select(*keep, (overlap >= rules.MIN_GROUNDING).alias("grounded")))
     cards = checked.filter("grounded").select(*keep, F.col("page_start").alias("source_page"))
     return cards, checked.filter("NOT grounded").select(*keep, F.lit("card_grounding").alias("check"))
 
@@ -191,7 +202,8 @@ def build_deck(chunks: DataFrame, writer, exclude_sections: Sequence[str] = ())
     passage. Failures are card_grounding and duplicate_front, and both count as
     discarded; a passage with a kept card covers all of its pages.
     """
-    units = plan_deck(chunks, exclude_sections)
+    # A collection's passages are numbered once, from their places alone.
+    units = kept(plan_deck(chunks, exclude_sections))
     cards, ungrounded = passage_cards(units, chunks, writer)
     first = Window.partitionBy("collection", text.fold("front")).orderBy("unit_no", "card_no")
     ranked = kept(cards.withColumn("nth", F.row_number().over(first)))

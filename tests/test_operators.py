@@ -295,3 +295,25 @@ def test_heading_joins_neither_broadcast_nor_hold_every_beginning(spark, tmp_pat
     for df in (located, unlocated, chunks):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
     assert located.count() == 40 and unlocated.count() == 0
+
+
+def test_decks_are_planned_without_moving_texts(spark, tmp_path):
+    """Before, whole texts went to the one task that orders a collection's passages."""
+    spark.range(20).selectExpr("cast(id AS string) AS chunk_id", "'c' AS collection", "'s' AS section", "id AS page_start", "0 AS part", "id AS ordinal", "repeat('word ', 300) AS text_raw").write.parquet(f"{tmp_path}/chunks")
+    units = revise.plan_deck(spark.read.parquet(f"{tmp_path}/chunks"))
+    plan = spark._jvm.PythonSQLUtils.explainString(units._jdf.queryExecution(), "formatted")
+    moved = [block for block in plan.split("\n\n") if "Exchange\n" in block]
+    assert moved and not any("text_raw" in block for block in moved)
+    assert sorted(r["unit_no"] for r in units.collect()) == list(range(1, 21))
+
+
+def test_questions_take_a_few_items_of_each_category(spark, monkeypatch):
+    """Before, a task ordered all items that a question could take."""
+    pool = spark.createDataFrame([(i, f"item number {i:04d}", f"k{i % 2}", ("fard", "wajib", "sunnah")[i % 3]) for i in range(300)], "item_idx long, item string, collection string, category string")
+    want = sorted(map(tuple, revise.select_items(pool, 2, seed=3).collect()))
+    assert len(want) == 2 * 3 * 2 * 4
+    monkeypatch.setattr(revise, "kept", lambda df: df)
+    whole = revise.select_items(pool, 2, seed=3)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert any("WindowGroupLimit" in line and "wrong_category" in line for line in plan.splitlines())
+    assert sorted(map(tuple, whole.collect())) == want
