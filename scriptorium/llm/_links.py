@@ -262,14 +262,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the links no longer change; each
     step keeps at most as many links as before.
     """
-    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links, state = _observed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         before, last = links, state
         both = links.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # A centre can have any number of neighbours: this join may be split. A neighbour has few centres.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition(partitions, "u")
+        # No number of partitions is given, so the last, small rounds are dealt to few tasks.
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower.hint("shuffle_hash"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links, state = _observed(small.distinct())
@@ -279,6 +279,17 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def joined_components(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the links that gave `roots` (node, root) and of `more` (a, b): only the roots of linked components meet again."""
+    of = lambda c: F.coalesce(f"root_{c}", c).alias(c)
+    known = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    across = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(of("a"), of("b"))
+    tops = _spark.written(components(across))
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # Nodes that had no link before.
+    return moved.unionByName(tops.join(roots, "node", "left_anti"))
+
+
 def _observed(links: DataFrame) -> tuple[DataFrame, tuple]:
     """The written table of `links` with its count and hash sum, both taken while it is written."""
     seen = Observation()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _links, _spark
-from ._arrays import SpanHash, bounded, list_column, mix, ragged
+from ._arrays import SpanHash, bounded, distinct, list_column, mix, ragged
 
 WIDTH, BANDS, ROWS = 8, 12, 4
 BINS = BANDS * ROWS
@@ -65,8 +65,10 @@ def shingle_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> tu
     line = np.repeat(np.arange(len(starts)), counts)
     at = ragged(starts, counts)
     every = hasher.windows(WIDTH)
-    values = every[np.minimum(at, max(len(every) - 1, 0))] if len(every) else np.zeros(len(at), np.uint64)
     short = np.flatnonzero(ends - starts < WIDTH)
+    if len(short):
+        every = np.append(every, np.zeros(WIDTH, np.uint64))
+    values = every[at]
     if len(short):
         values[(np.cumsum(counts) - counts)[short]] = hasher(starts[short], ends[short])
     return line, values
@@ -77,7 +79,11 @@ def min_hashes(hasher: SpanHash, starts: np.ndarray, ends: np.ndarray) -> np.nda
     n = len(starts)
     line, values = shingle_hashes(hasher, starts, ends)
     table = np.full(n * BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(table, line * BINS + ((values >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), values)
+    bins = (values >> np.uint64(40)).astype(np.uint32)
+    bins -= bins // np.uint32(BINS) * np.uint32(BINS)
+    line *= BINS
+    line += bins
+    np.minimum.at(table, line, values)
     table = table.reshape(n, BINS)
     empty = table == np.uint64(0xFFFFFFFFFFFFFFFF)
     distance = 1
@@ -154,44 +160,41 @@ def _signed_lines(docs: DataFrame, parts: int, held: int = 400_000) -> DataFrame
     return docs.select("doc_id", "tk", "text").mapInArrow(signed, _LINES)
 
 
-def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """node, words, size, sketch (of the shingles) of `nodes` (node), written; `places` (node, doc_id, line) has one line of each class.
+#: White space at the ends of a line, as `line_spans` leaves it out.
+_BLANK = "".join(map(chr, range(33))) + "\xa0\u3000"
+
+
+def line_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """node, words, size, sketch (of the shingles) of `nodes` (node), written; `classes` (node, at) has the place of one line of each class.
 
     A line is taken only if its digest is the node, so rows that repeat a doc_id cannot
     give another text. At most `most` lines in all are broadcast to the scan.
     """
+    places = classes.select("node", "at").join(nodes, "node").select("node", F.expr("(at - pmod(at, 2147483648)) div 2147483648").alias("doc_id"), F.expr("pmod(at, 2147483648)").cast("int").alias("line"))
     # All lines wanted of a document in one row: bounded by its text.
-    wanted = _spark.written(places.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted")))
+    wanted = _spark.written(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted")))
     few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= most
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 400_000):
-            points, offsets = _code_points([t or "" for t in batch.column("text").to_pylist()])
-            starts, ends, rows, numbers = line_spans(points, offsets)
-            lists = batch.column("wanted")
-            sizes = np.diff(lists.offsets.to_numpy()[: len(lists) + 1])
-            pairs = lists.flatten()
-            row = np.repeat(np.arange(len(lists)), sizes)
-            line, node = pairs.field("line").to_numpy(zero_copy_only=False).astype(np.int64), pairs.field("node").to_numpy(zero_copy_only=False)
-            have = (rows << np.int64(32)) | numbers
-            ask = (row << np.int64(32)) | line
-            at = np.minimum(np.searchsorted(have, ask), max(len(have) - 1, 0))
-            some = have[at] == ask if len(have) else np.zeros(len(ask), bool)
-            at, node = at[some], node[some]
+            words, node = [], []
+            for text, asked in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                some = [x for x in asked if x["line"] < len(lines)]
+                words += [lines[x["line"]].lower().strip(_BLANK) for x in some]
+                node += [x["node"] for x in some]
             # Only the lines asked for are hashed, side by side.
-            sizes = ends[at] - starts[at]
-            points = points[ragged(starts[at], sizes)]
-            edges = np.concatenate(([0], np.cumsum(sizes)))
+            edges = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
             starts, ends = edges[:-1], edges[1:]
-            hasher = SpanHash(_symbols(points, 1))
-            right = np.flatnonzero(hasher(starts, ends, 21).view(np.int64) == node)
-            starts, ends, node = starts[right], ends[right], node[right]
-            words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            node = np.array(node, np.int64)
+            hasher = SpanHash(_symbols(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), 1))
+            right = np.flatnonzero((hasher(starts, ends, 21).view(np.int64) == node) & (ends > starts))
+            starts, ends, node, words = starts[right], ends[right], node[right], [words[i] for i in right.tolist()]
             for i in range(0, len(node), 1 << 19):
                 some = slice(i, i + (1 << 19))
                 line, values = shingle_hashes(hasher, starts[some], ends[some])
                 # A line's number and 44 bits of a shingle's hash in one key: one sort tells shingles of a line apart.
-                keys = np.unique((line.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20)))
+                keys = distinct((line.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20)))
                 bounds = np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=len(node[some])))))
                 drawn = _links.sketches(keys & np.uint64((1 << 44) - 1), bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(words[some], pa.string()), pa.array(np.diff(bounds)), pa.array(drawn, pa.binary())], names=["node", "words", "size", "sketch"])
@@ -201,25 +204,56 @@ def line_texts(docs: DataFrame, places: DataFrame, nodes: DataFrame, most: int =
 
 
 class _Same:
-    """Whether two lines have a Jaccard similarity of shingles of `threshold`; shingle sets of 400 000 characters, or of one longer line, are kept."""
+    """Whether two lines have a Jaccard similarity of shingles of `threshold`; shingle sets of 400 000 characters, or of one longer line, are kept.
+
+    The first 255 different characters that come have a byte each, so a shingle of them is
+    one number of 8 bytes and the numbers of a line are compared as they are, exactly.
+    Lines with other characters are compared by sets of strings.
+    """
 
     def __init__(self, threshold: float):
         self.threshold, self.made, self.chars = threshold, {}, 0
-
-    def _grams(self, text: str) -> set[str]:
-        if (found := self.made.get(text)) is None:
-            if self.chars > 400_000:
-                self.made.clear()
-                self.chars = 0
-            found = self.made[text] = {text[i : i + WIDTH] for i in range(max(len(text) - WIDTH + 1, 1))}
-            self.chars += len(text)
+        self.codes, self.known = None, 0
+
+    def _bytes(self, text: str) -> np.ndarray | None:
+        """A byte for each character; None where there are too many different ones."""
+        if self.codes is None:  # not before, so that a task is sent without it
+            self.codes = np.zeros(0x110000, np.uint8)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        coded = self.codes[points]
+        if not coded.all():
+            new = np.unique(points[coded == 0])[: 255 - self.known]
+            self.codes[new] = np.arange(self.known + 1, self.known + len(new) + 1)
+            self.known += len(new)
+            coded = self.codes[points]
+        return coded if coded.all() else None
+
+    def _grams(self, text: str) -> np.ndarray | None:
+        """The distinct shingles of a line of at least a shingle, in order; None where there are too many different characters."""
+        if text in self.made:
+            return self.made[text]
+        if self.chars > 400_000:
+            self.made.clear()
+            self.chars = 0
+        if (found := self._bytes(text)) is not None:
+            found = distinct(np.ndarray(len(found) - WIDTH + 1, np.uint64, found.tobytes(), 0, (1,)))
+        self.made[text] = found
+        self.chars += len(text)
         return found
 
     def __call__(self, x: str, y: str) -> bool:
+        if min(len(x), len(y)) < WIDTH:  # one shingle, shorter than any other line's
+            return x == y
         one, two = self._grams(x), self._grams(y)
+        if one is None or two is None:
+            one, two = ({t[i : i + WIDTH] for i in range(len(t) - WIDTH + 1)} for t in (x, y))
         if min(len(one), len(two)) < self.threshold * max(len(one), len(two)):
             return False
-        both = len(one & two)
+        if isinstance(one, set):
+            both = len(one & two)
+        else:
+            merged = np.sort(np.concatenate((one, two)))
+            both = int(np.count_nonzero(merged[1:] == merged[:-1]))
         return both > 0 and both >= self.threshold * (len(one) + len(two) - both)
 
 
@@ -258,11 +292,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = _spark.written(found.filter("lo = hi").select("node", "at", "n"))
     packed = table.filter("part IS NOT NULL").select("part", "nodes", "counts", "sigs")
     met = _spark.written(_links.met(packed, parts, SMALL, PIVOTS), free=True)
-    number = F.expr("pmod(at, 2147483648)")
-    places = classes.select("node", F.expr("(at - pmod(at, 2147483648)) div 2147483648").alias("doc_id"), number.cast("int").alias("line"))
 
     pairs = _spark.written(met.filter("g IS NULL").select("a", "b").distinct())
-    texts = line_texts(docs, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = line_texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = _spark.written(similar_lines(texts, pairs), free=True)
     _spark.drop_written(texts)
     groups = _spark.written(met.filter("g IS NOT NULL").select("g", F.col("a").alias("node")).distinct())
@@ -270,11 +302,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     roots = _spark.written(_links.components(links))
     if not groups.isEmpty():
         mixed = _links.mixed_members(groups, roots)
-        texts = line_texts(docs, places, mixed.select("node").distinct())
+        texts = line_texts(docs, classes, mixed.select("node").distinct())
         more = _spark.written(_links.crossing_pairs(mixed, texts, _Same(0.75)), free=True)
         _spark.drop_written(mixed, texts)
         if not more.isEmpty():
-            roots = _spark.written(_links.components(links.unionByName(more)))
+            roots = _spark.written(_links.joined_components(roots, more))
     _spark.drop_written(groups, pairs)
     rooted = classes.join(roots, "node", "left")
     # Classes that stand alone keep their one line; the others meet the first line of their component.
@@ -307,6 +339,6 @@ def dedup_lines(docs: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
     gone = _spark.written(removed_lines(rows.filter("doc_id IS NOT NULL").select("doc_id", "tk", "text")).mapInArrow(masked, "doc_id long, tk long, mask array<boolean>, gone long"), free=True)
     few = (gone.agg(F.sum(F.size("mask") + 4)).first()[0] or 0) <= broadcast_lines
     joined = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "tk"], "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
-    return joined.select(*[F.col("row").getField(c).alias(c) if c != "text" else F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")], F.size(lines).cast("long").alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return joined.select(*[F.col("row").getField(c).alias(c) if c != "text" else F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")], (F.coalesce(breaks, F.lit(0)) + 1).cast("long").alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"))

@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small fixtures, and their edge cases."""
 
+import decimal
 import hashlib
 import os
 import random
@@ -11,7 +12,7 @@ import pytest
 from oracle import SF, assert_same
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, fingerprint, html_text, licenses, line_dedup, ngram_join, packing, quality, registry, substring_dedup, toxicity
+from scriptorium.llm import _links, decontaminate, fingerprint, html_text, licenses, line_dedup, ngram_join, packing, quality, registry, substring_dedup, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 NAMES = ["op1_packing", "op2_ngram_join", "op3_line_dedup", "op4_quality", "op5_fingerprints", "op6_decontamination", "op7_html_text", "op8_licenses", "op9_substring_dedup", "op10_toxicity"]
@@ -630,3 +631,37 @@ def test_pipeline_stages_keep_columns_and_follow_their_operators(spark):
         docs = out
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+def test_components_of_more_links_join_known_ones(spark):
+    links = [(1, 2), (2, 3), (10, 11), (20, 21), (21, 22), (30, 31)]
+    more = [(3, 11), (22, 5), (40, 41), (41, 31), (1, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = _links.components(frame(links))
+    whole = {tuple(r) for r in _links.components(frame(links + more)).collect()}
+    joined = [tuple(r) for r in _links.joined_components(known, frame(more)).collect()]
+    assert len(joined) == len(whole) and set(joined) == whole
+
+
+def test_lines_of_any_characters_compare_as_sets_of_strings():
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 400)))
+    lines = ["abcdefghijkl", "abcdefghijkm", "abc", "abc\0", "a\0bcdefghijkl", "éàü" * 9, "éàü" * 8 + "éà", many, many[1:], many[:200] + "x" + many[200:], "\ud800abcdefghijk", "\U0001f600bcdefghijk", "bcdefghijk\U0001f600"]
+    grams = lambda t: {t[i : i + 8] for i in range(max(len(t) - 7, 1))}
+    same = line_dedup._Same(0.75)
+    for x in lines:
+        for y in lines:
+            one, two = grams(x), grams(y)
+            assert same(x, y) == (len(one & two) >= 0.75 * len(one | two)), (x, y)
+    assert isinstance(same._grams(lines[0]), np.ndarray) and same._grams(many) is None
+
+
+def test_wanted_lines_are_those_of_their_digest(spark):
+    texts = ["  First Line here \n\n\u3000Straße ÉÉ \x0b\nΑΣ\nshort", None, "", "\n\nİstanbul ist groß\xa0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.line_classes(docs).collect()
+    classes = spark.createDataFrame([(r["node"], decimal.Decimal(r["doc_id"] * 2**31 + r["line"])) for r in lines], "node long, at decimal(38,0)")
+    found = line_dedup.line_texts(docs, classes, classes.select("node").distinct()).collect()
+    assert sorted(r["words"] for r in found) == sorted(filter(None, (x.strip(" \x0b\u3000\xa0") for t in texts for x in (t or "").lower().split("\n"))))
+    # A place whose line has another digest gives nothing.
+    wrong = classes.withColumn("node", F.col("node") + 1)
+    assert line_dedup.line_texts(docs, wrong, wrong.select("node")).count() == 0
