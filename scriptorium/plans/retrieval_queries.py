@@ -69,7 +69,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, rank FROM bm")
 def indexed_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 from a stored index that was built over older texts of every third document and without every fifth, and then updated."""
-    rows = base.folded_chunks(spark, sf).select("chunk_id", "ordinal", "text_folded")
+    rows = kept(base.folded_chunks(spark, sf).select("chunk_id", "ordinal", "text_folded"))
     index = lexical.StoredIndex(spark, f"{folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}", buckets=32)
     older = F.when(F.col("ordinal") % 3 == 0, F.concat("text_folded", F.lit(" older"))).otherwise(F.col("text_folded"))
     index.update(rows.filter("ordinal % 5 <> 0").withColumn("text_folded", older))

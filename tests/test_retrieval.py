@@ -178,3 +178,23 @@ def test_scan_sums_piece_by_piece(spark, monkeypatch):
     want = sorted(map(tuple, retrieve.bm25(rows, asked, aliases=None).collect()))
     monkeypatch.setattr(lexical, "CELLS", 7)
     assert sorted(map(tuple, retrieve.bm25(rows, asked, aliases=None).collect())) == want and want
+
+
+def test_stored_index_of_many_blocks(spark, tmp_path, monkeypatch):
+    """A term's chunks of a block are one row of postings; blocks with replaced chunks rank as an index built anew."""
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    monkeypatch.setattr(lexical, "ROWS", 5)
+    index = lexical.StoredIndex(spark, f"{tmp_path}/index", buckets=4)
+    first = corpus(5, 150)
+    index.update(frame(spark, first).coalesce(1))
+    pairs = sum(len(set(t.split())) for _, _, t in first)
+    rows = spark.read.parquet(f"{tmp_path}/index/postings")
+    assert rows.count() < pairs / 2 and rows.select(F.sum(F.size("spots"))).first()[0] == pairs
+    second = [(c, o, t + " w59" if o % 3 == 0 else t) for c, o, t in first if o % 7] + [("new", 900, "w58 w59 w3")]
+    index.update(frame(spark, second))
+    same(rows_of(retrieve.bm25_indexed(index, asked(spark, QUESTIONS), 6, aliases=None)), plain_bm25(second, QUESTIONS, 6))
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lexical, "SCAN_TERMS", 4)
+    third = second[5:] + [("last", 901, "w1 w2 w59")]
+    index.update(frame(spark, third))
+    same(rows_of(retrieve.bm25_indexed(index, asked(spark, QUESTIONS), 6, aliases=None)), plain_bm25(third, QUESTIONS, 6))
