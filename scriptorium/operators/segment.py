@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -22,7 +24,8 @@ def _heading_keys(lines: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataF
     do. If the shorter has more than two words, both have its first two; if it has two,
     the longer has its first and the next letter; if it has one, that begins the longer's
     first word. Keys of two and one words tell which side is the shorter, so that long
-    lines and long titles do not meet by a first word alone.
+    lines and long titles do not meet by a first word alone. For joins of few lines: a
+    line moves once a key. `locate_headings` goes without them.
     """
     pieces = lambda c: F.split(c, " ")
     # Bounded by the longest word: the lengths of texts of one word.
@@ -45,44 +48,92 @@ def _heading_keys(lines: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataF
     return by_line, titles.select("*", F.explode(keys("title_key", "title", "line", single(lines, "line_key"))).alias("key"))
 
 
-def _first_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries in order of (doc_id, ord) the first of their `places` after the one taken last in the document."""
-    doc, cursor = None, -1
+class _Places:
+    """Places of a document's lines under what its titles can ask for; lines come in order and are not held."""
+
+    def __init__(self, titles: set[str]) -> None:
+        self.titles = sorted(titles)
+        self.probes = {t: " ".join(words[:3]) for t in titles if len(words := t.split(" ")) >= 3}
+        self.begun, self.whole, self.pages = {t: array("q") for t in titles}, defaultdict(lambda: array("q")), {}
+        self.near: dict[str, dict[int, array]] = {p: defaultdict(lambda: array("q")) for p in self.probes.values()}
+        self.title_sizes, self.probe_sizes = sorted(set(map(len, titles))), sorted(set(map(len, self.near)))
+
+    def add(self, line: str, size: int, pos: int, page) -> None:
+        """A line's beginning, as long as the longest title at most, and the whole line's length."""
+        used = False
+        if size == len(line) and (at := bisect_left(self.titles, line)) < len(self.titles) and self.titles[at].startswith(line):
+            self.whole[line].append(pos)
+            used = True
+        for n in self.title_sizes:
+            if n > len(line):
+                break
+            if (places := self.begun.get(line[:n])) is not None:
+                places.append(pos)
+                used = True
+        for n in self.probe_sizes:
+            if n > len(line):
+                break
+            if (by_size := self.near.get(line[:n])) is not None:
+                by_size[size].append(pos)
+                used = True
+        if used:
+            self.pages[pos] = page
+
+    def after(self, title: str, cursor: int) -> int | None:
+        """The first place after `cursor` of a line that `text.heading_matches` the title."""
+        lists = [self.begun[title], *(self.whole[title[:n]] for n in range(1, len(title) + 1) if title[:n] in self.whole)]
+        if by_size := self.near.get(self.probes.get(title)):
+            lists += [by_size[n] for n in range(len(title) - 12, len(title) + 13) if n in by_size]
+        return min((places[at] for places in lists if (at := bisect_right(places, cursor)) < len(places)), default=None)
+
+
+def _headings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries with the place and page that they take; of each document its entries come in order, then its lines in order."""
+    doc, entries, places, schema = None, [], None, None
+
+    def taken() -> Iterator[pa.RecordBatch]:
+        cursor, out = -1, []
+        for ord_, key, title, printed in entries:
+            pos = places.after(key, cursor) if places and key else None
+            cursor = cursor if pos is None else pos
+            out.append((doc, ord_, title, printed, pos, places.pages[pos] if pos is not None else None))
+        for a in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 10_000], strict=True), schema, strict=True)], schema=schema)
+
     for batch in batches:
-        taken, found = [], []
-        for row, (doc_id, places) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+        kinds = [batch.schema.field(c).type for c in ("doc_id", "at", "title", "printed", "at", "page")]
+        schema = pa.schema(list(zip(("doc_id", "ord", "title", "printed", "pos", "page"), kinds, strict=True)))
+        for doc_id, is_line, at, key, size, page, title, printed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if doc_id != doc:
-                doc, cursor = doc_id, -1
-            at = bisect_right(places, cursor)
-            if at < len(places):
-                cursor = places[at]
-                taken.append(row)
-                found.append(cursor)
-        some = batch.take(pa.array(taken, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("ord"), pa.array(found, pa.int64())], ["doc_id", "ord", "pos"])
+                yield from taken()
+                doc, entries, places = doc_id, [], None
+            if not is_line:
+                entries.append((at, key, title, printed))
+            elif entries and key:
+                if places is None:
+                    places = _Places({e[1] for e in entries if e[1]})
+                places.add(key, size, at, page)
+    yield from taken()
 
 
 def locate_headings(stream: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(located: doc_id, ord, title, printed, pos, page; unlocated: doc_id, ord, title, printed).
 
     Each entry takes its first matching line after the line of the entry found before
-    it; an entry without one leaves that place as it was. Lines and titles meet by keys,
-    equal titles of a document once, and a document's entries are then gone through in
-    order with one search each among the places of their title.
+    it; an entry without one leaves that place as it was. Of a line no more than the
+    beginning that a title can have moves, once, to its document's entries; a task holds
+    one document's titles and the places of the lines that match one.
     """
-    # Keys are folded before the join: once a line and once a title, not once a pair.
-    lines = stream.select("doc_id", F.col("pos").cast("long").alias("pos"), text.fold("line", True).alias("line_key")).filter("line_key <> ''")
-    keyed = kept(entries.select("doc_id", F.col("ord").cast("long").alias("ord"), text.heading_key("title").alias("title_key")).filter("title_key <> ''"))
-    titles = keyed.select("doc_id", "title_key").distinct().withColumn("probe", text.heading_probe(F.col("title_key")))
-    by_line, by_title = _heading_keys(lines, titles)
-    pairs = sorted_join(by_line, by_title, ["doc_id", "key"]).filter(text.heading_matches(F.col("line_key"), F.col("title_key"), F.col("probe")))
-    places = pairs.groupBy("doc_id", "title_key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    ordered = sorted_join(keyed, places, ["doc_id", "title_key"]).select("doc_id", "ord", "places").repartition("doc_id").sortWithinPartitions("doc_id", "ord")
-    hits = kept(ordered.mapInArrow(_first_after, f"doc_id {entries.schema['doc_id'].dataType.simpleString()}, ord long, pos long"))
-    found = sorted_join(entries, hits, ["doc_id", "ord"])
-    located = sorted_join(found, stream.select("doc_id", "pos", "page"), ["doc_id", "pos"]).select("doc_id", "ord", "title", "printed", "pos", "page")
-    unlocated = sorted_join(entries, hits, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", "title", "printed")
-    return located, unlocated
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    keyed = kept(entries.select("doc_id", "ord", "title", "printed", text.heading_key("title").alias("key")))
+    longest = keyed.agg(F.max(F.length("key"))).first()[0] or 0
+    none = lambda df, c: F.lit(None).cast(kind(df, c)).alias(c)
+    asked = keyed.select("doc_id", F.lit(False).alias("is_line"), F.col("ord").cast("long").alias("at"), "key", F.lit(0).alias("size"), none(stream, "page"), "title", "printed")
+    lines = stream.filter("doc_id IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("at"), "page", text.fold("line", True).alias("key"))
+    lines = lines.select("doc_id", F.lit(True).alias("is_line"), "at", F.left("key", F.lit(longest)).alias("key"), F.length("key").alias("size"), "page", none(entries, "title"), none(entries, "printed"))
+    met = asked.unionByName(lines).repartition("doc_id").sortWithinPartitions("doc_id", "is_line", "at")
+    found = kept(met.mapInArrow(_headings, f"doc_id {kind(met, 'doc_id')}, ord long, title string, printed {kind(entries, 'printed')}, pos long, page {kind(stream, 'page')}").withColumn("ord", F.col("ord").cast(kind(entries, "ord"))))
+    return found.filter("pos IS NOT NULL"), found.filter("pos IS NULL").select("doc_id", "ord", "title", "printed")
 
 
 def section_lines(stream: DataFrame, located: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def toc_islands(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_and_entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Lines by pages of 4; every third line is an entry, every ninth of those one that no line matches."""
-    stream = paged.line_stream(paged.text_lines(table(spark, sf, "documents"), 4))
+    stream = paged.text_stream(table(spark, sf, "documents"), 4)
     titles = stream.filter("pos % 3 = 0").select("doc_id", (F.col("pos") / 3).cast("int").alias("ord"), F.when(F.col("pos") % 27 == 6, F.lit("zzz no such heading here")).otherwise(F.concat(F.left("line", F.lit(40)), F.lit(" 7"))).alias("title"), F.col("page").alias("printed"))
     return stream, titles
 

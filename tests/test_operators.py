@@ -317,3 +317,41 @@ def test_questions_take_a_few_items_of_each_category(spark, monkeypatch):
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert any("WindowGroupLimit" in line and "wrong_category" in line for line in plan.splitlines())
     assert sorted(map(tuple, whole.collect())) == want
+
+
+def test_headings_move_a_line_once_and_no_longer_than_titles(spark, monkeypatch):
+    """Before, a line moved whole for each of its keys, here one for each length of a one-word title."""
+    rng = random.Random(3)
+    titles = ["abcdefghijklmnopqrstuvwxyz"[:n] for n in range(2, 27)] + ["one two three", "one two three four", "zzz", "", None]
+    ends = ["", "x" * 12, "x" * 13, " " + "more " * 60]
+    lines = [rng.choice(titles[:-3]) + rng.choice(ends) for _ in range(12_000)] + ["one two th", "one two three" + "y" * 13, "one two three" + "y" * 12]
+    stream = spark.createDataFrame([(d, i, i // 9 + 1, x) for d, many in ((1, lines), (2, lines[-3:]), (None, lines[:5])) for i, x in enumerate(many)], "doc_id long, pos long, page int, line string")
+    toc = spark.createDataFrame([(d, i, t, i) for d in (1, 2, 3, None) for i, t in enumerate(rng.sample(titles, len(titles)))], "doc_id long, ord int, title string, printed int")
+    want, lost, cursor = set(), set(), -1
+    for d, i, t, _ in sorted((tuple(r) for r in toc.collect()), key=lambda r: (r[0] is None, r[0], r[1])):
+        cursor = -1 if i == 0 else cursor
+        t, found = t or "", None
+        probe = " ".join(t.split()[:3]) if len(t.split()) >= 3 else None
+        for p, x in enumerate({1: lines, 2: lines[-3:]}.get(d, [])):
+            x = x.strip()
+            if p > cursor and t and (x.startswith(t) or t.startswith(x) or (probe and x.startswith(probe) and abs(len(x) - len(t)) <= 12)):
+                found = cursor = p
+                break
+        (want if found is not None else lost).add((d, i, found, found // 9 + 1) if found is not None else (d, i))
+    located, unlocated = segment.locate_headings(stream, toc)
+    assert {(r["doc_id"], r["ord"], r["pos"], r["page"]) for r in located.collect()} == want and len(want) > 20
+    assert {(r["doc_id"], r["ord"]) for r in unlocated.collect()} == lost
+    monkeypatch.setattr(segment, "kept", lambda df: df)
+    located, _ = segment.locate_headings(stream, toc)
+    plan = located._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1 and ", 1, 26) AS key" in plan
+
+
+def test_text_stream_equals_the_line_stream_and_moves_nothing(spark):
+    texts = ["1\na\n\n b \nc\nd\n2\nʧʧʧ\ne\n 3 \n4", "", None, "ṣabc ʧʧ\nx\n\t\ny", "2\n1\n1\n1\n2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for per in (None, 1, 2, 4):
+        own = paged.text_stream(docs, per)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, paged.line_stream(paged.text_lines(docs, per)).collect()))
+        assert own.dtypes == paged.line_stream(paged.text_lines(docs, per)).dtypes
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
