@@ -144,15 +144,18 @@ def section_lines(stream: DataFrame, located: DataFrame) -> DataFrame:
     return marked.select("doc_id", "pos", "page", "line", fill("ord"), fill("title"), fill("start_page")).filter("ord IS NOT NULL")
 
 
-def _greedy_parts(limit: int):
-    """Part numbers of lines in order of (section, pos): a task goes from break to break by a search among the sums of sizes."""
+def _greedy_parts(limit: int, starts_only: bool = False):
+    """Rows, without their size, with the part numbers of lines in order of (section, pos), or of the first line of each part.
+
+    A task goes from break to break by a search among the sums of sizes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         section, held, part = None, 0, 0
         for batch in batches:
             names = batch.column("section").to_numpy(zero_copy_only=False)
             sizes = batch.column("size").to_numpy().astype(np.int64) + 1
-            parts = np.empty(len(names), np.int32)
+            parts, opens = np.empty(len(names), np.int32), np.zeros(len(names), bool)
             starts = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)])) if len(names) else [0]
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if names[a] != section:
@@ -164,13 +167,15 @@ def _greedy_parts(limit: int):
                     stop = int(np.searchsorted(sums, limit + 1 + before, side="right"))
                     if (sums[at - 1] if at else 0) == before:
                         stop = max(stop, at + 1)  # a part has a line, however long
+                        opens[a + at] = True
                     stop = min(stop, b - a)
                     parts[a + at : a + stop] = part
                     at = stop
                     if at < b - a:
                         part, before = part + 1, int(sums[at - 1]) if at else 0
                 held = int(sums[-1]) - before
-            yield pa.RecordBatch.from_arrays([batch.column("section"), batch.column("pos"), pa.array(parts)], ["section", "pos", "part"])
+            out = batch.drop_columns("size").append_column("part", pa.array(parts))
+            yield out.filter(pa.array(opens)) if starts_only else out
 
     return run
 
@@ -191,19 +196,44 @@ def split_sections(lines: DataFrame, keys: list[str], limit: int = rules.CHUNK_C
     return sorted_join(sorted_join(named, parts, ["section", "pos"]), counts, ["section"]).select(*keys, "pos", "page", "line", "part", "n_parts")
 
 
+def part_starts(stream: DataFrame, located: DataFrame, limit: int = rules.CHUNK_CHARS) -> DataFrame:
+    """doc_id, ord, pos, part: the first line of each part of the located sections.
+
+    As in `split_sections`, but of a line its place and size alone move, once.
+    """
+    ord_ = located.schema["ord"].dataType.simpleString()
+    lines = stream.filter("doc_id IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(None).cast(ord_).alias("ord"), F.coalesce(F.length("line"), F.lit(0)).alias("size"))
+    heads = located.select("doc_id", F.col("pos").cast("long").alias("pos"), "ord", F.lit(None).cast("int").alias("size"))
+    so_far = Window.partitionBy("doc_id").orderBy("pos", F.col("ord").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = lines.unionByName(heads).withColumn("ord", F.last("ord", ignorenulls=True).over(so_far)).filter("size IS NOT NULL AND ord IS NOT NULL")
+    sizes = filled.select("doc_id", "ord", F.concat_ws(" ", F.col("ord").cast("string"), F.col("doc_id").cast("string")).alias("section"), "pos", "size").sortWithinPartitions("doc_id", "pos")
+    kind = sizes.schema["doc_id"].dataType.simpleString()
+    return sizes.mapInArrow(_greedy_parts(limit, True), f"doc_id {kind}, ord {ord_}, section string, pos long, part int").drop("section")
+
+
 def build_chunks(stream: DataFrame, located: DataFrame, groups: DataFrame, limit: int = rules.CHUNK_CHARS, collection: Column | None = None) -> DataFrame:
     """The chunk table: sections cut into parts, with collection, category, group, polarity, page span, ids and texts.
 
     `groups` (title_folded, group_id, polarity) is a small rule table. Later parts begin
-    with the section's title. `ordinal` is the order of the chunks in the corpus.
+    with the section's title. `ordinal` is the order of the chunks in the corpus. Parts
+    are found, numbered and named without texts; lines then meet the parts of their
+    document by one shuffle and are joined up where they are.
     """
-    keys = ["doc_id", "ord", "title", "start_page"]
-    lines = split_sections(section_lines(stream, located), keys, limit)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    parts = lines.groupBy(*keys, "part", "n_parts").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), joined.alias("body"))
-    raw = F.when(F.col("part") == 0, F.col("body")).otherwise(F.concat_ws("\n", "title", "body"))
+    numbers = numbered(part_starts(stream, located, limit), "ordinal", "doc_id", "ord", "part")
+    counted = numbers.withColumn("n_parts", F.max("part").over(Window.partitionBy("doc_id", "ord")) + 1)
+    titled = sorted_join(counted, located.select("doc_id", "ord", "title", F.col("page").alias("start_page")), ["doc_id", "ord"])
     table = F.broadcast(groups) if groups.count() <= 100_000 else groups
-    named = numbered(parts.withColumn("text_raw", raw).withColumn("title_folded", text.fold("title")), "ordinal", "doc_id", "ord", "part").join(table, "title_folded", "left")
+    parts = titled.withColumn("title_folded", text.fold("title")).join(table, "title_folded", "left")
+    part = F.struct("ordinal", "part", "n_parts", "title", "start_page", "group_id", "polarity").alias("chunk")
+    starts = parts.select("doc_id", "pos", part)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    lines = stream.filter("doc_id IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(True).alias("is_line"), "page", "line", none(starts, "chunk"))
+    marks = starts.select("doc_id", "pos", F.lit(False).alias("is_line"), none(stream, "page"), none(stream, "line"), "chunk")
+    so_far = Window.partitionBy("doc_id").orderBy("pos", "is_line").rowsBetween(Window.unboundedPreceding, 0)
+    filled = lines.unionByName(marks).withColumn("chunk", F.last("chunk", ignorenulls=True).over(so_far)).filter("is_line AND chunk IS NOT NULL")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    joined = filled.groupBy("doc_id", "chunk").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), body.alias("body")).select("doc_id", "chunk.*", "page_start", "page_end", "body")
+    named = joined.withColumn("text_raw", F.when(F.col("part") == 0, F.col("body")).otherwise(F.concat_ws("\n", "title", "body")))
     return named.select(
         text.chunk_id("start_page", "title", "part", "n_parts").alias("chunk_id"),
         "doc_id",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import segment
-from ..scratch import kept
 from ..sources import paged
 from . import base
 from .base import SQL_CHUNKS, sql_fold, sql_words, table
@@ -192,7 +191,6 @@ def build_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The chunk table of the located sections; every fourth title of a document names a group."""
     stream, entries = _stream_and_entries(spark, sf)
     located, _ = segment.locate_headings(stream, entries)
-    located = kept(located)
     named = located.filter("ord % 4 = 0").select(text.fold("title").alias("title_folded"), "doc_id").groupBy("title_folded").agg(F.min("doc_id").alias("d"))
     groups = named.select("title_folded", F.concat(F.lit("g"), (F.col("d") % 5).cast("string")).alias("group_id"), F.when(F.col("d") % 2 == 0, "affirmative").otherwise("negative").alias("polarity"))
     rows = segment.build_chunks(stream, located, groups)

@@ -355,3 +355,40 @@ def test_text_stream_equals_the_line_stream_and_moves_nothing(spark):
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, paged.line_stream(paged.text_lines(docs, per)).collect()))
         assert own.dtypes == paged.line_stream(paged.text_lines(docs, per)).dtypes
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_equal_a_plain_loop_and_move_texts_once(spark, monkeypatch):
+    """Before, lines moved for sections, parts, counts, groups and numbers each."""
+    rng = random.Random(6)
+    docs = {d: ["w" * rng.randint(0, 9) + str(i) for i in range(n)] for d, n in ((1, 40), (2, 1), (3, 12_500), (4, 7))}
+    heads = {d: {p: o for o, p in enumerate(sorted(rng.sample(range(len(x)), min(len(x), 6))))} for d, x in docs.items() if d != 4}
+    stream = spark.createDataFrame([(d, i, i // 4 + 1, x) for d, many in docs.items() for i, x in enumerate(many)] + [(None, 0, 1, "x")], "doc_id long, pos long, page int, line string").repartition(3)
+    located = spark.createDataFrame([(d, o, f"title {o % 4}", o, p, p // 4 + 1) for d, x in heads.items() for p, o in x.items()], "doc_id long, ord int, title string, printed int, pos long, page int")
+    groups = spark.createDataFrame([("title 1", "g", "negative")], "title_folded string, group_id string, polarity string")
+    want = []
+    for d, lines in docs.items():
+        ord_ = None
+        for p, line in enumerate(lines):
+            if p in heads.get(d, {}):
+                ord_, part, size = heads[d][p], 0, 0
+                want.append([d, ord_, part, p // 4 + 1, p // 4 + 1, [line]])
+            elif ord_ is None:
+                continue
+            elif size + len(line) > 30:
+                part, size = part + 1, 0
+                want.append([d, ord_, part, p // 4 + 1, p // 4 + 1, [line]])
+            else:
+                want[-1][4:] = [p // 4 + 1, [*want[-1][5], line]]
+            size += len(line) + 1
+    many = {(w[0], w[1]): w[2] + 1 for w in want}
+    chunks = segment.build_chunks(stream, located, groups, limit=30)
+    got = chunks.orderBy("ordinal").collect()
+    assert len(got) == len(want) > 2000 and [r["ordinal"] for r in got] == list(range(len(want)))
+    for r, (d, o, part, first, last, lines) in zip(got, want, strict=True):
+        title = f"title {o % 4}"
+        assert (r["doc_id"], r["section"], r["part"], r["n_parts"], r["page_start"], r["page_end"]) == (d, title, part, many[d, o], first, last)
+        assert r["text_raw"] == "\n".join(([title] if part else []) + lines) and r["group_id"] == ("g" if o % 4 == 1 else None)
+    monkeypatch.setattr(segment, "kept", lambda df: df)
+    plan = spark._jvm.PythonSQLUtils.explainString(segment.build_chunks(stream, located, groups, limit=30)._jdf.queryExecution(), "formatted")
+    moved = [block for block in plan.split("\n\n") if "Exchange\n" in block and any(x in block for x in (", line#", "[line#", "body#", "text_raw#"))]
+    assert len([block for block in moved if "REPARTITION_BY_NUM" not in block]) == 1
